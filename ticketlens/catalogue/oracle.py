@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from ..functions import prompts
 from ..functions.privacy import PATTERNS
 from ..plans import replies
@@ -76,10 +78,6 @@ def vector_code(vec: str) -> str:
     return f"array_to_string(list_transform({vec}, lambda x: CAST(CAST(floor(x * 1000000) AS BIGINT) AS VARCHAR)), ',')"
 
 
-def scan_of(sql: str) -> str:
-    return " ".join(sql.split())
-
-
 BS_N = "chr(92) || 'n'"
 Q = "chr(34)"
 
@@ -143,8 +141,6 @@ CTES: dict[str, str] = {
 
 def with_tables(select: str) -> str:
     """``select`` preceded by the CTEs it needs, directly or through others."""
-    import re
-
     names = list(CTES)
 
     def used(sql: str) -> set[str]:
@@ -157,8 +153,8 @@ def with_tables(select: str) -> str:
         if name not in needed:
             needed.add(name)
             todo |= used(CTES[name]) - needed
-    ctes = ", ".join(f"{name} AS ({scan_of(CTES[name])})" for name in names if name in needed)
-    return (f"WITH {ctes} " if ctes else "") + scan_of(select)
+    ctes = ", ".join(f"{name} AS ({CTES[name]})" for name in names if name in needed)
+    return (f"WITH {ctes} " if ctes else "") + select
 
 
 def counts(key: str, name: str, table: str) -> str:
