@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions import prompts
-from ..functions.privacy import PATTERNS
+from ..functions.privacy import ADDRESS_PATTERNS, NUMBER_PATTERNS
 from ..plans import replies
 from . import lexicons
 
@@ -21,7 +21,7 @@ def words(values) -> str:
 
 
 def redacted(expr: str) -> str:
-    for pattern, label in PATTERNS:
+    for pattern, label in (*ADDRESS_PATTERNS, *NUMBER_PATTERNS):
         expr = f"regexp_replace({expr}, {quoted(pattern)}, {quoted(label)}, 'g')"
     return expr
 

@@ -63,19 +63,23 @@ QUERIES["product_cards"] = QUERIES.pop("product_cards_query")
 
 @query
 def redact_pii(spark, sf):
-    return tables.read(spark, sf, "documents").select("doc_id", privacy.redact(F.col("text")).alias("text"))
+    return tables.documents(spark, sf).select("doc_id", privacy.redact(F.col("text")).alias("text"))
+
+
+def _document_words(spark, sf):
+    return tables.documents(spark, sf).select("doc_id", text.words(F.col("text")).alias("words"))
 
 
 @query
 def classify_type(spark, sf):
-    found = classify.ticket_type(F.col("text"), lexicons.TYPES)
-    return tables.read(spark, sf, "documents").select("doc_id", found.alias("type"))
+    found = classify.ticket_type(F.col("words"), lexicons.TYPES)
+    return _document_words(spark, sf).select("doc_id", found.alias("type"))
 
 
 @query
 def classify_priority(spark, sf):
-    found = classify.ticket_priority(F.col("text"), lexicons.PRIORITIES)
-    return tables.read(spark, sf, "documents").select("doc_id", found.alias("priority"))
+    found = classify.ticket_priority(F.col("words"), lexicons.PRIORITIES)
+    return _document_words(spark, sf).select("doc_id", found.alias("priority"))
 
 
 # --- table changes -----------------------------------------------------------

@@ -19,7 +19,7 @@ from ..operators.transcripts import assemble_transcripts
 from ..plans.product_reports import score_products
 from ..plans.ticket_reports import score_tickets
 from ..plans.tickets import Channels, add_ticket_vectors, number_tickets, records, unify
-from ..session import settle
+from ..session import settle, spread
 from . import lexicons
 
 RULES = Rules(types=lexicons.TYPES, priorities=lexicons.PRIORITIES)
@@ -31,6 +31,11 @@ def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents, over all cores: much work is done on each."""
+    return spread(read(spark, sf, "documents"))
+
+
 def stored(spark: SparkSession, sf: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
     """A derived table, written on first use and read from then on, the way the
     ticket and score tables are built once and then reported on."""
@@ -44,7 +49,7 @@ def document_fields(spark: SparkSession, sf: str) -> DataFrame:
     """First line, middle lines and last line of every document."""
     lines = F.split("text", "\n")
     middle = F.slice("lines", 2, F.greatest(F.size("lines") - 2, F.lit(0)))
-    return read(spark, sf, "documents").withColumn("lines", lines).select(
+    return documents(spark, sf).withColumn("lines", lines).select(
         "doc_id",
         "lang",
         "source",

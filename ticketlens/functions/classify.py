@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import mentions
+from .text import has_word
 
 Rules = Sequence[tuple[str, Sequence[str]]]
 
@@ -29,20 +29,21 @@ PRIORITY_RULES: Rules = (
 URGENT_PRIORITIES = ("high", "urgent", "p1", "critical")
 
 
-def first_match(text: Column, rules: Rules, default: str) -> Column:
+def first_match(words: Column, rules: Rules, default: str) -> Column:
+    """The label of the first rule with a keyword among ``words`` (see ``text.words``)."""
     chain = None
-    for label, words in rules:
-        hit = mentions(text, words)
+    for label, keywords in rules:
+        hit = has_word(words, keywords)
         chain = F.when(hit, label) if chain is None else chain.when(hit, label)
     return F.lit(default) if chain is None else chain.otherwise(default)
 
 
-def ticket_type(text: Column, rules: Rules = TYPE_RULES) -> Column:
-    return first_match(text, rules, OTHER_TYPE)
+def ticket_type(words: Column, rules: Rules = TYPE_RULES) -> Column:
+    return first_match(words, rules, OTHER_TYPE)
 
 
-def ticket_priority(text: Column, rules: Rules = PRIORITY_RULES) -> Column:
-    return first_match(text, rules, LOWEST_PRIORITY)
+def ticket_priority(words: Column, rules: Rules = PRIORITY_RULES) -> Column:
+    return first_match(words, rules, LOWEST_PRIORITY)
 
 
 def is_urgent(priority: Column) -> Column:

@@ -67,21 +67,17 @@ def with_slash(prefix: str) -> str:
     return prefix if not prefix or prefix.endswith("/") else prefix + "/"
 
 
-def word_pattern(words: Sequence[str]) -> str:
-    """A pattern for any of ``words`` standing alone in lower-cased text.
-
-    A word ends where the letters a-z end, so it matches exactly the tokens of
-    ``split(lower(text), '[^a-z]+')``.
-    """
-    if not words:
-        return "(?!)"
-    return "(?<![a-z])(?:" + "|".join(words) + ")(?![a-z])"
+def words(text: Column) -> Column:
+    """The lower-cased runs of a-z in ``text``, possibly with an empty string at either end."""
+    return F.split(F.lower(text), "[^a-z]+")
 
 
-def word_hits(text: Column, words: Sequence[str]) -> Column:
-    """How many tokens of ``text`` are in ``words``."""
-    return F.regexp_count(F.lower(text), F.lit(word_pattern(words)))
+def has_word(words: Column, lexicon: Sequence[str]) -> Column:
+    if not lexicon:
+        return F.lit(False)
+    return F.arrays_overlap(words, F.array(*[F.lit(word) for word in lexicon]))
 
 
-def mentions(text: Column, words: Sequence[str]) -> Column:
-    return F.lower(text).rlike(word_pattern(words))
+def count_words(words: Column, lexicon: Sequence[str]) -> Column:
+    """How many of ``words`` are in the lexicon, repeats included."""
+    return F.size(F.filter(words, lambda word: word.isin(*lexicon)))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import classify, privacy, prompts
-from ..functions.text import first_chars, strip_blanks
+from ..functions.text import first_chars, strip_blanks, words
 from .models import ColumnFunction, Model, model_column
 
 # The labels that begin a turn or a header line of a raw cell.
@@ -83,34 +83,50 @@ def _joined(texts: Column) -> Column:
     return F.when(F.size(texts) > 0, F.array_join(texts, " "))
 
 
-def _record(raw: Column, source: str, subject: Column, body: Column, answer: Column, rules: Rules) -> list[Column]:
+def _records(parts: DataFrame, source: str, rules: Rules) -> DataFrame:
+    """Records from columns ``source_key``, ``_subject``, ``_body`` and ``_answer``.
+
+    The fields are built as one struct that a generator unpacks. A filter on
+    them (such as the one for complete records) then stays above it, instead of
+    being pushed down with a second copy of the whole parsing.
+    """
+    subject, body = F.col("_subject"), F.col("_body")
     about = F.concat(F.coalesce(subject, F.lit("")), F.lit(" "), F.coalesce(body, F.lit("")))
-    return [
-        F.lit(source).alias("source"),
-        F.md5(raw).alias("source_key"),
+    found = F.col("_words")
+    fields = F.struct(
         rules.redact(subject).alias("subject"),
         rules.redact(body).alias("body"),
-        rules.redact(answer).alias("answer"),
-        classify.ticket_type(about, rules.types).alias("type"),
-        classify.ticket_priority(about, rules.priorities).alias("priority"),
-    ]
+        rules.redact(F.col("_answer")).alias("answer"),
+        classify.ticket_type(found, rules.types).alias("type"),
+        classify.ticket_priority(found, rules.priorities).alias("priority"),
+    )
+    return parts.withColumn("_words", words(about)).select(
+        F.lit(source).alias("source"), "source_key", F.inline(F.array(fields))
+    )
 
 
 def _parsed(df: DataFrame, text_col: str) -> DataFrame:
     raw = F.col(text_col)
-    return df.where(raw.isNotNull()).select(raw.alias("_raw"), _turns(raw).alias("_turns"))
+    return df.where(raw.isNotNull()).select(F.md5(raw).alias("source_key"), _turns(raw).alias("_turns"))
 
 
 def _conversation(df: DataFrame, text_col: str, source: str, rules: Rules) -> DataFrame:
-    turns = F.col("_turns")
-    parts = _parsed(df, text_col).select(
-        "_raw",
-        F.transform(F.concat(_unlabelled(turns), _spoken(turns, CUSTOMER)), _without_greeting).alias("_asked"),
-        F.transform(_spoken(turns, *REPLIERS), _without_greeting).alias("_replied"),
+    turns, asked, replied = F.col("_turns"), F.col("_asked"), F.col("_replied")
+    parts = (
+        _parsed(df, text_col)
+        .select(
+            "source_key",
+            F.transform(F.concat(_unlabelled(turns), _spoken(turns, CUSTOMER)), _without_greeting).alias("_asked"),
+            F.transform(_spoken(turns, *REPLIERS), _without_greeting).alias("_replied"),
+        )
+        .select(
+            "source_key",
+            first_chars(F.try_element_at(asked, F.lit(1)), SUBJECT_CHARS).alias("_subject"),
+            _joined(asked).alias("_body"),
+            _joined(replied).alias("_answer"),
+        )
     )
-    asked = F.col("_asked")
-    subject = first_chars(F.try_element_at(asked, F.lit(1)), SUBJECT_CHARS)
-    return parts.select(*_record(F.col("_raw"), source, subject, _joined(asked), _joined(F.col("_replied")), rules))
+    return _records(parts, source, rules)
 
 
 def normalize_chats(chats: DataFrame, text_col: str = "chat", rules: Rules = Rules()) -> DataFrame:
@@ -127,19 +143,21 @@ def normalize_calls(transcripts: DataFrame, text_col: str = "transcripts", rules
 def normalize_emails(emails: DataFrame, text_col: str = "email", rules: Rules = Rules()) -> DataFrame:
     """Subject from the header; body and answer without signature and quoted history."""
     turns = F.col("_turns")
-    parts = _parsed(emails, text_col).select(
-        "_raw",
-        F.try_element_at(_spoken(turns, "Subject"), F.lit(1)).alias("_subject"),
-        F.concat(_unlabelled(turns), _spoken(turns, CUSTOMER)).alias("_asked"),
-        _spoken(turns, *REPLIERS).alias("_replied"),
-    )
 
     def text_of(turns_col: str) -> Column:
         return _without_greeting(_without_tail(_joined(F.col(turns_col))))
 
-    return parts.select(
-        *_record(F.col("_raw"), "email", F.col("_subject"), text_of("_asked"), text_of("_replied"), rules)
+    parts = (
+        _parsed(emails, text_col)
+        .select(
+            "source_key",
+            F.try_element_at(_spoken(turns, "Subject"), F.lit(1)).alias("_subject"),
+            F.concat(_unlabelled(turns), _spoken(turns, CUSTOMER)).alias("_asked"),
+            _spoken(turns, *REPLIERS).alias("_replied"),
+        )
+        .select("source_key", "_subject", text_of("_asked").alias("_body"), text_of("_replied").alias("_answer"))
     )
+    return _records(parts, "email", rules)
 
 
 def forms_passthrough(forms: DataFrame) -> DataFrame:

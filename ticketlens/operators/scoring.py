@@ -6,12 +6,13 @@ model; they are no substitute for one.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import mentions, strip_blanks, word_hits
+from ..functions.text import count_words, has_word, strip_blanks, words
 from .models import ColumnFunction
 
 NEGATIVE_WORDS = ("angry", "awful", "bad", "broken", "defective", "disappointed", "late", "poor", "refund", "terrible", "unacceptable", "worst", "wrong")
@@ -19,42 +20,61 @@ POSITIVE_WORDS = ("amazing", "excellent", "fast", "good", "great", "happy", "lov
 ABUSIVE_WORDS = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 
 
-def sentiment_scorer(negative: Sequence[str] = NEGATIVE_WORDS, positive: Sequence[str] = POSITIVE_WORDS) -> ColumnFunction:
+@dataclass(frozen=True)
+class WordScorer:
+    """A scorer of a text's words. Called with a text it splits that itself;
+    :func:`add_scores` splits a text once for all its word scorers."""
+
+    of: Callable[[Column, Column], Column]
+
+    def __call__(self, text: Column) -> Column:
+        return self.of(words(text), text)
+
+
+def sentiment_scorer(negative: Sequence[str] = NEGATIVE_WORDS, positive: Sequence[str] = POSITIVE_WORDS) -> WordScorer:
     """Positive, Neutral or Negative by which lexicon is hit more often."""
 
-    def score(text: Column) -> Column:
-        bad, good = word_hits(text, negative), word_hits(text, positive)
+    def score(words: Column, _text: Column) -> Column:
+        bad, good = count_words(words, negative), count_words(words, positive)
         return F.when(bad > good, "Negative").when(good > bad, "Positive").otherwise("Neutral")
 
-    return score
+    return WordScorer(score)
 
 
-def churn_scorer(cues: Sequence[str] = NEGATIVE_WORDS, weight: float = 0.2) -> ColumnFunction:
+def churn_scorer(cues: Sequence[str] = NEGATIVE_WORDS, weight: float = 0.2) -> WordScorer:
     """``weight`` per cue word, at most 1; NULL for a blank text."""
 
-    def score(text: Column) -> Column:
-        return F.when(strip_blanks(text) != "", F.least(F.lit(1.0), F.lit(weight) * word_hits(text, cues)))
+    def score(words: Column, text: Column) -> Column:
+        risk = F.least(F.lit(1.0), F.lit(weight) * count_words(words, cues))
+        return F.when(strip_blanks(text) != "", risk)
 
-    return score
+    return WordScorer(score)
 
 
-def abuse_scorer(words: Sequence[str] = ABUSIVE_WORDS) -> ColumnFunction:
-    return lambda text: mentions(text, words)
+def abuse_scorer(lexicon: Sequence[str] = ABUSIVE_WORDS) -> WordScorer:
+    return WordScorer(lambda words, _text: has_word(words, lexicon))
 
 
-def satisfaction_scorer(negative: Sequence[str] = NEGATIVE_WORDS, positive: Sequence[str] = POSITIVE_WORDS) -> ColumnFunction:
+def satisfaction_scorer(negative: Sequence[str] = NEGATIVE_WORDS, positive: Sequence[str] = POSITIVE_WORDS) -> WordScorer:
     """True if a positive word occurs and at least as often as negative ones."""
 
-    def score(text: Column) -> Column:
-        good = word_hits(text, positive)
-        return (good >= word_hits(text, negative)) & (good > 0)
+    def score(words: Column, _text: Column) -> Column:
+        good = count_words(words, positive)
+        return (good >= count_words(words, negative)) & (good > 0)
 
-    return score
+    return WordScorer(score)
 
 
-def add_scores(df: DataFrame, text: Column, scorers: Mapping[str, ColumnFunction]) -> DataFrame:
+def add_scores(df: DataFrame, text_col: str, scorers: Mapping[str, ColumnFunction]) -> DataFrame:
     """``df`` plus one column per scorer. Row-local: no join and no shuffle."""
-    return df.withColumns({name: scorer(text) for name, scorer in scorers.items()})
+    text = F.col(text_col)
+    if any(isinstance(scorer, WordScorer) for scorer in scorers.values()):
+        df = df.withColumn("_words", words(text))
+    scores = {
+        name: scorer.of(F.col("_words"), text) if isinstance(scorer, WordScorer) else scorer(text)
+        for name, scorer in scorers.items()
+    }
+    return df.withColumns(scores).drop("_words")
 
 
 def text_key(text: Column) -> Column:
@@ -78,7 +98,7 @@ def missing_scores(
         known = store.where(F.col("model_version") == version).select("text_key")
         texts = texts.join(known, "text_key", "left_anti")
     distinct = texts.groupBy("text_key").agg(F.first("_text").alias("_text"))
-    return add_scores(distinct, F.col("_text"), scorers).select(
+    return add_scores(distinct, "_text", scorers).select(
         "text_key", F.lit(version).alias("model_version"), *scorers
     )
 

@@ -27,7 +27,7 @@ def score_products(
 ) -> DataFrame:
     """Commented products plus ``abusive`` and ``satisfied``."""
     scorers = {"abusive": abuse or abuse_scorer(), "satisfied": satisfaction or satisfaction_scorer()}
-    return add_scores(commented_products(products), F.col("comments_text"), scorers)
+    return add_scores(commented_products(products), "comments_text", scorers)
 
 
 def _rate(scored: DataFrame, flag: str, hits: str, total: str, rate: str) -> DataFrame:

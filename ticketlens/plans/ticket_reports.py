@@ -24,7 +24,7 @@ def score_tickets(
 ) -> DataFrame:
     """``tickets`` plus ``text``, ``sentiment`` and ``churn`` (unclamped)."""
     scorers = {"sentiment": sentiment or sentiment_scorer(), "churn": churn or churn_scorer()}
-    return add_scores(tickets.withColumn("text", ticket_text()), F.col("text"), scorers)
+    return add_scores(tickets.withColumn("text", ticket_text()), "text", scorers)
 
 
 def prompted(scorer: ColumnFunction, instruction: str) -> ColumnFunction:

@@ -55,3 +55,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/ticketlens/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, where ``df`` comes in fewer partitions than there are.
+
+    For heavy work per row on a small input, such as one parquet row group. An
+    input of many splits is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
