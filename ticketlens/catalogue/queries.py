@@ -122,12 +122,12 @@ def normalize_chats(spark, sf):
 
 @query
 def normalize_emails(spark, sf):
-    return normalize.normalize_emails(tables.emails(spark, sf), rules=tables.RULES)
+    return normalize.normalize_emails(tables.emails(tables.document_fields(spark, sf)), rules=tables.RULES)
 
 
 @query
 def normalize_calls(spark, sf):
-    return normalize.normalize_calls(tables.calls(spark, sf), rules=tables.RULES)
+    return normalize.normalize_calls(tables.calls(tables.document_fields(spark, sf)), rules=tables.RULES)
 
 
 @query
@@ -156,7 +156,7 @@ def scoring_prompts(spark, sf):
 @query
 def extraction_prompts(spark, sf):
     raw = F.col("transcripts")
-    return tables.calls(spark, sf).select(
+    return tables.calls(tables.document_fields(spark, sf)).select(
         F.md5(raw).alias("source_key"), prompts.extraction_prompt("call", raw).alias("prompt")
     )
 
@@ -197,7 +197,7 @@ def score_store(spark, sf):
 
 @query
 def train_abuse_model_query(spark, sf):
-    documents = tables.read(spark, sf, "documents").select("doc_id", "text")
+    documents = tables.documents(spark, sf).select("doc_id", "text")
     labels = tables.read(spark, sf, "labels").select("doc_id", "toxic")
     fitted = train_abuse_model(documents.join(labels, "doc_id"), "text", "toxic")
     return flag_abuse(documents, "text", fitted).select("doc_id", "abusive")
@@ -369,7 +369,7 @@ def vector_topk_cells(spark, sf):
 def vector_topk_ivf(spark, sf):
     """Approximate: only the 8 of 32 cells nearest to a query."""
     side = Side(tables.image_vectors(spark, sf), "vec_id", "embedding")
-    return _images_knn(spark, sf, centroids=fit_centroids(side, 32), nprobe=8)
+    return _images_knn(spark, sf, centroids=fit_centroids(side, 32, iterations=5), nprobe=8)
 
 
 @query

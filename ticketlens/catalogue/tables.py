@@ -61,33 +61,32 @@ def document_fields(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def forms(spark: SparkSession, sf: str) -> DataFrame:
+def forms(fields: DataFrame) -> DataFrame:
     """English documents as form submissions, with types and priorities as people typed them."""
     n = F.col("n_chars")
     priority = F.when(n > 6000, "urgent").when(n > 3000, "High").when(n > 1500, "medium").when(n > 700, "p1")
     return (
-        document_fields(spark, sf)
-        .where(F.col("lang") == "en")
+        fields.where(F.col("lang") == "en")
         .select("subject", "body", "answer", F.col("source").alias("type"), priority.alias("priority"))
     )
 
 
-def emails(spark: SparkSession, sf: str) -> DataFrame:
+def emails(fields: DataFrame) -> DataFrame:
     """French and Spanish documents as raw emails, in quotes, with \\n as two characters."""
     parts = [
         F.lit('"Subject: '), F.col("subject"),
         F.lit("\\nFrom: Ada Doe <ada@example.com>\\nTo: Support <help@example.com>\\nCustomer: "), F.col("body"),
         F.lit("\\nSupport: "), F.col("answer"), F.lit('"'),
     ]
-    return document_fields(spark, sf).where(F.col("lang").isin("fr", "es")).select(F.concat(*parts).alias("email"))
+    return fields.where(F.col("lang").isin("fr", "es")).select(F.concat(*parts).alias("email"))
 
 
-def calls(spark: SparkSession, sf: str) -> DataFrame:
+def calls(fields: DataFrame) -> DataFrame:
     """German documents as call transcripts."""
     parts = [
         F.lit("Customer: "), F.col("subject"), F.lit("\nCustomer: "), F.col("body"), F.lit("\nAgent: "), F.col("answer"),
     ]
-    return document_fields(spark, sf).where(F.col("lang") == "de").select(F.concat(*parts).alias("transcripts"))
+    return fields.where(F.col("lang") == "de").select(F.concat(*parts).alias("transcripts"))
 
 
 def chats(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,9 +97,8 @@ def chats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def channels(spark: SparkSession, sf: str) -> Channels:
-    return Channels(
-        forms=forms(spark, sf), chats=chats(spark, sf), emails=emails(spark, sf), calls=calls(spark, sf)
-    )
+    fields = document_fields(spark, sf)
+    return Channels(forms=forms(fields), chats=chats(spark, sf), emails=emails(fields), calls=calls(fields))
 
 
 def unified(spark: SparkSession, sf: str) -> DataFrame:

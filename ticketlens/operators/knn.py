@@ -241,11 +241,11 @@ def _by_broadcast(base, queries, k, metric, dim, names, schema) -> DataFrame:
     return base.mapInArrow(search, schema)
 
 
-def fit_centroids(side: Side, cells: int, seed: int = 7) -> np.ndarray:
+def fit_centroids(side: Side, cells: int, iterations: int = 10, seed: int = 7) -> np.ndarray:
     """K-means centres of the vectors, for searching with ``nprobe``."""
     dim = side.df.where(F.col(side.vector_col).isNotNull()).agg(F.mode(F.size(side.vector_col))).head()[0]
     points = side.rows(dim).select(array_to_vector("vector").alias("features"))
-    return np.array(KMeans(k=cells, seed=seed, maxIter=10).fit(points).clusterCenters())
+    return np.array(KMeans(k=cells, seed=seed, maxIter=iterations).fit(points).clusterCenters())
 
 
 def _pivots(base: DataFrame, cells: int | None) -> np.ndarray:

@@ -2,32 +2,45 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml.feature import IDF, HashingTF
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import words
+from ..session import settle
+
+
+def _features(df: DataFrame, text_col: str, dim: int) -> DataFrame:
+    found = df.withColumn("_words", F.filter(words(F.coalesce(text_col, F.lit(""))), lambda w: w != ""))
+    return HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim).transform(found).drop("_words")
+
+
+@dataclass(frozen=True)
+class AbuseModel:
+    fitted: PipelineModel
+    dim: int
+
+
+def train_abuse_model(labelled: DataFrame, text_col: str, label_col: str, dim: int = 4096) -> AbuseModel:
+    """Logistic regression on hashed words. The rarer class is weighted up.
+
+    Texts are hashed once and stored; the iterations read only the features.
+    """
+    label = F.col(label_col).cast("double")
+    features = settle(_features(labelled, text_col, dim).select("_tf", label.alias("label")), "abuse-features")
+    share = features.agg(F.avg("label")).head()[0] or 0.5
+    weighted = features.withColumn("weight", F.when(F.col("label") == 1, 1.0 - share).otherwise(share))
+    stages = [
+        IDF(inputCol="_tf", outputCol="_features", minDocFreq=2),
+        LogisticRegression(featuresCol="_features", weightCol="weight", regParam=0.05, maxIter=20),
+    ]
+    return AbuseModel(Pipeline(stages=stages).fit(weighted), dim)
+
 
-def train_abuse_model(labelled: DataFrame, text_col: str, label_col: str, dim: int = 4096) -> PipelineModel:
-    """Logistic regression on hashed words. The rarer class is weighted up."""
-    share = labelled.agg(F.avg(F.col(label_col).cast("double"))).head()[0] or 0.5
-    weighted = labelled.select(
-        F.coalesce(F.col(text_col), F.lit("")).alias(text_col),
-        F.col(label_col).cast("double").alias("label"),
-        F.when(F.col(label_col) == 1, 1.0 - share).otherwise(share).alias("weight"),
-    )
-    return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol=text_col, outputCol="_words", pattern="[^a-z]+"),
-            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim),
-            IDF(inputCol="_tf", outputCol="_features", minDocFreq=2),
-            LogisticRegression(featuresCol="_features", weightCol="weight", regParam=0.05, maxIter=50),
-        ]
-    ).fit(weighted)
-
-
-def flag_abuse(df: DataFrame, text_col: str, fitted: PipelineModel, out: str = "abusive") -> DataFrame:
-    filled = df.withColumn("_text", F.col(text_col)).withColumn(text_col, F.coalesce(text_col, F.lit("")))
-    flagged = fitted.transform(filled).withColumn(out, F.col("prediction") == 1.0)
-    return flagged.withColumn(text_col, F.col("_text")).select(*df.columns, out)
+def flag_abuse(df: DataFrame, text_col: str, model: AbuseModel, out: str = "abusive") -> DataFrame:
+    scored = model.fitted.transform(_features(df, text_col, model.dim))
+    return scored.withColumn(out, F.col("prediction") == 1.0).select(*df.columns, out)
