@@ -68,7 +68,7 @@ def vectors(name: str, source: str, key: str, text: str) -> dict[str, str]:
 def nearest(name: str, base: str, queries: str, k: int) -> dict[str, str]:
     """CTE ``name``(query_id, base_id, distance, rank) over CTEs with (id, vec)."""
     return {
-        f"{name}_p": f"SELECT q.id AS query_id, b.id AS base_id, list_distance(q.vec, b.vec) AS distance FROM {queries} q, {base} b",
+        f"{name}_p": f"SELECT q.id AS query_id, b.id AS base_id, round(list_distance(q.vec, b.vec), 12) AS distance FROM {queries} q, {base} b",
         f"{name}_r": f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, base_id) AS rank FROM {name}_p",
         name: f"SELECT * FROM {name}_r WHERE rank <= {k}",
     }
@@ -250,7 +250,7 @@ SELECTS: dict[str, str] = {
         LEFT JOIN images i ON 'P' || CAST(i.id AS VARCHAR) = p.product_id LEFT JOIN product_vecs v ON v.id = p.product_id""",
     "vector_topk_single": """SELECT b.id AS vec_id, round(list_distance(c.vec, b.vec), 6) AS distance FROM images b, (
         SELECT list(x ORDER BY i) AS vec FROM (SELECT i, avg(vec[i]) AS x FROM images, range(1, 65) AS r(i) GROUP BY i)) c
-        ORDER BY list_distance(c.vec, b.vec), b.id LIMIT 9""",
+        ORDER BY round(list_distance(c.vec, b.vec), 12), b.id LIMIT 9""",
     "vector_topk_batch": "SELECT query_id, base_id, rank, round(distance, 6) AS distance FROM near_images",
     "vector_topk_cells": "SELECT query_id, base_id, rank, round(distance, 6) AS distance FROM near_images",
     "vector_topk_filtered": """SELECT query_id, ticket_id, rank, round(distance, 6) AS distance, subject, answer

@@ -28,6 +28,10 @@ from ..session import settle
 
 METRICS = ("euclidean", "cosine", "dot")
 
+# Distances are rounded to this many decimals before ranking, so that rows at
+# the same distance rank by id and not by the rounding noise of a sum.
+DECIMALS = 12
+
 # Most pairs whose exact distance is computed at once inside a task.
 _PAIRS = 100_000
 # Most query-base pairs of one approximate distance block.
@@ -65,7 +69,8 @@ def nearest_to_vector(
     Each task keeps its own best ``k`` rows; only those meet.
     """
     usable = base.where(F.col(vector_col).isNotNull() & (F.size(vector_col) == len(target)))
-    measured = usable.withColumn("distance", distance_to(F.col(vector_col).cast("array<double>"), target, metric))
+    distance = distance_to(F.col(vector_col).cast("array<double>"), target, metric)
+    measured = usable.withColumn("distance", F.round(distance, DECIMALS))
     return measured.where(F.col("distance").isNotNull() & ~F.isnan("distance")).orderBy("distance", id_col).limit(k)
 
 
@@ -89,9 +94,11 @@ def _prepared(ids: np.ndarray, vectors: np.ndarray, metric: str) -> tuple[np.nda
 def _exact(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     if metric == "euclidean":
         diff = a - b
-        return np.sqrt(np.einsum("ij,ij->i", diff, diff))
-    dot = np.einsum("ij,ij->i", a, b)
-    return -dot if metric == "dot" else 1.0 - dot
+        distance = np.sqrt(np.einsum("ij,ij->i", diff, diff))
+    else:
+        dot = np.einsum("ij,ij->i", a, b)
+        distance = -dot if metric == "dot" else 1.0 - dot
+    return np.round(distance, DECIMALS) + 0.0  # no negative zero
 
 
 def _rough(a: np.ndarray, b: np.ndarray, metric: str) -> tuple[np.ndarray, float]:
