@@ -32,6 +32,8 @@ METRICS = ("euclidean", "cosine", "dot")
 # the same distance rank by id and not by the rounding noise of a sum.
 DECIMALS = 12
 
+# Vectors of one chunk of a cell.
+_CHUNK_BYTES = 8 << 20
 # Most pairs whose exact distance is computed at once inside a task.
 _PAIRS = 100_000
 # Most query-base pairs of one approximate distance block.
@@ -181,7 +183,7 @@ def knn(
     metric: str = "euclidean",
     broadcast_queries: int = 4096,
     broadcast_bytes: int = 64 << 20,
-    chunk_rows: int = 20_000,
+    chunk_rows: int | None = None,
     cells: int | None = None,
     centroids: np.ndarray | None = None,
     nprobe: int | None = None,
@@ -192,7 +194,8 @@ def knn(
     queries' usual length take no part. Exact, unless ``nprobe`` says to look
     only in that many cells nearest to a query. The query set is broadcast when
     it has at most ``broadcast_queries`` rows and ``broadcast_bytes`` of
-    vectors; the cell plan takes any size.
+    vectors; the cell plan takes any size, in chunks of ``chunk_rows`` (by
+    default as many as fill 8 MB).
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, not {metric!r}")
@@ -211,6 +214,7 @@ def knn(
     if small and nprobe is None:
         found = _by_broadcast(base.rows(dim), queries.rows(dim), k, metric, dim, names, schema)
     else:
+        chunk_rows = chunk_rows or max(1000, _CHUNK_BYTES // (8 * max(dim, 1)))
         found = _by_cells(base.rows(dim), queries.rows(dim), k, metric, dim, names, schema, chunk_rows, cells, centroids, nprobe)
     return _ranked(found, k)
 
@@ -255,11 +259,14 @@ def fit_centroids(side: Side, cells: int, iterations: int = 10, seed: int = 7) -
     return np.array(KMeans(k=cells, seed=seed, maxIter=iterations).fit(points).clusterCenters())
 
 
-def _pivots(base: DataFrame, cells: int | None) -> np.ndarray:
-    """Base vectors to build cells around: at most 256, chosen by hash of their id."""
+def _pivots(base: DataFrame, cells: int | None, metric: str) -> np.ndarray:
+    """Usable base vectors to build cells around: at most 256, chosen by hash of their id."""
     if cells is None:
         cells = int(np.clip(np.ceil(np.sqrt(base.count())), 1, 256))
-    chosen = base.orderBy(F.xxhash64("id"), "id").limit(cells).select("vector").collect()
+    usable = F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
+    if metric == "cosine":
+        usable &= F.exists("vector", lambda x: x != 0.0)
+    chosen = base.where(usable).orderBy(F.xxhash64("id"), "id").limit(cells).select("vector").collect()
     return np.unique(np.array([row[0] for row in chosen], dtype=np.float64), axis=0)
 
 
@@ -341,7 +348,7 @@ def _meet(base: DataFrame, asked: DataFrame, k, metric, dim, names, schema, chun
 
 
 def _by_cells(base, queries, k, metric, dim, names, schema, chunk_rows, cells, centroids, nprobe) -> DataFrame:
-    pivots = centroids if centroids is not None else _pivots(base, cells)
+    pivots = centroids if centroids is not None else _pivots(base, cells, metric)
     if metric == "cosine":
         lengths = np.linalg.norm(pivots, axis=1)
         pivots = pivots[lengths > 0] / lengths[lengths > 0][:, None]
@@ -386,7 +393,9 @@ def _exploded(rows: DataFrame, cells_of, dim: int, metric: str) -> DataFrame:
                 names=["id", "vector", "seq", "cells"],
             )
 
-    return rows.mapInArrow(mark, schema).select("id", "vector", "seq", F.explode("cells").alias("cell"))
+    # Stored before the explode: the marks are needed to count and again to join.
+    marked_rows = settle(rows.mapInArrow(mark, schema), "knn-marked")
+    return marked_rows.select("id", "vector", "seq", F.explode("cells").alias("cell"))
 
 
 def _probes(queries: DataFrame, pivots: np.ndarray, metric: str, dim: int, count: int) -> DataFrame:

@@ -93,7 +93,7 @@ def missing_scores(
     Every distinct text is scored once, however many rows carry a copy of it,
     and a text the store already has for this ``version`` not at all.
     """
-    texts = df.select(text_key(text).alias("text_key"), text.alias("_text"))
+    texts = df.where(text.isNotNull()).select(text_key(text).alias("text_key"), text.alias("_text"))
     if store is not None:
         known = store.where(F.col("model_version") == version).select("text_key")
         texts = texts.join(known, "text_key", "left_anti")
