@@ -18,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -41,21 +42,25 @@ _BLOCK = 2_000_000
 
 
 def distance_to(vector: Column, target: Sequence[float], metric: str = "euclidean") -> Column:
-    """Distance of an ``array<double>`` column to one fixed vector."""
-    point = F.array(*[F.lit(float(x)) for x in target])
+    """Distance of an ``array<double>`` column to one fixed vector; NULL for a
+    vector that is missing, of another length, not finite, or 0 under cosine."""
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}, not {metric!r}")
+    _, point = _prepared(np.zeros(1), np.array([target], dtype=np.float64), metric)
+    dim = len(target)
 
-    def total(pairs: Column) -> Column:
-        return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
+    def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            fits = pc.fill_null(pc.equal(pc.list_value_length(batch), dim), False)
+            rows = np.flatnonzero(fits.to_numpy(zero_copy_only=False)) if len(point) else np.empty(0, dtype=np.int64)
+            usable, vectors = _prepared(rows, _vectors(batch.take(pa.array(rows)), dim), metric)
+            distances = np.full(len(batch), np.nan)
+            if len(usable):
+                distances[usable] = _exact(vectors, np.broadcast_to(point, vectors.shape), metric)
+            yield pa.array(distances, from_pandas=True)
 
-    if metric == "euclidean":
-        return F.sqrt(total(F.zip_with(vector, point, lambda a, b: (a - b) * (a - b))))
-    dot = total(F.zip_with(vector, point, lambda a, b: a * b))
-    if metric == "dot":
-        return -dot
-    if metric == "cosine":
-        length = F.sqrt(total(F.transform(vector, lambda a: a * a)))
-        return 1.0 - F.try_divide(dot, length * float(np.linalg.norm(np.asarray(target, dtype=float))))
-    raise ValueError(f"metric must be one of {METRICS}, not {metric!r}")
+    # Non-deterministic only in name: a filter on the distance then does not compute it again.
+    return F.arrow_udf(measure, T.DoubleType()).asNondeterministic()(vector)
 
 
 def nearest_to_vector(
@@ -70,10 +75,8 @@ def nearest_to_vector(
 
     Each task keeps its own best ``k`` rows; only those meet.
     """
-    usable = base.where(F.col(vector_col).isNotNull() & (F.size(vector_col) == len(target)))
     distance = distance_to(F.col(vector_col).cast("array<double>"), target, metric)
-    measured = usable.withColumn("distance", F.round(distance, DECIMALS))
-    return measured.where(F.col("distance").isNotNull() & ~F.isnan("distance")).orderBy("distance", id_col).limit(k)
+    return base.withColumn("distance", distance).where(F.col("distance").isNotNull()).orderBy("distance", id_col).limit(k)
 
 
 # --- inside a task -----------------------------------------------------------
@@ -195,7 +198,7 @@ def knn(
     only in that many cells nearest to a query. The query set is broadcast when
     it has at most ``broadcast_queries`` rows and ``broadcast_bytes`` of
     vectors; the cell plan takes any size, in chunks of ``chunk_rows`` (by
-    default as many as fill 8 MB).
+    default as many as fill 8 MB) of at most ``cells`` cells.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, not {metric!r}")
@@ -215,6 +218,8 @@ def knn(
         found = _by_broadcast(base.rows(dim), queries.rows(dim), k, metric, dim, names, schema)
     else:
         chunk_rows = chunk_rows or max(1000, _CHUNK_BYTES // (8 * max(dim, 1)))
+        # More queries make finer cells worth while; counting the base would cost a pass.
+        cells = cells or int(np.clip(np.sqrt(size["n"]), 16, 1024))
         found = _by_cells(base.rows(dim), queries.rows(dim), k, metric, dim, names, schema, chunk_rows, cells, centroids, nprobe)
     return _ranked(found, k)
 
@@ -259,10 +264,8 @@ def fit_centroids(side: Side, cells: int, iterations: int = 10, seed: int = 7) -
     return np.array(KMeans(k=cells, seed=seed, maxIter=iterations).fit(points).clusterCenters())
 
 
-def _pivots(base: DataFrame, cells: int | None, metric: str) -> np.ndarray:
-    """Usable base vectors to build cells around: at most 256, chosen by hash of their id."""
-    if cells is None:
-        cells = int(np.clip(np.ceil(np.sqrt(base.count())), 1, 256))
+def _pivots(base: DataFrame, cells: int, metric: str) -> np.ndarray:
+    """Usable base vectors to build ``cells`` cells around, chosen by hash of their id."""
     usable = F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))
     if metric == "cosine":
         usable &= F.exists("vector", lambda x: x != 0.0)

@@ -21,6 +21,11 @@ def embed_queries(queries: DataFrame, text_col: str, embedder: ColumnFunction |
     return embed(queries, F.col(text_col), embedder or hashed_words(), "query_embedding")
 
 
+def embed_images(objects: DataFrame, image_embedder: ColumnFunction) -> DataFrame:
+    """Uploaded pictures (see ``sources.files.list_objects``) as queries: path and vector."""
+    return objects.select("path", image_embedder(F.col("content")).alias("query_embedding"))
+
+
 def search(
     base: DataFrame,
     queries: DataFrame,

@@ -28,20 +28,24 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
     )
 
 
+_local_scratch: dict[str, str] = {}
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
     A cluster names it in ``spark.checkpoint.dir``. Only a local session, where
     one machine holds everything, may fall back to a temporary folder.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="ticketlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_scratch:
+        _local_scratch[app] = tempfile.mkdtemp(prefix="ticketlens-")
+    return _local_scratch[app]
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
