@@ -8,13 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
+def local_session(cores: int = 8, shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A single-machine session for tests and the benchmark.
 
     On a cluster the caller brings its own session; nothing in this package
-    depends on these settings.
+    depends on these settings. Further settings go in ``conf`` by their full name.
     """
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("ticketlens")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -24,8 +24,10 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    for name, value in conf.items():
+        builder = builder.config(name, value)
+    return builder.getOrCreate()
 
 
 _local_scratch: dict[str, str] = {}
