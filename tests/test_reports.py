@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ticketlens.plans import product_reports as products
 from ticketlens.plans import ticket_reports as tickets
 
-SCORED = "ticket_id long, text string, sentiment string, priority string, type string, churn double"
+SCORED = "ticket_id long, snippet string, sentiment string, priority string, type string, churn double"
 
 
 def scored(spark, rows):
@@ -18,7 +18,7 @@ def some(spark):
     return scored(
         spark,
         [
-            (1, "a" * 201, "Positive", "High", "x", 0.9),
+            (1, "a", "Positive", "High", "x", 0.9),
             (2, "b", "negative", "URGENT", "x", 0.9),
             (3, "c", "Negative", "p1", None, 0.1),
             (4, "d", "Negative.", "medium", "unknown", 1.7),
@@ -69,8 +69,7 @@ def test_churn_distribution_puts_unscored_on_top(some):
 def test_riskiest(some):
     got = rows(tickets.riskiest_tickets(some, limit=5))
     assert [row[0] for row in got] == [4, 1, 2, 3, 5]
-    assert got[0][1:3] == (1.0, 100.0)
-    assert len(got[1][3]) == 200
+    assert got[0][1:] == (1.0, 100.0, "d")
 
 
 def test_empty_input(spark):
@@ -80,7 +79,7 @@ def test_empty_input(spark):
     assert rows(tickets.churn_kpis(none)) == [(None, None, None, 0)]
     for report in (tickets.sentiment_distribution, tickets.priority_distribution, tickets.top_types, tickets.churn_distribution, tickets.riskiest_tickets):
         assert rows(report(none)) == []
-    commented = spark.createDataFrame([], "product_id string, comments array<string>, abusive boolean, satisfied boolean")
+    commented = spark.createDataFrame([], "product_id string, comment_snippet string, abusive boolean, satisfied boolean")
     assert rows(products.abuse_kpis(commented)) == [(None, 0, None)]
     assert rows(products.satisfaction_kpis(commented)) == [(None, 0, None)]
     assert rows(products.abuse_distribution(commented)) == []
@@ -91,21 +90,20 @@ def test_empty_input(spark):
 def commented(spark):
     return spark.createDataFrame(
         [
-            ("P10", ["x" * 299, "yz"], True, False),
-            ("P2", ["b"], True, None),
-            ("P1", ["c"], False, True),
-            ("P3", ["d"], None, True),
+            ("P10", "a", True, False),
+            ("P2", "b", True, None),
+            ("P1", "c", False, True),
+            ("P3", "d", None, True),
         ],
-        "product_id string, comments array<string>, abusive boolean, satisfied boolean",
+        "product_id string, comment_snippet string, abusive boolean, satisfied boolean",
     )
 
 
 def test_abuse_reports(commented):
     assert rows(products.abuse_kpis(commented)) == [(2, 4, 0.5)]
     assert rows(products.abuse_distribution(commented)) == [(True, 2), (None, 1), (False, 1)]
-    got = rows(products.abusive_examples(commented))
-    assert [row[0] for row in got] == ["P10", "P2"]
-    assert got[0][1] == "x" * 299 + " "
+    assert rows(products.abusive_examples(commented)) == [("P10", "a", True), ("P2", "b", True)]
+    assert rows(products.abusive_examples(commented, limit=1)) == [("P10", "a", True)]
 
 
 def test_satisfaction_reports(commented):
@@ -119,11 +117,19 @@ def test_only_commented_products_are_scored(spark):
         [("a", None), ("b", []), ("c", [" ", None]), ("d", ["You idiot ", ""]), ("e", ["great", "bad", "great"])],
         "product_id string, customer_comments array<string>",
     )
-    got = products.score_products(df).select("product_id", "comments_text", "abusive", "satisfied")
-    assert rows(got) == [("d", "You idiot", True, False), ("e", "great\nbad\ngreat", False, True)]
+    assert rows(products.score_products(df)) == [("d", True, False, "You idiot"), ("e", False, True, "great | bad | great")]
+    assert rows(products.commented_products(df).select("comments_text")) == [("You idiot",), ("great\nbad\ngreat",)]
+    (cut,) = rows(products.score_products(df.where("product_id = 'e'"), snippet_chars=7))
+    assert cut[3] == "great |"
 
 
 def test_default_ticket_scorers(spark):
     df = spark.createDataFrame([(1, "Terrible", "awful and late, thanks"), (2, "", " "), (3, None, "great")], "ticket_id long, subject string, body string")
-    got = rows(tickets.score_tickets(df).select("sentiment", F.round("churn", 6), "text"))
+    got = rows(tickets.score_tickets(df).select("sentiment", F.round("churn", 6), "snippet"))
     assert got == [("Negative", 0.6, "Terrible awful and late, thanks"), ("Neutral", None, "  "), ("Positive", 0.0, "great")]
+
+
+def test_scored_tickets_are_narrow(spark):
+    df = spark.createDataFrame([(1, "s" * 150, "b" * 150, "a", [1.0])], "ticket_id long, subject string, body string, answer string, text_embedding array<double>")
+    (row,) = tickets.score_tickets(df).collect()
+    assert row.asDict() == {"ticket_id": 1, "sentiment": "Neutral", "churn": 0.0, "snippet": "s" * 150 + " " + "b" * 49}

@@ -132,7 +132,7 @@ def satisfaction() -> Callable[[Column], Column]:
 def scored_tickets(spark: SparkSession, sf: str) -> DataFrame:
     return stored(
         spark, sf, "scored_tickets",
-        lambda spark, sf: score_tickets(tickets(spark, sf).drop("text_embedding"), sentiment(), churn()),
+        lambda spark, sf: score_tickets(tickets(spark, sf), sentiment(), churn()),
     )
 
 

@@ -25,8 +25,8 @@ def assemble_transcripts(turns: DataFrame, part_turns: int = 1000, separator: st
     long a conversation is. Turns of other roles are not spoken and are skipped.
     """
     said = (
-        turns.withColumn("speaker", speaker(F.col("role")))
-        .where(F.col("speaker").isNotNull() & F.col("text").isNotNull())
+        turns.where(F.col("role").isin(*SPEAKERS) & F.col("text").isNotNull())
+        .withColumn("speaker", speaker(F.col("role")))
         .select(
             "conv_id",
             F.floor(F.col("turn") / part_turns).cast("long").alias("part"),

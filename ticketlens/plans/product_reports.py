@@ -24,10 +24,14 @@ def score_products(
     products: DataFrame,
     abuse: ColumnFunction | None = None,
     satisfaction: ColumnFunction | None = None,
+    snippet_chars: int = 300,
 ) -> DataFrame:
-    """Commented products plus ``abusive`` and ``satisfied``."""
+    """The table the reports read: the commented products with ``abusive``,
+    ``satisfied`` and the start of their comments."""
     scorers = {"abusive": abuse or abuse_scorer(), "satisfied": satisfaction or satisfaction_scorer()}
-    return add_scores(commented_products(products), "comments_text", scorers)
+    scored = add_scores(commented_products(products), "comments_text", scorers)
+    snippet = first_chars(F.array_join("comments", " | "), snippet_chars)
+    return scored.select("product_id", *scorers, snippet.alias("comment_snippet"))
 
 
 def _rate(scored: DataFrame, flag: str, hits: str, total: str, rate: str) -> DataFrame:
@@ -47,14 +51,10 @@ def abuse_distribution(scored: DataFrame) -> DataFrame:
     return _by_flag(scored, "abusive")
 
 
-def abusive_examples(scored: DataFrame, limit: int = 20, snippet_chars: int = 300) -> DataFrame:
+def abusive_examples(scored: DataFrame, limit: int = 20) -> DataFrame:
     """product_id, comment_snippet, abusive of flagged products, by product id."""
-    flagged = scored.where(F.col("abusive")).select("product_id", "comments", "abusive")
-    return flagged.orderBy("product_id").limit(limit).select(
-        "product_id",
-        first_chars(F.array_join("comments", " | "), snippet_chars).alias("comment_snippet"),
-        "abusive",
-    )
+    flagged = scored.where(F.col("abusive")).select("product_id", "comment_snippet", "abusive")
+    return flagged.orderBy("product_id").limit(limit)
 
 
 def satisfaction_kpis(scored: DataFrame) -> DataFrame:

@@ -65,10 +65,10 @@ def reply_prompts(issues: DataFrame, found: DataFrame, id_col: str, text_col: st
     return asked.join(neighbours_by_query(found), "query_id", "left").withColumn("prompt", prompt)
 
 
-def nearest_answer(max_distance: float) -> Column:
-    """The built-in reply: the nearest ticket's answer, if it is near enough."""
-    nearest = F.try_element_at("neighbours", F.lit(1))
-    return F.when(nearest["distance"] <= max_distance, nearest["answer"])
+def nearest_answer(found: DataFrame, max_distance: float) -> DataFrame:
+    """The built-in replies, (query_id, reply): the nearest ticket's answer, if it is near enough."""
+    near = found.where((F.col("rank") == 1) & (F.col("distance") <= max_distance))
+    return near.select("query_id", F.col("answer").alias("reply"))
 
 
 def draft(prompts: DataFrame, generator: ColumnFunction) -> DataFrame:
@@ -86,10 +86,14 @@ def answer_or_route(
     contact: Contact = Contact(),
 ) -> DataFrame:
     """(query_id, reply, routed): an answer, or the contact message when there is none."""
-    prompts = reply_prompts(issues, found, id_col, text_col, help_instruction(contact))
-    reply = generator(F.col("prompt")) if generator else nearest_answer(max_distance)
-    drafted = prompts.select("query_id", F.nullif(strip_blanks(reply), F.lit("")).alias("_reply"))
-    return drafted.select(
+    if generator:
+        prompts = reply_prompts(issues, found, id_col, text_col, help_instruction(contact))
+        drafted = prompts.select("query_id", generator(F.col("prompt")).alias("reply"))
+    else:
+        asked = issues.select(F.col(id_col).alias("query_id"))
+        drafted = asked.join(nearest_answer(found, max_distance), "query_id", "left")
+    replied = drafted.select("query_id", F.nullif(strip_blanks(F.col("reply")), F.lit("")).alias("_reply"))
+    return replied.select(
         "query_id",
         F.coalesce("_reply", F.lit(contact.message())).alias("reply"),
         F.col("_reply").isNull().alias("routed"),

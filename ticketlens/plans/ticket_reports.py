@@ -21,10 +21,15 @@ def score_tickets(
     tickets: DataFrame,
     sentiment: ColumnFunction | None = None,
     churn: ColumnFunction | None = None,
+    snippet_chars: int = 200,
 ) -> DataFrame:
-    """``tickets`` plus ``text``, ``sentiment`` and ``churn`` (unclamped)."""
+    """The table the reports read: ``tickets`` with ``sentiment``, ``churn``
+    (unclamped) and a ``snippet`` in place of the long texts and the vector, so
+    that no report reads those."""
     scorers = {"sentiment": sentiment or sentiment_scorer(), "churn": churn or churn_scorer()}
-    return add_scores(tickets.withColumn("text", ticket_text()), "text", scorers)
+    scored = add_scores(tickets.withColumn("_text", ticket_text()), "_text", scorers)
+    snippet = first_chars(F.col("_text"), snippet_chars)
+    return scored.withColumn("snippet", snippet).drop("_text", "subject", "body", "answer", "text_embedding")
 
 
 def prompted(scorer: ColumnFunction, instruction: str) -> ColumnFunction:
@@ -107,8 +112,8 @@ def churn_distribution(scored: DataFrame, null_bucket: str = "top") -> DataFrame
     return scored.groupBy(label.alias("bucket_label")).agg(F.count(F.lit(1)).alias("cnt")).orderBy("bucket_label")
 
 
-def riskiest_tickets(scored: DataFrame, limit: int = 20, snippet_chars: int = 200) -> DataFrame:
+def riskiest_tickets(scored: DataFrame, limit: int = 20) -> DataFrame:
     """ticket_id, risk, risk_pct, snippet of the tickets most at risk, unscored last."""
     risk = unit_clamp(F.col("churn")).alias("risk")
-    top = scored.select("ticket_id", risk, "text").orderBy(F.desc_nulls_last("risk"), "ticket_id").limit(limit)
-    return top.select("ticket_id", "risk", percent(F.col("risk")).alias("risk_pct"), first_chars(F.col("text"), snippet_chars).alias("snippet"))
+    top = scored.select("ticket_id", risk, "snippet").orderBy(F.desc_nulls_last("risk"), "ticket_id").limit(limit)
+    return top.select("ticket_id", "risk", percent(F.col("risk")).alias("risk_pct"), "snippet")
