@@ -87,7 +87,7 @@ CTES: dict[str, str] = {
         coalesce(array_to_string(a[2:len(a) - 1], ' '), '') AS body, a[-1] AS answer FROM lines""",
     "raw_forms": """SELECT subject, body, answer, doc_source AS type,
         CASE WHEN n_chars > 6000 THEN 'urgent' WHEN n_chars > 3000 THEN 'High' WHEN n_chars > 1500 THEN 'medium'
-             WHEN n_chars > 700 THEN 'p1' END AS priority FROM fields WHERE lang = 'en'""",
+             WHEN n_chars > 700 THEN 'p1' END AS priority FROM fields WHERE coalesce(lang, '') NOT IN ('fr', 'es', 'de')""",
     "raw_emails": f"""SELECT *, {Q} || 'Subject: ' || subject || {BS_N} || 'From: Ada Doe <ada@example.com>' || {BS_N} ||
         'To: Support <help@example.com>' || {BS_N} || 'Customer: ' || body || {BS_N} || 'Support: ' || answer || {Q} AS email
         FROM fields WHERE lang IN ('fr', 'es')""",

@@ -62,11 +62,11 @@ def document_fields(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def forms(fields: DataFrame) -> DataFrame:
-    """English documents as form submissions, with types and priorities as people typed them."""
+    """The other documents as form submissions, with types and priorities as people typed them."""
     n = F.col("n_chars")
     priority = F.when(n > 6000, "urgent").when(n > 3000, "High").when(n > 1500, "medium").when(n > 700, "p1")
     return (
-        fields.where(F.col("lang") == "en")
+        fields.where(~F.coalesce("lang", F.lit("")).isin("fr", "es", "de"))
         .select("subject", "body", "answer", F.col("source").alias("type"), priority.alias("priority"))
     )
 

@@ -83,81 +83,94 @@ def _joined(texts: Column) -> Column:
     return F.when(F.size(texts) > 0, F.array_join(texts, " "))
 
 
-def _records(parts: DataFrame, source: str, rules: Rules) -> DataFrame:
-    """Records from columns ``source_key``, ``_subject``, ``_body`` and ``_answer``.
-
-    The fields are built as one struct that a generator unpacks. A filter on
-    them (such as the one for complete records) then stays above it, instead of
-    being pushed down with a second copy of the whole parsing.
-    """
-    subject, body = F.col("_subject"), F.col("_body")
-    about = F.concat(F.coalesce(subject, F.lit("")), F.lit(" "), F.coalesce(body, F.lit("")))
-    found = F.col("_words")
-    fields = F.struct(
-        rules.redact(subject).alias("subject"),
-        rules.redact(body).alias("body"),
-        rules.redact(F.col("_answer")).alias("answer"),
-        classify.ticket_type(found, rules.types).alias("type"),
-        classify.ticket_priority(found, rules.priorities).alias("priority"),
-    )
-    return parts.withColumn("_words", words(about)).select(
-        F.lit(source).alias("source"), "source_key", F.inline(F.array(fields))
-    )
-
-
-def _parsed(df: DataFrame, text_col: str) -> DataFrame:
+def _parsed(df: DataFrame, text_col: str, source: str) -> DataFrame:
     raw = F.col(text_col)
-    return df.where(raw.isNotNull()).select(F.md5(raw).alias("source_key"), _turns(raw).alias("_turns"))
+    return df.where(raw.isNotNull()).select(
+        F.lit(source).alias("source"), F.md5(raw).alias("source_key"), _turns(raw).alias("_turns")
+    )
 
 
-def _conversation(df: DataFrame, text_col: str, source: str, rules: Rules) -> DataFrame:
+def _conversation_parts(df: DataFrame, text_col: str, source: str) -> DataFrame:
     turns, asked, replied = F.col("_turns"), F.col("_asked"), F.col("_replied")
-    parts = (
-        _parsed(df, text_col)
+    return (
+        _parsed(df, text_col, source)
         .select(
+            "source",
             "source_key",
             F.transform(F.concat(_unlabelled(turns), _spoken(turns, CUSTOMER)), _without_greeting).alias("_asked"),
             F.transform(_spoken(turns, *REPLIERS), _without_greeting).alias("_replied"),
         )
         .select(
+            "source",
             "source_key",
             first_chars(F.try_element_at(asked, F.lit(1)), SUBJECT_CHARS).alias("_subject"),
             _joined(asked).alias("_body"),
             _joined(replied).alias("_answer"),
         )
     )
-    return _records(parts, source, rules)
 
 
-def normalize_chats(chats: DataFrame, text_col: str = "chat", rules: Rules = Rules()) -> DataFrame:
+def chat_parts(chats: DataFrame, text_col: str = "chat") -> DataFrame:
     """Subject: start of the first customer turn. Body: all customer turns.
     Answer: all agent turns."""
-    return _conversation(chats, text_col, "chat", rules)
+    return _conversation_parts(chats, text_col, "chat")
 
 
-def normalize_calls(transcripts: DataFrame, text_col: str = "transcripts", rules: Rules = Rules()) -> DataFrame:
+def call_parts(transcripts: DataFrame, text_col: str = "transcripts") -> DataFrame:
     """As for chats, from a call transcript."""
-    return _conversation(transcripts, text_col, "call", rules)
+    return _conversation_parts(transcripts, text_col, "call")
 
 
-def normalize_emails(emails: DataFrame, text_col: str = "email", rules: Rules = Rules()) -> DataFrame:
+def email_parts(emails: DataFrame, text_col: str = "email") -> DataFrame:
     """Subject from the header; body and answer without signature and quoted history."""
     turns = F.col("_turns")
 
     def text_of(turns_col: str) -> Column:
         return _without_greeting(_without_tail(_joined(F.col(turns_col))))
 
-    parts = (
-        _parsed(emails, text_col)
+    return (
+        _parsed(emails, text_col, "email")
         .select(
+            "source",
             "source_key",
             F.try_element_at(_spoken(turns, "Subject"), F.lit(1)).alias("_subject"),
             F.concat(_unlabelled(turns), _spoken(turns, CUSTOMER)).alias("_asked"),
             _spoken(turns, *REPLIERS).alias("_replied"),
         )
-        .select("source_key", "_subject", text_of("_asked").alias("_body"), text_of("_replied").alias("_answer"))
+        .select("source", "source_key", "_subject", text_of("_asked").alias("_body"), text_of("_replied").alias("_answer"))
+    )
+
+
+def to_records(parts: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """Records from the parts of one channel or of a union of channels.
+
+    The fields are built as one struct that a generator unpacks. A filter on
+    them (such as the one for complete records) then stays above it, instead of
+    being pushed down with a second copy of the whole parsing.
+    """
+    subject, body = F.col("_subject"), F.col("_body")
+    about = F.concat(F.coalesce(subject, F.lit("")), F.lit(" "), F.coalesce(body, F.lit("")))
+    found = F.col("_words")
+    fields = F.struct(
+        rules.redact(subject).alias("subject"),
+        rules.redact(body).alias("body"),
+        rules.redact(F.col("_answer")).alias("answer"),
+        classify.ticket_type(found, rules.types).alias("type"),
+        classify.ticket_priority(found, rules.priorities).alias("priority"),
     )
-    return _records(parts, "email", rules)
+    return parts.withColumn("_words", words(about)).select("source", "source_key", F.inline(F.array(fields)))
+
+
+def normalize_chats(chats: DataFrame, text_col: str = "chat", rules: Rules = Rules()) -> DataFrame:
+    return to_records(chat_parts(chats, text_col), rules)
+
+
+def normalize_emails(emails: DataFrame, text_col: str = "email", rules: Rules = Rules()) -> DataFrame:
+    return to_records(email_parts(emails, text_col), rules)
+
+
+def normalize_calls(transcripts: DataFrame, text_col: str = "transcripts", rules: Rules = Rules()) -> DataFrame:
+    return to_records(call_parts(transcripts, text_col), rules)
 
 
 def forms_passthrough(forms: DataFrame) -> DataFrame:

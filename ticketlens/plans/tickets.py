@@ -13,7 +13,7 @@ from ..functions.text import embedding_text, is_filled
 from ..operators.embedding import embed, hashed_words
 from ..operators.ids import dense_ids
 from ..operators.models import ColumnFunction
-from ..operators.normalize import Rules, extract, forms_passthrough, normalize_calls, normalize_chats, normalize_emails
+from ..operators.normalize import Rules, call_parts, chat_parts, email_parts, extract, forms_passthrough, to_records
 
 
 @dataclass(frozen=True)
@@ -27,23 +27,28 @@ class Channels:
 
 
 def records(channels: Channels, rules: Rules = Rules(), extractor: ColumnFunction | None = None) -> list[DataFrame]:
-    """One frame of normalized records per present channel."""
-    raw = (
-        (channels.chats, "chat", "chat", normalize_chats),
-        (channels.emails, "email", "email", normalize_emails),
-        (channels.calls, "transcripts", "call", normalize_calls),
-    )
-    parts = [] if channels.forms is None else [forms_passthrough(channels.forms)]
-    for df, text_col, source, normalize in raw:
-        if df is not None:
-            parts.append(extract(df, text_col, source, extractor) if extractor else normalize(df, text_col, rules))
-    return parts
+    """Normalized records of the present channels: of the forms, and of all raw texts."""
+    raw = [
+        (df, text_col, source, parts)
+        for df, text_col, source, parts in (
+            (channels.chats, "chat", "chat", chat_parts),
+            (channels.emails, "email", "email", email_parts),
+            (channels.calls, "transcripts", "call", call_parts),
+        )
+        if df is not None
+    ]
+    found = [] if channels.forms is None else [forms_passthrough(channels.forms)]
+    if raw and extractor:
+        found += [extract(df, text_col, source, extractor) for df, text_col, source, _ in raw]
+    elif raw:
+        found.append(to_records(reduce(DataFrame.unionByName, [parts(df, text_col) for df, text_col, _, parts in raw]), rules))
+    return found
 
 
 def unify(spark: SparkSession, parts: list[DataFrame]) -> DataFrame:
-    """Union of the channels, without records that lack subject, body or answer.
+    """Union of the parts, without records that lack subject, body or answer.
 
-    Catalyst pushes the filter into every branch.
+    Catalyst pushes the filter into the branches.
     """
     if not parts:
         return spark.createDataFrame([], schemas.RECORD)
