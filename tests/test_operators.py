@@ -183,7 +183,8 @@ def test_store_scores_each_text_once_and_only_new_ones(spark):
     df = spark.createDataFrame([(1, "good"), (2, "good"), (3, "bad"), (4, None)], "id long, t string")
     store = settle(scoring.missing_scores(df.where("id <= 2"), F.col("t"), None, scorers, "v1"), "test-store")
     assert store.count() == 1
-    more = scoring.missing_scores(df, F.col("t"), store, scorers, "v1")
+    more = scoring.missing_scores(df, F.col("t"), store, scorers, "v1", tasks=3)
+    assert more.rdd.getNumPartitions() == 3
     assert sorted(r.mood for r in more.collect()) == ["Negative"]
     assert scoring.missing_scores(df, F.col("t"), store, scorers, "v2").count() == 2
     got = scoring.attach_scores(df, F.col("t"), store.unionByName(more), "v1")

@@ -1,32 +1,37 @@
 from ticketlens import schemas
 from ticketlens.operators.normalize import normalize_chats
-from ticketlens.streaming.ingest import append_new, file_stream, ingest
-
-TABLE = "streamed_tickets"
+from ticketlens.plans.tickets import unify
+from ticketlens.sources.files import read_chats
+from ticketlens.streaming.ingest import file_stream, ingest, write_batch
 
 
 def cell(text):
     return '"' + text.replace('"', '""') + '"\n'
 
 
-def test_new_files_are_added_once(spark, tmp_path):
-    spark.sql(f"DROP TABLE IF EXISTS {TABLE}")
-    folder = tmp_path / "chats"
-    folder.mkdir()
+def test_arrivals_give_the_same_records_as_one_batch(spark, tmp_path):
+    chats, table = tmp_path / "chats", str(tmp_path / "records")
+    chats.mkdir()
     one, two = "Customer: it broke\\nAgent: we mend it", "Customer: late\\nAgent: it ships"
 
     def run():
-        query = ingest(file_stream(spark, str(folder), schemas.CHATS), TABLE, str(tmp_path / "state"))
-        query.awaitTermination()
-        spark.catalog.refreshTable(TABLE)
-        return sorted(r.body for r in spark.table(TABLE).collect())
+        ingest(file_stream(spark, str(chats), schemas.CHATS), table, str(tmp_path / "state")).awaitTermination()
+        return sorted(r.body for r in spark.read.parquet(table).collect())
 
-    (folder / "a.csv").write_text(cell(one) + cell(one) + cell("Customer: no reply"))
+    (chats / "a.csv").write_text(cell(one) + cell("Customer: no reply"))
     assert run() == ["it broke"]
-    (folder / "b.csv").write_text(cell(two) + cell(one))
-    assert run() == ["it broke", "late"]
-    assert run() == ["it broke", "late"]
-    append_new(normalize_chats(spark.createDataFrame([(two,)], schemas.CHATS)), TABLE)  # a replayed batch
-    assert spark.table(TABLE).count() == 2
-    assert spark.table(TABLE).columns == schemas.RECORD.fieldNames()
-    spark.sql(f"DROP TABLE {TABLE}")
+    (chats / "b.csv").write_text(cell(two) + cell(one))
+    assert run() == ["it broke", "it broke", "late"]
+    assert run() == ["it broke", "it broke", "late"]
+
+    names = schemas.RECORD.fieldNames()
+    whole = unify(spark, [normalize_chats(read_chats(spark, str(chats)))]).select(names)
+    stored = spark.read.parquet(table).select(names)
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_a_replayed_batch_overwrites_itself(spark, tmp_path):
+    records = normalize_chats(spark.createDataFrame([("Customer: a\\nAgent: b",)], schemas.CHATS))
+    for batch_id in (0, 1, 1):
+        write_batch(records, str(tmp_path / "t"), batch_id)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2

@@ -87,17 +87,22 @@ def missing_scores(
     store: DataFrame | None,
     scorers: Mapping[str, ColumnFunction],
     version: str,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Score rows to append to ``store``: (text_key, model_version, one column per scorer).
 
     Every distinct text is scored once, however many rows carry a copy of it,
-    and a text the store already has for this ``version`` not at all.
+    and a text the store already has for this ``version`` not at all. For a
+    slow model give ``tasks``: adaptive execution sizes tasks by bytes, and few
+    bytes can be long work.
     """
     texts = df.where(text.isNotNull()).select(text_key(text).alias("text_key"), text.alias("_text"))
     if store is not None:
         known = store.where(F.col("model_version") == version).select("text_key")
         texts = texts.join(known, "text_key", "left_anti")
     distinct = texts.groupBy("text_key").agg(F.first("_text").alias("_text"))
+    if tasks:
+        distinct = distinct.repartition(tasks)
     return add_scores(distinct, "_text", scorers).select(
         "text_key", F.lit(version).alias("model_version"), *scorers
     )

@@ -13,9 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.normalize import Rules, normalize_chats
+from ..operators.normalize import normalize_chats
 from ..plans.tickets import unify
-from .. import schemas
 
 
 def file_stream(spark: SparkSession, folder: str, schema: T.StructType, max_files: int = 1000) -> DataFrame:
@@ -29,36 +28,29 @@ def file_stream(spark: SparkSession, folder: str, schema: T.StructType, max_file
     )
 
 
-def append_new(records: DataFrame, table: str) -> None:
-    """Append the complete records that ``table`` does not have yet, each once.
+def write_batch(records: DataFrame, folder: str, batch_id: int) -> None:
+    """Store the complete records of one batch under ``folder/batch=<id>``.
 
-    A batch that is replayed after a failure finds its records there and adds
-    nothing.
+    A batch replayed after a failure overwrites its own files, so the table
+    holds each arrival once without a look at what is already there.
     """
-    spark = records.sparkSession
-    key = ["source", "source_key"]
-    complete = unify(spark, [records]).dropDuplicates(key)
-    if spark.catalog.tableExists(table):
-        spark.catalog.refreshTable(table)  # another session may have added files
-        complete = complete.join(spark.table(table).select(*key), key, "left_anti")
-    complete.select(*schemas.RECORD.fieldNames()).write.format("parquet").mode("append").saveAsTable(table)
+    unify(records.sparkSession, [records]).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 
 
 def ingest(
     raw: DataFrame,
-    table: str,
+    folder: str,
     checkpoint: str,
-    normalize: Callable[[DataFrame], DataFrame] | None = None,
+    normalize: Callable[[DataFrame], DataFrame] = normalize_chats,
     **trigger,
 ) -> StreamingQuery:
-    """Start normalizing the stream ``raw`` into ``table``.
+    """Start normalizing the stream ``raw`` into the parquet table ``folder``.
 
     ``trigger`` as for ``DataStreamWriter.trigger``; by default everything that
     has arrived is taken in and the query ends.
     """
-    normalize = normalize or (lambda chats: normalize_chats(chats, rules=Rules()))
     return (
-        raw.writeStream.foreachBatch(lambda batch, _id: append_new(normalize(batch), table))
+        raw.writeStream.foreachBatch(lambda batch, batch_id: write_batch(normalize(batch), folder, batch_id))
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
