@@ -2,9 +2,14 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ticketlens.functions import prompts
+from ticketlens.operators.models import Model, model_column
+from ticketlens.operators.scoring import prompted
 from ticketlens.plans import product_reports as products
 from ticketlens.plans import ticket_reports as tickets
+from ticketlens.session import settle
 
 SCORED = "ticket_id long, snippet string, sentiment string, priority string, type string, churn double"
 
@@ -133,3 +138,35 @@ def test_scored_tickets_are_narrow(spark):
     df = spark.createDataFrame([(1, "s" * 150, "b" * 150, "a", [1.0])], "ticket_id long, subject string, body string, answer string, text_embedding array<double>")
     (row,) = tickets.score_tickets(df).collect()
     assert row.asDict() == {"ticket_id": 1, "sentiment": "Neutral", "churn": 0.0, "snippet": "s" * 150 + " " + "b" * 49}
+
+
+def test_reports_from_prompted_models(spark):
+    """Injected models end to end: each text is sent once, after its instruction; a failure is an unscored row."""
+
+    def mood(asked):
+        assert all(prompt.startswith(prompts.SENTIMENT) for prompt in asked)
+        return ["Negative" if "late" in prompt else "Positive" for prompt in asked]
+
+    def risk(asked):
+        if any("odd" in prompt for prompt in asked):
+            raise ValueError("no number")
+        return [float(prompt.removeprefix(prompts.CHURN).split()[0]) for prompt in asked]
+
+    df = spark.createDataFrame([(1, "0.9", "late", "high"), (2, "1.8", "fine", None), (3, "odd", "late", "low")], "ticket_id long, subject string, body string, priority string")
+    scored = settle(
+        tickets.score_tickets(
+            df,
+            prompted(model_column(Model(lambda: mood), T.StringType()), prompts.SENTIMENT),
+            prompted(model_column(Model(lambda: risk), T.DoubleType()), prompts.CHURN),
+        ),
+        "scored",
+    )
+    assert rows(tickets.ticket_kpis(scored)) == [(3, pytest.approx(2 / 3), 1)]
+    assert rows(tickets.churn_kpis(scored)) == [(pytest.approx(0.95), 1.0, 2, 3)]
+    assert [r[0] for r in rows(tickets.riskiest_tickets(scored))] == [2, 1, 3]
+
+    flag = model_column(Model(lambda: lambda asked: ["rude" in prompt for prompt in asked]), T.BooleanType())
+    items = spark.createDataFrame([("P1", ["so rude"]), ("P2", ["nice", " "])], "product_id string, customer_comments array<string>")
+    flagged = products.score_products(items, prompted(flag, prompts.ABUSE), prompted(flag, prompts.SATISFACTION))
+    assert rows(products.abuse_kpis(flagged)) == [(1, 2, 0.5)]
+    assert rows(products.abusive_examples(flagged)) == [("P1", "so rude", True)]

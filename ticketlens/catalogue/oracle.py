@@ -214,6 +214,8 @@ SELECTS: dict[str, str] = {
     "dense_ticket_id": "SELECT ticket_id, source, source_key FROM tickets",
     "scoring_prompts": f"""SELECT ticket_id, {quoted(prompts.SENTIMENT)} || text AS sentiment_prompt,
         {quoted(prompts.CHURN)} || text AS churn_prompt FROM texts""",
+    "comment_prompts": f"""SELECT product_id, {quoted(prompts.ABUSE)} || comments_text AS abuse_prompt,
+        {quoted(prompts.SATISFACTION)} || comments_text AS satisfaction_prompt FROM commented""",
     "extraction_prompts": f"""SELECT md5(transcripts) AS source_key, {quoted(prompts.EXTRACTION.format(kind='call'))} || transcripts AS prompt
         FROM raw_calls""",
     "score_sentiment": "SELECT ticket_id, sentiment FROM scored",

@@ -153,6 +153,16 @@ def scoring_prompts(spark, sf):
     )
 
 
+@query
+def comment_prompts(spark, sf):
+    comments = F.col("comments_text")
+    return _comments(spark, sf).select(
+        "product_id",
+        prompts.scoring_prompt(prompts.ABUSE, comments).alias("abuse_prompt"),
+        prompts.scoring_prompt(prompts.SATISFACTION, comments).alias("satisfaction_prompt"),
+    )
+
+
 @query
 def extraction_prompts(spark, sf):
     raw = F.col("transcripts")

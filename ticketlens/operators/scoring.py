@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prompts import scoring_prompt
 from ..functions.text import count_words, has_word, strip_blanks, words
 from .models import ColumnFunction
 
@@ -65,6 +66,11 @@ def satisfaction_scorer(negative: Sequence[str] = NEGATIVE_WORDS, positive: Sequ
     return WordScorer(score)
 
 
+def prompted(model: ColumnFunction, instruction: str) -> ColumnFunction:
+    """A model scorer that is sent ``instruction`` (see ``functions.prompts``) before each text."""
+    return lambda text: model(scoring_prompt(instruction, text))
+
+
 def add_scores(df: DataFrame, text_col: str, scorers: Mapping[str, ColumnFunction]) -> DataFrame:
     """``df`` plus one column per scorer. Row-local: no join and no shuffle."""
     text = F.col(text_col)

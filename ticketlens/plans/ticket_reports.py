@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.classify import is_urgent
 from ..functions.numbers import count_where, number_or_zero, percent, risk_bucket, share, sum_where, unit_clamp
-from ..functions.prompts import CHURN, SENTIMENT
 from ..functions.text import first_chars, ticket_text
 from ..operators.models import ColumnFunction
 from ..operators.scoring import add_scores, churn_scorer, sentiment_scorer
@@ -32,19 +31,6 @@ def score_tickets(
     return scored.withColumn("snippet", snippet).drop("_text", "subject", "body", "answer", "text_embedding")
 
 
-def prompted(scorer: ColumnFunction, instruction: str) -> ColumnFunction:
-    """A model scorer that is sent ``instruction`` before the text."""
-    return lambda text: scorer(F.concat(F.lit(instruction), text))
-
-
-def sentiment_model(scorer: ColumnFunction) -> ColumnFunction:
-    return prompted(scorer, SENTIMENT)
-
-
-def churn_model(scorer: ColumnFunction) -> ColumnFunction:
-    return prompted(scorer, CHURN)
-
-
 def _or_unknown(name: str):
     return F.coalesce(F.col(name), F.lit("unknown"))
 
