@@ -91,6 +91,13 @@ def test_chat(spark):
     ]
 
 
+def test_a_name_recognizer_gets_the_redacted_text(spark):
+    nameless = model_column(Model(lambda: lambda texts: [t.replace("Ada", "[NAME]") for t in texts]), T.StringType())
+    df = spark.createDataFrame([("Customer: Ada a@b.cc\nAgent: dear Ada",)], schemas.CHATS)
+    (row,) = normalize.normalize_chats(df, rules=normalize.Rules(names=nameless)).collect()
+    assert (row.subject, row.body, row.answer) == ("[NAME] [EMAIL]", "[NAME] [EMAIL]", "dear [NAME]")
+
+
 def test_chat_without_a_side(spark):
     assert chat(spark, '"Customer: only me"', '"Agent: only I"', "no labels at all", None) == [
         ("only me", "only me", None, "Other", "low"),

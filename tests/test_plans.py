@@ -194,3 +194,13 @@ def test_reports_read_only_their_columns(spark, tmp_path, built):
 def test_vectors_are_filled_without_a_shuffle(spark, built):
     filled = tickets.add_ticket_vectors(spark.createDataFrame([("a", "b")], "subject string, body string"), hashed_words(), "missing")
     assert "Exchange" not in plan(filled).split("== Physical Plan ==")[1]
+
+
+def test_generated_methods_are_short_enough_to_be_compiled(spark, channels):
+    """The JVM interprets methods of more than 8000 bytes, several times slower."""
+    import re
+
+    debug = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$")
+    for df in (tickets.unify(spark, tickets.records(channels)), ticket_reports.score_tickets(tickets.unify(spark, tickets.records(channels)))):
+        code = getattr(debug, "MODULE$").codegenString(df._jdf.queryExecution().executedPlan())
+        assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000

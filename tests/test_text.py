@@ -82,11 +82,6 @@ def test_redaction(spark):
     ]
 
 
-def test_extra_redaction(spark):
-    names = lambda t: F.regexp_replace(t, "Ada", "[NAME]")
-    assert values(spark, [("Ada x@y.zz",)], "t string", privacy.redact(F.col("t"), extra=names)) == ["[NAME] [EMAIL]"]
-
-
 def test_first_matching_rule_wins(spark):
     rows = [("The invoice shows an error",), ("an error on install",), ("hello",), (None,)]
     got = values(spark, rows, "t string", classify.ticket_type(text.words(F.col("t"))))

@@ -1,12 +1,12 @@
 """Removal of personal data that a pattern can recognize.
 
-Names of persons are beyond patterns; a caller who has a recognizer passes it
-as ``extra`` to :func:`redact`.
+Names of persons are beyond patterns; a caller who has a recognizer gives it to
+the normalization as ``Rules(names=…)``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -34,7 +34,6 @@ def redact(
     text: Column,
     addresses: Patterns = ADDRESS_PATTERNS,
     numbers: Patterns = NUMBER_PATTERNS,
-    extra: Callable[[Column], Column] | None = None,
 ) -> Column:
     """``text`` with personal data replaced by a label.
 
@@ -43,5 +42,4 @@ def redact(
     only where it is found.
     """
     clean = F.when(text.contains("@"), _replaced(text, addresses)).otherwise(text)
-    clean = F.when(text.rlike("[0-9]"), _replaced(clean, numbers)).otherwise(clean)
-    return extra(clean) if extra else clean
+    return F.when(text.rlike("[0-9]"), _replaced(clean, numbers)).otherwise(clean)

@@ -37,11 +37,16 @@ SUBJECT_CHARS = 80
 
 @dataclass(frozen=True)
 class Rules:
-    """How the built-in extractor fills type and priority and removes personal data."""
+    """How the built-in extractor fills type and priority and removes personal data.
+
+    ``redact`` must be an SQL expression; ``names`` may be a model, and gets the
+    redacted text.
+    """
 
     types: classify.Rules = classify.TYPE_RULES
     priorities: classify.Rules = classify.PRIORITY_RULES
     redact: Callable[[Column], Column] = privacy.redact
+    names: ColumnFunction | None = None
 
 
 def _unwrapped(cell: Column) -> Column:
@@ -144,21 +149,32 @@ def email_parts(emails: DataFrame, text_col: str = "email") -> DataFrame:
 def to_records(parts: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Records from the parts of one channel or of a union of channels.
 
-    The fields are built as one struct that a generator unpacks. A filter on
-    them (such as the one for complete records) then stays above it, instead of
-    being pushed down with a second copy of the whole parsing.
+    The finished fields pass through a generator. A filter on them (such as the
+    one for complete records) then stays above it, instead of being pushed down
+    with a second copy of the whole parsing. The three texts are redacted by one
+    lambda over an array: written out three times, the generated method would
+    be longer than the JVM is willing to compile.
     """
-    subject, body = F.col("_subject"), F.col("_body")
-    about = F.concat(F.coalesce(subject, F.lit("")), F.lit(" "), F.coalesce(body, F.lit("")))
-    found = F.col("_words")
-    fields = F.struct(
-        rules.redact(subject).alias("subject"),
-        rules.redact(body).alias("body"),
-        rules.redact(F.col("_answer")).alias("answer"),
-        classify.ticket_type(found, rules.types).alias("type"),
-        classify.ticket_priority(found, rules.priorities).alias("priority"),
+    about = F.concat(F.coalesce("_subject", F.lit("")), F.lit(" "), F.coalesce("_body", F.lit("")))
+    found, clean = F.col("_words"), F.col("_clean")
+    names = rules.names or (lambda text: text)
+    fields = {
+        "subject": names(clean[0]),
+        "body": names(clean[1]),
+        "answer": names(clean[2]),
+        "type": classify.ticket_type(found, rules.types),
+        "priority": classify.ticket_priority(found, rules.priorities),
+    }
+    return (
+        parts.select(
+            "source",
+            "source_key",
+            words(about).alias("_words"),
+            F.transform(F.array("_subject", "_body", "_answer"), lambda text: rules.redact(text)).alias("_clean"),
+        )
+        .select("source", "source_key", *[value.alias(name) for name, value in fields.items()])
+        .select("source", "source_key", F.inline(F.array(F.struct(*fields))))
     )
-    return parts.withColumn("_words", words(about)).select("source", "source_key", F.inline(F.array(fields)))
 
 
 def normalize_chats(chats: DataFrame, text_col: str = "chat", rules: Rules = Rules()) -> DataFrame:
