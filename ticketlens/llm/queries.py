@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing
+from . import decontaminate, langid, minmax, packing, sharding, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,3 +46,25 @@ def op9_language_id(spark, sf):
     held_out = docs.select("doc_id", (fold(4) == 2).alias("held_out"), "text")
     found = langid.predict_languages(held_out, model)
     return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_shard_ring(spark, sf):
+    placed = sharding.shard(read(spark, sf, "documents"), shards=16, virtual_nodes=256, slack=0.0)
+    return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
+
+
+@query
+def op8_minmax_near_duplicates(spark, sf):
+    return minmax.near_duplicates(read(spark, sf, "documents"), minmax.NearRule(shingle=4, percent=80))
+
+
+@query
+def op6_remove_repeats(spark, sf):
+    cleaned = substring.remove_repeats(read(spark, sf, "documents"), window=35, keep_text=False)
+    return cleaned.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query
+def op3_benchmark_leaks(spark, sf):
+    return decontaminate.leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark"))

@@ -107,6 +107,15 @@ def sequence_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix((prefix[k:] - prefix[: n - k + 1]) * down[: n - k + 1])
 
 
+def stretch_hashes(hashes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hash of ``length`` words from ``begin`` on, each stretch of its own length."""
+    n = len(hashes)
+    up, down = _word_powers.to(n + 1)
+    prefix = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * up[:n], out=prefix[1:])
+    return mix((prefix[begin + length] - prefix[begin]) * down[begin] + length.astype(np.uint64))
+
+
 @dataclass
 class Words:
     """The words of the texts ``lo`` to ``hi`` of a batch."""
