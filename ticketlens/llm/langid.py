@@ -17,10 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import HashTable, broadcast_value, sampled_by_class
-from .words import Words, pieces, signed, span_hash, split, texts_of
-from .words import byte_prefix
+from .words import Words, char_grams, pieces, signed, split, texts_of
 
 UNKNOWN = "und"
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -42,27 +42,6 @@ def _clean(text: bytes | None) -> bytes | None:
     return kept.encode() if any(map(str.isalpha, kept)) else None
 
 
-def _grams(words: Words, n: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word, hash) of the n-grams of the wanted words, spaces at either side included."""
-    char = np.flatnonzero((words.data & 0xC0) != 0x80)  # first bytes of characters
-    if len(char) <= n:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    space = words.data[char] == 0x20
-    word = np.searchsorted(words.start, char, side="right") - 1
-    gaps = np.concatenate([[0], np.cumsum(space)])
-    at = np.arange(len(char) - n)
-    inner = gaps[at + max(n - 1, 1)] - gaps[at + min(1, n - 1)]  # spaces that are at neither end
-    owner = np.where(space[at], word[np.minimum(at + 1, len(char) - 1)], word[at])
-    good = (inner == 0) & (owner >= 0)
-    if n == 1:
-        good &= ~space[at]
-    at, owner = at[good], owner[good]
-    keep = wanted[owner]
-    at, owner = at[keep], owner[keep]
-    prefix, down = byte_prefix(words.data)
-    return owner, span_hash(prefix, down, char[at], char[at + n])
-
-
 def _counted(languages: list[str], longest: int):
     """Counts of words and n-grams by language, summed over each batch."""
     number = {lang: i for i, lang in enumerate(languages)}
@@ -75,7 +54,7 @@ def _counted(languages: list[str], longest: int):
                 words = split(texts, lo, hi)
                 lang = langs[lo:hi][words.text_of()]
                 for level in range(longest + 1):
-                    owner, hashes = _grams(words, level, np.ones(len(lang), bool)) if level else (np.arange(len(lang)), words.hash)
+                    owner, hashes = char_grams(words, level) if level else (np.arange(len(lang)), words.hash)
                     for k in range(len(languages)):
                         keys, n = np.unique(hashes[lang[owner] == k], return_counts=True)
                         if len(keys):
@@ -122,7 +101,7 @@ def _scores(words: Words, model: LanguageModel) -> np.ndarray:
     for n in sorted((n for n in model.levels if n), reverse=True):
         if not left.any():
             break
-        owner, hashes = _grams(words, n, left)
+        owner, hashes = char_grams(words, n, left)
         at, found = model.levels[n].find(hashes)
         owner, at = owner[found], at[found]
         number = np.bincount(owner, minlength=len(left))
@@ -135,6 +114,17 @@ def _scores(words: Words, model: LanguageModel) -> np.ndarray:
     return running[words.first[1:]] - running[words.first[:-1]]
 
 
+def _shares(texts: list[bytes | None], model: LanguageModel) -> np.ndarray:
+    """Per cleaned text each language's share of the likelihood, flattened by the square root of its words."""
+    out = np.zeros((len(texts), len(model.languages)))
+    for lo, hi in pieces(texts) if model.languages else ():
+        words = split(texts, lo, hi)
+        total = _scores(words, model) / np.sqrt(np.maximum(words.counts, 1))[:, None]
+        share = np.exp(total - total.max(1, keepdims=True))
+        out[lo:hi] = share / share.sum(1, keepdims=True)
+    return out
+
+
 def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """One row per document: doc_id, lang_pred, score (0 to 1), has_letters.
 
@@ -150,16 +140,30 @@ def predict_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             texts = [_clean(t) for t in texts_of(batch, "text")]
             best, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            for lo, hi in pieces(texts) if model.languages else ():
-                words = split(texts, lo, hi)
-                total = _scores(words, model) / np.sqrt(np.maximum(words.counts, 1))[:, None]
-                share = np.exp(total - total.max(1, keepdims=True))
-                share /= share.sum(1, keepdims=True)
-                for i, k in enumerate(share.argmax(1)):
-                    if texts[lo + i]:
-                        best[lo + i], score[lo + i] = model.languages[k], share[i, k]
-            found = pa.array([t is not None for t in texts])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(best), pa.array(score), found], ["doc_id", "lang_pred", "score", "has_letters"])
+            share = _shares(texts, model)
+            if model.languages:
+                for i, k in enumerate(share.argmax(1).tolist()):
+                    if texts[i]:
+                        best[i], score[i] = model.languages[k], share[i, k]
+            found = pa.array([t is not None for t in texts], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(best, pa.string()), pa.array(score), found], ["doc_id", "lang_pred", "score", "has_letters"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(predict, "doc_id long, lang_pred string, score double, has_letters boolean")
+
+
+def identified(docs: DataFrame, model: LanguageModel, least_score: float = 0.5) -> DataFrame:
+    """The documents whose language is told with ``least_score`` or more, all columns as they are.
+
+    Documents without a letter go. A model that knows no language rejects only those.
+    """
+    sent = broadcast_value(docs.sparkSession, model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [_clean(t) for t in texts_of(batch, "text")]
+            score = _shares(texts, sent.value).max(1, initial=0)
+            letters = np.array([t is not None for t in texts], bool)
+            yield batch.filter(pa.array(letters & ((score >= least_score) | (not sent.value.languages))))
+
+    return docs.mapInArrow(keep, T.StructType(docs.schema.fields))

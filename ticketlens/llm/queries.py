@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, minmax, packing, sharding, substring
+from . import classlm, decontaminate, langid, minmax, packing, quality, sharding, substring, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,8 +43,7 @@ def op2_pack_sequences(spark, sf):
 def op9_language_id(spark, sf):
     docs = read(spark, sf, "documents")
     model = langid.fit_languages(docs.where(fold(4) != 2))
-    held_out = docs.select("doc_id", (fold(4) == 2).alias("held_out"), "text")
-    found = langid.predict_languages(held_out, model)
+    found = langid.predict_languages(docs, model)
     return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
@@ -68,3 +67,72 @@ def op6_remove_repeats(spark, sf):
 @query
 def op3_benchmark_leaks(spark, sf):
     return decontaminate.leaks(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
+@query
+def op4_near_vectors(spark, sf):
+    return vectors.near_vectors(read(spark, sf, "embeddings"), vectors.CosineRule(threshold=0.98))
+
+
+ORACLE_SQL["op4_near_vectors"] = """
+WITH RECURSIVE good AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.98
+), reach(a, b) AS (
+    SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (
+    SELECT e.vec_id, least(e.vec_id, coalesce(min(r.b), e.vec_id)) AS component_id
+    FROM embeddings e LEFT JOIN reach r ON r.a = e.vec_id GROUP BY e.vec_id
+)
+SELECT l.vec_id, (SELECT count(*) FROM links WHERE a = l.vec_id) AS n_links, l.component_id, l.vec_id = l.component_id AS kept
+FROM least l
+"""
+
+
+ORACLE_SQL["op6_remove_repeats"] = """
+WITH docs AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), starts AS (
+    SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35
+), windows AS (
+    SELECT doc_id, i, list_slice(w, i, i + 34) AS seq FROM starts
+), repeated AS (
+    SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY seq) AS n FROM windows) WHERE n > 1
+), gone AS (
+    SELECT DISTINCT doc_id, i + k AS i FROM repeated, range(0, 35) t(k)
+), words AS (
+    SELECT doc_id, w[i] AS word, i FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM docs)
+), kept AS (
+    SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n
+    FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM docs d LEFT JOIN kept k USING (doc_id)
+"""
+
+
+@query
+def op1_quality(spark, sf):
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    model = quality.fit_quality(docs, labels.where(fold(5) != 0).select("doc_id", F.col("quality").alias("label")))
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op10_toxicity(spark, sf):
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    model = toxicity.fit_toxicity(docs, labels.where(fold(3) != 1).select("doc_id", F.col("toxic").alias("label")))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "evidence")
+
+
+@query
+def op7_class_model(spark, sf):
+    docs = read(spark, sf, "documents")
+    model = classlm.fit_classes(docs.where(fold(5) != 1))
+    scored = classlm.score_texts(docs, model)
+    return scored.withColumns({"held_out": fold(5) == 1, "train_tokens": F.lit(model.train_tokens).cast("long")})

@@ -29,6 +29,7 @@ _MIX_2 = np.uint64(0x94D049BB133111EB)
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_AS_SPACE = np.where(_SPACE, 0x20, np.arange(256)).astype(np.uint8)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -180,3 +181,39 @@ def chunks(batch: pa.RecordBatch, column: str, lower: bool = False, size: int =
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's signed long."""
     return x.view(np.int64)
+
+
+def char_grams(words: Words, n: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(word, hash) of the words' n-grams of characters, the space on either side of a word included.
+
+    With ``wanted`` (per word), only of those words.
+    """
+    char = np.flatnonzero((words.data & 0xC0) != 0x80)  # first bytes of characters
+    if len(char) <= n or not len(words.start):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    begins = np.zeros(len(words.data), np.int32)
+    begins[words.start] = 1
+    word = (np.cumsum(begins, dtype=np.int32) - 1)[char]
+    space = _SPACE[words.data[char]]
+    gaps = np.concatenate([[0], np.cumsum(space, dtype=np.int32)])
+    m = len(char) - n
+    good = gaps[max(n - 1, 1) : max(n - 1, 1) + m] == gaps[min(1, n - 1) : min(1, n - 1) + m]  # no space inside
+    if n == 1:
+        good = ~space[:m]
+    owner = np.where(space[:m], word[1 : m + 1], word[:m])
+    good &= owner >= 0
+    if wanted is not None:
+        good &= wanted[owner]
+    at = np.flatnonzero(good)
+    prefix, down = byte_prefix(_AS_SPACE[words.data])
+    return owner[at], span_hash(prefix, down, char[at], char[at + n])
+
+
+def char_prefixes(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word, hash of its first n characters) of the words that have more than n."""
+    char = np.flatnonzero((words.data & 0xC0) != 0x80)
+    first = np.searchsorted(char, words.start)
+    last = np.minimum(first + n, len(char) - 1)
+    owner = np.flatnonzero(char[last] < words.end) if len(char) else np.zeros(0, np.int64)
+    prefix, down = byte_prefix(words.data)
+    return owner, span_hash(prefix, down, words.start[owner], char[last[owner]])
