@@ -56,16 +56,21 @@ def test_dense_ids_of_nothing(spark):
 # --- transcripts and normalization ------------------------------------------
 
 
-def test_transcripts_in_turn_order_and_parts(spark):
+def test_transcripts_in_turn_order_over_blocks(spark):
     turns = [(1, t, "user" if t % 2 else "assistant", f"t{t}") for t in (3, 1, 2, 0, 4)]
     turns += [(1, 5, "system", "hidden"), (2, 0, "user", None), (3, 0, "user", "x")]
     df = spark.createDataFrame(turns, schemas.TURNS)
-    got = rows(transcripts.assemble_transcripts(df, part_turns=3).orderBy("conv_id", "part"))
-    assert got == [
-        (1, 0, "Agent: t0\nCustomer: t1\nAgent: t2"),
-        (1, 1, "Customer: t3\nAgent: t4"),
-        (3, 0, "Customer: x"),
-    ]
+    for block in (1, 2, 3, 1000):
+        got = rows(transcripts.assemble_transcripts(df, block_turns=block).orderBy("conv_id"))
+        assert got == [(1, "Agent: t0\nCustomer: t1\nAgent: t2\nCustomer: t3\nAgent: t4"), (3, "Customer: x")]
+
+
+def test_a_long_conversation_is_one_ticket_with_all_turns(spark):
+    turns = [(1, t, "user" if t < 1500 else "assistant", f"turn{t}.") for t in range(2500)]
+    said = transcripts.assemble_transcripts(spark.createDataFrame(turns, schemas.TURNS).repartition(7))
+    (row,) = normalize.normalize_calls(said).collect()
+    assert row.body.split() == [f"turn{t}." for t in range(1500)]
+    assert row.answer.split() == [f"turn{t}." for t in range(1500, 2500)]
 
 
 FIELDS = ["subject", "body", "answer", "type", "priority"]
@@ -77,7 +82,7 @@ def chat(spark, *cells):
 
 def test_chat(spark):
     cell = (
-        '"Customer: Hi, this is Ada Doe. My order H100200 is stuck, says "lost".\\nAgent: Hello Ms. Doe. I look.'
+        '"Customer: Hi, this is Ada Doe. My order K553311 is stuck, says "lost".\\nAgent: Hello Ms. Doe. I look.'
         '\\nAgent: A trace is open.\\nCustomer: Mail me at ada@x.org, please."'
     )
     assert chat(spark, cell) == [
@@ -106,14 +111,47 @@ def test_chat_without_a_side(spark):
     ]
 
 
-def test_long_first_turn_is_cut_in_the_subject_only(spark):
-    ((subject, body, *_),) = chat(spark, "Customer: " + "ab " * 100)
-    assert len(subject) == 80 and len(body) == 299
+def test_subject_is_the_first_sentence(spark):
+    ((subject, body, *_),) = chat(spark, "Customer: " + "ab " * 100 + "end! More.")
+    assert subject == "ab " * 100 + "end!" and body.endswith("More.")
+    df = spark.createDataFrame([("Customer: " + "ab " * 100,)], schemas.CHATS)
+    (row,) = normalize.normalize_chats(df, rules=normalize.Rules(subject_chars=80)).collect()
+    assert len(row.subject) == 80 and len(row.body) == 299
+
+
+def test_label_lines_of_other_channels_are_text(spark):
+    ((_, body, *_),) = chat(spark, "Customer: I moved\nFrom: Berlin\nTo: Paris, please update\nAgent: done")
+    assert body == "I moved\nFrom: Berlin\nTo: Paris, please update"
+
+
+def mail(spark, cell):
+    (row,) = rows(normalize.normalize_emails(spark.createDataFrame([(cell,)], "email string")).select("subject", "body", "answer"))
+    return row
+
+
+def test_every_turn_of_an_email_is_kept(spark):
+    cell = "Subject: x\nCustomer: one. Best regards, Ann\nSupport: yes.\n-- \nThe team\nCustomer: two\nRegards,\nAnn Lee\nSupport: also this"
+    assert mail(spark, cell.replace("one. Best", "one.\nBest")) == ("x", "one. two", "yes. also this")
+
+
+def test_quoted_lines_go_one_by_one(spark):
+    cell = "Subject: x\nCustomer: > old\n>> older\nthe real question\nOn Tuesday Bo wrote:\n> again\nand its end\nSupport: ok"
+    assert mail(spark, cell) == ("x", "the real question\nand its end", "ok")
+
+
+def test_a_closing_word_within_a_text_stays(spark):
+    cell = "Subject: x\nCustomer: it worked\nThanks, but now the lamp is broken too\nSupport: see you\nThanks,\nBo"
+    assert mail(spark, cell) == ("x", "it worked\nThanks, but now the lamp is broken too", "see you")
+
+
+def test_disclaimers_and_forwarded_mail_go(spark):
+    cell = "Subject: x\nplain words above\nCustomer: hello there\nThis e-mail and its files are confidential. Delete it.\nSupport: ok\n----- Original Message -----\nold"
+    assert mail(spark, cell) == ("x", "plain words above hello there", "ok")
 
 
 def test_email(spark):
     cell = (
-        '"Subject: Invoice INV-783210 wrong\\nFrom: Ada <ada@x.org>\\nTo: Help <help@x.org>\\nCustomer: Dear Support, the invoice is wrong.'
+        '"Subject: Invoice INV-55120 wrong\\nFrom: Ada <ada@x.org>\\nTo: Help <help@x.org>\\nCustomer: Dear Support, the invoice is wrong.'
         "\\nBest regards\\nAda Doe\\nSupport: Corrected. Call +1 (743) 555-3824.\\nOn Monday Ada wrote:\\n> the invoice"
         '"'
     )
@@ -165,6 +203,15 @@ def upper_or_fail(texts):
     return [t.upper() for t in texts]
 
 
+def test_a_dead_model_fails_the_job(spark):
+    def dead(texts):
+        raise OSError("no service")
+
+    df = spark.range(1000).select(F.col("id").cast("string").alias("t")).coalesce(1)
+    with pytest.raises(Exception, match="no service"):
+        df.select(model_column(Model(lambda: dead), T.StringType())(F.col("t"))).collect()
+
+
 def test_a_failing_row_gives_null_and_spares_the_others(spark):
     df = spark.createDataFrame([("a",), ("bad",), (None,), ("c",)], "t string")
     column = model_column(Model(lambda: upper_or_fail), T.StringType())
@@ -185,6 +232,29 @@ def test_scores_of_several_types(spark):
     assert got == [("awful", 0.5, False, "Negative"), ("good", 0.4, True, "Positive")]
 
 
+def test_failed_texts_are_scored_again(spark):
+    df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "none")], "id long, t string")
+    text = F.col("t")
+    first = {"mood": model_column(Model(lambda: lambda ts: upper_or_fail([t for t in ts if t != "none"]) + [None] * ts.count("none") if ts != ["none"] else [None]), T.StringType())}
+    store = settle(scoring.missing_scores(df.coalesce(1), text, None, first, "v1"), "test-store")
+    assert sorted((r.failed, r.mood or "") for r in store.collect()) == [(False, ""), (False, "GOOD"), (True, "")]
+    assert rows(scoring.attach_scores(df, text, store, "v1").orderBy("id").select("mood")) == [("GOOD",), (None,), (None,)]
+    again = scoring.missing_scores(df, text, store, {"mood": scoring.sentiment_scorer()}, "v1")
+    assert rows(again.select("failed", "mood")) == [(False, "Negative")]
+    both = store.unionByName(again)
+    assert rows(scoring.attach_scores(df, text, both, "v1").orderBy("id").select("mood")) == [("GOOD",), ("Negative",), (None,)]
+
+
+def test_a_hot_key_is_spread(spark):
+    from ticketlens.operators.hot import left_join_hot
+
+    df = spark.range(5000).select("id", F.when(F.col("id") % 5 < 2, "hot").when(F.col("id") % 5 == 2, None).otherwise(F.col("id").cast("string")).alias("k"))
+    small = spark.createDataFrame([("hot", 1), ("3", 2), ("zzz", 9)], "k string, v int")
+    joined = left_join_hot(df, small, "k", hot_rows=100)
+    plain = df.join(small, "k", "left").select("id", "k", "v")
+    assert sorted(rows(joined), key=str) == sorted(rows(plain), key=str)
+
+
 def test_store_scores_each_text_once_and_only_new_ones(spark):
     scorers = {"mood": scoring.sentiment_scorer()}
     df = spark.createDataFrame([(1, "good"), (2, "good"), (3, "bad"), (4, None)], "id long, t string")
@@ -220,13 +290,9 @@ def test_embed_missing_leaves_the_others_alone(spark):
         embedding.embed(df, F.col("t"), seen, "v", "some")
 
 
-def test_tfidf_shares_one_space(spark, tmp_path):
-    from pyspark.ml import PipelineModel
-
+def test_tfidf_shares_one_space(spark):
     corpus = spark.createDataFrame([("red bag",), ("blue bag",), ("red shoe",), (None,)], "t string")
-    fitted = embedding.fit_tfidf(corpus, "t", 64)
-    fitted.save(str(tmp_path / "m"))
-    again = PipelineModel.load(str(tmp_path / "m"))
+    again = embedding.fit_tfidf(corpus, "t", 64)
     got = [r.v for r in embedding.embed_tfidf(corpus, "t", again, "v").collect()]
     query = embedding.embed_tfidf(spark.createDataFrame([("blue bag",)], "t string"), "t", again, "v").head().v
     assert int(np.argmax([np.dot(query, v) for v in got[:3]])) == 1

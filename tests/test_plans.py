@@ -11,6 +11,9 @@ from ticketlens.plans import moderation, products, replies, search, ticket_repor
 from ticketlens.sources.files import list_objects
 
 
+CONTACT = replies.Contact("help@example.com", "+1 555 0100")
+
+
 def rows(df):
     return [tuple(row) for row in df.collect()]
 
@@ -75,11 +78,39 @@ def test_replies(spark, built):
     assert set(prompts) == {1, 2, 3}
     assert "it ships today" in prompts[1] and prompts[1].index("parcel late") < prompts[1].index("it ships today")
     assert prompts[2].endswith("Earlier tickets:\n")
-    answers = {r.query_id: (r.reply, r.routed) for r in replies.answer_or_route(issues, found, "id", "text", max_distance=0.8).collect()}
-    contact = replies.Contact().message()
+    answers = {r.query_id: (r.reply, r.routed) for r in replies.answer_or_route(issues, found, "id", "text", CONTACT, max_distance=0.8).collect()}
+    contact = CONTACT.message()
     assert answers == {1: ("it ships today", False), 2: (contact, True), 3: (contact, True)}
 
 
+def test_questions_about_one_order_are_routed(spark, built):
+    issues = spark.createDataFrame([(1, "parcel late"), (2, "parcel late, where is MY ORDER?")], "id long, text string")
+    found = search.search_tickets(built, search.embed_queries(issues, "text"), "id", "query_embedding", k=1)
+    got = replies.answer_or_route(issues, found, "id", "text", CONTACT, max_distance=2.0)
+    assert sorted(rows(got.select("query_id", "routed"))) == [(1, False), (2, True)]
+
+
+def test_a_search_does_not_shuffle_what_it_shows(spark, tmp_path, built):
+    path = str(tmp_path / "tickets")
+    built.write.parquet(path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        issues = search.embed_queries(spark.createDataFrame([(1, "late")], "id long, text string"), "text")
+        found = search.search_tickets(spark.read.parquet(path), issues, "id", "query_embedding", k=2)
+        found.collect()
+        physical = plan(found).split("== Physical Plan ==")[1]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in physical and "SortMergeJoin" not in physical
+
+
+def test_a_ticket_in_another_script_is_found(spark):
+    calls = spark.createDataFrame([("Customer: где мой заказ\nAgent: он в пути",), ("Customer: no sound\nAgent: restart",)], schemas.TRANSCRIPTS)
+    built = tickets.build_tickets(spark, tickets.Channels(calls=calls))
+    issues = search.embed_queries(spark.createDataFrame([(1, "Заказ?")], "id long, text string"), "text")
+    assert search.search_tickets(built, issues, "id", "query_embedding", k=1).head()["answer"] == "он в пути"
+
+
 def test_generators(spark):
     issues = spark.createDataFrame([(1, "good"), (2, "blank"), (3, "fail")], "id long, text string")
     nothing = spark.createDataFrame([], "query_id long, rank long, distance double, subject string, body string, answer string")
@@ -90,8 +121,8 @@ def test_generators(spark):
         return ["  " if "blank" in p.split("Issue:")[1] else " fine " for p in prompts]
 
     generator = model_column(Model(lambda: generate), T.StringType())
-    answers = {r.query_id: (r.reply, r.routed) for r in replies.answer_or_route(issues, nothing, "id", "text", generator=generator).collect()}
-    contact = replies.Contact().message()
+    answers = {r.query_id: (r.reply, r.routed) for r in replies.answer_or_route(issues, nothing, "id", "text", CONTACT, generator=generator).collect()}
+    contact = CONTACT.message()
     assert answers == {1: ("fine", False), 2: (contact, True), 3: (contact, True)}
     drafted = replies.draft(replies.reply_prompts(issues, nothing, "id", "text"), generator)
     assert {r.query_id: r.reply for r in drafted.collect()} == {1: "fine", 2: "", 3: ""}
@@ -141,11 +172,11 @@ def test_product_cards(spark):
 def test_abuse_model_learns_its_words(spark):
     texts = [(i, f"you are an idiot number {'abc'[i % 3]}" if i % 4 == 0 else f"a kind word {'xyz'[i % 3]}", int(i % 4 == 0)) for i in range(80)]
     df = spark.createDataFrame(texts, "id long, t string, toxic int")
-    model = moderation.train_abuse_model(df.where("id < 60"), "t", "toxic", dim=256)
-    flagged = moderation.flag_abuse(df.where("id >= 60"), "t", model)
+    model = moderation.train_abuse_model(df.where("id < 60"), "t", "toxic")
+    flagged = moderation.flag_abuse(df.where("id >= 60"), "id", "t", model)
     assert flagged.columns == ["id", "t", "toxic", "abusive"]
     assert all(r.abusive == bool(r.toxic) for r in flagged.collect())
-    assert moderation.flag_abuse(spark.createDataFrame([(None,)], "t string"), "t", model).count() == 1
+    assert moderation.flag_abuse(spark.createDataFrame([(1, None)], "id long, t string"), "id", "t", model).count() == 1
 
 
 # --- physical plans ----------------------------------------------------------

@@ -2,7 +2,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from ticketlens.session import scratch_dir, settle, spread
+from ticketlens.session import clear_scratch, scratch_dir, settle, spread
 
 
 def session(master, conf=None, context_dir=None):
@@ -11,14 +11,22 @@ def session(master, conf=None, context_dir=None):
 
 
 def test_the_folder_named_by_the_cluster_is_used():
-    assert scratch_dir(session("yarn", "hdfs://shared/x/")) == "hdfs://shared/x"
-    assert scratch_dir(session("yarn", None, "hdfs://set/y")) == "hdfs://set/y"
+    assert scratch_dir(session("yarn", "hdfs://shared/x/")) == "hdfs://shared/x/ticketlens/app-yarn"
+    assert scratch_dir(session("yarn", None, "hdfs://set/y")) == "hdfs://set/y/ticketlens/app-yarn"
 
 
-def test_only_a_local_session_gets_a_temporary_folder():
-    assert scratch_dir(session("local[2]")) == scratch_dir(session("local[2]"))
+@pytest.mark.parametrize("master", ["local[2]", "spark://host"])
+def test_a_session_without_a_folder_is_refused(master):
     with pytest.raises(RuntimeError):
-        scratch_dir(session("spark://host"))
+        scratch_dir(session(master))
+
+
+def test_intermediate_tables_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("ticketlens.session.scratch_dir", lambda spark: str(tmp_path / "mine"))
+    settle(spark.range(3).toDF("id"), "t")
+    assert list(tmp_path.rglob("*.parquet"))
+    clear_scratch(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
 
 
 def test_settled_rows_do_not_depend_on_their_source(spark):

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from ticketlens.operators.columns import add_column_if_missing, fill_uri, keep_present
@@ -17,10 +18,46 @@ def test_single_column_csv(spark, tmp_path):
 def test_forms_with_header(spark, tmp_path):
     path = tmp_path / "forms.csv"
     path.write_text('subject,body,answer,type,priority\n"a, b",c,"line 1\nline 2",Other,\n')
-    (row,) = files.read_forms(spark, str(path)).collect()
+    (row,) = files.read_forms(spark, str(path), multi_line=True).collect()
     assert tuple(row) == ("a, b", "c", "line 1\nline 2", "Other", None)
 
 
+def test_forms_are_read_by_name(spark, tmp_path):
+    path = tmp_path / "forms.csv"
+    path.write_text("Priority,type,queue,subject, body,answer\nhigh,Other,q1,s,b,a\n")
+    (row,) = files.read_forms(spark, str(path)).collect()
+    assert row.asDict() == {"subject": "s", "body": "b", "answer": "a", "type": "Other", "priority": "high"}
+    path.write_text("subject,body\ns,b\n")
+    with pytest.raises(ValueError, match="no column answer, type, priority"):
+        files.read_forms(spark, str(path))
+
+
+@pytest.mark.parametrize("row", ["s,b,a,t,p,more", "s,b,a"])
+def test_a_form_of_another_length_fails(spark, tmp_path, row):
+    path = tmp_path / "forms.csv"
+    path.write_text(f"subject,body,answer,type,priority\ns,b,a,t,p\n{row}\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_forms(spark, str(path)).select("subject").collect()
+
+
+def test_an_unquoted_chat_fails(spark, tmp_path):
+    path = tmp_path / "chats.csv"
+    path.write_text("Customer: Hi, my bag broke\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_chats(spark, str(path)).collect()
+
+
+def test_a_large_file_is_read_in_parts(spark, tmp_path):
+    path = tmp_path / "chats.csv"
+    path.write_text('"Customer: a, b"\n' * 20_000)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        chats = files.read_chats(spark, str(path))
+        assert chats.rdd.getNumPartitions() >= 4 and chats.count() == 20_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_products_json(spark, tmp_path):
     path = tmp_path / "products.jsonl"
     lines = [
@@ -33,6 +70,23 @@ def test_products_json(spark, tmp_path):
     assert two.title is None and two.categories is None
 
 
+def test_a_broken_product_fails(spark, tmp_path):
+    path = tmp_path / "products.jsonl"
+    path.write_text('{"product_id": "P1"}\n{"product_id": \n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_products(spark, str(path)).collect()
+
+
+def test_a_swap_that_was_cut_off_is_undone(spark):
+    name = "cut_off"
+    tables.replace_table(spark.range(2).toDF("id"), name)
+    spark.sql(f"ALTER TABLE {name} RENAME TO {name}__retired")  # where the crash came
+    tables.recover_table(spark, name)
+    assert spark.table(name).count() == 2
+    assert tables.replace_table(spark.range(3).toDF("id"), name).count() == 3
+    spark.sql(f"DROP TABLE {name}")
+
+
 def test_objects_are_listed_and_joined_by_path(spark, tmp_path):
     for name in ("a.wav", "b.wav", "c.txt"):
         (tmp_path / name).write_bytes(name.encode())

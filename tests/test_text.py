@@ -69,7 +69,9 @@ def test_redaction(spark):
     rows = [
         ("write to ada.b+c@mail.example.com now",),
         ("from 10.1.22.3, call +1 (743) 555-3824 or 4111111111111111",),
-        ("Order H100200 and INV-783210-R1.",),
+        ("Order K553311 and INV-55120-R1.",),
+        ("ABC1234567 stays, 10.2.3.4.5 is no address, DE44500105175407324931 goes, so does W-70493 and X-81200.",),
+        ("Ask Mr. Turner or Dr Ana Lee; Mrs. is alone.",),
         ("nothing here, only 12 items",),
         (None,),
     ]
@@ -77,6 +79,8 @@ def test_redaction(spark):
         "write to [EMAIL] now",
         "from [IP], call [NUMBER] or [NUMBER]",
         "Order [ORDER] and [INVOICE].",
+        "ABC1234567 stays, [NUMBER] is no address, [ACCOUNT] goes, so does [CASE] and [CASE].",
+        "Ask Mr. [NAME] or Dr [NAME]; Mrs. is alone.",
         "nothing here, only 12 items",
         None,
     ]

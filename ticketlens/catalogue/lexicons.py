@@ -4,8 +4,8 @@ Their text is made up, so ordinary support words are absent; the rules below
 are chosen so that every class of every rule occurs.
 """
 
-NEGATIVE = ("trash", "idiot", "clown", "scum", "worthless", "moron", "pathetic", "loser", "stupid", "disgusting")
-POSITIVE = ("here", "license")
+NEGATIVE = ("trash", "idiot", "clown", "scum", "worthless", "moron", "pathetic", "loser", "stupid", "disgusting", "éque")
+POSITIVE = ("here", "license", "für")
 ABUSIVE = NEGATIVE
 
 TYPES = (

@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 
 from ..functions import prompts
-from ..functions.privacy import ADDRESS_PATTERNS, NUMBER_PATTERNS
+from ..functions.privacy import ADDRESS_PATTERNS, NAME_PATTERNS, NUMBER_PATTERNS
 from ..plans import replies
 from . import lexicons
+from .tables import CONTACT
 
 DIM = 64
 
@@ -21,8 +22,8 @@ def words(values) -> str:
 
 
 def redacted(expr: str) -> str:
-    for pattern, label in (*ADDRESS_PATTERNS, *NUMBER_PATTERNS):
-        expr = f"regexp_replace({expr}, {quoted(pattern)}, {quoted(label)}, 'g')"
+    for pattern, label in (*ADDRESS_PATTERNS, *NUMBER_PATTERNS, *NAME_PATTERNS):
+        expr = f"regexp_replace({expr}, {quoted(pattern)}, {quoted(label.replace('$', chr(92)))}, 'g')"
     return expr
 
 
@@ -30,16 +31,21 @@ def stripped(expr: str) -> str:
     return f"trim({expr}, ' '||chr(9)||chr(10)||chr(13))"
 
 
+def sentence(expr: str) -> str:
+    """The first sentence, or all of it where none ends."""
+    return f"coalesce(nullif(regexp_extract({expr}, '(?s)^(.*?[.!?])(?:\\s|$)', 1), ''), {expr})"
+
+
 def first_rule(expr: str, rules, default: str) -> str:
     arms = "".join(
-        f" WHEN regexp_matches(lower({expr}), {quoted('(^|[^a-z])(?:' + '|'.join(found) + ')([^a-z]|$)')}) THEN {quoted(label)}"
+        f" WHEN regexp_matches(lower({expr}), {quoted(r'(^|[^\p{L}])(?:' + '|'.join(found) + r')([^\p{L}]|$)')}) THEN {quoted(label)}"
         for label, found in rules
     )
     return f"CASE{arms} ELSE {quoted(default)} END"
 
 
 def tokens(expr: str) -> str:
-    return f"list_filter(string_split_regex(lower({expr}), '[^a-z]+'), lambda w: w <> '')"
+    return f"list_filter(string_split_regex(lower({expr}), '[^\\p{{L}}]+'), lambda w: w <> '')"
 
 
 def hits(tok: str, found) -> str:
@@ -65,10 +71,10 @@ def vectors(name: str, source: str, key: str, text: str) -> dict[str, str]:
     }
 
 
-def nearest(name: str, base: str, queries: str, k: int) -> dict[str, str]:
+def nearest(name: str, base: str, queries: str, k: int, distance: str = "list_distance(q.vec, b.vec)") -> dict[str, str]:
     """CTE ``name``(query_id, base_id, distance, rank) over CTEs with (id, vec)."""
     return {
-        f"{name}_p": f"SELECT q.id AS query_id, b.id AS base_id, round(list_distance(q.vec, b.vec), 12) AS distance FROM {queries} q, {base} b",
+        f"{name}_p": f"SELECT q.id AS query_id, b.id AS base_id, round({distance}, 12) AS distance FROM {queries} q, {base} b",
         f"{name}_r": f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, base_id) AS rank FROM {name}_p",
         name: f"SELECT * FROM {name}_r WHERE rank <= {k}",
     }
@@ -89,11 +95,14 @@ CTES: dict[str, str] = {
         CASE WHEN n_chars > 6000 THEN 'urgent' WHEN n_chars > 3000 THEN 'High' WHEN n_chars > 1500 THEN 'medium'
              WHEN n_chars > 700 THEN 'p1' END AS priority FROM fields WHERE coalesce(lang, '') NOT IN ('fr', 'es', 'de')""",
     "raw_emails": f"""SELECT *, {Q} || 'Subject: ' || subject || {BS_N} || 'From: Ada Doe <ada@example.com>' || {BS_N} ||
-        'To: Support <help@example.com>' || {BS_N} || 'Customer: ' || body || {BS_N} || 'Support: ' || answer || {Q} AS email
+        'To: Support <help@example.com>' || {BS_N} || 'Customer: > an earlier line' || {BS_N} || body || {BS_N} || 'On Monday Ada wrote:' ||
+        {BS_N} || '> another one' || {BS_N} || 'Best regards, Ada Doe' || {BS_N} || 'Support: Hello Ada, ' || answer || {BS_N} || '-- ' || {BS_N} ||
+        'Support team' || {BS_N} || 'This message is confidential.' || {BS_N} || 'Customer: ' || doc_source || ' asks again' || {BS_N} ||
+        'Thanks, but From: here on it is new' || {BS_N} || 'Thank you,' || {BS_N} || 'Ada' || {Q} AS email
         FROM fields WHERE lang IN ('fr', 'es')""",
-    "raw_calls": """SELECT *, 'Customer: ' || subject || chr(10) || 'Customer: ' || body || chr(10) || 'Agent: ' || answer AS transcripts
+    "raw_calls": """SELECT *, 'Customer: ' || subject || chr(10) || 'To: ' || doc_source || chr(10) || 'Customer: ' || body || chr(10) || 'Agent: ' || answer AS transcripts
         FROM fields WHERE lang = 'de'""",
-    "raw_chats": f"""SELECT conv_id, CAST(floor(turn / 1000) AS BIGINT) AS part,
+    "raw_chats": f"""SELECT conv_id,
         {Q} || string_agg(CASE role WHEN 'user' THEN 'Customer' ELSE 'Agent' END || ': ' || text, {BS_N} ORDER BY turn) || {Q} AS chat,
         string_agg({stripped('text')}, ' ' ORDER BY turn) FILTER (role = 'user') AS asked,
         arg_min({stripped('text')}, turn) FILTER (role = 'user') AS first_asked,
@@ -102,10 +111,12 @@ CTES: dict[str, str] = {
     "rec_forms": """SELECT 'form' AS source, md5(concat_ws(chr(31), coalesce(subject, chr(0)), coalesce(body, chr(0)),
         coalesce(answer, chr(0)), coalesce(type, chr(0)), coalesce(priority, chr(0)))) AS source_key,
         subject, body, answer, type, priority FROM raw_forms""",
-    "rec_emails": f"SELECT {record('email', 'email', stripped('subject'), stripped('body'), stripped('answer'))} FROM raw_emails",
-    "call_parts": f"SELECT transcripts, {stripped('subject')} AS s, {stripped('body')} AS b, {stripped('answer')} AS an FROM raw_calls",
-    "rec_calls": f"SELECT {record('transcripts', 'call', 'substr(s, 1, 80)', chr(40) + 's || chr(32) || b' + chr(41), 'an')} FROM call_parts",
-    "rec_chats": f"SELECT {record('chat', 'chat', 'substr(first_asked, 1, 80)', 'asked', 'replied')} FROM raw_chats",
+    "rec_emails": f"SELECT {record('email', 'email', stripped('subject'), 'asked', stripped('answer'))} FROM email_parts",
+    "email_parts": f"""SELECT *, CASE WHEN {stripped('body')} <> '' THEN {stripped('body')} || ' ' ELSE '' END || doc_source || ' asks again' || chr(10) ||
+        'Thanks, but From: here on it is new' AS asked FROM raw_emails""",
+    "call_parts": f"SELECT transcripts, {stripped("subject || chr(10) || 'To: ' || doc_source")} AS s, {stripped('body')} AS b, {stripped('answer')} AS an FROM raw_calls",
+    "rec_calls": f"SELECT {record('transcripts', 'call', sentence('s'), "array_to_string(list_filter([s, b], lambda x: x <> ''), ' ')", 'an')} FROM call_parts",
+    "rec_chats": f"SELECT {record('chat', 'chat', sentence('first_asked'), 'asked', 'replied')} FROM raw_chats",
     "unified": """SELECT * FROM (SELECT * FROM rec_forms UNION ALL SELECT * FROM rec_chats UNION ALL SELECT * FROM rec_emails
         UNION ALL SELECT * FROM rec_calls) WHERE subject <> '' AND body <> '' AND answer <> ''""",
     "tickets": "SELECT row_number() OVER (ORDER BY source, source_key) AS ticket_id, * FROM unified",
@@ -136,6 +147,24 @@ CTES: dict[str, str] = {
     **nearest("near_tickets", "ticket_vecs", "issue_vecs", 5),
     **nearest("near_emails", "email_vecs", "issue_vecs", 3),
     **nearest("near_images", "images", "images", 10),
+    **nearest("cosine_images", "images", "images", 10, "1 - list_cosine_similarity(q.vec, b.vec)"),
+    **nearest("dot_images", "images", "images", 10, "-list_inner_product(q.vec, b.vec)"),
+    "pivots": "SELECT id AS pivot, vec FROM images ORDER BY id LIMIT 32",
+    "gaps": """SELECT i.id, pivot, row_number() OVER (PARTITION BY i.id ORDER BY round(list_distance(i.vec, p.vec), 9), pivot) AS near
+        FROM images i, pivots p""",
+    "probed": """SELECT query_id, base_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, base_id) AS rank
+        FROM near_images_p n JOIN gaps b ON b.id = base_id AND b.near = 1 JOIN gaps q ON q.id = query_id AND q.near <= 8 AND q.pivot = b.pivot""",
+    "bucket_weights": """SELECT b, ln((SELECT count(DISTINCT id) + 1 FROM product_vecs_c)::DOUBLE / (count(*) + 1)) AS w
+        FROM product_vecs_c GROUP BY b""",
+    "weighted": "SELECT id, b, c * w AS x FROM product_vecs_c JOIN bucket_weights USING (b)",
+    "tfidf": f"""SELECT id, list_transform(range({DIM}), lambda i: coalesce(m[i], 0) / norm) AS vec
+        FROM (SELECT id, sqrt(sum(x * x)) AS norm, map(list(b), list(x)) AS m FROM weighted GROUP BY id) WHERE norm > 0""",
+    "doc_words": f"SELECT doc_id, unnest({tokens('text')}) AS w FROM documents",
+    "taught": "SELECT doc_id, toxic FROM labels JOIN documents USING (doc_id) WHERE doc_id % 5 <> 0 AND toxic IS NOT NULL AND text IS NOT NULL",
+    "word_counts": "SELECT w, sum(toxic) AS bad, sum(1 - toxic) AS good FROM doc_words JOIN taught USING (doc_id) GROUP BY w",
+    "word_weights": """SELECT w, ln((bad + 1) / (SELECT sum(bad) + count(*) FROM word_counts)::DOUBLE)
+        - ln((good + 1) / (SELECT sum(good) + count(*) FROM word_counts)::DOUBLE) AS weight FROM word_counts""",
+    "word_totals": "SELECT doc_id, sum(weight) AS total FROM doc_words JOIN word_weights USING (w) GROUP BY doc_id",
 }
 
 
@@ -170,11 +199,12 @@ def prior_tickets(instruction: str) -> str:
     return f"""SELECT i.item_id AS query_id,
         {quoted(instruction)} || chr(10) || chr(10) || 'Issue:' || chr(10) || coalesce(i.text, '') || chr(10) || chr(10) ||
         'Earlier tickets:' || chr(10) || coalesce(n.prior, '') AS prompt
-        FROM benchmark i LEFT JOIN (SELECT query_id, string_agg('- subject: ' || subject || chr(10) || '  body: ' || body ||
+        FROM benchmark i LEFT JOIN (SELECT query_id, string_agg(rank || '. subject: ' || subject || chr(10) || '  body: ' || body ||
         chr(10) || '  answer: ' || answer, chr(10) ORDER BY rank) AS prior
         FROM near_tickets JOIN tickets ON base_id = ticket_id GROUP BY query_id) n ON n.query_id = i.item_id"""
 
 
+SPOKEN = """'Customer: Hello, a file of ' || strlen(html) || ' bytes came. What now?' || chr(10) || 'Agent: Hi, keep all ' || strlen(html) || ' bytes.'"""
 PRIORITY = "nullif(lower(split_part(o_orderpriority, '-', 2)), 'not specified')"
 TYPE = "nullif(p_type, 'ECONOMY')"
 SCALED = "CASE WHEN event_type <> 'error' THEN (value - 50) / 100 END"
@@ -198,13 +228,12 @@ SELECTS: dict[str, str] = {
     "fill_uri": """SELECT product_id, CASE WHEN uri IS NULL AND image IS NOT NULL AND image <> ''
         THEN 'gs://catalogue/images/' || image ELSE uri END AS uri FROM products""",
     "add_column_if_missing": "SELECT p_partkey, p_type, CAST(NULL AS VARCHAR) AS uri FROM part",
-    "keyed_update": """SELECT p_partkey, p_name, CASE WHEN u.l_partkey IS NOT NULL THEN u.price ELSE p_retailprice END AS p_retailprice
-        FROM part LEFT JOIN (SELECT l_partkey, max(l_extendedprice) AS price FROM lineitem
-        WHERE l_quantity >= 49 GROUP BY l_partkey) u ON l_partkey = p_partkey""",
+    "keyed_update": """SELECT c_custkey, c_name, CASE WHEN o_custkey IS NOT NULL THEN price ELSE c_acctbal END AS c_acctbal
+        FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS price FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey""",
     "redact_pii": f"SELECT doc_id, {redacted('text')} AS text FROM documents",
     "classify_type": f"SELECT doc_id, {first_rule('text', lexicons.TYPES, 'Other')} AS type FROM documents",
     "classify_priority": f"SELECT doc_id, {first_rule('text', lexicons.PRIORITIES, 'low')} AS priority FROM documents",
-    "assemble_transcripts": """SELECT conv_id, CAST(floor(turn / 1000) AS BIGINT) AS part,
+    "assemble_transcripts": """SELECT conv_id,
         string_agg(CASE role WHEN 'user' THEN 'Customer' ELSE 'Agent' END || ': ' || text, chr(10) ORDER BY turn) AS transcripts
         FROM conversations WHERE role IN ('user', 'assistant') AND text IS NOT NULL GROUP BY ALL""",
     "normalize_chats": "SELECT * FROM rec_chats",
@@ -216,8 +245,10 @@ SELECTS: dict[str, str] = {
         {quoted(prompts.CHURN)} || text AS churn_prompt FROM texts""",
     "comment_prompts": f"""SELECT product_id, {quoted(prompts.ABUSE)} || comments_text AS abuse_prompt,
         {quoted(prompts.SATISFACTION)} || comments_text AS satisfaction_prompt FROM commented""",
-    "extraction_prompts": f"""SELECT md5(transcripts) AS source_key, {quoted(prompts.EXTRACTION.format(kind='call'))} || transcripts AS prompt
-        FROM raw_calls""",
+    "extraction_prompts": " UNION ALL ".join(
+        f"SELECT '{kind}' AS source, md5({raw}) AS source_key, {quoted(prompts.EXTRACTION.format(kind=kind))} || {raw} AS prompt FROM raw_{kind}s"
+        for kind, raw in (("chat", "chat"), ("email", "email"), ("call", "transcripts"))
+    ),
     "score_sentiment": "SELECT ticket_id, sentiment FROM scored",
     "score_churn": "SELECT ticket_id, churn FROM scored",
     "score_abuse": "SELECT product_id, abusive FROM scored_products",
@@ -255,6 +286,30 @@ SELECTS: dict[str, str] = {
         ORDER BY round(list_distance(c.vec, b.vec), 12), b.id LIMIT 9""",
     "vector_topk_batch": "SELECT query_id, base_id, rank, round(distance, 6) AS distance FROM near_images",
     "vector_topk_cells": "SELECT query_id, base_id, rank, round(distance, 6) AS distance FROM near_images",
+    "vector_topk_ivf": """SELECT query_id, base_id, p.rank, round(p.distance, 6) AS distance, recall FROM probed p JOIN (
+        SELECT query_id, count(p.base_id) / count(*)::DOUBLE AS recall FROM near_images n
+        LEFT JOIN (SELECT * FROM probed WHERE rank <= 10) p USING (query_id, base_id) GROUP BY query_id) USING (query_id) WHERE p.rank <= 10""",
+    **{
+        f"vector_topk_{metric}{plan}": f"SELECT query_id, base_id, rank, round(distance, 6) AS distance FROM {metric}_images"
+        for metric in ("cosine", "dot")
+        for plan in ("", "_cells")
+    },
+    "embed_tfidf_products": """SELECT p.product_id, array_to_string(list_transform(vec, lambda x: CAST(CAST(round(x * 100000) AS BIGINT) AS VARCHAR)), ',')
+        AS vector FROM products p LEFT JOIN tfidf ON id = p.product_id""",
+    "train_abuse_model": """SELECT doc_id, round(coalesce(total, 0) + (SELECT ln((sum(toxic) + 1) / (sum(1 - toxic) + 1)::DOUBLE) FROM taught), 6) > 0 AS abusive,
+        doc_id % 5 = 0 AS held_out FROM documents LEFT JOIN word_totals USING (doc_id)""",
+    "load_forms": "SELECT subject, body, answer, type, priority FROM raw_forms",
+    "load_chats": "SELECT chat FROM raw_chats",
+    "load_products": """SELECT product_id, title, description, image, len(customer_comments) AS n_comments,
+        array_to_string(customer_comments, '|') AS comments FROM products""",
+    "build_products_images": """SELECT product_id, CASE WHEN url IS NOT NULL THEN url WHEN uri IS NULL AND image IS NOT NULL AND image <> ''
+        THEN 'gs://catalogue/' || image ELSE uri END AS uri, strlen(html) AS n_bytes, CAST(ascii(html) AS BIGINT) AS first_byte
+        FROM products LEFT JOIN pages ON product_id = 'P' || CAST(page_id AS VARCHAR)""",
+    "embed_image": "SELECT url AS path, strlen(html) AS n_bytes FROM pages",
+    "transcribe_calls": f"SELECT url AS path, {SPOKEN} AS transcripts FROM pages",
+    "build_tickets_from_objects": f"""SELECT row_number() OVER (ORDER BY md5({SPOKEN})) AS ticket_id, 'call' AS source, md5({SPOKEN}) AS source_key,
+        'a file of ' || strlen(html) || ' bytes came.' AS subject, 'a file of ' || strlen(html) || ' bytes came. What now?' AS body,
+        'keep all ' || strlen(html) || ' bytes.' AS answer, 'Other' AS type, 'low' AS priority, 64::BIGINT AS dim FROM pages""",
     "vector_topk_filtered": """SELECT query_id, ticket_id, rank, round(distance, 6) AS distance, subject, answer
         FROM near_emails JOIN tickets ON base_id = ticket_id""",
     "search_products": """SELECT query_id, product_id, rank, round(distance, 6) AS distance, title, uri
@@ -262,10 +317,10 @@ SELECTS: dict[str, str] = {
     "search_tickets": """SELECT query_id, ticket_id, rank, round(distance, 6) AS distance, source, type, priority, subject
         FROM near_tickets JOIN tickets ON base_id = ticket_id""",
     "reply_prompts": prior_tickets(replies.AGENT_INSTRUCTION),
-    "help_prompts": prior_tickets(replies.help_instruction(replies.Contact())),
-    "answer_or_route": f"""SELECT i.item_id AS query_id, coalesce(r.reply, {quoted(replies.Contact().message())}) AS reply,
+    "help_prompts": prior_tickets(replies.help_instruction(CONTACT)),
+    "answer_or_route": f"""SELECT i.item_id AS query_id, coalesce(r.reply, {quoted(CONTACT.message())}) AS reply,
         r.reply IS NULL AS routed FROM benchmark i LEFT JOIN (SELECT query_id, nullif({stripped('answer')}, '') AS reply
-        FROM near_tickets JOIN tickets ON base_id = ticket_id WHERE rank = 1 AND distance <= 0.5) r ON r.query_id = i.item_id""",
+        FROM near_tickets JOIN tickets ON base_id = ticket_id WHERE rank = 1 AND distance <= 0.5) r ON NOT contains(lower(i.text), ' the ') AND r.query_id = i.item_id""",
 }
 SELECTS["kpis_display"] = SELECTS["kpis_tickets"]
 

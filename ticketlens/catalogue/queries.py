@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import classify, numbers, privacy, prompts, text
 from ..operators import columns, normalize, scoring, update
-from ..operators.embedding import embed, embed_tfidf, fit_tfidf, hashed_words
-from ..operators.knn import Side, fit_centroids, knn, nearest_to_vector
+from ..operators.embedding import embed, embed_tfidf, fit_tfidf, hashed_words, model_embedder
+from ..operators.knn import Side, knn, nearest_to_vector
+from ..operators.models import Model, model_column
 from ..operators.transcripts import assemble_transcripts
 from ..plans import product_reports, replies, search, ticket_reports
 from ..plans.moderation import flag_abuse, train_abuse_model
-from ..plans.products import add_uris, product_cards
-from ..plans.tickets import add_ticket_vectors, number_tickets
+from ..plans.products import add_uris, build_products, product_cards
+from ..plans.tickets import Channels, add_ticket_vectors, build_tickets, calls_from_audio, number_tickets
+from ..sources import files
+from ..session import scratch_dir, settle
 from . import lexicons, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,10 +105,10 @@ def add_column_if_missing(spark, sf):
 
 @query
 def keyed_update(spark, sf):
-    part = tables.read(spark, sf, "part").select("p_partkey", "p_name", "p_retailprice")
-    sold = tables.read(spark, sf, "lineitem").where("l_quantity >= 49")
-    prices = sold.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_extendedprice").alias("p_retailprice"))
-    return update.keyed_update(part, prices, "p_partkey", ["p_retailprice"])
+    """Customers with orders get their largest one as balance; the others keep theirs."""
+    customers = tables.read(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal")
+    largest = tables.read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"))
+    return update.keyed_update(customers, largest, "c_custkey", ["c_acctbal"])
 
 
 # --- ticket unification ------------------------------------------------------
@@ -109,7 +116,7 @@ def keyed_update(spark, sf):
 
 @query
 def assemble_transcripts_query(spark, sf):
-    return assemble_transcripts(tables.read(spark, sf, "conversations"))
+    return assemble_transcripts(tables.read(spark, sf, "conversations"), block_turns=2)
 
 
 QUERIES["assemble_transcripts"] = QUERIES.pop("assemble_transcripts_query")
@@ -165,10 +172,12 @@ def comment_prompts(spark, sf):
 
 @query
 def extraction_prompts(spark, sf):
-    raw = F.col("transcripts")
-    return tables.calls(tables.document_fields(spark, sf)).select(
-        F.md5(raw).alias("source_key"), prompts.extraction_prompt("call", raw).alias("prompt")
-    )
+    raw = tables.channels(spark, sf)
+    parts = [
+        table.select(F.lit(kind).alias("source"), F.md5(text_col).alias("source_key"), prompts.extraction_prompt(kind, F.col(text_col)).alias("prompt"))
+        for kind, table, text_col in (("chat", raw.chats, "chat"), ("email", raw.emails, "email"), ("call", raw.calls, "transcripts"))
+    ]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @query
@@ -195,22 +204,43 @@ def score_satisfaction(spark, sf):
     return _comments(spark, sf).select("product_id", tables.satisfaction()(F.col("comments_text")).alias("satisfied"))
 
 
+def _failing_sentiment():
+    """The word scorer as a Python model, out of order for texts of a length divisible by 3."""
+    split = re.compile(r"[\W\d_]+")
+
+    def score(texts: list[str]) -> list[str]:
+        if any(len(t) % 3 == 0 for t in texts):
+            raise RuntimeError("out of order")
+        found = [split.split(t.lower()) for t in texts]
+        marks = [sum(w in lexicons.POSITIVE for w in ws) - sum(w in lexicons.NEGATIVE for w in ws) for ws in found]
+        return ["Positive" if m > 0 else "Negative" if m < 0 else "Neutral" for m in marks]
+
+    return score
+
+
 @query
 def score_store(spark, sf):
-    """Distinct texts scored once into a store, the rest taken from it."""
+    """Distinct texts scored once into a store: first by a model that fails on some, then those anew."""
     tickets = tables.tickets(spark, sf).select("ticket_id", "subject", "body")
-    scorers = {"sentiment": tables.sentiment(), "churn": tables.churn()}
-    fresh = scoring.missing_scores(tickets, text.ticket_text(), None, scorers, "words-1")
-    store = tables.stored(spark, sf, "score_store", lambda _spark, _sf: fresh)
+    text_of = text.ticket_text()
+
+    def build(spark, sf):
+        flaky = {"sentiment": model_column(Model(_failing_sentiment), T.StringType()), "churn": tables.churn()}
+        first = settle(scoring.missing_scores(tickets, text_of, None, flaky, "words-1"), "scores")
+        scorers = {"sentiment": tables.sentiment(), "churn": tables.churn()}
+        return first.unionByName(scoring.missing_scores(tickets, text_of, first, scorers, "words-1"))
+
+    store = tables.stored(spark, sf, "score_store", build)
     return scoring.attach_scores(tickets, text.ticket_text(), store, "words-1").select("ticket_id", "sentiment", "churn")
 
 
 @query
 def train_abuse_model_query(spark, sf):
+    """Fitted on four fifths of the labels, applied to all documents: the last fifth was never seen."""
     documents = tables.documents(spark, sf).select("doc_id", "text")
-    labels = tables.read(spark, sf, "labels").select("doc_id", "toxic")
+    labels = tables.read(spark, sf, "labels").where("doc_id % 5 != 0").select("doc_id", "toxic")
     fitted = train_abuse_model(documents.join(labels, "doc_id"), "text", "toxic")
-    return flag_abuse(documents, "text", fitted).select("doc_id", "abusive")
+    return flag_abuse(documents, "doc_id", "text", fitted).select("doc_id", "abusive", (F.col("doc_id") % 5 == 0).alias("held_out"))
 
 
 QUERIES["train_abuse_model"] = QUERIES.pop("train_abuse_model_query")
@@ -346,7 +376,9 @@ def embed_missing(spark, sf):
 @query
 def embed_tfidf_products(spark, sf):
     content = tables.products(spark, sf).select("product_id", text.embedding_text("title", "description").alias("content"))
-    return embed_tfidf(content, "content", fit_tfidf(content, "content")).select("product_id", "text_embedding")
+    found = embed_tfidf(content, "content", fit_tfidf(content, "content", dim=64))
+    code = F.array_join(F.transform("text_embedding", lambda x: F.round(x * 100_000).cast("long").cast("string")), ",")
+    return found.select("product_id", code.alias("vector"))
 
 
 @query
@@ -377,9 +409,33 @@ def vector_topk_cells(spark, sf):
 
 @query
 def vector_topk_ivf(spark, sf):
-    """Approximate: only the 8 of 32 cells nearest to a query."""
-    side = Side(tables.image_vectors(spark, sf), "vec_id", "embedding")
-    return _images_knn(spark, sf, centroids=fit_centroids(side, 32, iterations=5), nprobe=8)
+    """Approximate: only the 8 of 32 cells nearest to a query, and which share of the true neighbours they hold."""
+    first = tables.image_vectors(spark, sf).orderBy("vec_id").limit(32).select("embedding").collect()
+    found = _images_knn(spark, sf, centroids=np.array([row[0] for row in first]), nprobe=8)
+    true = _images_knn(spark, sf).select("query_id", "base_id")
+    held = true.join(found.select("query_id", "base_id", F.lit(1).alias("hit")), ["query_id", "base_id"], "left")
+    recall = held.groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("recall"))
+    return found.join(recall, "query_id")
+
+
+@query
+def vector_topk_cosine(spark, sf):
+    return _images_knn(spark, sf, metric="cosine")
+
+
+@query
+def vector_topk_cosine_cells(spark, sf):
+    return _images_knn(spark, sf, metric="cosine", broadcast_queries=0)
+
+
+@query
+def vector_topk_dot(spark, sf):
+    return _images_knn(spark, sf, metric="dot")
+
+
+@query
+def vector_topk_dot_cells(spark, sf):
+    return _images_knn(spark, sf, metric="dot", broadcast_queries=0)
 
 
 @query
@@ -409,6 +465,89 @@ def search_tickets(spark, sf):
     )
 
 
+# --- loaders, images and audio ------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def load_forms(spark, sf):
+    """Forms written with their columns in another order and one more, and read by name."""
+    path = _folder(spark, "forms")
+    forms = tables.forms(tables.document_fields(spark, sf))
+    mixed = forms.select("priority", "answer", F.lit("a queue").alias("queue"), "subject", "type", "body")
+    mixed.write.option("header", True).option("escape", '"').csv(path)
+    return files.read_forms(spark, path)
+
+
+@query
+def load_chats(spark, sf):
+    path = _folder(spark, "chats")
+    tables.chats(spark, sf).write.option("escape", '"').csv(path)
+    return files.read_chats(spark, path)
+
+
+@query
+def load_products(spark, sf):
+    path = _folder(spark, "products")
+    tables.products(spark, sf).write.json(path)
+    found = files.read_products(spark, path)
+    comments = F.col("customer_comments")
+    return found.select(
+        "product_id", "title", "description", "image",
+        F.size(comments).cast("long").alias("n_comments"), F.array_join(comments, "|").alias("comments"),
+    )
+
+
+def _page_objects(spark, sf):
+    """Web pages as stored files: path and content."""
+    return tables.read(spark, sf, "pages").select(F.col("url").alias("path"), F.col("html").cast("binary").alias("content"))
+
+
+def _sizes():
+    return lambda contents: [[float(len(c)), float(c[0])] for c in contents]
+
+
+@query
+def build_products_images(spark, sf):
+    """Products with the pages of their number as images, each embedded by its size and first byte."""
+    pages = tables.read(spark, sf, "pages").select(F.concat(F.lit("P"), F.col("page_id").cast("string")).alias("product_id"), F.col("url").alias("uri"))
+    products = update.keyed_update(tables.products(spark, sf), pages, "product_id", ["uri"])
+    built = build_products(products, image_prefix="gs://catalogue", objects=_page_objects(spark, sf), image_embedder=model_embedder(Model(_sizes)))
+    image = F.col("img_embedding")
+    return built.select("product_id", "uri", image[0].cast("long").alias("n_bytes"), image[1].cast("long").alias("first_byte"))
+
+
+@query
+def embed_image(spark, sf):
+    """Uploaded pictures as queries."""
+    found = search.embed_images(_page_objects(spark, sf), model_embedder(Model(_sizes)))
+    return found.select("path", F.col("query_embedding")[0].cast("long").alias("n_bytes"))
+
+
+def _spoken_sizes():
+    return lambda contents: [f"Customer: Hello, a file of {len(c)} bytes came. What now?\nAgent: Hi, keep all {len(c)} bytes." for c in contents]
+
+
+@query
+def transcribe_calls(spark, sf):
+    transcriber = model_column(Model(_spoken_sizes), T.StringType())
+    return normalize.transcribe(_page_objects(spark, sf), transcriber).select("path", "transcripts")
+
+
+@query
+def build_tickets_from_objects(spark, sf):
+    """From stored files to tickets."""
+    transcriber = model_column(Model(_spoken_sizes), T.StringType())
+    calls = calls_from_audio(_page_objects(spark, sf), transcriber)
+    built = build_tickets(spark, Channels(calls=calls))
+    return built.select(
+        "ticket_id", "source", "source_key", "subject", "body", "answer", "type", "priority", F.size("text_embedding").cast("long").alias("dim")
+    )
+
+
 # --- replies -----------------------------------------------------------------
 
 
@@ -421,7 +560,7 @@ def reply_prompts(spark, sf):
 @query
 def help_prompts(spark, sf):
     issues = tables.read(spark, sf, "benchmark")
-    instruction = replies.help_instruction(replies.Contact())
+    instruction = replies.help_instruction(tables.CONTACT)
     found = _similar_tickets(spark, sf)
     return replies.reply_prompts(issues, found, "item_id", "text", instruction).select("query_id", "prompt")
 
@@ -429,4 +568,4 @@ def help_prompts(spark, sf):
 @query
 def answer_or_route(spark, sf):
     issues = tables.read(spark, sf, "benchmark")
-    return replies.answer_or_route(issues, _similar_tickets(spark, sf), "item_id", "text", max_distance=0.5)
+    return replies.answer_or_route(issues, _similar_tickets(spark, sf), "item_id", "text", tables.CONTACT, max_distance=0.5, personal=(" the ",))

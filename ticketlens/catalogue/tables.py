@@ -17,6 +17,7 @@ from ..operators.normalize import Rules
 from ..operators.scoring import abuse_scorer, churn_scorer, satisfaction_scorer, sentiment_scorer
 from ..operators.transcripts import assemble_transcripts
 from ..plans.product_reports import score_products
+from ..plans.replies import Contact
 from ..plans.ticket_reports import score_tickets
 from ..plans.tickets import Channels, add_ticket_vectors, number_tickets, records, unify
 from ..session import settle, spread
@@ -24,6 +25,8 @@ from . import lexicons
 
 RULES = Rules(types=lexicons.TYPES, priorities=lexicons.PRIORITIES)
 
+CONTACT = Contact("help@example.com", "+1 555 0100")
+
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -72,27 +75,36 @@ def forms(fields: DataFrame) -> DataFrame:
 
 
 def emails(fields: DataFrame) -> DataFrame:
-    """French and Spanish documents as raw emails, in quotes, with \\n as two characters."""
+    """French and Spanish documents as raw emails, in quotes, with \\n as two characters.
+
+    Quoted lines stand above and below the text, every turn has a signature or closing, and the customer writes twice.
+    """
     parts = [
         F.lit('"Subject: '), F.col("subject"),
-        F.lit("\\nFrom: Ada Doe <ada@example.com>\\nTo: Support <help@example.com>\\nCustomer: "), F.col("body"),
-        F.lit("\\nSupport: "), F.col("answer"), F.lit('"'),
+        F.lit("\\nFrom: Ada Doe <ada@example.com>\\nTo: Support <help@example.com>\\nCustomer: > an earlier line\\n"), F.col("body"),
+        F.lit("\\nOn Monday Ada wrote:\\n> another one\\nBest regards, Ada Doe\\nSupport: Hello Ada, "), F.col("answer"),
+        F.lit("\\n-- \\nSupport team\\nThis message is confidential.\\nCustomer: "), F.col("source"),
+        F.lit(" asks again\\nThanks, but From: here on it is new\\nThank you,\\nAda\""),
     ]
     return fields.where(F.col("lang").isin("fr", "es")).select(F.concat(*parts).alias("email"))
 
 
 def calls(fields: DataFrame) -> DataFrame:
-    """German documents as call transcripts."""
+    """German documents as call transcripts, with a line that begins like an email's header."""
     parts = [
-        F.lit("Customer: "), F.col("subject"), F.lit("\nCustomer: "), F.col("body"), F.lit("\nAgent: "), F.col("answer"),
+        F.lit("Customer: "), F.col("subject"), F.lit("\nTo: "), F.col("source"),
+        F.lit("\nCustomer: "), F.col("body"), F.lit("\nAgent: "), F.col("answer"),
     ]
     return fields.where(F.col("lang") == "de").select(F.concat(*parts).alias("transcripts"))
 
 
 def chats(spark: SparkSession, sf: str) -> DataFrame:
-    """Conversations as raw chats, in quotes, with \\n as two characters."""
+    """Conversations as raw chats, in quotes, with \\n as two characters.
+
+    Blocks of two turns, so that conversations go over several.
+    """
     turns = read(spark, sf, "conversations")
-    lines = assemble_transcripts(turns, separator="\\n")
+    lines = assemble_transcripts(turns, block_turns=2, separator="\\n")
     return lines.select(F.concat(F.lit('"'), "transcripts", F.lit('"')).alias("chat"))
 
 

@@ -1,7 +1,8 @@
 """Removal of personal data that a pattern can recognize.
 
-Names of persons are beyond patterns; a caller who has a recognizer gives it to
-the normalization as ``Rules(names=…)``.
+Of the names of persons, those after a form of address are recognized. Others are
+beyond patterns; a caller who has a recognizer gives it to the normalization as
+``Rules(names=…)``.
 """
 
 from __future__ import annotations
@@ -14,13 +15,24 @@ from pyspark.sql import functions as F
 Patterns = Sequence[tuple[str, str]]
 
 # Applied in this order: a later pattern must not eat part of an earlier one.
-# Only constructs that Java and RE2 read alike, so no look-around and no \b.
+# Only constructs that Java and RE2 read alike, so no look-around. A match begins and ends with a token: the
+# character before it is captured and put back, the one after it too. Labels name groups as Java does.
+_BEFORE, _AFTER = r"(^|[^\p{L}0-9.])", r"($|[^\p{L}0-9.]|\.(?:$|[^\p{L}0-9]))"
 ADDRESS_PATTERNS: Patterns = ((r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[EMAIL]"),)
-NUMBER_PATTERNS: Patterns = (
-    (r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "[IP]"),
-    (r"INV-[0-9]{4,}(-R[0-9]+)?", "[INVOICE]"),
-    (r"[A-Z][0-9]{6}", "[ORDER]"),
-    (r"\+?\(?[0-9][0-9 ().-]{6,}[0-9]", "[NUMBER]"),
+NAME_PATTERNS: Patterns = (
+    (r"(^|[^\p{L}])((?:Mr|Mrs|Ms|Dr|Prof)\.? )\p{Lu}[\p{L}'’-]+(?: \p{Lu}[\p{L}'’-]+){0,2}", "$1$2[NAME]"),
+)
+NUMBER_PATTERNS: Patterns = tuple(
+    (_BEFORE + pattern + _AFTER, f"$1{label}$2")
+    for pattern, label in (
+        (r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "[IP]"),
+        (r"INV-[0-9]{4,}(?:-R[0-9]+)?", "[INVOICE]"),
+        (r"[A-Z]-[0-9]{4,}", "[CASE]"),
+        (r"[A-Z][0-9]{6}", "[ORDER]"),
+        (r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?", "[ACCOUNT]"),
+        (r"\+?\(?[0-9][0-9 ().-]{6,}[0-9]", "[NUMBER]"),
+    )
+    for _ in range(2)  # neighbours share the character between them
 )
 
 
@@ -34,12 +46,14 @@ def redact(
     text: Column,
     addresses: Patterns = ADDRESS_PATTERNS,
     numbers: Patterns = NUMBER_PATTERNS,
+    names: Patterns = NAME_PATTERNS,
 ) -> Column:
     """``text`` with personal data replaced by a label.
 
-    An address holds an ``@`` and a number a digit. Most texts have neither, and
-    a look for one character is far cheaper than a pattern, so the patterns run
-    only where it is found.
+    An address holds an ``@``, a number a digit, a name here a form of address. Most texts have
+    none, and a look for it is far cheaper than a pattern, so the patterns run only where it is
+    found.
     """
     clean = F.when(text.contains("@"), _replaced(text, addresses)).otherwise(text)
-    return F.when(text.rlike("[0-9]"), _replaced(clean, numbers)).otherwise(clean)
+    clean = F.when(text.rlike("[0-9]"), _replaced(clean, numbers)).otherwise(clean)
+    return F.when(text.rlike("Mr|Ms|Dr|Prof"), _replaced(clean, names)).otherwise(clean)

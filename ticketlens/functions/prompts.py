@@ -23,7 +23,8 @@ EXTRACTION = (
     + _choices([label for label, _ in TYPE_RULES] + [OTHER_TYPE])
     + ". Pick the priority from: "
     + _choices([label for label, _ in PRIORITY_RULES] + [LOWEST_PRIORITY])
-    + ". Leave out personal data, greetings, signatures and quoted earlier mail.\n\n"
+    + ". The subject is a title of a few words, the body tells the issue in 1 to 3 sentences, the answer "
+    "tells the solution in 2 to 5. Leave out personal data, greetings, signatures and quoted earlier mail.\n\n"
 )
 
 

@@ -13,6 +13,9 @@ BLANKS = " \t\n\r"
 OBJECT_SCHEME = "gs://"
 PUBLIC_ADDRESS = "https://storage.googleapis.com/"
 
+# Read alike by Java, Arrow and DuckDB.
+NOT_LETTERS = r"[^\p{L}]+"
+
 
 def strip_blanks(text: Column) -> Column:
     """Trim every kind of whitespace; ``trim`` alone removes only spaces."""
@@ -68,8 +71,8 @@ def with_slash(prefix: str) -> str:
 
 
 def words(text: Column) -> Column:
-    """The lower-cased runs of a-z in ``text``, possibly with an empty string at either end."""
-    return F.split(F.lower(text), "[^a-z]+")
+    """The lower-cased runs of letters in ``text``, possibly with an empty string at either end."""
+    return F.split(F.lower(text), NOT_LETTERS)
 
 
 def has_word(words: Column, lexicon: Sequence[str]) -> Column:

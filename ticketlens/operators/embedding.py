@@ -8,18 +8,17 @@ vectors needs neither a join nor a shuffle.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.text import NOT_LETTERS
 from .columns import add_column_if_missing
 from .models import ColumnFunction, Model, model_column
 
@@ -54,7 +53,7 @@ def hashed_words(dim: int = 64) -> ColumnFunction:
     """Counts of a text's words in ``dim`` buckets, scaled to length 1.
 
     Stateless, so queries and base rows share one space without fitting. A text
-    with no word a-z has no vector. A word's bucket is the first 28 bits of its
+    without a letter has no vector. A word's bucket is the first 28 bits of its
     MD5, modulo ``dim``.
     """
 
@@ -70,7 +69,7 @@ def hashed_words(dim: int = 64) -> ColumnFunction:
 
 def _bucket_counts(texts: pa.Array, dim: int, buckets: dict[str, int]) -> np.ndarray:
     """Word counts per row and bucket; only words new to ``buckets`` are hashed."""
-    words = pc.split_pattern_regex(texts, "[^a-z]+")
+    words = pc.split_pattern_regex(texts, NOT_LETTERS)
     rows = pc.list_parent_indices(words).to_numpy()
     coded = pc.list_flatten(words).dictionary_encode()
     codes = np.empty(len(coded.dictionary), dtype=np.int64)
@@ -101,19 +100,28 @@ def list_array(matrix: np.ndarray, null_rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix[keep].ravel()), mask=pa.array(null_rows))
 
 
-def fit_tfidf(df: DataFrame, text_col: str, dim: int = 256) -> PipelineModel:
-    """Fit hashed TF-IDF vectors of length 1 on a corpus. Save the result with
-    the table it embeds: queries must use the same weights."""
-    return Pipeline(
-        stages=[
-            RegexTokenizer(inputCol=text_col, outputCol="_words", pattern="[^a-z]+"),
-            HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim),
-            IDF(inputCol="_tf", outputCol="_tfidf"),
-            Normalizer(inputCol="_tfidf", outputCol="_unit"),
-        ]
-    ).fit(df.select(text_col).where(F.col(text_col).isNotNull()))
+def fit_tfidf(df: DataFrame, text_col: str, dim: int = 256) -> list[float]:
+    """The weight of each bucket of ``hashed_words(dim)``: ln((texts + 1) / (texts with it + 1)).
 
-
-def embed_tfidf(df: DataFrame, text_col: str, fitted: PipelineModel, out: str = "text_embedding") -> DataFrame:
-    vectors = fitted.transform(df.withColumn(text_col, F.coalesce(F.col(text_col), F.lit(""))))
-    return vectors.withColumn(out, vector_to_array("_unit")).select(*df.columns, out)
+    Texts without a letter do not count. Store the weights with the table they embed: queries must
+    use the same. Eager: one row per bucket is collected.
+    """
+    vectors = df.select(hashed_words(dim)(F.col(text_col)).alias("v")).where("v is not null")
+    places = vectors.select(F.explode(F.concat(F.array(F.lit(-1)), F.filter(F.transform("v", lambda x, i: F.when(x > 0, i)), lambda i: i.isNotNull()))).alias("i"))
+    counts = {row[0]: row[1] for row in places.groupBy("i").count().collect()}
+    texts = counts.get(-1, 0)
+    return [math.log((texts + 1) / (counts.get(i, 0) + 1)) for i in range(dim)]
+
+
+def embed_tfidf(df: DataFrame, text_col: str, weights: list[float], out: str = "text_embedding") -> DataFrame:
+    """``df`` with word counts by bucket times ``weights``, scaled to length 1; NULL where that is nought."""
+    factors = F.array(*[F.lit(w) for w in weights])
+    weighted = F.zip_with(F.col("_counts"), factors, lambda x, w: x * w)
+    length = F.sqrt(F.aggregate("_weighted", F.lit(0.0), lambda s, x: s + x * x))
+    return (
+        df.withColumn("_counts", hashed_words(len(weights))(F.col(text_col)))
+        .withColumn("_weighted", weighted)
+        .withColumn("_length", length)
+        .withColumn(out, F.when(F.col("_length") > 0, F.transform("_weighted", lambda x: x / F.col("_length"))))
+        .select(*[c for c in df.columns if c != out], out)
+    )

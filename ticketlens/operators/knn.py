@@ -173,10 +173,11 @@ class Side:
     vector_col: str
 
     def rows(self, dim: int) -> DataFrame:
+        """Ids and vectors; the job fails on a vector of another length."""
         vector = F.col(self.vector_col)
-        return self.df.where(
-            F.col(self.id_col).isNotNull() & vector.isNotNull() & (F.size(vector) == dim)
-        ).select(F.col(self.id_col).alias("id"), vector.cast("array<double>").alias("vector"))
+        wrong = F.concat(F.lit(f"{self.vector_col}: a vector of length "), F.size(vector), F.lit(f", not {dim}"))
+        checked = F.when(F.size(vector) == dim, vector.cast("array<double>")).otherwise(F.raise_error(wrong))
+        return self.df.where(F.col(self.id_col).isNotNull() & vector.isNotNull()).select(F.col(self.id_col).alias("id"), checked.alias("vector"))
 
 
 def knn(
@@ -193,18 +194,24 @@ def knn(
 ) -> DataFrame:
     """The ``k`` nearest base rows of every query: (query_id, base_id, distance, rank).
 
-    Ranked by distance, then base id. Rows whose vector is NULL or not of the
-    queries' usual length take no part. Exact, unless ``nprobe`` says to look
+    Ranked by distance, then base id. Rows whose vector is NULL take no part;
+    queries or base rows of different lengths are an error. Exact, unless ``nprobe`` says to look
     only in that many cells nearest to a query. The query set is broadcast when
     it has at most ``broadcast_queries`` rows and ``broadcast_bytes`` of
     vectors; the cell plan takes any size, in chunks of ``chunk_rows`` (by
-    default as many as fill 8 MB) of at most ``cells`` cells.
+    default as many as fill 8 MB) of ``cells`` cells (by default the root of the base's rows, 16 to 16384).
+    Eager: it counts the queries, and the cell plan writes both sides.
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, not {metric!r}")
     vector = F.col(queries.vector_col)
-    size = queries.df.where(vector.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.mode(F.size(vector)).alias("dim")).head()
+    length = F.size(vector)
+    size = queries.df.where(vector.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.min(length).alias("least"), F.max(length).alias("dim")).head()
     dim = size["dim"] or 0
+    if dim != (size["least"] or 0):
+        raise ValueError(f"{queries.vector_col}: queries of lengths from {size['least']} to {dim}")
+    if not size["n"]:
+        return _no_neighbours(base, queries)
     names = ("query_id", "base_id", "distance")
     schema = T.StructType(
         [
@@ -218,12 +225,35 @@ def knn(
         found = _by_broadcast(base.rows(dim), queries.rows(dim), k, metric, dim, names, schema)
     else:
         chunk_rows = chunk_rows or max(1000, _CHUNK_BYTES // (8 * max(dim, 1)))
-        # More queries make finer cells worth while; counting the base would cost a pass.
-        cells = cells or int(np.clip(np.sqrt(size["n"]), 16, 1024))
-        found = _by_cells(base.rows(dim), queries.rows(dim), k, metric, dim, names, schema, chunk_rows, cells, centroids, nprobe)
+        cells = cells or int(np.clip(np.sqrt(base.df.count()), 16, 16384))
+        rows = base.rows(dim), queries.rows(dim)
+        if metric == "dot" and centroids is None:
+            rows, dim = _lifted(*rows), dim + 1
+        found = _by_cells(*rows, k, metric, dim, names, schema, chunk_rows, cells, centroids, nprobe)
     return _ranked(found, k)
 
 
+def _no_neighbours(base: Side, queries: Side) -> DataFrame:
+    kinds = queries.df.schema[queries.id_col].dataType, base.df.schema[base.id_col].dataType
+    return base.df.sparkSession.createDataFrame(
+        [], f"query_id {kinds[0].simpleString()}, base_id {kinds[1].simpleString()}, distance double, rank bigint"
+    )
+
+
+def _lifted(base: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with one more component, which brings all base vectors to one length.
+
+    Queries get 0 there, so dot products stay as they are, and their order is that of the
+    Euclidean distances: cells can be ruled out by the triangle inequality.
+    """
+    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    most = base.select(square.alias("s")).where("s < double('infinity')").agg(F.max("s")).head()[0] or 0.0
+    rest = F.sqrt(F.greatest(F.lit(most) - square, F.lit(0.0)))
+    return tuple(
+        rows.withColumn("vector", F.concat("vector", F.array(last))) for rows, last in ((base, rest), (queries, F.lit(0.0)))
+    )
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     best = Window.partitionBy("query_id").orderBy("distance", "base_id")
     return found.withColumn("rank", F.row_number().over(best).cast("long")).where(F.col("rank") <= k)
@@ -278,6 +308,12 @@ def _gaps(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(rough, 0.0))
 
 
+def _slices(rows: int, cells: int) -> Iterator[slice]:
+    """Row ranges whose distances to all cells fill a bounded block."""
+    step = max(1, _BLOCK // max(cells, 1))
+    return (slice(i, i + step) for i in range(0, rows, step))
+
+
 def _assigned(rows: DataFrame, pivots: np.ndarray, metric: str, dim: int) -> DataFrame:
     """Rows with the cell of their nearest pivot, the distance to it, and a number of their own."""
     schema = T.StructType(
@@ -290,14 +326,16 @@ def _assigned(rows: DataFrame, pivots: np.ndarray, metric: str, dim: int) -> Dat
             if not batch.num_rows:
                 continue
             ids, vectors = _prepared(np.arange(batch.num_rows), _vectors(batch.column(1), dim), metric)
-            gaps = _gaps(vectors, shared.value)
-            cell = gaps.argmin(axis=1)
+            cell, gap = np.zeros(len(ids), np.int64), np.zeros(len(ids))
+            for part in _slices(len(ids), len(shared.value)):
+                gaps = _gaps(vectors[part], shared.value)
+                cell[part], gap[part] = gaps.argmin(axis=1), gaps.min(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(ids)),
                     batch.column(1).take(pa.array(ids)),
                     pa.array(cell, type=pa.int64()),
-                    pa.array(gaps[np.arange(len(ids)), cell]),
+                    pa.array(gap),
                 ],
                 names=["id", "vector", "cell", "gap"],
             )
@@ -362,10 +400,8 @@ def _by_cells(base, queries, k, metric, dim, names, schema, chunk_rows, cells, c
     queries = settle(_assigned(queries, pivots, metric, dim), "knn-queries")
     meet = lambda asked: _meet(base, asked, k, metric, dim, names, schema, chunk_rows)
 
-    if nprobe is not None or metric == "dot":
-        # A dot product obeys no triangle inequality, so no cell can be ruled out.
-        count = len(pivots) if nprobe is None else min(nprobe, len(pivots))
-        return meet(_probes(queries, pivots, metric, dim, count))
+    if nprobe is not None:
+        return meet(_probes(queries, pivots, metric, dim, min(nprobe, len(pivots))))
 
     # The home cell of a query gives real rows, hence an upper bound on its k-th
     # distance; the other cells are searched only if they can beat that bound.
@@ -379,7 +415,7 @@ def _by_cells(base, queries, k, metric, dim, names, schema, chunk_rows, cells, c
     return home.unionByName(meet(_reachable(bounded, pivots, radii, metric, dim)))
 
 
-def _exploded(rows: DataFrame, cells_of, dim: int, metric: str) -> DataFrame:
+def _exploded(rows: DataFrame, cells_of, cells: int, dim: int, metric: str) -> DataFrame:
     """One row per query and cell that ``cells_of(vectors, batch)`` marks."""
     schema = T.StructType(
         [rows.schema["id"], rows.schema["vector"], rows.schema["seq"], T.StructField("cells", T.ArrayType(T.LongType()))]
@@ -390,7 +426,11 @@ def _exploded(rows: DataFrame, cells_of, dim: int, metric: str) -> DataFrame:
             if not batch.num_rows:
                 continue
             _, vectors = _prepared(np.arange(batch.num_rows), _vectors(batch.column("vector"), dim), metric)
-            marked = [np.flatnonzero(row) for row in cells_of(vectors, batch)]
+            marked = [
+                np.flatnonzero(row)
+                for part in _slices(len(vectors), cells)
+                for row in cells_of(vectors[part], batch.slice(part.start, len(vectors[part])))
+            ]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("vector"), batch.column("seq"), pa.array(marked, type=pa.list_(pa.int64()))],
                 names=["id", "vector", "seq", "cells"],
@@ -409,7 +449,7 @@ def _probes(queries: DataFrame, pivots: np.ndarray, metric: str, dim: int, count
         np.put_along_axis(marked, order, True, axis=1)
         return marked
 
-    return _exploded(queries, nearest, dim, metric)
+    return _exploded(queries, nearest, len(pivots), dim, metric)
 
 
 def _reachable(bounded: DataFrame, pivots: np.ndarray, radii: np.ndarray, metric: str, dim: int) -> DataFrame:
@@ -419,6 +459,7 @@ def _reachable(bounded: DataFrame, pivots: np.ndarray, radii: np.ndarray, metric
     and no nearer than the plane halfway between the two pivots.
     """
     between = _gaps(pivots, pivots)
+    longest = float((pivots * pivots).sum(axis=1).max(initial=0.0))
 
     def within(vectors: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
         own = batch.column("cell").to_numpy()
@@ -426,6 +467,9 @@ def _reachable(bounded: DataFrame, pivots: np.ndarray, radii: np.ndarray, metric
         bound = np.where(np.isnan(bound), np.inf, bound)
         if metric == "cosine":
             bound = np.sqrt(2.0 * np.maximum(bound, 0.0))
+        elif metric == "dot":  # of lifted vectors, all as long as the longest
+            square = (vectors * vectors).sum(axis=1) + longest
+            bound = np.sqrt(np.maximum(square + 2.0 * bound, 0.0)) + 1e-6 * (1.0 + np.sqrt(square))
         gaps = _gaps(vectors, pivots)
         mine = gaps[np.arange(len(gaps)), own][:, None]
         apart = between[own]
@@ -436,4 +480,4 @@ def _reachable(bounded: DataFrame, pivots: np.ndarray, radii: np.ndarray, metric
         reach[np.arange(len(gaps)), own] = False
         return reach
 
-    return _exploded(bounded, within, dim, metric)
+    return _exploded(bounded, within, len(pivots), dim, metric)

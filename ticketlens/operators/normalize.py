@@ -18,21 +18,31 @@ from ..functions import classify, privacy, prompts
 from ..functions.text import first_chars, strip_blanks, words
 from .models import ColumnFunction, Model, model_column
 
-# The labels that begin a turn or a header line of a raw cell.
+# The labels that begin a turn, and those of the lines above an email's first turn.
 CUSTOMER = "Customer"
 REPLIERS = ("Agent", "Support")
 HEADERS = ("Subject", "From", "To")
 
-_LABELS = "|".join((CUSTOMER, *REPLIERS, *HEADERS))
+_LABELS = "|".join((CUSTOMER, *REPLIERS))
 _TURN_BREAK = rf"(?:\\n|\r?\n)(?=(?:{_LABELS}):)"
-
-# What an email writes after its text, and how people open a message.
-_QUOTED_HISTORY = r"(?s)(?:\n|^)(?:>|On [^\n]{1,200} wrote:|-{2,} ?Original Message).*$"
-_SIGNATURE = r"(?s)\n(?:-- ?\n|(?:Best|Kind|Warm) regards|Regards|Sincerely|Thanks,|Thank you,\s*\n).*$"
+_HEADER_LINE = rf"^(?:{'|'.join(HEADERS)}):"
+
+# What a turn of an email holds besides its text, each pattern within one turn: quoted lines and the
+# line that announces them, a forwarded message, a signature after its delimiter, a closing
+# formula with nothing but a name after it, and disclaimers.
+_NAME = r"(?:\p{Lu}[\p{L}.'’-]*[ \t]*){1,4}"
+_CLOSING = r"(?:(?:Best|Kind|Warm) regards|Regards|Sincerely|Yours sincerely|Best wishes|Many thanks|Thanks|Thank you)"
+_TAILS = (
+    r"(?m)^[ \t]*(?:>[^\n]*|On [^\n]{1,200} wrote:[ \t]*)(?:\n|\z)",
+    r"(?s)(?:\n|^)-{2,} ?(?:Original|Forwarded) [Mm]essage.*\z",
+    r"(?s)(?:\n|^)-- ?\n.*\z",
+    r"(?im)^[^\n]*(?:confidentiality notice|this (?:e-?mail|message)[^\n]{0,160}confidential)[^\n]*(?:\n|\z)",
+    rf"(?:\n|^)[ \t]*{_CLOSING}[,.!]?\s*(?:{_NAME})?\s*\z",
+)
 _INTRODUCTION = r"^(?:Hi|Hello|Hey),?\s+(?:this is|my name is|I am|I.m)\s+(?:\p{Lu}[\p{L}'’-]*\s*){1,4}[.!,]\s+(?=\S)"
 _GREETING = r"^(?:Hi|Hello|Hey|Dear)(?:\s+(?:(?:Mr|Ms|Mrs|Dr)\.\s+)?\p{Lu}[\p{L}'’-]*)?[.!,]\s+(?=\S)"
 
-SUBJECT_CHARS = 80
+_FIRST_SENTENCE = r"(?s)^(.*?[.!?])(?:\s|\z)"
 
 
 @dataclass(frozen=True)
@@ -40,13 +50,15 @@ class Rules:
     """How the built-in extractor fills type and priority and removes personal data.
 
     ``redact`` must be an SQL expression; ``names`` may be a model, and gets the
-    redacted text.
+    redacted text. A chat or call has no subject line; its subject is the first sentence of the
+    first customer turn, cut to ``subject_chars`` characters if that is given.
     """
 
     types: classify.Rules = classify.TYPE_RULES
     priorities: classify.Rules = classify.PRIORITY_RULES
     redact: Callable[[Column], Column] = privacy.redact
     names: ColumnFunction | None = None
+    subject_chars: int | None = None
 
 
 def _unwrapped(cell: Column) -> Column:
@@ -79,13 +91,20 @@ def _without_greeting(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, _INTRODUCTION, ""), _GREETING, "")
 
 
-def _without_tail(text: Column) -> Column:
-    return strip_blanks(F.regexp_replace(F.regexp_replace(text, _QUOTED_HISTORY, ""), _SIGNATURE, ""))
+def _without_tails(text: Column) -> Column:
+    for pattern in _TAILS:
+        text = strip_blanks(F.regexp_replace(text, pattern, ""))
+    return text
+
+
+def _first_sentence(text: Column) -> Column:
+    return F.coalesce(F.nullif(F.regexp_extract(text, _FIRST_SENTENCE, 1), F.lit("")), text)
 
 
 def _joined(texts: Column) -> Column:
-    """The texts joined by a space; NULL when there are none."""
-    return F.when(F.size(texts) > 0, F.array_join(texts, " "))
+    """The texts joined by a space, without the empty ones; NULL when there are none."""
+    filled = F.filter(texts, lambda t: t != "")
+    return F.when(F.size(filled) > 0, F.array_join(filled, " "))
 
 
 def _parsed(df: DataFrame, text_col: str, source: str) -> DataFrame:
@@ -108,7 +127,7 @@ def _conversation_parts(df: DataFrame, text_col: str, source: str) -> DataFrame:
         .select(
             "source",
             "source_key",
-            first_chars(F.try_element_at(asked, F.lit(1)), SUBJECT_CHARS).alias("_subject"),
+            _first_sentence(F.try_element_at(F.filter(asked, lambda t: t != ""), F.lit(1))).alias("_subject"),
             _joined(asked).alias("_body"),
             _joined(replied).alias("_answer"),
         )
@@ -116,8 +135,8 @@ def _conversation_parts(df: DataFrame, text_col: str, source: str) -> DataFrame:
 
 
 def chat_parts(chats: DataFrame, text_col: str = "chat") -> DataFrame:
-    """Subject: start of the first customer turn. Body: all customer turns.
-    Answer: all agent turns."""
+    """Subject: first sentence of the first customer turn. Body: all customer turns.
+    Answer: all agent turns. A line that begins with another label is part of its turn."""
     return _conversation_parts(chats, text_col, "chat")
 
 
@@ -127,19 +146,23 @@ def call_parts(transcripts: DataFrame, text_col: str = "transcripts") -> DataFra
 
 
 def email_parts(emails: DataFrame, text_col: str = "email") -> DataFrame:
-    """Subject from the header; body and answer without signature and quoted history."""
-    turns = F.col("_turns")
+    """Subject from the header lines above the first turn; body and answer are all turns of the
+    customer and of support, each without greeting, signature, quoted lines and disclaimer."""
+    turns, lines = F.col("_turns"), F.col("_lines")
+    header = F.filter(lines, lambda line: line.rlike("^Subject:"))
+    above = F.array_join(F.filter(lines, lambda line: ~line.rlike(_HEADER_LINE)), "\n")
 
     def text_of(turns_col: str) -> Column:
-        return _without_greeting(_without_tail(_joined(F.col(turns_col))))
+        return _joined(F.transform(F.col(turns_col), lambda t: _without_greeting(_without_tails(t))))
 
     return (
         _parsed(emails, text_col, "email")
+        .withColumn("_lines", F.split(F.array_join(_unlabelled(turns), "\n"), "\r?\n"))
         .select(
             "source",
             "source_key",
-            F.try_element_at(_spoken(turns, "Subject"), F.lit(1)).alias("_subject"),
-            F.concat(_unlabelled(turns), _spoken(turns, CUSTOMER)).alias("_asked"),
+            strip_blanks(F.regexp_replace(F.try_element_at(header, F.lit(1)), "^Subject:", "")).alias("_subject"),
+            F.concat(F.array(above), _spoken(turns, CUSTOMER)).alias("_asked"),
             _spoken(turns, *REPLIERS).alias("_replied"),
         )
         .select("source", "source_key", "_subject", text_of("_asked").alias("_body"), text_of("_replied").alias("_answer"))
@@ -157,6 +180,7 @@ def to_records(parts: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """
     about = F.concat(F.coalesce("_subject", F.lit("")), F.lit(" "), F.coalesce("_body", F.lit("")))
     found, clean = F.col("_words"), F.col("_clean")
+    subject = F.col("_subject") if rules.subject_chars is None else first_chars(F.col("_subject"), rules.subject_chars)
     names = rules.names or (lambda text: text)
     fields = {
         "subject": names(clean[0]),
@@ -170,7 +194,7 @@ def to_records(parts: DataFrame, rules: Rules = Rules()) -> DataFrame:
             "source",
             "source_key",
             words(about).alias("_words"),
-            F.transform(F.array("_subject", "_body", "_answer"), lambda text: rules.redact(text)).alias("_clean"),
+            F.transform(F.array(subject, "_body", "_answer"), lambda text: rules.redact(text)).alias("_clean"),
         )
         .select("source", "source_key", *[value.alias(name) for name, value in fields.items()])
         .select("source", "source_key", F.inline(F.array(F.struct(*fields))))

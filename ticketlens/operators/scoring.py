@@ -7,14 +7,16 @@ model; they are no substitute for one.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.prompts import scoring_prompt
 from ..functions.text import count_words, has_word, strip_blanks, words
-from .models import ColumnFunction
+from .hot import left_join_hot
+from .models import ColumnFunction, ModelColumn
 
 NEGATIVE_WORDS = ("angry", "awful", "bad", "broken", "defective", "disappointed", "late", "poor", "refund", "terrible", "unacceptable", "worst", "wrong")
 POSITIVE_WORDS = ("amazing", "excellent", "fast", "good", "great", "happy", "love", "perfect", "thank", "thanks", "works")
@@ -68,6 +70,8 @@ def satisfaction_scorer(negative: Sequence[str] = NEGATIVE_WORDS, positive: Sequ
 
 def prompted(model: ColumnFunction, instruction: str) -> ColumnFunction:
     """A model scorer that is sent ``instruction`` (see ``functions.prompts``) before each text."""
+    if isinstance(model, ModelColumn):
+        return replace(model, prepare=lambda text: model.prepare(scoring_prompt(instruction, text)))
     return lambda text: model(scoring_prompt(instruction, text))
 
 
@@ -95,31 +99,38 @@ def missing_scores(
     version: str,
     tasks: int | None = None,
 ) -> DataFrame:
-    """Score rows to append to ``store``: (text_key, model_version, one column per scorer).
+    """Score rows to append to ``store``: (text_key, model_version, failed, one column per scorer).
 
     Every distinct text is scored once, however many rows carry a copy of it,
-    and a text the store already has for this ``version`` not at all. For a
+    and a text the store already has for this ``version`` not at all, unless a model
+    failed on it: such a row is marked ``failed``, and its text is scored again. For a
     slow model give ``tasks``: adaptive execution sizes tasks by bytes, and few
     bytes can be long work.
     """
     texts = df.where(text.isNotNull()).select(text_key(text).alias("text_key"), text.alias("_text"))
     if store is not None:
-        known = store.where(F.col("model_version") == version).select("text_key")
+        known = _scored(store, version).select("text_key")
         texts = texts.join(known, "text_key", "left_anti")
     distinct = texts.groupBy("text_key").agg(F.first("_text").alias("_text"))
     if tasks:
         distinct = distinct.repartition(tasks)
-    return add_scores(distinct, "_text", scorers).select(
-        "text_key", F.lit(version).alias("model_version"), *scorers
-    )
+    checked = {name: scorer.checked if isinstance(scorer, ModelColumn) else scorer for name, scorer in scorers.items()}
+    scored = add_scores(distinct, "_text", checked)
+    models = [name for name, scorer in scorers.items() if isinstance(scorer, ModelColumn)]
+    failed = reduce(Column.__or__, [F.col(name)["failed"] for name in models], F.lit(False))
+    values = [F.col(name)["value"].alias(name) if name in models else F.col(name) for name in scorers]
+    return scored.select("text_key", F.lit(version).alias("model_version"), failed.alias("failed"), *values)
+
+
+def _scored(store: DataFrame, version: str) -> DataFrame:
+    return store.where((F.col("model_version") == version) & ~F.col("failed"))
 
 
 def attach_scores(df: DataFrame, text: Column, store: DataFrame, version: str) -> DataFrame:
-    """``df`` with its stored scores; NULL where there are none yet.
+    """``df`` with its stored scores; NULL where there are none yet, or a model failed.
 
-    The store has one row per text and version, so this is an equi-join that
-    cannot multiply rows. A text shared by many rows makes a skewed key of the
-    left side, which adaptive execution splits.
+    The store has one row per text and version without a failure, so this is an equi-join that
+    cannot multiply rows. A text that very many rows share makes no large group (``left_join_hot``).
     """
-    scores = store.where(F.col("model_version") == version).drop("model_version")
-    return df.withColumn("text_key", text_key(text)).join(scores, "text_key", "left").drop("text_key")
+    scores = _scored(store, version).drop("model_version", "failed")
+    return left_join_hot(df.withColumn("text_key", text_key(text)), scores, "text_key").drop("text_key")

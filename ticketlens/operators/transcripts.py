@@ -16,24 +16,23 @@ def speaker(role: Column) -> Column:
     return chain
 
 
-def assemble_transcripts(turns: DataFrame, part_turns: int = 1000, separator: str = "\n") -> DataFrame:
+def _joined(parts: Column, text: str, separator: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(parts)), lambda p: p[text]), separator)
+
+
+def assemble_transcripts(turns: DataFrame, block_turns: int = 1000, separator: str = "\n") -> DataFrame:
     """One transcript per conversation: ``Customer: …`` / ``Agent: …`` in turn order.
 
-    (conv_id, turn) is the key of ``turns``. A conversation of more than
-    ``part_turns`` turns becomes several transcripts, numbered by ``part``: no
-    turn is left out, and no group holds more than ``part_turns`` rows however
-    long a conversation is. Turns of other roles are not spoken and are skipped.
+    (conv_id, turn) is the key of ``turns``. Turns of other roles are not spoken and are
+    skipped. Blocks of ``block_turns`` turns are joined to texts first and a
+    conversation's blocks after, so that a long conversation is sorted in
+    several tasks; the result does not depend on it.
     """
-    said = (
-        turns.where(F.col("role").isin(*SPEAKERS) & F.col("text").isNotNull())
-        .withColumn("speaker", speaker(F.col("role")))
-        .select(
-            "conv_id",
-            F.floor(F.col("turn") / part_turns).cast("long").alias("part"),
-            F.struct("turn", F.concat("speaker", F.lit(": "), "text").alias("line")).alias("said"),
-        )
-    )
-    ordered = F.array_sort(F.collect_list("said"))
-    return said.groupBy("conv_id", "part").agg(
-        F.array_join(F.transform(ordered, lambda s: s["line"]), separator).alias("transcripts")
+    said = turns.where(F.col("role").isin(*SPEAKERS) & F.col("text").isNotNull()).select(
+        "conv_id",
+        F.floor(F.col("turn") / block_turns).alias("block"),
+        "turn",
+        F.concat(speaker(F.col("role")), F.lit(": "), "text").alias("line"),
     )
+    blocks = said.groupBy("conv_id", "block").agg(_joined(F.struct("turn", "line"), "line", separator).alias("lines"))
+    return blocks.groupBy("conv_id").agg(_joined(F.struct("block", "lines"), "lines", separator).alias("transcripts"))

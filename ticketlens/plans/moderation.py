@@ -1,12 +1,10 @@
-"""A learned alternative to the abuse lexicon."""
+"""A learned alternative to the abuse lexicon: naive Bayes on word counts."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,33 +12,42 @@ from ..functions.text import words
 from ..session import settle
 
 
-def _features(df: DataFrame, text_col: str, dim: int) -> DataFrame:
-    found = df.withColumn("_words", F.filter(words(F.coalesce(text_col, F.lit(""))), lambda w: w != ""))
-    return HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim).transform(found).drop("_words")
+def _counted(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
+    """(keep, word) of every word in ``df``."""
+    return df.select(*keep, F.explode(words(F.col(text_col))).alias("word")).where("word != ''")
 
 
 @dataclass(frozen=True)
 class AbuseModel:
-    fitted: PipelineModel
-    dim: int
+    """Words with what each adds to the logarithm of the odds, and the odds of a text without any."""
 
+    weights: DataFrame
+    prior: float
 
-def train_abuse_model(labelled: DataFrame, text_col: str, label_col: str, dim: int = 4096) -> AbuseModel:
-    """Logistic regression on hashed words. The rarer class is weighted up.
 
-    Texts are hashed once and stored; the iterations read only the features.
+def train_abuse_model(labelled: DataFrame, text_col: str, label_col: str) -> AbuseModel:
+    """Multinomial naive Bayes, one added to each count. Rows without a label or text teach nothing.
+
+    The words stay in a table of their own, however many there are. Eager: it is written.
     """
-    label = F.col(label_col).cast("double")
-    features = settle(_features(labelled, text_col, dim).select("_tf", label.alias("label")), "abuse-features")
-    share = features.agg(F.avg("label")).head()[0] or 0.5
-    weighted = features.withColumn("weight", F.when(F.col("label") == 1, 1.0 - share).otherwise(share))
-    stages = [
-        IDF(inputCol="_tf", outputCol="_features", minDocFreq=2),
-        LogisticRegression(featuresCol="_features", weightCol="weight", regParam=0.05, maxIter=20),
-    ]
-    return AbuseModel(Pipeline(stages=stages).fit(weighted), dim)
-
-
-def flag_abuse(df: DataFrame, text_col: str, model: AbuseModel, out: str = "abusive") -> DataFrame:
-    scored = model.fitted.transform(_features(df, text_col, model.dim))
-    return scored.withColumn(out, F.col("prediction") == 1.0).select(*df.columns, out)
+    known = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull())
+    label = F.col(label_col).cast("int")
+    rows = known.agg(F.sum(label).alias("bad"), F.count("*").alias("n")).head()
+    bad, good = rows["bad"] or 0, rows["n"] - (rows["bad"] or 0)
+    counts = _counted(known.withColumn("_label", label), text_col, "_label").groupBy("word").agg(
+        F.sum("_label").alias("bad"), F.sum(1 - F.col("_label")).alias("good")
+    )
+    counts = settle(counts, "abuse-words")
+    total = counts.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("words")).head()
+    size = total["words"]
+    share = [F.log((F.col(side) + 1) / F.lit(float((total[side] or 0) + size))) for side in ("bad", "good")]
+    prior = math.log((bad + 1) / (good + 1))
+    return AbuseModel(counts.select("word", (share[0] - share[1]).alias("weight")), prior)
+
+
+def flag_abuse(df: DataFrame, id_col: str, text_col: str, model: AbuseModel, out: str = "abusive") -> DataFrame:
+    """``df`` with whether its words make abuse likelier than not; unknown words say nothing."""
+    known = _counted(df, text_col, id_col).join(model.weights, "word")
+    totals = known.groupBy(id_col).agg(F.sum("weight").alias("_total"))
+    score = F.round(F.coalesce("_total", F.lit(0.0)) + F.lit(model.prior), 6)
+    return df.join(totals, id_col, "left").withColumn(out, score > 0).drop("_total")

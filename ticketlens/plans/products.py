@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
-from ..functions.text import card_text, embedding_text, preview, public_url
+from ..functions.text import card_text, embedding_text, is_filled, preview, public_url
 from ..operators.columns import add_column_if_missing, fill_uri
 from ..operators.embedding import embed, hashed_words
+from ..operators.hot import left_join_hot
 from ..operators.models import ColumnFunction
 from ..sources.files import object_key, wanted_objects
 
@@ -38,15 +39,15 @@ def add_image_vectors(
     """Vectors of the images the products point at.
 
     Each image is read and embedded once, however many products show it, and
-    only its vector travels to them. A product whose image is not found keeps
-    the vector it had.
+    only its vector travels to them. Products without a uri, or with one that very many
+    share, make no large group. A product whose image is not found keeps the vector it had.
     """
     products = add_column_if_missing(products, out, schemas.VECTOR)
     images = wanted_objects(objects, products, uri_col).select(
         "object_key", image_embedder(F.col("content")).alias("_vector")
     )
-    keyed = products.withColumn("object_key", object_key(F.col(uri_col)))
-    return keyed.join(images, "object_key", "left").select(
+    key = F.when(is_filled(F.col(uri_col)), object_key(F.col(uri_col)))
+    return left_join_hot(products.withColumn("object_key", key), images, "object_key").select(
         *[F.coalesce("_vector", out).alias(out) if c == out else F.col(c) for c in products.columns]
     )
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,27 +17,30 @@ from ..operators.models import ColumnFunction
 class Contact:
     """Where a customer is sent when there is no safe answer."""
 
-    # The support address and number, and the message they go in.
-    email: str = "support@example.com"
-    phone: str = "+90 555 000 0000"
+    email: str
+    phone: str
 
+    # Fixed value: the message the address and number go in.
     def message(self) -> str:
         return f"Please contact our support team for assistance:\nEmail: {self.email}\nPhone: {self.phone}"
 
 
-AGENT_INSTRUCTION = (
-    "As an experienced support agent, write a short and kind reply to the issue. "
-    "Use nothing but the earlier tickets: take the solution from their answers, the background from subject and body. "
-    "Where they disagree, prefer the safer and more general advice. Write in the language of the issue, and give the reply only."
-)
+# What a model is sent before the issue and its neighbours: the inputs it finds below, what it must give back,
+# and what to do where there is nothing to go by. Replace them by your own.
+AGENT_INSTRUCTION = """INPUT: "Issue" is one customer message. "Earlier tickets" lists resolved tickets, numbered by rank (1 is the most similar), each with subject, body and answer.
+OUTPUT: a draft that an agent will check. End it with a line "Based on: " and the ranks you used.
+RULES: state only what an answer in the list states. If the list is empty or no answer fits, output "No evidence: " and the question the agent should ask next."""
 
 
 def help_instruction(contact: Contact) -> str:
-    return (
-        "Answer a customer of the help center. If the earlier tickets hold a safe solution that applies, or the question is a "
-        "general one that needs no look-up of an account or order, explain the steps briefly. Otherwise ask the customer to "
-        f"contact support, email {contact.email}, phone {contact.phone}. Write in the language of the issue, and give the reply only."
-    )
+    return f"""INPUT: "Issue" is a question typed into a public help page. "Earlier tickets" lists resolved tickets, numbered by rank (1 is the most similar).
+OUTPUT: either numbered steps the reader can do alone, with a last line "Based on: " and the ranks used, or exactly this message:
+{contact.message()}
+RULES: give the message if the list is empty, if no answer in it fits, or if the question concerns one particular account, order or payment."""
+
+
+# Words by which a question is about one account, order or payment, and so is not for a general answer.
+PERSONAL_WORDS = ("my account", "my order", "my payment", "my invoice", "order number", "tracking number")
 
 
 def neighbours_by_query(found: DataFrame) -> DataFrame:
@@ -50,7 +55,7 @@ def _prior(neighbours: Column) -> Column:
 
     def one(n: Column) -> Column:
         return F.concat(
-            F.lit("- subject: "), n["subject"], F.lit("\n  body: "), n["body"], F.lit("\n  answer: "), n["answer"]
+            n["rank"].cast("string"), F.lit(". subject: "), n["subject"], F.lit("\n  body: "), n["body"], F.lit("\n  answer: "), n["answer"]
         )
 
     return F.coalesce(F.array_join(F.transform(neighbours, one), "\n"), F.lit(""))
@@ -81,17 +86,25 @@ def answer_or_route(
     found: DataFrame,
     id_col: str,
     text_col: str,
+    contact: Contact,
     max_distance: float = 1.0,
     generator: ColumnFunction | None = None,
-    contact: Contact = Contact(),
+    personal: Sequence[str] = PERSONAL_WORDS,
 ) -> DataFrame:
-    """(query_id, reply, routed): an answer, or the contact message when there is none."""
+    """(query_id, reply, routed): an answer, or the contact message when there is none.
+
+    Without a generator, the nearest ticket's answer is given if it is near enough and the
+    question has none of the ``personal`` phrases; a generator is told to judge that itself.
+    """
     if generator:
         prompts = reply_prompts(issues, found, id_col, text_col, help_instruction(contact))
         drafted = prompts.select("query_id", generator(F.col("prompt")).alias("reply"))
     else:
-        asked = issues.select(F.col(id_col).alias("query_id"))
+        text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+        about_one = reduce(Column.__or__, [text.contains(phrase) for phrase in personal], F.lit(False))
+        asked = issues.select(F.col(id_col).alias("query_id"), about_one.alias("_about_one"))
         drafted = asked.join(nearest_answer(found, max_distance), "query_id", "left")
+        drafted = drafted.withColumn("reply", F.when(~F.col("_about_one"), F.col("reply")))
     replied = drafted.select("query_id", F.nullif(strip_blanks(F.col("reply")), F.lit("")).alias("_reply"))
     return replied.select(
         "query_id",

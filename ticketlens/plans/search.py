@@ -13,6 +13,8 @@ from ..operators.knn import Side, knn, nearest_to_vector
 from ..operators.models import ColumnFunction
 
 PRODUCT_COLUMNS = ("product_id", "title", "categories", "description", "uri")
+#: Found rows (an id, a query id, two numbers) that are sent to every task.
+MOST_SHOWN = 200_000
 TICKET_COLUMNS = ("ticket_id", "subject", "body", "answer", "type", "priority", "source")
 
 
@@ -40,11 +42,15 @@ def search(
     """(query_id, rank, distance, columns of the found row), by query and rank.
 
     The search itself moves only ids and vectors; what is displayed is joined
-    back for the found rows.
+    back for the found rows. There are ``k`` per query at most; while that is no more than
+    ``MOST_SHOWN`` rows, they go to every task and the base is not shuffled. Eager: it counts the queries.
     """
     found = knn(Side(base, base_id, base_vector), Side(queries, query_id, query_vector), k, **options)
+    found = found.withColumnRenamed("base_id", base_id)
+    if queries.count() * k <= MOST_SHOWN:
+        found = F.broadcast(found)
     shown = keep_present(base, dict.fromkeys((base_id, *columns)))
-    return found.withColumnRenamed("base_id", base_id).join(shown, base_id).select(
+    return shown.join(found, base_id).select(
         "query_id", "rank", "distance", *shown.columns
     )
 

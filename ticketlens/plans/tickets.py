@@ -13,7 +13,8 @@ from ..functions.text import embedding_text, is_filled
 from ..operators.embedding import embed, hashed_words
 from ..operators.ids import dense_ids
 from ..operators.models import ColumnFunction
-from ..operators.normalize import Rules, call_parts, chat_parts, email_parts, extract, forms_passthrough, to_records
+from ..operators.normalize import Rules, call_parts, chat_parts, email_parts, extract, forms_passthrough, to_records, transcribe
+from ..session import settle
 
 
 @dataclass(frozen=True)
@@ -66,6 +67,14 @@ def add_ticket_vectors(tickets: DataFrame, embedder: ColumnFunction | None = Non
     return embed(tickets, embedding_text("subject", "body"), embedder or hashed_words(), "text_embedding", mode)
 
 
+def calls_from_audio(objects: DataFrame, transcriber: ColumnFunction) -> DataFrame:
+    """The ``calls`` channel of an object listing (see ``sources.files.list_objects``): one transcript per file.
+
+    Written once: transcription is the dearest step, and later steps read its result more than once. Eager.
+    """
+    return settle(transcribe(objects, transcriber).select("transcripts"), "transcripts")
+
+
 def build_tickets(
     spark: SparkSession,
     channels: Channels,

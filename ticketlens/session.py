@@ -12,7 +12,8 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, **conf: str) -> S
     """A single-machine session for tests and the benchmark.
 
     On a cluster the caller brings its own session; nothing in this package
-    depends on these settings. Further settings go in ``conf`` by their full name.
+    depends on these settings. Further settings go in ``conf`` by their full name. Without
+    ``spark.checkpoint.dir`` among them, a temporary folder is it: one machine holds everything here.
     """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -25,29 +26,28 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, **conf: str) -> S
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    conf.setdefault("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ticketlens-"))
     for name, value in conf.items():
         builder = builder.config(name, value)
     return builder.getOrCreate()
 
 
-_local_scratch: dict[str, str] = {}
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder for intermediate tables, in the one named by ``spark.checkpoint.dir``."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not configured:
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    return f"{configured.rstrip('/')}/ticketlens/{spark.sparkContext.applicationId}"
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables.
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only a local session, where
-    one machine holds everything, may fall back to a temporary folder.
+    For the time when results have been written: whatever still reads an intermediate table
+    fails from then on. Without this call they stay until the folder is cleaned.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_scratch:
-        _local_scratch[app] = tempfile.mkdtemp(prefix="ticketlens-")
-    return _local_scratch[app]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -55,10 +55,10 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
     Cuts the lineage at a durable table, so several later passes see the same
     rows even when executors are lost in between, and each pass reads only the
-    columns it needs.
+    columns it needs. Eager. :func:`clear_scratch` deletes the tables.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/ticketlens/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
