@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ticketlens.operators.knn import METRICS, Side, distance_to, fit_centroids, knn, nearest_to_vector
+from ticketlens.operators.knn import METRICS, Side, build_index, distance_to, fit_centroids, knn, nearest_to_vector
 
 
 def frame(spark, vectors, name):
@@ -51,6 +51,26 @@ def test_equals_brute_force(spark, clustered, metric, options):
     assert found(knn(*sides, 7, metric, **options)) == brute(base, queries, 7, metric)
 
 
+@pytest.mark.parametrize("metric", METRICS)
+def test_an_index_serves_several_searches(spark, clustered, metric):
+    base, queries = clustered
+    index = build_index(Side(frame(spark, base, "b"), "id", "v"), metric, cells=9)
+    for asked in (queries, queries[:3]):
+        side = Side(frame(spark, asked, "q"), "id", "v")
+        assert found(knn(index, side, 4, chunk_rows=40)) == brute(base, asked, 4, metric)
+    with pytest.raises(ValueError, match="length 3"):
+        knn(index, Side(frame(spark, np.eye(3), "q"), "id", "v"), 1)
+
+
+def test_broadcast_queries_over_many_tasks(spark):
+    """More base rows than those that bound the distances."""
+    rng = np.random.default_rng(4)
+    base, queries = rng.normal(size=(4000, 8)), rng.normal(size=(5, 8))
+    sides = Side(frame(spark, base, "b").repartition(40), "id", "v"), Side(frame(spark, queries, "q"), "id", "v")
+    for metric in METRICS:
+        assert found(knn(*sides, 10, metric)) == brute(base, queries, 10, metric)
+
+
 def test_k_beyond_the_base(spark):
     base, queries = np.eye(3), np.eye(3)[:2]
     sides = Side(frame(spark, base, "b"), "id", "v"), Side(frame(spark, queries, "q"), "id", "v")

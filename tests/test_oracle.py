@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from ticketlens.catalogue.queries import QUERIES as BASE
 from tests.oracle_check import connect, difference
 
 SF = "/root/testdata/sf0.01"
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
+QUERIES = {name: query for name, query in entry.queries().items() if name in BASE}
+SQL = {name: sql for name, sql in entry.oracle_sql().items() if name in BASE}
 
 
 @pytest.fixture(scope="module")

@@ -298,6 +298,8 @@ SELECTS: dict[str, str] = {
         AS vector FROM products p LEFT JOIN tfidf ON id = p.product_id""",
     "train_abuse_model": """SELECT doc_id, round(coalesce(total, 0) + (SELECT ln((sum(toxic) + 1) / (sum(1 - toxic) + 1)::DOUBLE) FROM taught), 6) > 0 AS abusive,
         doc_id % 5 = 0 AS held_out FROM documents LEFT JOIN word_totals USING (doc_id)""",
+    "list_objects": "SELECT 1::BIGINT AS n_files, CAST(sum(strlen(html) + 1) AS BIGINT) AS n_bytes FROM pages",
+    "create_or_replace": "SELECT n_nationkey, lower(n_name) AS n_name FROM nation",
     "load_forms": "SELECT subject, body, answer, type, priority FROM raw_forms",
     "load_chats": "SELECT chat FROM raw_chats",
     "load_products": """SELECT product_id, title, description, image, len(customer_comments) AS n_comments,

@@ -22,6 +22,7 @@ from ..plans.moderation import flag_abuse, train_abuse_model
 from ..plans.products import add_uris, build_products, product_cards
 from ..plans.tickets import Channels, add_ticket_vectors, build_tickets, calls_from_audio, number_tickets
 from ..sources import files
+from ..sources.tables import replace_table, scan
 from ..session import scratch_dir, settle
 from . import lexicons, tables
 
@@ -501,6 +502,26 @@ def load_products(spark, sf):
     )
 
 
+@query
+def list_objects(spark, sf):
+    """The pages stored as a file, and the files' listing."""
+    path = _folder(spark, "pages")
+    tables.read(spark, sf, "pages").select("html").coalesce(1).write.text(path)
+    found = files.list_objects(spark, path, "*.txt")
+    return found.agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"))
+
+
+@query
+def create_or_replace(spark, sf):
+    """A stored table that is replaced by a query over itself."""
+    name = f"ticketlens_{uuid.uuid4().hex}"
+    replace_table(tables.read(spark, sf, "nation").select("n_nationkey", "n_name"), name)
+    replace_table(scan(spark, name).withColumn("n_name", F.lower("n_name")), name)
+    found = settle(scan(spark, name), "replaced")
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
 def _page_objects(spark, sf):
     """Web pages as stored files: path and content."""
     return tables.read(spark, sf, "pages").select(F.col("url").alias("path"), F.col("html").cast("binary").alias("content"))

@@ -17,7 +17,8 @@ def left_join_hot(df: DataFrame, small: DataFrame, key: str, hot_rows: int = 1_0
     values = [c for c in small.columns if c != key]
     counts = df.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") > hot_rows).select(key)
     packed = small.select(key, F.struct(*values).alias("_small"))
-    hot = counts.join(packed, key, "left").withColumnRenamed("_small", "_hot").withColumn("_is_hot", F.lit(True))
+    matched = packed.join(F.broadcast(counts), key)  # reads ``small`` without a shuffle
+    hot = counts.join(F.broadcast(matched), key, "left").withColumnRenamed("_small", "_hot").withColumn("_is_hot", F.lit(True))
     marked = df.join(F.broadcast(hot), key, "left")
     apart = F.col(key).isNull() | F.col("_is_hot")
     spread = F.when(F.coalesce(apart, F.lit(False)), F.concat(F.lit("\x00"), F.rand(3).cast("string"))).otherwise(F.col(key))

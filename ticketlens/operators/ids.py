@@ -23,7 +23,7 @@ def dense_ids(df: DataFrame, order: Sequence[str], out: str = "ticket_id") -> Da
     The offset of a partition is the sum of the sizes before it, so just one row
     per partition ever meets in a single task. The own number is the last range
     key, so a value of ``order`` that many rows share is still cut into several
-    partitions. Whole rows are shuffled once, to receive their id.
+    partitions. Whole rows are shuffled once, to receive their id. Eager: rows and places are written.
     """
     rows = settle(df.withColumn("_at", F.monotonically_increasing_id()), "unnumbered")
     placed = settle(

@@ -37,6 +37,8 @@ DECIMALS = 12
 _CHUNK_BYTES = 8 << 20
 # Most pairs whose exact distance is computed at once inside a task.
 _PAIRS = 100_000
+# Base rows whose distances bound those of a broadcast query set.
+_BOUND_ROWS = 2048
 # Most query-base pairs of one approximate distance block.
 _BLOCK = 2_000_000
 
@@ -119,9 +121,10 @@ def _rough(a: np.ndarray, b: np.ndarray, metric: str) -> tuple[np.ndarray, float
 class _Best:
     """The best ``k`` base rows so far of each query in a task."""
 
-    def __init__(self, queries: np.ndarray, k: int, metric: str):
+    def __init__(self, queries: np.ndarray, k: int, metric: str, limit: np.ndarray | None = None):
+        """``limit``: for each query a distance that its k-th neighbour does not exceed."""
         self.queries, self.k, self.metric = queries, k, metric
-        self.limit = np.full(len(queries), np.inf)
+        self.limit = np.full(len(queries), np.inf) if limit is None else limit.copy()
         self.rows = pd.DataFrame({"q": pd.Series(dtype="int64"), "id": pd.Series(dtype="object"), "d": pd.Series(dtype="float64")})
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
@@ -134,7 +137,7 @@ class _Best:
     def _add_block(self, start: int, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
         rough, error = _rough(queries, vectors, self.metric)
         limit = self.limit[start : start + len(queries)]
-        limit = np.square(limit) if self.metric == "euclidean" else limit
+        limit = np.square(limit + 10.0**-DECIMALS) if self.metric == "euclidean" else limit + 10.0**-DECIMALS
         if len(ids) > self.k:
             limit = np.minimum(limit, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1])
         q, b = np.nonzero(rough <= limit[:, None] + 2 * error)
@@ -150,7 +153,8 @@ class _Best:
         self.rows = pd.concat([part for part in (self.rows[~touched], best) if len(part)])
         full = best.groupby("q")["d"].agg(["size", "max"])
         full = full[full["size"] == self.k]
-        self.limit[full.index.to_numpy()] = full["max"].to_numpy()
+        at = full.index.to_numpy()
+        self.limit[at] = np.minimum(self.limit[at], full["max"].to_numpy())
 
 
 def _result_batch(names: Sequence[str], schema: pa.Schema, query_ids: np.ndarray, rows: pd.DataFrame) -> pa.RecordBatch:
@@ -180,8 +184,52 @@ class Side:
         return self.df.where(F.col(self.id_col).isNotNull() & vector.isNotNull()).select(F.col(self.id_col).alias("id"), checked.alias("vector"))
 
 
+@dataclass(frozen=True)
+class Index:
+    """A base table cut into cells around pivots, written once for many searches."""
+
+    rows: DataFrame
+    id_type: T.DataType
+    dim: int
+    metric: str
+    pivots: np.ndarray
+    radii: np.ndarray
+    longest: float  # squared length of the longest vector, for dot products
+
+
+def build_index(base: Side, metric: str = "euclidean", cells: int | None = None, centroids: np.ndarray | None = None) -> Index:
+    """Assign every base row to the cell of its nearest pivot.
+
+    ``cells`` pivots, by default the root of the base's rows (16 to 16384), chosen by hash of the id,
+    or given as ``centroids``. Searches with an index assign only their queries. Vectors of different
+    lengths are an error. Eager: the assigned rows are written, one number per cell is collected.
+    """
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}, not {metric!r}")
+    length = F.size(base.vector_col)
+    size = base.df.where(F.col(base.vector_col).isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.max(length).alias("dim")).head()
+    dim = size["dim"] or 0
+    rows, longest = base.rows(dim), 0.0
+    if metric == "dot" and centroids is None:
+        longest = _longest(rows)
+        rows = _lifted(rows, longest)
+        dim += 1
+    pivots = centroids if centroids is not None else _pivots(rows, cells or int(np.clip(np.sqrt(size["n"]), 16, 16384)), metric)
+    if metric == "cosine" and len(pivots):
+        lengths = np.linalg.norm(pivots, axis=1)
+        pivots = pivots[lengths > 0] / lengths[lengths > 0][:, None]
+    kind = base.df.schema[base.id_col].dataType
+    if not len(pivots):
+        return Index(rows, kind, dim, metric, np.empty((0, dim)), np.empty(0), longest)
+    assigned = settle(_assigned(rows, pivots, metric, dim), "knn-base")
+    radii = np.full(len(pivots), -np.inf)
+    for row in assigned.groupBy("cell").agg(F.max("gap").alias("radius")).collect():  # one row per pivot
+        radii[row["cell"]] = row["radius"]
+    return Index(assigned, kind, dim, metric, pivots, radii, longest)
+
+
 def knn(
-    base: Side,
+    base: Side | Index,
     queries: Side,
     k: int,
     metric: str = "euclidean",
@@ -199,9 +247,12 @@ def knn(
     only in that many cells nearest to a query. The query set is broadcast when
     it has at most ``broadcast_queries`` rows and ``broadcast_bytes`` of
     vectors; the cell plan takes any size, in chunks of ``chunk_rows`` (by
-    default as many as fill 8 MB) of ``cells`` cells (by default the root of the base's rows, 16 to 16384).
+    default as many as fill 8 MB) of ``cells`` cells (see :func:`build_index`). An :class:`Index` as
+    base is searched by its cells and metric, whatever the number of queries.
     Eager: it counts the queries, and the cell plan writes both sides.
     """
+    if isinstance(base, Index):
+        metric = base.metric
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}, not {metric!r}")
     vector = F.col(queries.vector_col)
@@ -216,42 +267,48 @@ def knn(
     schema = T.StructType(
         [
             T.StructField("query_id", queries.df.schema[queries.id_col].dataType),
-            T.StructField("base_id", base.df.schema[base.id_col].dataType),
+            T.StructField("base_id", base.id_type if isinstance(base, Index) else base.df.schema[base.id_col].dataType),
             T.StructField("distance", T.DoubleType()),
         ]
     )
     small = size["n"] <= broadcast_queries and size["n"] * dim * 8 <= broadcast_bytes
-    if small and nprobe is None:
+    if small and nprobe is None and isinstance(base, Side):
         found = _by_broadcast(base.rows(dim), queries.rows(dim), k, metric, dim, names, schema)
     else:
         chunk_rows = chunk_rows or max(1000, _CHUNK_BYTES // (8 * max(dim, 1)))
-        cells = cells or int(np.clip(np.sqrt(base.df.count()), 16, 16384))
-        rows = base.rows(dim), queries.rows(dim)
-        if metric == "dot" and centroids is None:
-            rows, dim = _lifted(*rows), dim + 1
-        found = _by_cells(*rows, k, metric, dim, names, schema, chunk_rows, cells, centroids, nprobe)
+        index = base if isinstance(base, Index) else build_index(base, metric, cells, centroids)
+        asked = queries.rows(dim)
+        if index.dim == dim + 1 and metric == "dot":
+            asked = asked.withColumn("vector", F.concat("vector", F.array(F.lit(0.0))))
+        elif len(index.pivots) and index.dim != dim:
+            raise ValueError(f"{queries.vector_col}: queries of length {dim}, a base of length {index.dim}")
+        found = _by_cells(index, asked, k, names, schema, chunk_rows, nprobe)
     return _ranked(found, k)
 
 
-def _no_neighbours(base: Side, queries: Side) -> DataFrame:
-    kinds = queries.df.schema[queries.id_col].dataType, base.df.schema[base.id_col].dataType
-    return base.df.sparkSession.createDataFrame(
+def _no_neighbours(base: Side | Index, queries: Side) -> DataFrame:
+    kinds = queries.df.schema[queries.id_col].dataType, base.id_type if isinstance(base, Index) else base.df.schema[base.id_col].dataType
+    return queries.df.sparkSession.createDataFrame(
         [], f"query_id {kinds[0].simpleString()}, base_id {kinds[1].simpleString()}, distance double, rank bigint"
     )
 
 
-def _lifted(base: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides with one more component, which brings all base vectors to one length.
+def _square() -> Column:
+    return F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+
+
+def _longest(rows: DataFrame) -> float:
+    return rows.select(_square().alias("s")).where("s < double('infinity')").agg(F.max("s")).head()[0] or 0.0
+
+
+def _lifted(rows: DataFrame, longest: float) -> DataFrame:
+    """Base vectors with one more component, which brings all to the squared length ``longest``.
 
     Queries get 0 there, so dot products stay as they are, and their order is that of the
     Euclidean distances: cells can be ruled out by the triangle inequality.
     """
-    square = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    most = base.select(square.alias("s")).where("s < double('infinity')").agg(F.max("s")).head()[0] or 0.0
-    rest = F.sqrt(F.greatest(F.lit(most) - square, F.lit(0.0)))
-    return tuple(
-        rows.withColumn("vector", F.concat("vector", F.array(last))) for rows, last in ((base, rest), (queries, F.lit(0.0)))
-    )
+    rest = F.sqrt(F.greatest(F.lit(longest) - _square(), F.lit(0.0)))
+    return rows.withColumn("vector", F.concat("vector", F.array(rest)))
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
@@ -272,12 +329,21 @@ def _by_broadcast(base, queries, k, metric, dim, names, schema) -> DataFrame:
         _vectors(table.column("vector").combine_chunks(), dim) if len(table) else np.empty((0, dim)),
         metric,
     )
-    shared = base.sparkSession.sparkContext.broadcast((ids, vectors))
+    # The k-th best among any base rows bounds the k-th distance: tasks give back only what is below.
+    some = base.limit(_BOUND_ROWS).toArrow()
+    _, near = _prepared(np.arange(len(some)), _vectors(some.column("vector").combine_chunks(), dim) if len(some) else np.empty((0, dim)), metric)
+    limit = np.full(len(ids), np.inf)
+    if len(near) >= k:
+        for part in _slices(len(ids), len(near)):
+            rough, error = _rough(vectors[part], near, metric)
+            bound = np.partition(rough, k - 1, axis=1)[:, k - 1] + 2 * error
+            limit[part] = np.sqrt(np.maximum(bound, 0.0)) if metric == "euclidean" else bound
+    shared = base.sparkSession.sparkContext.broadcast((ids, vectors, limit))
     arrow_schema = _arrow_schema(schema)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, query_vectors = shared.value
-        best = _Best(query_vectors, k, metric)
+        query_ids, query_vectors, limit = shared.value
+        best = _Best(query_vectors, k, metric, limit)
         for batch in batches:
             if batch.num_rows:
                 base_ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -388,15 +454,10 @@ def _meet(base: DataFrame, asked: DataFrame, k, metric, dim, names, schema, chun
     return left.cogroup(right).applyInArrow(block, schema)
 
 
-def _by_cells(base, queries, k, metric, dim, names, schema, chunk_rows, cells, centroids, nprobe) -> DataFrame:
-    pivots = centroids if centroids is not None else _pivots(base, cells, metric)
-    if metric == "cosine":
-        lengths = np.linalg.norm(pivots, axis=1)
-        pivots = pivots[lengths > 0] / lengths[lengths > 0][:, None]
-    spark = base.sparkSession
+def _by_cells(index: Index, queries, k, names, schema, chunk_rows, nprobe) -> DataFrame:
+    base, pivots, metric, dim = index.rows, index.pivots, index.metric, index.dim
     if not len(pivots):
-        return spark.createDataFrame([], schema)
-    base = settle(_assigned(base, pivots, metric, dim), "knn-base")
+        return base.sparkSession.createDataFrame([], schema)
     queries = settle(_assigned(queries, pivots, metric, dim), "knn-queries")
     meet = lambda asked: _meet(base, asked, k, metric, dim, names, schema, chunk_rows)
 
@@ -409,10 +470,7 @@ def _by_cells(base, queries, k, metric, dim, names, schema, chunk_rows, cells, c
     bounds = home.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("bound"))
     bounds = bounds.select(F.col("query_id").alias("id"), F.when(F.col("n") >= k, F.col("bound")).alias("bound"))
     bounded = queries.join(bounds, "id", "left")
-    radii = np.full(len(pivots), -np.inf)
-    for row in base.groupBy("cell").agg(F.max("gap").alias("radius")).collect():  # one row per pivot
-        radii[row["cell"]] = row["radius"]
-    return home.unionByName(meet(_reachable(bounded, pivots, radii, metric, dim)))
+    return home.unionByName(meet(_reachable(bounded, index)))
 
 
 def _exploded(rows: DataFrame, cells_of, cells: int, dim: int, metric: str) -> DataFrame:
@@ -452,14 +510,14 @@ def _probes(queries: DataFrame, pivots: np.ndarray, metric: str, dim: int, count
     return _exploded(queries, nearest, len(pivots), dim, metric)
 
 
-def _reachable(bounded: DataFrame, pivots: np.ndarray, radii: np.ndarray, metric: str, dim: int) -> DataFrame:
+def _reachable(bounded: DataFrame, index: Index) -> DataFrame:
     """Queries with every cell besides their own that may hold a row within their bound.
 
     A row of cell j is no nearer than ``gap_j - radius_j`` (triangle inequality),
     and no nearer than the plane halfway between the two pivots.
     """
+    pivots, radii, metric, longest = index.pivots, index.radii, index.metric, index.longest
     between = _gaps(pivots, pivots)
-    longest = float((pivots * pivots).sum(axis=1).max(initial=0.0))
 
     def within(vectors: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
         own = batch.column("cell").to_numpy()
@@ -480,4 +538,4 @@ def _reachable(bounded: DataFrame, pivots: np.ndarray, radii: np.ndarray, metric
         reach[np.arange(len(gaps)), own] = False
         return reach
 
-    return _exploded(bounded, within, len(pivots), dim, metric)
+    return _exploded(bounded, within, len(pivots), index.dim, metric)

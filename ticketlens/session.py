@@ -46,7 +46,11 @@ def clear_scratch(spark: SparkSession) -> None:
     For the time when results have been written: whatever still reads an intermediate table
     fails from then on. Without this call they stay until the folder is cleaned.
     """
-    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    _delete(spark, scratch_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
@@ -60,7 +64,15 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    settled = spark.read.schema(df.schema).parquet(path)
+    settled._settled_at = path
+    return settled
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables returned by :func:`settle` that no later step reads."""
+    for table in tables:
+        _delete(table.sparkSession, table._settled_at)
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -17,15 +17,10 @@ from ..operators.normalize import normalize_chats
 from ..plans.tickets import unify
 
 
-def file_stream(spark: SparkSession, folder: str, schema: T.StructType, max_files: int = 1000) -> DataFrame:
-    """New CSV files in ``folder``, at most ``max_files`` in a batch."""
-    return (
-        spark.readStream.schema(schema)
-        .option("escape", '"')
-        .option("multiLine", True)
-        .option("maxFilesPerTrigger", max_files)
-        .csv(folder)
-    )
+def file_stream(spark: SparkSession, folder: str, schema: T.StructType, max_files: int = 1000, multi_line: bool = False) -> DataFrame:
+    """New CSV files in ``folder``, at most ``max_files`` in a batch, read as ``sources.files`` reads them."""
+    options = {"escape": '"', "multiLine": multi_line, "mode": "FAILFAST", "columnPruning": False}
+    return spark.readStream.schema(schema).options(**options, maxFilesPerTrigger=max_files).csv(folder)
 
 
 def write_batch(records: DataFrame, folder: str, batch_id: int) -> None:
