@@ -57,11 +57,11 @@ def without_repeats(docs, window=35):
     return out
 
 
-def smith_waterman(passage, item, match=2, mismatch=-1, gap=-1):
+def smith_waterman(passage, item, common=(), match=2, mismatch=-1, gap=-1):
     best, above = 0, [0] * (len(passage) + 1)
     for x in item:
         row = [0]
         for j, y in enumerate(passage):
-            row.append(max(0, above[j] + (match if x == y else mismatch), above[j + 1] + gap, row[j] + gap))
+            row.append(max(0, above[j] + ((match // 2 if x in common else match) if x == y else mismatch), above[j + 1] + gap, row[j] + gap))
         best, above = max(best, *row), row
     return best

@@ -6,7 +6,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 @pytest.fixture(scope="session", autouse=True)
 def shared_folder(spark, tmp_path_factory):
     if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+        spark.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("shared")))
 
 
 @pytest.fixture(scope="session")

@@ -2,7 +2,8 @@
 
 Rare word n-grams of a benchmark item are its seeds. Where a document has one, the
 passage around it is aligned to the item by Smith-Waterman over words, so that changed,
-left out and added words only lower the score. An item's seed is rare if no
+left out and added words only lower the score. Words that many documents have count half, or
+passages would be alike by their everyday words alone. An item's seed is rare if no
 more documents have it than a few times as many as have the item's rarer seeds: the
 measure is relative, so an item that leaked into a third of all documents keeps seeds,
 while its everyday phrases are dropped.
@@ -33,7 +34,8 @@ _NOT_WORD = re.compile(r"[\W_]+")
 class LeakRule:
     """A passage leaks an item if its alignment score reaches ``least_score`` of a perfect copy's.
 
-    Words score ``match``, ``mismatch`` and ``gap`` (each added or left-out word).
+    Words score ``match`` (half of it if more than a share ``common`` of the documents have the
+    word), ``mismatch`` and ``gap`` (each added or left-out word).
     ``seed`` is the length of the n-grams; items of fewer words are never found.
     A seed is rare up to ``spread`` times the document count of the
     item's lower quartile, and always up to ``few`` documents.
@@ -44,11 +46,21 @@ class LeakRule:
     match: int = 2
     mismatch: int = -1
     gap: int = -1
+    common: float = 0.05
     spread: float = 4.0
     few: int = 5
     block_words: int = 1_000_000
 
 
+@dataclass
+class Seen:
+    """In how many documents each seed and each word of the items occurs, of how many."""
+
+    documents: int
+    seeds: dict[int, int]
+    words: dict[int, int]
+
+
 @dataclass
 class Items:
     """Benchmark items of one block: hashes of all words, item after item, and their seeds."""
@@ -59,30 +71,33 @@ class Items:
     seeds: HashTable  # values: where the seed's occurrences begin in places; one more column: how many
     item: np.ndarray  # per occurrence, ordered by seed
     place: np.ndarray  # word in the item
+    score: np.ndarray  # per word of all items: what its match scores
 
     @staticmethod
     def of(ids: np.ndarray, first: np.ndarray, hashes: np.ndarray, n: int) -> Items:
         grams = sequence_hashes(hashes, n)
         item = np.repeat(np.arange(len(ids)), np.diff(first))
         at = np.flatnonzero(item[: len(grams)] == item[n - 1 :]) if len(grams) else np.zeros(0, np.int64)
-        return Items._indexed(ids, first, hashes, grams[at], item[at], at - first[item[at]])
+        return Items._indexed(ids, first, hashes, grams[at], item[at], at - first[item[at]], np.ones(len(hashes), np.int64))
 
     @staticmethod
-    def _indexed(ids, first, hashes, grams, item, place) -> Items:
+    def _indexed(ids, first, hashes, grams, item, place, score) -> Items:
         order = np.argsort(grams, kind="stable")
         keys, begin, n = np.unique(grams[order], return_index=True, return_counts=True)
-        return Items(ids, first, hashes, HashTable.of(keys, np.stack([begin, n], 1)), item[order], place[order])
+        return Items(ids, first, hashes, HashTable.of(keys, np.stack([begin, n], 1)), item[order], place[order], score)
 
-    def rare(self, counts: dict[int, int], rule: LeakRule) -> Items:
-        """Only the seeds that are rare for their item."""
+    def rare(self, seen: Seen, rule: LeakRule) -> Items:
+        """Only the seeds that are rare for their item; common words score half."""
         each = np.repeat(self.seeds.keys, self.seeds.values[:, 1])
-        df = np.array([counts.get(int(k), 0) for k in self.seeds.keys], np.int64)
+        df = np.array([seen.seeds.get(int(k), 0) for k in self.seeds.keys], np.int64)
         df = np.repeat(df, self.seeds.values[:, 1])
         bound = np.zeros(len(self.ids))
         for i in np.unique(self.item):
             bound[i] = max(rule.few, rule.spread * np.quantile(df[self.item == i], 0.25))
         keep = df <= bound[self.item]
-        return Items._indexed(self.ids, self.first, self.hashes, each[keep], self.item[keep], self.place[keep])
+        common = np.array([seen.words.get(int(h), 0) > rule.common * seen.documents for h in self.hashes], bool)
+        score = np.where(common, rule.match // 2, rule.match)
+        return Items._indexed(self.ids, self.first, self.hashes, each[keep], self.item[keep], self.place[keep], score)
 
 
 def _normal(text: bytes | None) -> bytes | None:
@@ -99,7 +114,7 @@ def _hits(words: Words, items: Items, n: int) -> tuple[np.ndarray, np.ndarray, n
     return text[at], at, row[at]
 
 
-def align(passages: list[np.ndarray], item: np.ndarray, rule: LeakRule) -> tuple[np.ndarray, np.ndarray]:
+def align(passages: list[np.ndarray], item: np.ndarray, scores: np.ndarray, rule: LeakRule) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment score of the item with each passage, and where it ends in the passage.
 
     Smith-Waterman with a linear gap cost, a row of all passages at a time; the gap along the row is a
@@ -113,8 +128,8 @@ def align(passages: list[np.ndarray], item: np.ndarray, rule: LeakRule) -> tuple
     slope = -rule.gap * np.arange(width)
     above = np.zeros((len(passages), width + 1), np.int64)
     best, end = np.zeros(len(passages), np.int64), np.zeros(len(passages), np.int64)
-    for word in item:
-        step = above[:, :-1] + np.where((text == word) & real, rule.match, rule.mismatch)
+    for word, match in zip(item, scores, strict=True):
+        step = above[:, :-1] + np.where((text == word) & real, match, rule.mismatch)
         step = np.maximum(np.maximum(step, above[:, 1:] + rule.gap), 0)
         above[:, 1:] = np.maximum.accumulate(step + slope, axis=1) - slope
         at = above[:, 1:].argmax(1)
@@ -150,8 +165,9 @@ def _matches(words: Words, items: Items, rule: LeakRule) -> list[tuple[int, int,
     """(text, item, score, start, end): the best passage of each document for each item it leaks."""
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for item, stretches in _passages(words, items, rule).items():
-        wanted = items.hashes[items.first[item] : items.first[item + 1]]
-        perfect = rule.match * len(wanted)
+        of = slice(items.first[item], items.first[item + 1])
+        wanted, scores = items.hashes[of], items.score[of]
+        perfect = int(scores.sum())
         at = 0
         stretches.sort(key=lambda s: s[2] - s[1])
         while at < len(stretches):
@@ -159,10 +175,10 @@ def _matches(words: Words, items: Items, rule: LeakRule) -> list[tuple[int, int,
             some = stretches[at : at + size]
             at += size
             passages = [words.hash[lo:hi] for _, lo, hi in some]
-            score, end = align(passages, wanted, rule)
+            score, end = align(passages, wanted, scores, rule)
             for i in np.flatnonzero(score >= rule.least_score * perfect).tolist():
                 t, lo, _ = some[i]
-                _, back = align([passages[i][: end[i]][::-1]], wanted[::-1], rule)
+                _, back = align([passages[i][: end[i]][::-1]], wanted[::-1], scores[::-1], rule)
                 stop = int(lo + end[i] - words.first[t])
                 found = (score[i] / perfect, stop - int(back[0]), stop)
                 if (t, item) not in best or (found[0], -found[1]) > (best[t, item][0], -best[t, item][1]):
@@ -183,23 +199,38 @@ def _blocks(benchmark: DataFrame, rule: LeakRule) -> list[Items]:
     return out
 
 
-def _counts(docs: DataFrame, items: Items, rule: LeakRule) -> dict[int, int]:
-    """In how many documents each seed occurs."""
-    sent = broadcast_value(docs.sparkSession, items)
+def _seen(docs: DataFrame, items: Items, rule: LeakRule) -> Seen:
+    """One pass over the documents, which counts per task."""
+    vocabulary = np.unique(items.hashes)
+    sent = broadcast_value(docs.sparkSession, (items, HashTable.of(vocabulary, np.arange(len(vocabulary)))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, total = sent.value, np.zeros(len(sent.value.seeds.keys), np.int64)
+        items, known = sent.value
+        totals = [np.zeros(1, np.int64), np.zeros(len(items.seeds.keys), np.int64), np.zeros(len(known.keys), np.int64)]
+
+        def add(kind: int, text: np.ndarray, row: np.ndarray) -> None:
+            size = max(len(totals[kind]), 1)
+            totals[kind] += np.bincount(np.unique(text * size + row) % size, minlength=len(totals[kind]))
+
         for batch in batches:
             texts = [_normal(t) for t in texts_of(batch, "text")]
+            totals[0] += len(texts)
             for lo, hi in pieces(texts):
-                text, _, row = _hits(split(texts, lo, hi), items, rule.seed)
-                pairs = np.unique(text * len(total) + row)
-                total += np.bincount(pairs % max(len(total), 1), minlength=len(total))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(signed(items.seeds.keys[at])), pa.array(total[at])], ["seed", "n"])
-
-    rows = docs.select(F.col("text").cast("string")).where("text is not null").mapInArrow(count, "seed long, n long")
-    return {r[0] % (1 << 64): r[1] for r in rows.groupBy("seed").agg(F.sum("n")).collect()}
+                words = split(texts, lo, hi)
+                text, _, row = _hits(words, items, rule.seed)
+                add(1, text, row)
+                row, found = known.find(words.hash)
+                add(2, words.text_of()[found], row[found])
+        for kind, keys in ((0, np.zeros(1, np.uint64)), (1, items.seeds.keys), (2, known.keys)):
+            at = np.flatnonzero(totals[kind])
+            columns = [np.full(len(at), kind, np.int64), signed(keys[at]), totals[kind][at]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["kind", "key", "n"])
+
+    rows = docs.select(F.col("text").cast("string")).mapInArrow(count, "kind long, key long, n long")
+    found: list[dict[int, int]] = [{}, {}, {}]
+    for kind, key, n in rows.groupBy("kind", "key").agg(F.sum("n")).collect():
+        found[kind][key % (1 << 64)] = n
+    return Seen(found[0].get(0, 0), found[1], found[2])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule()) -> DataFrame:
@@ -213,7 +244,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRule()) ->
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     found = None
     for items in _blocks(benchmark, rule):
-        sent = broadcast_value(docs.sparkSession, items.rare(_counts(docs, items, rule), rule))
+        sent = broadcast_value(docs.sparkSession, items.rare(_seen(docs, items, rule), rule))
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -233,7 +264,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rule: LeakRule = LeakRu
     """The documents that hold no benchmark item, all columns as they are. Nothing is shuffled."""
     kept = docs
     for items in _blocks(benchmark, rule):
-        sent = broadcast_value(docs.sparkSession, items.rare(_counts(docs, items, rule), rule))
+        sent = broadcast_value(docs.sparkSession, items.rare(_seen(docs, items, rule), rule))
 
         def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
