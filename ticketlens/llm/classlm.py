@@ -34,8 +34,8 @@ from .words import Words, chunks, mix, signed
 class LmRule:
     sample_docs: int = 6000
     head: int = 150_000
-    units: int = 800
-    endings: int = 800
+    units: int = 600
+    endings: int = 600
     ending_bytes: int = 3
     classes: int = 64
     rounds: int = 6
@@ -101,10 +101,10 @@ def vocabulary(docs: DataFrame, rule: LmRule) -> Vocabulary:
     some = docs.where(F.rand(11) < min(1.0, rule.sample_docs / max(n, 1)))
     rows = some.select("text").mapInArrow(count, "word long, ending long, n long")
     top = rows.groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
-    top = top.orderBy(F.desc("n"), "word").limit(rule.head).toPandas()
+    top = top.orderBy(F.desc("n"), "word").limit(rule.head).toArrow()
     own = min(len(top), rule.units)
-    unit = np.concatenate([np.arange(own), rule.units + top["ending"].to_numpy(np.int64)[own:]])
-    return Vocabulary(HashTable.of(top["word"].to_numpy(np.int64).view(np.uint64), np.arange(len(top))), unit, own)
+    unit = np.concatenate([np.arange(own), rule.units + top.column("ending").to_numpy()[own:]])
+    return Vocabulary(HashTable.of(top.column("word").to_numpy().view(np.uint64), np.arange(len(top))), unit, own)
 
 
 def _corpus_counts(docs: DataFrame, words: Vocabulary, rule: LmRule) -> DataFrame:
@@ -231,10 +231,16 @@ def _transitions(docs: DataFrame, words: Vocabulary, unit_class: np.ndarray, rul
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["key", "n"])
 
-    found = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(c**3)
-    out[found["key"].to_numpy(np.int64)] = found["n"]
-    return out.reshape(c, c, c)
+    found = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return _dense(found, c**3).reshape(c, c, c).astype(float)
+
+
+def _dense(counts: DataFrame, size: int) -> np.ndarray:
+    """(key, n) with keys below ``size``, collected into one array."""
+    table = counts.select("key", "n").toArrow()
+    out = np.zeros(size, np.int64)
+    out[table.column("key").to_numpy()] = table.column("n").to_numpy()
+    return out
 
 
 def fit_classes(docs: DataFrame, rule: LmRule = LmRule()) -> LanguageModel:
@@ -247,13 +253,8 @@ def fit_classes(docs: DataFrame, rule: LmRule = LmRule()) -> LanguageModel:
     words = vocabulary(docs, rule)
     counts = settle(_corpus_counts(docs, words, rule), "counts")
     size, tail = rule.end + 1, counts.where("kind = 2")
-    head = np.zeros(len(words.unit), np.int64)
-    got = counts.where("kind = 0").select("key", "n").toPandas()
-    head[got["key"].to_numpy(np.int64)] = got["n"]
-    pairs = np.zeros(size * size)
-    got = counts.where("kind = 1").select("key", "n").toPandas()
-    pairs[got["key"].to_numpy(np.int64)] = got["n"]
-    pairs = pairs.reshape(size, size)
+    head = _dense(counts.where("kind = 0"), len(words.unit))
+    pairs = _dense(counts.where("kind = 1"), size * size).reshape(size, size).astype(float)
     unit_class = exchange(pairs, rule.classes, rule.rounds)
 
     by_unit = pairs.sum(0)
