@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import discard, settle
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -47,5 +47,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
                 now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
-        before = state
+        before, last = state, now
         now = settle(_stars(_stars(now, large=True), large=False), "edges")
+        discard(last)

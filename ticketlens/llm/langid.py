@@ -65,7 +65,7 @@ def _counted(languages: list[str], longest: int):
 
 
 def fit_languages(
-    examples: DataFrame, per_language: int = 2000, longest: int = 4, max_entries: int = 60_000, min_count: int = 2, smoothing: float = 0.5
+    examples: DataFrame, per_language: int = 2000, longest: int = 4, max_entries: int = 40_000, min_count: int = 2, smoothing: float = 0.5
 ) -> LanguageModel:
     """Learn from (text, lang) rows; rows with a null in either teach nothing.
 
@@ -84,10 +84,10 @@ def fit_languages(
     table = counts.groupBy("level", "key").agg(F.sum("n").alias("n"), *by_language).where(F.col("n") >= min_count).persist()
     levels = {}
     for level in range(longest + 1):
-        top = table.where(F.col("level") == level).orderBy(F.desc("n"), "key").limit(max_entries).toPandas()
-        seen = top[[f"n{k}" for k in range(len(languages))]].to_numpy(np.float64)
+        top = table.where(F.col("level") == level).orderBy(F.desc("n"), "key").limit(max_entries).toArrow()
+        seen = np.stack([top.column(f"n{k}").to_numpy() for k in range(len(languages))], 1).astype(float)
         logs = np.log((seen + smoothing) / (seen.sum(0) + smoothing * (len(top) + 1)))
-        levels[level] = HashTable.of(top["key"].to_numpy(np.int64).view(np.uint64), logs)
+        levels[level] = HashTable.of(top.column("key").to_numpy().view(np.uint64), logs.astype(np.float32))
     table.unpersist()
     return LanguageModel(languages, levels)
 

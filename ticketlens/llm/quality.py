@@ -83,8 +83,8 @@ def train(
 def fit_quality(docs: DataFrame, labels: DataFrame, features: Features = Features(), per_class: int = 2000, **training) -> Quality:
     """Learn from documents (doc_id, text) with labels (doc_id, label of 0 or 1).
 
-    About ``per_class`` labelled rows of each class are used, drawn at random with a
-    fixed seed: the bound on what reaches the driver. The share of each class in all labels
+    About ``per_class`` labelled rows of each class are used, drawn by a hash of their
+    doc_id: the bound on what reaches the driver. The share of each class in all labels
     sets the constant. A document labelled both ways counts as 1. Rows with a null id or label,
     and a null text, teach nothing; with no label, or of one class only, every score is that share. Eager.
     """
@@ -95,7 +95,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, features: Features = Feature
     constant = Quality(features, np.zeros(1 << features.bits), float(np.log(share / (1 - share))))
     if len(n) < 2:
         return constant
-    sample, _ = sampled_by_class(known, "label", per_class)
+    sample, _ = sampled_by_class(known, "label", per_class, "doc_id")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

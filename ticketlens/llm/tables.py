@@ -23,7 +23,7 @@ class HashTable:
     def of(keys: np.ndarray, values: np.ndarray) -> HashTable:
         order = np.argsort(keys)
         keys = keys[order]
-        bits = max(8, min(22, int(len(keys)).bit_length() + 3))
+        bits = max(8, min(22, int(len(keys)).bit_length() + 1))
         heads = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
         return HashTable(keys, values[order], heads.astype(np.int32), 64 - bits)
 
@@ -50,11 +50,11 @@ def broadcast_value(spark: SparkSession, value: Any):
     return spark.sparkContext.broadcast(value)
 
 
-def sampled_by_class(rows: DataFrame, column: str, per_class: int, seed: int = 7) -> tuple[DataFrame, list]:
+def sampled_by_class(rows: DataFrame, column: str, per_class: int, key: str | None = None, seed: int = 7) -> tuple[DataFrame, list]:
     """About ``per_class`` rows of each class at random, and the sorted classes.
 
-    Fewer where a class has no more. Repeated rows are drawn one by one, so that a
-    group of copies takes no more than its share.
+    Fewer where a class has no more. By the hash of a unique ``key`` the same rows are drawn every time; without one, rows are
+    drawn one by one, so that a group of copies takes no more than its share.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(column).count().collect()}
     if not counts:
@@ -62,4 +62,5 @@ def sampled_by_class(rows: DataFrame, column: str, per_class: int, seed: int = 7
     share = F.lit(0.0)
     for value, n in counts.items():
         share = F.when(F.col(column) == value, min(1.0, per_class / n)).otherwise(share)
-    return rows.where(F.rand(seed) < share), sorted(counts)
+    draw = F.rand(seed) if key is None else F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
+    return rows.where(draw < share), sorted(counts)

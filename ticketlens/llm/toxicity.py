@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import discard, settle
 from .tables import HashTable, broadcast_value, sampled_by_class
 from .words import Words, char_prefixes, mix, pieces, signed, split, texts_of
 
@@ -181,7 +181,7 @@ def fit_toxicity(
 ) -> Toxicity:
     """Index documents (doc_id, text) with labels (doc_id, label of 0 or 1).
 
-    About ``per_class`` labelled rows of each class are drawn at random with a fixed seed: the
+    About ``per_class`` labelled rows of each class are drawn by a hash of their doc_id: the
     bound on the index and on what reaches the driver. Their votes count as the
     rows they stand for. Terms are those of at least ``least_examples`` examples whose chi-squared with the
     label is at least ``least_chi2``, the ``max_terms`` greatest. A document labelled both ways counts as 1. Eager.
@@ -192,7 +192,7 @@ def fit_toxicity(
     constant = (n.get(1, 0) + 0.5) / (sum(n.values()) + 1)
     if len(n) < 2:
         return Toxicity(None, constant)
-    sample, _ = sampled_by_class(known, "label", per_class)
+    sample, _ = sampled_by_class(known, "label", per_class, "doc_id")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     # The sample has a bound, so it may be sent to all tasks; the documents are not shuffled.
     drawn = settle(texts.join(F.broadcast(sample), "doc_id"), "examples")
@@ -238,6 +238,7 @@ def fit_toxicity(
 
     rows = drawn.select("doc_id", F.col("label").cast("long"), "text").mapInArrow(extract, "doc_id long, label long, row array<long>")
     rows = sorted(map(tuple, rows.collect()))  # the order of tasks must not matter
+    discard(drawn)
     examples = [(i, label, np.array(row, np.int64)) for i, label, row in rows]
     return Toxicity(build(examples, terms, idf, {x: n[x] / of[x] for x in (0, 1)}, **index), constant)
 

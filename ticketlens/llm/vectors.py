@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import discard, settle
 from .components import connected_components
 from .words import mix, seeds, signed
 
@@ -231,6 +231,8 @@ def near_vectors(vectors: DataFrame, rule: CosineRule = CosineRule()) -> DataFra
     result = owners.join(least, "component").join(links, "class", "left").select(
         "class", "component_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     )
+    result = settle(result, "owners")
+    discard(classes, members, linked)
     found = rows.select("vec_id", "class").join(result, "class", "left")
     component = F.coalesce("component_id", "vec_id")
     return found.select(
