@@ -111,9 +111,9 @@ CTES: dict[str, str] = {
     "rec_forms": """SELECT 'form' AS source, md5(concat_ws(chr(31), coalesce(subject, chr(0)), coalesce(body, chr(0)),
         coalesce(answer, chr(0)), coalesce(type, chr(0)), coalesce(priority, chr(0)))) AS source_key,
         subject, body, answer, type, priority FROM raw_forms""",
-    "rec_emails": f"SELECT {record('email', 'email', stripped('subject'), 'asked', stripped('answer'))} FROM email_parts",
     "email_parts": f"""SELECT *, CASE WHEN {stripped('body')} <> '' THEN {stripped('body')} || ' ' ELSE '' END || doc_source || ' asks again' || chr(10) ||
         'Thanks, but From: here on it is new' AS asked FROM raw_emails""",
+    "rec_emails": f"SELECT {record('email', 'email', stripped('subject'), 'asked', stripped('answer'))} FROM email_parts",
     "call_parts": f"SELECT transcripts, {stripped("subject || chr(10) || 'To: ' || doc_source")} AS s, {stripped('body')} AS b, {stripped('answer')} AS an FROM raw_calls",
     "rec_calls": f"SELECT {record('transcripts', 'call', sentence('s'), "array_to_string(list_filter([s, b], lambda x: x <> ''), ' ')", 'an')} FROM call_parts",
     "rec_chats": f"SELECT {record('chat', 'chat', sentence('first_asked'), 'asked', 'replied')} FROM raw_chats",
@@ -149,11 +149,11 @@ CTES: dict[str, str] = {
     **nearest("near_images", "images", "images", 10),
     **nearest("cosine_images", "images", "images", 10, "1 - list_cosine_similarity(q.vec, b.vec)"),
     **nearest("dot_images", "images", "images", 10, "-list_inner_product(q.vec, b.vec)"),
-    "pivots": "SELECT id AS pivot, vec FROM images ORDER BY id LIMIT 32",
-    "gaps": """SELECT i.id, pivot, row_number() OVER (PARTITION BY i.id ORDER BY round(list_distance(i.vec, p.vec), 9), pivot) AS near
+    "pivots": "SELECT id AS p_id, vec FROM images ORDER BY id LIMIT 32",
+    "gaps": """SELECT i.id, p_id, row_number() OVER (PARTITION BY i.id ORDER BY round(list_distance(i.vec, p.vec), 9), p_id) AS near
         FROM images i, pivots p""",
     "probed": """SELECT query_id, base_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, base_id) AS rank
-        FROM near_images_p n JOIN gaps b ON b.id = base_id AND b.near = 1 JOIN gaps q ON q.id = query_id AND q.near <= 8 AND q.pivot = b.pivot""",
+        FROM near_images_p n JOIN gaps b ON b.id = base_id AND b.near = 1 JOIN gaps q ON q.id = query_id AND q.near <= 8 AND q.p_id = b.p_id""",
     "bucket_weights": """SELECT b, ln((SELECT count(DISTINCT id) + 1 FROM product_vecs_c)::DOUBLE / (count(*) + 1)) AS w
         FROM product_vecs_c GROUP BY b""",
     "weighted": "SELECT id, b, c * w AS x FROM product_vecs_c JOIN bucket_weights USING (b)",
@@ -300,7 +300,8 @@ SELECTS: dict[str, str] = {
         doc_id % 5 = 0 AS held_out FROM documents LEFT JOIN word_totals USING (doc_id)""",
     "list_objects": "SELECT 1::BIGINT AS n_files, CAST(sum(strlen(html) + 1) AS BIGINT) AS n_bytes FROM pages",
     "create_or_replace": "SELECT n_nationkey, lower(n_name) AS n_name FROM nation",
-    "load_forms": "SELECT subject, body, answer, type, priority FROM raw_forms",
+    "load_forms": """SELECT nullif(subject, '') AS subject, nullif(body, '') AS body, nullif(answer, '') AS answer, type, priority
+        FROM raw_forms""",
     "load_chats": "SELECT chat FROM raw_chats",
     "load_products": """SELECT product_id, title, description, image, len(customer_comments) AS n_comments,
         array_to_string(customer_comments, '|') AS comments FROM products""",

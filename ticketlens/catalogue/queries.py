@@ -469,6 +469,9 @@ def search_tickets(spark, sf):
 # --- loaders, images and audio ------------------------------------------------
 
 
+_CSV = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def _folder(spark, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -479,15 +482,16 @@ def load_forms(spark, sf):
     path = _folder(spark, "forms")
     forms = tables.forms(tables.document_fields(spark, sf))
     mixed = forms.select("priority", "answer", F.lit("a queue").alias("queue"), "subject", "type", "body")
-    mixed.write.option("header", True).option("escape", '"').csv(path)
+    mixed.write.options(header=True, **_CSV).csv(path)
     return files.read_forms(spark, path)
 
 
 @query
 def load_chats(spark, sf):
+    """Chats with line breaks inside cells."""
     path = _folder(spark, "chats")
-    tables.chats(spark, sf).write.option("escape", '"').csv(path)
-    return files.read_chats(spark, path)
+    tables.chats(spark, sf).write.options(**_CSV).csv(path)
+    return files.read_chats(spark, path, multi_line=True)
 
 
 @query

@@ -32,7 +32,7 @@ def read_emails(spark: SparkSession, path: str, multi_line: bool = False) -> Dat
 def read_forms(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Form submissions; columns are found by the names in the header row, others are left out.
 
-    A missing name is an error, a row longer or shorter than the header fails the job. Files under one path
+    An empty cell is NULL. A missing name is an error, a row longer or shorter than the header fails the job. Files under one path
     have the same header. Eager: it reads the header.
     """
     found = _quoted_csv(spark, multi_line).option("header", True).csv(path)
