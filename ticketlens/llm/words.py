@@ -59,6 +59,9 @@ class _Powers:
         self.base = base
         self.up = self.down = np.ones(1, np.uint64)
 
+    def __reduce__(self):
+        return _Powers, (self.base,)  # functions that are sent to tasks don't carry the tables
+
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, CHUNK)
