@@ -6,6 +6,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,9 +46,25 @@ class HashTable:
         return np.minimum(at, n - 1), found
 
 
-def broadcast_value(spark: SparkSession, value: Any):
+class Sent:
+    """A broadcast value. It travels with its classes, so executors need not have this package."""
+
+    def __init__(self, packed):
+        self.packed, self.loaded = packed, None
+
+    def __getstate__(self):
+        return {"packed": self.packed, "loaded": None}
+
+    @property
+    def value(self) -> Any:
+        if self.loaded is None:
+            self.loaded = cloudpickle.loads(self.packed.value)
+        return self.loaded
+
+
+def broadcast_value(spark: SparkSession, value: Any) -> Sent:
     """Send a value of bounded size to every executor once."""
-    return spark.sparkContext.broadcast(value)
+    return Sent(spark.sparkContext.broadcast(cloudpickle.dumps(value)))
 
 
 def sampled_by_class(rows: DataFrame, column: str, per_class: int, key: str | None = None, seed: int = 7) -> tuple[DataFrame, list]:
