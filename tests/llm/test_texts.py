@@ -358,3 +358,8 @@ def test_language_model_of_nothing(docs_of):
     (row,) = classlm.score_texts(docs_of([(1, "a b")]), model).collect()
     assert (row["n_tokens"], row["n_known"]) == (3, 0) and row["score"] < 0 and math.isfinite(row["base_score"])
     assert classlm.score_texts(docs_of([]), model).count() == 0
+
+
+def test_toxicity_without_any_telling_term(spark, docs_of):
+    model = toxicity.fit_toxicity(docs_of([(1, "a b"), (2, "c d")]), _labelled(spark, [(1, 1), (2, 0)]))
+    assert {r["score"] for r in toxicity.score_toxicity(docs_of([(1, "a b"), (3, "q")]), model).collect()} == {model.examples.empty_score}

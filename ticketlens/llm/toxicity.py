@@ -150,7 +150,7 @@ def build(
     dense = np.zeros((len(idf), -(-max(len(order), 1) // block) * block), np.float32)
     for column, i in enumerate(order):
         dense[rows[i][0], column] = rows[i][1]
-    index.dense, index.block_max = dense, dense.reshape(len(idf), -1, block).max(2)
+    index.dense, index.block_max = dense, dense.reshape(len(idf), dense.shape[1] // block, block).max(2)
     index.ids, index.label, index.weight = (np.array(x)[order] for x in ([e[0] for e in examples], labels, weight))
     votes = []
     for column, i in enumerate(order):
