@@ -168,6 +168,30 @@ def test_an_item_in_most_documents_is_still_found(docs_of, benchmark):
     assert decontaminate.without_leaks(docs_of(rows), table.where("false")).count() == len(rows)
 
 
+@pytest.mark.parametrize("holders", [6, 100, 200])
+def test_one_edited_version_in_many_documents(spark, docs_of, holders):
+    """Of 600 documents; a rarer version of each item may stand in a few more, and everyday words in all."""
+    rng = random.Random(5)
+    items, rows, expected = [], [], set()
+    noise = lambda n: " ".join(rng.choice(["of", "the", "and", f"n{rng.randrange(5000)}"]) for _ in range(n))
+    for item, changes in enumerate((3, 4, 6)):
+        text = [f"i{item}w{j}" if j % 5 else "the" for j in range(30)]
+        items.append((item, " ".join(text)))
+        at = {(2 * c + 1) * 30 // (2 * changes) for c in range(changes)}
+        often = " ".join(f"other{item}x{j}" if j in at else w for j, w in enumerate(text))
+        rarely = " ".join(f"rare{item}x{j}" if j in (2, 28) else w for j, w in enumerate(text))
+        for k in range(holders + holders // 50):
+            rows.append((1000 * item + k, f"{noise(20)} {often if k < holders else rarely} {noise(20)}"))
+            expected.add((1000 * item + k, item))
+    rows += [(10_000 + k, noise(60)) for k in range(600 - len(rows))]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.leaks(docs_of(rows), table).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == expected and len(found) == len(expected)
+    # 24 words at 2 and 6 at 1, less those changed and 1 for each change
+    assert min(r["score"] for r in found) >= (54 - 3 * 6) / 54
+    assert decontaminate.without_leaks(docs_of(rows), table).count() == len(rows) - len(expected)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 4), min_size=1, max_size=12), min_size=1, max_size=5), st.lists(st.integers(1, 4), min_size=1, max_size=8))
 def test_alignment_equals_plain_smith_waterman(passages, item):
