@@ -362,6 +362,25 @@ def classlm_words(some):
     return split([w.encode() for w in some], 0, len(some), lower=True)
 
 
+@pytest.mark.parametrize("sample", [0, 3, 1000])
+def test_units_are_the_most_frequent_words_of_all_documents(docs_of, sample):
+    rng = random.Random(8)
+    rows = [(i, " ".join([f"only{i % 9}"] * 7 + [f"w{rng.randrange(300)}" for _ in range(30)])) for i in range(90)]
+    n = Counter(w for _, t in rows for w in t.split())
+    model = classlm.fit_classes(docs_of(rows), classlm.LmRule(sample_docs=sample, head=60, units=9, endings=16, classes=4))
+    number, known, unit = model.tables.words.units_of(classlm_words([w for w, _ in n.most_common(9)]), model.rule)
+    assert known.all() and sorted(unit.tolist()) == list(range(9))
+    assert model.tables.words.own == 9 and model.train_tokens == sum(n.values()) + len(rows)
+    scored = classlm.score_texts(docs_of(rows), model).collect()
+    assert all(r["n_known"] == r["n_tokens"] == 38 for r in scored)
+
+
+def test_few_endings_share_a_unit():
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    endings = classlm.endings_of(classlm_words([f"w{a}{b}{c}" for a in "aeiou" for b in letters for c in letters]), classlm.LmRule())
+    assert len(set(endings.tolist())) > 0.95 * len(endings)
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(0)
     hidden = rng.integers(0, 4, 60)

@@ -5,14 +5,15 @@ the word within its class (Brown et al., "Class-Based n-gram Models of Natural L
 1992). Classes are found by exchange (Kneser and Ney): each unit in turn
 moves to the class that raises the likelihood of the corpus's class bigrams most.
 
-Units are the most frequent words, and for all other words their endings. Within an ending,
-a word has its relative frequency, with half a count added to each and to one unseen
-word; so probabilities sum to one over all words.
+Units are the most frequent words of all training documents, and for all other words their
+endings, by a hash of so many values that few endings share one. Within an ending, a word
+has its relative frequency, with half a count added to each and to one unseen word; so
+probabilities sum to one over all words.
 
 Words of three kinds by frequency: units of their own; the head, whose exact counts go to every task;
 and the tail, without bound, whose counts are joined to the documents by an equi-join on
-the words' hashes. Which words are in the head is read off a bounded sample and does not
-change any result; all counts are taken over all training documents.
+the words' hashes. Which words are in the head besides the units is read off a bounded sample and
+does not change any result; all counts, and the choice of units, are taken over all training documents.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from .words import Words, chunks, mix, signed
 class LmRule:
     sample_docs: int = 6000
     head: int = 150_000
-    units: int = 600
-    endings: int = 600
+    units: int = 800
+    endings: int = 1 << 16
     ending_bytes: int = 3
     classes: int = 64
     rounds: int = 6
@@ -88,8 +89,8 @@ def _histories(unit: np.ndarray, end) -> tuple[np.ndarray, np.ndarray]:
     return before, last
 
 
-def vocabulary(docs: DataFrame, rule: LmRule) -> Vocabulary:
-    """The most frequent words of about ``sample_docs`` documents, drawn at random with a fixed seed."""
+def _head(docs: DataFrame, rule: LmRule) -> tuple[np.ndarray, np.ndarray]:
+    """(word, ending) of the most frequent words of about ``sample_docs`` documents, drawn at random with a fixed seed."""
     n = docs.count()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,50 +103,88 @@ def vocabulary(docs: DataFrame, rule: LmRule) -> Vocabulary:
     rows = some.select("text").mapInArrow(count, "word long, ending long, n long")
     top = rows.groupBy("word").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
     top = top.orderBy(F.desc("n"), "word").limit(rule.head).toArrow()
-    own = min(len(top), rule.units)
-    unit = np.concatenate([np.arange(own), rule.units + top.column("ending").to_numpy()[own:]])
-    return Vocabulary(HashTable.of(top.column("word").to_numpy().view(np.uint64), np.arange(len(top))), unit, own)
+    return top.column("word").to_numpy(), top.column("ending").to_numpy()
 
 
-def _corpus_counts(docs: DataFrame, words: Vocabulary, rule: LmRule) -> DataFrame:
-    """(kind, key, ending, n) over all documents; kind 0: head words, 1: pairs of units, 2: tail words."""
-    sent = broadcast_value(docs.sparkSession, words)
-    size = rule.end + 1
+def _word_counts(docs: DataFrame, head: np.ndarray, rule: LmRule) -> DataFrame:
+    """(kind, key, ending, n) over all documents; kind 0: head words by their number, 2: other words."""
+    sent = broadcast_value(docs.sparkSession, HashTable.of(head.view(np.uint64), np.arange(len(head))))
 
-    def rows(kind: int, key: np.ndarray, n: np.ndarray, ending: np.ndarray | None = None) -> pa.RecordBatch:
-        ending = np.zeros(len(key), np.int64) if ending is None else ending
+    def rows(kind: int, key: np.ndarray, n: np.ndarray, ending: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key), pa.array(ending), pa.array(n)], ["kind", "key", "ending", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, pairs = np.zeros(len(sent.value.unit), np.int64), np.zeros(size * size, np.int64)
+        table = sent.value
+        total = np.zeros(len(table.values), np.int64)
         for batch in batches:
-            rare, keys = [], []
+            rare = []
             for words in chunks(batch, "text", lower=True):
-                number, known, unit = sent.value.units_of(words, rule)
-                head += np.bincount(number[known], minlength=len(head))
-                units, _ = _with_ends(words, unit, rule.end)
-                keys.append(_histories(units, rule.end)[1] * size + units)
-                rare.append((words.hash[~known], unit[~known] - rule.units))
-            if keys:
-                pairs += np.bincount(np.concatenate(keys), minlength=len(pairs))
+                row, known = table.find(words.hash)
+                total += np.bincount(table.values[row[known]], minlength=len(total))
+                rare.append((words.hash[~known], endings_of(words, rule)[~known]))
+            if rare:
                 every, ending = (np.concatenate(x) for x in zip(*rare, strict=True))
                 key, at, n = np.unique(every, return_index=True, return_counts=True)
                 yield rows(2, signed(key), n, ending[at])
-        for kind, values in ((0, head), (1, pairs)):
-            at = np.flatnonzero(values)
-            yield rows(kind, at, values[at])
+        at = np.flatnonzero(total)
+        yield rows(0, at, total[at], np.zeros(len(at), np.int64))
 
     found = docs.select("text").mapInArrow(count, "kind int, key long, ending long, n long")
     return found.groupBy("kind", "key").agg(F.min("ending").alias("ending"), F.sum("n").alias("n"))
 
 
+def vocabulary(docs: DataFrame, rule: LmRule) -> tuple[Vocabulary, np.ndarray, DataFrame]:
+    """The head with the most frequent words of all documents as its units, its counts, and (key, ending, n) of the tail."""
+    word, ending = _head(docs, rule)
+    counts = settle(_word_counts(docs, word, rule), "counts")
+    n, tail = _dense(counts.where("kind = 0"), len(word)), counts.where("kind = 2").drop("kind")
+    # A frequent word that the sample hasn't joins the head.
+    more = tail.orderBy(F.desc("n"), "key").limit(rule.units).toArrow()
+    word, ending, n = (np.concatenate([x, more.column(c).to_numpy()]) for x, c in ((word, "key"), (ending, "ending"), (n, "n")))
+    order = np.lexsort((word, -n))
+    own = min(len(order), rule.units)
+    sampled = np.arange(len(word)) < len(word) - len(more)
+    order = np.concatenate([order[:own], order[own:][sampled[order[own:]]]])
+    moved = word[order[:own]][~sampled[order[:own]]].tolist()
+    if moved:
+        tail = tail.where(~F.col("key").isin(moved))
+    unit = np.concatenate([np.arange(own), rule.units + ending[order[own:]]])
+    return Vocabulary(HashTable.of(word[order].view(np.uint64), np.arange(len(order))), unit, own), n[order], tail
+
+
+def _pair_counts(docs: DataFrame, words: Vocabulary, rule: LmRule) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unit, the unit after it, how often) over all documents, of the pairs that occur."""
+    sent = broadcast_value(docs.sparkSession, words)
+    size = rule.end + 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words in chunks(batch, "text", lower=True):
+                units, _ = _with_ends(words, sent.value.units_of(words, rule)[2], rule.end)
+                key, n = np.unique(_histories(units, rule.end)[1] * size + units, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
+
+    found = docs.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    key = found.column("key").to_numpy()
+    order = np.argsort(key)  # the order of tasks must not matter
+    return key[order] // size, key[order] % size, found.column("n").to_numpy()[order].astype(float)
+
+
 def exchange(pairs: np.ndarray, classes: int, rounds: int) -> np.ndarray:
-    """The class of each unit, from the matrix of how often unit j follows unit i.
+    """The class of each unit, from the matrix of how often unit j follows unit i."""
+    first, second = np.nonzero(pairs)
+    return exchange_pairs(first, second, pairs[first, second], len(pairs), classes, rounds)
+
+
+def exchange_pairs(first: np.ndarray, second: np.ndarray, n: np.ndarray, units: int, classes: int, rounds: int) -> np.ndarray:
+    """The class of each unit, from how often unit ``second`` follows unit ``first``, in the order of first and second.
 
     Starts with the units dealt out by frequency; ends after ``rounds``, or when a round moves none.
     """
-    units = len(pairs)
-    frequency = pairs.sum(0)
+    frequency = np.bincount(second, n, minlength=units)
+    by_second = np.argsort(second, kind="stable")
+    before_unit, before_n = first[by_second], n[by_second]
+    row, column = (np.searchsorted(x, np.arange(units + 1)) for x in (first, second[by_second]))
     order = np.argsort(-frequency, kind="stable")
     of = np.empty(units, np.int64)
     of[order] = np.arange(units) % classes
@@ -153,17 +192,15 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int) -> np.ndarray:
     def gain(x):
         return x * np.log(np.maximum(x, 1))
 
-    def by_class(values: np.ndarray) -> np.ndarray:
-        return np.bincount(of, values, minlength=classes)
-
-    table = np.zeros((classes, classes))
-    np.add.at(table, (of[:, None], of[None, :]), pairs)
+    table = np.bincount(of[first] * classes + of[second], n, minlength=classes * classes).reshape(classes, classes)
     for _ in range(rounds):
         moved = 0
         for unit in order[frequency[order] > 0]:
             here = of[unit]
-            self_pairs = float(pairs[unit, unit])
-            after, before = by_class(pairs[unit]), by_class(pairs[:, unit])
+            out, into = slice(row[unit], row[unit + 1]), slice(column[unit], column[unit + 1])
+            self_pairs = float(n[out][second[out] == unit].sum())
+            after = np.bincount(of[second[out]], n[out], minlength=classes)
+            before = np.bincount(of[before_unit[into]], before_n[into], minlength=classes)
             after[here] -= self_pairs
             before[here] -= self_pairs
             table[here] -= after
@@ -246,18 +283,15 @@ def _dense(counts: DataFrame, size: int) -> np.ndarray:
 def fit_classes(docs: DataFrame, rule: LmRule = LmRule()) -> LanguageModel:
     """Learn from all documents with a ``text``; a null one is empty, and each ends with one end.
 
-    Only the head's counts, the pairs of units and the transitions between classes reach the
-    driver, all bounded by the rule. Eager: it reads the documents three times and
-    writes the tail's counts.
+    Only the head's counts, the pairs of units that occur and the transitions between classes
+    reach the driver. Eager: it reads the documents three times, besides the sample, and
+    writes the words' counts.
     """
-    words = vocabulary(docs, rule)
-    counts = settle(_corpus_counts(docs, words, rule), "counts")
-    size, tail = rule.end + 1, counts.where("kind = 2")
-    head = _dense(counts.where("kind = 0"), len(words.unit))
-    pairs = _dense(counts.where("kind = 1"), size * size).reshape(size, size).astype(float)
-    unit_class = exchange(pairs, rule.classes, rule.rounds)
-
-    by_unit = pairs.sum(0)
+    words, head, tail = vocabulary(docs, rule)
+    first, second, n = _pair_counts(docs, words, rule)
+    unit_class = exchange_pairs(first, second, n, rule.end + 1, rule.classes, rule.rounds)
+
+    by_unit = np.bincount(second, n, minlength=rule.end + 1)
     in_class = np.bincount(unit_class, by_unit, minlength=rule.classes)
     units_in = np.bincount(unit_class, minlength=rule.classes)
     add = 0.01  # for units that never occurred
@@ -274,7 +308,7 @@ def fit_classes(docs: DataFrame, rule: LmRule = LmRule()) -> LanguageModel:
     head_score[rest] = np.log10(head[rest] + 0.5) - tail_score[(words.unit - rule.units)[rest]]
 
     ends = float(by_unit[rule.end])
-    train_tokens = int(pairs.sum())
+    train_tokens = int(n.sum())
     distinct = int((head > 0).sum()) + tail.count() + (ends > 0)
     three = _transitions(docs, words, unit_class, rule)
     two, one = three.sum(0), three.sum((0, 1))
