@@ -299,6 +299,23 @@ def test_block_max_search_is_exact(spark, docs_of):
         assert found.tolist() == [i for i in best.tolist() if every[i] > 0] and np.allclose(cosine, every[found])
 
 
+def test_every_term_counts_in_the_nearest_examples(spark, docs_of):
+    """At default settings, against all products of the indexed vectors."""
+    rng = random.Random(12)
+    topics = [[f"t{t}w{j}x" for j in range(12)] for t in range(40)]
+    rows = [(i, " ".join(rng.sample(topics[i % 40], 8))) for i in range(400)]
+    truth = {i: int(i % 40 < 20) for i in range(400)}  # no topic word is common enough to tell the label by itself
+    index = toxicity.fit_toxicity(docs_of(rows), _labelled(spark, list(truth.items()))).examples
+    assert sorted(index.ids.tolist()) == list(range(400))
+    found = {r["doc_id"]: r["evidence"] for r in toxicity.score_toxicity(docs_of(rows), toxicity.Toxicity(index, 0.5)).collect()}
+    every = index.dense[np.arange(len(index.idf)), : len(index.ids)].astype(float)
+    assert np.allclose((every**2).sum(0), 1, atol=1e-5)
+    for column, i in enumerate(index.ids.tolist()):
+        cosine = dict(zip(index.ids.tolist(), every[:, column] @ every, strict=True))
+        kth = sorted(cosine.values())[-index.k]
+        assert len(found[i]) == index.k and all(cosine[x] >= kth - 1e-5 for x in found[i])
+
+
 def _plain_base(rows, train):
     tokens = {k: [*words((t or "").translate(LOWER)), None] for k, (_, t) in enumerate(rows)}
     counts = Counter(w for k in train for w in tokens[k])

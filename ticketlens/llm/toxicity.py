@@ -1,10 +1,11 @@
 """Toxicity by nearest labelled examples.
 
-Examples and documents are TF-IDF vectors over the terms that go with the label: words, and the
-beginnings of words, which tell the stem of a word never seen. A term counts once for each of some
+Examples and documents are TF-IDF vectors over all terms of a few examples: words, and the
+beginnings of words, which tell the stem of a word never seen. Terms that go with the label weigh
+more; none is left out for it. A term counts once for each of some
 levels that its occurrences reach, so that often and once differ under the cosine. The nearest examples by cosine are found exactly in an inverted index in blocks: each
 term has, per block of examples, its greatest weight there. They give every block an upper
-bound; blocks are searched from the greatest bound down, until no bound exceeds the k-th
+bound; blocks are searched from the greatest bound down, some at once, until no bound exceeds the k-th
 best similarity. The neighbours vote with weights that fall with their distance, and the votes are
 calibrated on the examples themselves, each without its own vote.
 """
@@ -37,7 +38,7 @@ LEVELS = (1, 2, 4)
 
 @dataclass
 class Terms:
-    """The chosen terms: hashes, and per hash and level the term's row in the index, or -1."""
+    """The terms: hashes, and per hash and level the term's row in the index, or -1."""
 
     prefixes: tuple[int, ...]
     table: HashTable
@@ -74,6 +75,45 @@ def _occurrences(words: Words, prefixes: tuple[int, ...]) -> tuple[np.ndarray, n
     return np.concatenate(texts), np.concatenate(hashes)
 
 
+@dataclass
+class Postings:
+    """A sparse matrix of terms x examples, of which some rows and a range of columns are read."""
+
+    first: np.ndarray  # per block and term: where its postings begin
+    column: np.ndarray
+    value: np.ndarray
+    block: int
+    width: int
+
+    @staticmethod
+    def of(term: np.ndarray, column: np.ndarray, value: np.ndarray, terms: int, width: int, block: int) -> Postings:
+        cell = column // block * terms + term
+        order = np.lexsort((column, cell))
+        first = np.searchsorted(cell[order], np.arange(width // block * terms + 1)).astype(np.int32)
+        return Postings(first, column[order].astype(np.int32), value[order].astype(np.float32), block, width)
+
+    def _read(self, rows: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(which of the rows, column, value) of the rows' postings in the blocks."""
+        terms = (len(self.first) - 1) // max(self.width // self.block, 1)
+        cell = (blocks[:, None] * terms + rows).ravel()
+        begin, n = self.first[cell], self.first[cell + 1] - self.first[cell]
+        some = np.flatnonzero(n)
+        begin, n = begin[some].astype(np.int64), n[some]
+        at = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+        return np.repeat(some % max(len(rows), 1), n), self.column[at], self.value[at]
+
+    def products(self, rows: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        """Per example the sum of weight times value; 0 outside the blocks."""
+        which, column, value = self._read(rows, blocks)
+        return np.bincount(column, weights[which] * value, minlength=self.width)
+
+    def __getitem__(self, at: tuple[np.ndarray, slice]) -> np.ndarray:
+        which, column, value = self._read(at[0], np.arange(self.width // self.block))
+        out = np.zeros((len(at[0]), self.width), np.float32)
+        out[which, column] = value
+        return out[:, at[1]]
+
+
 @dataclass
 class Examples:
     """The index, and what is needed to vote."""
@@ -83,7 +123,7 @@ class Examples:
     ids: np.ndarray  # per example, in index order
     label: np.ndarray
     weight: np.ndarray  # rows of its class that an example stands for
-    dense: np.ndarray  # terms x examples
+    dense: Postings  # terms x examples
     block_max: np.ndarray  # terms x blocks
     block: int
     k: int
@@ -98,16 +138,22 @@ class Examples:
         bound = weights @ self.block_max[rows]
         found = np.zeros(0, np.int64)
         cosine = np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(found) >= self.k and bound[b] < cosine[self.k - 1] - 1e-9):
+        order = np.argsort(-bound, kind="stable")
+        at, some = 0, 4
+        while at < len(order):
+            blocks = order[at : at + some]
+            blocks = blocks[bound[blocks] > 0]
+            if len(found) >= self.k:
+                blocks = blocks[bound[blocks] >= cosine[self.k - 1] - 1e-6]  # bounds are added up in single precision
+            if not len(blocks):
                 break
-            lo = b * self.block
-            near = weights @ self.dense[rows, lo : lo + self.block]
-            at = np.flatnonzero(near > 0)
-            at = at[at + lo != leave_out]
-            found, cosine = np.concatenate([found, at + lo]), np.concatenate([cosine, near[at]])
-            order = np.lexsort((found, -np.round(cosine, 12)))[: self.k]
-            found, cosine = found[order], cosine[order]
+            at, some = at + some, 2 * some
+            near = self.dense.products(rows, weights, blocks)
+            hit = np.flatnonzero(near > 0)
+            hit = hit[hit != leave_out]
+            found, cosine = np.concatenate([found, hit]), np.concatenate([cosine, near[hit]])
+            best = np.lexsort((found, -np.round(cosine, 12)))[: self.k]
+            found, cosine = found[best], cosine[best]
         return found, cosine
 
     def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
@@ -138,7 +184,7 @@ def build(
 ) -> Examples:
     """An index of (id, label, rows of terms), each standing for so many rows of its label."""
     labels = np.array([e[1] for e in examples])
-    index = Examples(terms, idf, *(np.zeros(0) for _ in range(3)), np.zeros((len(idf), 0)), np.zeros((len(idf), 0)), block, k, 0.0, (np.zeros(1), np.zeros(1)))
+    index = Examples(terms, idf, *(np.zeros(0) for _ in range(3)), None, np.zeros((len(idf), 0)), block, k, 0.0, (np.zeros(1), np.zeros(1)))
     rows = [(row, index.vector(row) if len(row) else np.zeros(0)) for _, _, row in examples]
     strong = [int(row[v.argmax()]) if len(v) else -1 for row, v in rows]
     # Alike examples share a block: by label and strongest term.
@@ -147,10 +193,12 @@ def build(
     empty = np.array([not len(v) for _, v in rows])
     prior = (weight * labels).sum() / weight.sum()
     index.empty_score = float(((weight * labels)[empty].sum() + prior) / (weight[empty].sum() + 1))
-    dense = np.zeros((len(idf), -(-max(len(order), 1) // block) * block), np.float32)
-    for column, i in enumerate(order):
-        dense[rows[i][0], column] = rows[i][1]
-    index.dense, index.block_max = dense, dense.reshape(len(idf), dense.shape[1] // block, block).max(2)
+    width = -(-max(len(order), 1) // block) * block
+    sizes = [len(rows[i][0]) for i in order]
+    term, value = (np.concatenate([*(rows[i][k] for i in order), np.zeros(0, kind)]) for k, kind in ((0, np.int64), (1, float)))
+    index.dense = Postings.of(term, np.repeat(np.arange(len(order)), sizes), value, len(idf), width, block)
+    index.block_max = np.zeros((len(idf), width // block), np.float32)
+    np.maximum.at(index.block_max, (term, np.repeat(np.arange(len(order)), sizes) // block), value.astype(np.float32))
     index.ids, index.label, index.weight = (np.array(x)[order] for x in ([e[0] for e in examples], labels, weight))
     votes = []
     for column, i in enumerate(order):
@@ -174,17 +222,17 @@ def fit_toxicity(
     labels: DataFrame,
     per_class: int = 2000,
     prefixes: tuple[int, ...] = (3, 4, 5, 6, 7),
-    max_terms: int = 1024,
     least_examples: int = 3,
     least_chi2: float = 25.0,
+    least_weight: float = 0.02,
     **index,
 ) -> Toxicity:
     """Index documents (doc_id, text) with labels (doc_id, label of 0 or 1).
 
     About ``per_class`` labelled rows of each class are drawn by a hash of their doc_id: the
     bound on the index and on what reaches the driver. Their votes count as the
-    rows they stand for. Terms are those of at least ``least_examples`` examples whose chi-squared with the
-    label is at least ``least_chi2``, the ``max_terms`` greatest. A document labelled both ways counts as 1. Eager.
+    rows they stand for. Terms are all of at least ``least_examples`` examples, so the samples bound them. One whose
+    chi-squared with the label is below ``least_chi2`` weighs less, in proportion, down to ``least_weight``. A document labelled both ways counts as 1. Eager.
     """
     known = labels.select(F.col("doc_id").cast("long"), F.col("label").cast("int")).where("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -221,17 +269,19 @@ def fit_toxicity(
     expected = F.col("df") * (bad / total)
     chi2 = (F.col("bad") - expected) ** 2 * total / (expected * (total - bad) * F.greatest(1 - F.col("df") / total, F.lit(1e-9)))
     counts = drawn.mapInArrow(count, "term long, level long, df long, bad long").groupBy("term", "level").agg(F.sum("df").alias("df"), F.sum("bad").alias("bad"))
-    chosen = counts.where(F.col("df") >= least_examples).withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2)
-    chosen = chosen.orderBy(F.desc("chi2"), "term", "level").limit(max_terms).collect()
-    keys = np.array([r["term"] for r in chosen], np.int64).view(np.uint64)
-    terms = Terms.of(prefixes, keys, np.array([r["level"] for r in chosen], np.int64))
-    idf = np.array([np.log((1 + total) / (1 + r["df"])) + 1 for r in chosen])
+    chosen = counts.where(F.col("df") >= least_examples).withColumn("chi2", chi2).toArrow()
+    term, level, df, chi2 = (chosen.column(c).to_numpy() for c in ("term", "level", "df", "chi2"))
+    order = np.lexsort((level, term))  # the order of tasks must not matter
+    terms = Terms.of(prefixes, term[order].view(np.uint64), level[order])
+    weight = np.maximum(np.minimum(chi2[order] / least_chi2, 1), least_weight)
+    idf = (np.log((1 + total) / (1 + df[order])) + 1) * weight
+    sent = broadcast_value(docs.sparkSession, terms)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cleaned = [_clean(t) for t in texts_of(batch, "text")]
             for lo, hi in pieces(cleaned):
-                edge, row = terms.in_texts(split(cleaned, lo, hi))
+                edge, row = sent.value.in_texts(split(cleaned, lo, hi))
                 ids = [batch.column(x).slice(lo, hi - lo) for x in ("doc_id", "label")]
                 rows = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(row, pa.int64()))
                 yield pa.RecordBatch.from_arrays([*ids, rows], ["doc_id", "label", "row"])
