@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classlm, decontaminate, langid, minmax, packing, quality, sharding, substring, toxicity, vectors
+from ..session import spread
+from . import classlm, decontaminate, langid, minmax, packing, quality, sharding, substring, tokencounts, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,6 +34,12 @@ def tokenizer_files() -> dict[str, str]:
     return {"tokenizer": public_tokenizers.path("byte_bpe_50k.json"), "ranks": public_tokenizers.path("byte_bpe_50k.tiktoken")}
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 @query
 def op2_pack_sequences(spark, sf):
     cut = packing.pieces(read(spark, sf, "documents"), **tokenizer_files(), length=2048, end_id=1)
@@ -136,3 +143,11 @@ def op7_class_model(spark, sf):
     model = classlm.fit_classes(docs.where(fold(5) != 1))
     scored = classlm.score_texts(docs, model)
     return scored.withColumns({"held_out": fold(5) == 1, "train_tokens": F.lit(model.train_tokens).cast("long")})
+
+
+@query
+def op12_token_counts(spark, sf):
+    docs = spread(read(spark, sf, "documents")).select("doc_id", F.col("text").cast("string").alias("text"))
+    counted = tokencounts.token_counts(docs, piece_model())
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))

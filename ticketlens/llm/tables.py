@@ -6,7 +6,7 @@ from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +67,21 @@ def broadcast_value(spark: SparkSession, value: Any) -> Sent:
     return Sent(spark.sparkContext.broadcast(cloudpickle.dumps(value)))
 
 
+class _ByValue:
+    """Unpickles to ``value``, with its classes."""
+
+    def __init__(self, value: Any):
+        self.value = value
+
+    def __reduce__(self):
+        return cloudpickle.loads, (cloudpickle.dumps(self.value),)
+
+
+def broadcast_for_workers(spark: SparkSession, value: Any) -> Broadcast:
+    """Send a value of bounded size once; each Python worker keeps its own copy, with what it caches, from task to task."""
+    return spark.sparkContext.broadcast(_ByValue(value))
+
+
 def sampled_by_class(rows: DataFrame, column: str, per_class: int, key: str | None = None, seed: int = 7) -> tuple[DataFrame, list]:
     """About ``per_class`` rows of each class at random, and the sorted classes.
 
