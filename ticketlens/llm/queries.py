@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import spread
-from . import classlm, decontaminate, langid, minmax, packing, quality, sharding, substring, tokencounts, toxicity, vectors
+from . import classlm, decontaminate, langid, minmax, packing, quality, runs, sharding, substring, tokencounts, toxicity, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -151,3 +152,30 @@ def op12_token_counts(spark, sf):
     counted = tokencounts.token_counts(docs, piece_model())
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+def plant_period(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """Makes one document in ten periodic from some word on, as the contract of operator 11 says."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    times = -(-(n - a) // p)
+    return words[:a] + (words[a : a + p] * times)[: n - a]
+
+
+@query
+def op11_periodic_runs(spark, sf):
+    found = runs.periodic_runs(spread(read(spark, sf, "documents")), plant_period)
+    best = found.withColumn("best", runs.most_repeated(F.col("runs")))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(F.try_divide(F.col("best.length") * 1000, F.col("best.period"))).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
+    )
