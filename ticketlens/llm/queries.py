@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import spread
-from . import classlm, decontaminate, langid, minmax, packing, quality, runs, sharding, substring, tokencounts, toxicity, vectors
+from ..session import settle, spread
+from . import classlm, decontaminate, langid, minmax, packing, quality, runs, sharding, substring, tokencounts, toxicity, tries, vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -179,3 +179,59 @@ def op11_periodic_runs(spark, sf):
         F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
         F.sha2("collapsed_text", 256).alias("collapsed_sha256"),
     )
+
+
+def rebuilt_turns(numbered: DataFrame) -> DataFrame:
+    """Each conversation c with the first h turns of conversation c - c % 20 before its own turns after its first h, as the contract of operator 13 says."""
+    h = F.pmod(F.crc32(F.col("conv_id").cast("string").cast("binary")), F.lit(4))
+    convs = numbered.select("conv_id").distinct().withColumn("h", h)
+    heads = numbered.where("conv_id % 20 = 0 and position <= 3").select(F.col("conv_id").alias("head"), "position", "turn", "words")
+    taken = convs.where("h > 0").join(heads, (F.expr("conv_id - conv_id % 20") == F.col("head")) & (F.col("position") <= F.col("h")))
+    columns = ["conv_id", "side", "position", "turn", "words"]
+    own = numbered.where(F.col("position") > h).withColumn("side", F.lit(1))
+    return taken.withColumn("side", F.lit(0)).select(columns).union(own.select(columns))
+
+
+@query
+def op13_prefix_trie(spark, sf):
+    numbered = settle(tries.turn_digests(read(spark, sf, "conversations")), "turns")
+    return tries.prefix_trie(rebuilt_turns(numbered), ["side", "position"], numbered.select("conv_id"))
+
+
+# CRC-32 of a number's digits in DuckDB, bit by bit: -1 stands for one shift.
+_CRC32 = """list_reduce(
+    list_concat([4294967295::BIGINT], flatten(list_transform(str_split(c::VARCHAR, ''), lambda x: list_concat([ascii(x)::BIGINT], list_transform(range(8), lambda i: -1::BIGINT))))),
+    lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) ELSE xor(r >> 1, 3988292384::BIGINT * (r & 1)) END)"""
+
+ORACLE_SQL["op13_prefix_trie"] = f"""
+WITH own AS (
+    SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, role, text) AS t
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+), hex AS (
+    SELECT c, t, c - c % 20 AS head, xor({_CRC32}, 4294967295) % 4 AS h FROM own
+), rebuilt AS (
+    SELECT a.c, list_concat(coalesce(list_slice(b.t, 1, a.h), []), list_slice(a.t, a.h + 1, len(a.t))) AS t
+    FROM hex a LEFT JOIN own b ON b.c = a.head
+), prefixes AS (
+    SELECT c, d, list_slice(t, 1, d) AS prefix, len(t) = d AS ends, CASE WHEN d > 0 THEN t[d].text ELSE '' END AS last_text
+    FROM (SELECT c, t, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)
+), named AS (
+    SELECT *, min(c) OVER (PARTITION BY d, prefix) AS node FROM prefixes
+), nodes AS (
+    SELECT node, d, count(*) AS n_convs, any_value(len(regexp_extract_all(last_text, '[^\\x20\\x09-\\x0D]+'))) AS words,
+           sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256
+    FROM named GROUP BY node, d
+), parents AS (
+    SELECT n.*, p.node AS parent FROM nodes n LEFT JOIN named p ON p.c = n.node AND p.d = n.d - 1
+), kids AS (
+    SELECT parent AS node, d - 1 AS d, count(*) AS n_children FROM parents WHERE parent IS NOT NULL GROUP BY ALL
+), own_values AS (
+    SELECT p.*, coalesce(k.n_children, 0) AS n_children, (k.n_children IS NULL)::BIGINT AS leaf, (n_convs - 1) * words AS saved
+    FROM parents p LEFT JOIN kids k USING (node, d)
+), sums AS (
+    SELECT a.node, a.d, sum(v.leaf)::BIGINT AS n_leaves, sum(v.saved)::BIGINT AS saved_tokens
+    FROM own_values v JOIN named a ON a.c = v.node AND a.d <= v.d GROUP BY a.node, a.d
+)
+SELECT v.node AS conv_id, v.d AS depth, v.parent AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, v.ends_sha256
+FROM own_values v JOIN sums s USING (node, d)
+"""
