@@ -80,6 +80,22 @@ def nearest(name: str, base: str, queries: str, k: int, distance: str = "list_di
     }
 
 
+def spread(name: str, label: str, rounds: int = 3) -> dict[str, str]:
+    """CTEs that spread a label of taught forms over ``node_edges``; last is ``name``(node, label, score), without abstention."""
+    ctes = {
+        f"{name}_seed": f"""SELECT node, label, 1000000 * count(*) // sum(count(*)) OVER (PARTITION BY node) AS s FROM (
+            SELECT ticket_id, {label} AS label FROM tickets WHERE source = 'form' AND ticket_id % 5 <> 0) JOIN node_members USING (ticket_id)
+            WHERE label IS NOT NULL GROUP BY node, label""",
+        f"{name}_free": f"SELECT a, b, w, sum(w) OVER (PARTITION BY a) AS total FROM node_edges WHERE a NOT IN (SELECT node FROM {name}_seed)",
+        f"{name}_0": f"SELECT node, label, CAST(s AS BIGINT) AS s FROM {name}_seed",
+    }
+    for i in range(rounds):
+        ctes[f"{name}_{i + 1}"] = f"""SELECT node, label, CAST(s AS BIGINT) AS s FROM {name}_0 UNION ALL
+            SELECT a, label, CAST(80 * sum(w * s) // (100 * any_value(total)) AS BIGINT) FROM {name}_free JOIN {name}_{i} ON b = node GROUP BY a, label"""
+    ctes[name] = f"SELECT node, arg_min(label, (-s, label)) AS label, max(s) AS score FROM {name}_{rounds} GROUP BY node"
+    return ctes
+
+
 def vector_code(vec: str) -> str:
     return f"array_to_string(list_transform({vec}, lambda x: CAST(CAST(floor(x * 1000000) AS BIGINT) AS VARCHAR)), ',')"
 
@@ -154,6 +170,13 @@ CTES: dict[str, str] = {
         FROM images i, pivots p""",
     "probed": """SELECT query_id, base_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, base_id) AS rank
         FROM near_images_p n JOIN gaps b ON b.id = base_id AND b.near = 1 JOIN gaps q ON q.id = query_id AND q.near <= 8 AND q.p_id = b.p_id""",
+    "vec_nodes": "SELECT min(id) AS id, vec FROM ticket_vecs GROUP BY vec",
+    **nearest("near_nodes", "vec_nodes", "vec_nodes", 6, "1 - list_cosine_similarity(q.vec, b.vec)"),
+    "near_edges": "SELECT query_id AS a, base_id AS b, CAST(floor((1 - distance) * 1000) AS BIGINT) AS w FROM near_nodes WHERE query_id <> base_id",
+    "node_edges": "SELECT a, b, max(w) AS w FROM (SELECT a, b, w FROM near_edges UNION ALL SELECT b, a, w FROM near_edges) WHERE w > 0 GROUP BY a, b",
+    "node_members": "SELECT v.id AS ticket_id, n.id AS node FROM ticket_vecs v JOIN vec_nodes n USING (vec)",
+    **spread("types", "nullif(type, '')"),
+    **spread("priorities", "CASE WHEN lower(trim(priority)) IN ('high', 'urgent', 'p1', 'critical') THEN 'high' WHEN lower(trim(priority)) IN ('medium', 'low') THEN lower(trim(priority)) END"),
     "bucket_weights": """SELECT b, ln((SELECT count(DISTINCT id) + 1 FROM product_vecs_c)::DOUBLE / (count(*) + 1)) AS w
         FROM product_vecs_c GROUP BY b""",
     "weighted": "SELECT id, b, c * w AS x FROM product_vecs_c JOIN bucket_weights USING (b)",
@@ -254,6 +277,10 @@ SELECTS: dict[str, str] = {
     "score_abuse": "SELECT product_id, abusive FROM scored_products",
     "score_satisfaction": "SELECT product_id, satisfied FROM scored_products",
     "score_store": "SELECT ticket_id, sentiment, churn FROM scored",
+    "propagate_types": """SELECT ticket_id, CASE WHEN score >= 100000 THEN label ELSE 'Other' END AS type, coalesce(score, 0) AS score
+        FROM tickets LEFT JOIN node_members USING (ticket_id) LEFT JOIN types USING (node)""",
+    "propagate_priorities": """SELECT ticket_id, CASE WHEN score >= 200000 THEN label ELSE 'low' END AS priority, coalesce(score, 0) AS score
+        FROM tickets LEFT JOIN node_members USING (ticket_id) LEFT JOIN priorities USING (node)""",
     "kpis_tickets": """SELECT count(*) AS total_tickets, count_if(lower(coalesce(sentiment, 'unknown')) = 'negative') / count(*)::DOUBLE
         AS negative_rate, CAST(count_if(lower(coalesce(priority, 'unknown')) IN ('high', 'urgent', 'p1', 'critical')) AS BIGINT)
         AS urgent_count FROM scored""",
@@ -323,7 +350,7 @@ SELECTS: dict[str, str] = {
     "help_prompts": prior_tickets(replies.help_instruction(CONTACT)),
     "answer_or_route": f"""SELECT i.item_id AS query_id, coalesce(r.reply, {quoted(CONTACT.message())}) AS reply,
         r.reply IS NULL AS routed FROM benchmark i LEFT JOIN (SELECT query_id, nullif({stripped('answer')}, '') AS reply
-        FROM near_tickets JOIN tickets ON base_id = ticket_id WHERE rank = 1 AND distance <= 0.5) r ON NOT contains(lower(i.text), ' the ') AND r.query_id = i.item_id""",
+        FROM near_tickets JOIN tickets ON base_id = ticket_id WHERE rank = 1 AND distance <= 0.7) r ON NOT contains(lower(i.text), ' the ') AND r.query_id = i.item_id""",
 }
 SELECTS["kpis_display"] = SELECTS["kpis_tickets"]
 

@@ -17,7 +17,7 @@ from ..operators.embedding import embed, embed_tfidf, fit_tfidf, hashed_words, m
 from ..operators.knn import Side, knn, nearest_to_vector
 from ..operators.models import Model, model_column
 from ..operators.transcripts import assemble_transcripts
-from ..plans import product_reports, replies, search, ticket_reports
+from ..plans import learned, product_reports, replies, search, ticket_reports
 from ..plans.moderation import flag_abuse, train_abuse_model
 from ..plans.products import add_uris, build_products, product_cards
 from ..plans.tickets import Channels, add_ticket_vectors, build_tickets, calls_from_audio, number_tickets
@@ -247,6 +247,24 @@ def train_abuse_model_query(spark, sf):
 QUERIES["train_abuse_model"] = QUERIES.pop("train_abuse_model_query")
 
 
+# --- learned types and priorities ---------------------------------------------
+
+
+def _taught():
+    """Four fifths of the forms teach; no other ticket does."""
+    return (F.col("source") == "form") & (F.col("ticket_id") % 5 != 0)
+
+
+@query
+def propagate_types(spark, sf):
+    return learned.learn_types(tables.tickets(spark, sf), tables.ticket_graph(spark, sf), _taught(), rounds=3, least=100_000)
+
+
+@query
+def propagate_priorities(spark, sf):
+    return learned.learn_priorities(tables.tickets(spark, sf), tables.ticket_graph(spark, sf), _taught(), rounds=3)
+
+
 # --- ticket reports ----------------------------------------------------------
 
 
@@ -593,4 +611,4 @@ def help_prompts(spark, sf):
 @query
 def answer_or_route(spark, sf):
     issues = tables.read(spark, sf, "benchmark")
-    return replies.answer_or_route(issues, _similar_tickets(spark, sf), "item_id", "text", tables.CONTACT, max_distance=0.5, personal=(" the ",))
+    return replies.answer_or_route(issues, _similar_tickets(spark, sf), "item_id", "text", tables.CONTACT, max_distance=0.7, personal=(" the ",))

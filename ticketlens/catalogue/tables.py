@@ -16,6 +16,8 @@ from ..operators.embedding import embed, hashed_words
 from ..operators.normalize import Rules
 from ..operators.scoring import abuse_scorer, churn_scorer, satisfaction_scorer, sentiment_scorer
 from ..operators.transcripts import assemble_transcripts
+from ..plans.learned import TicketGraph
+from ..plans.learned import ticket_graph as build_ticket_graph
 from ..plans.product_reports import score_products
 from ..plans.replies import Contact
 from ..plans.ticket_reports import score_tickets
@@ -27,6 +29,7 @@ RULES = Rules(types=lexicons.TYPES, priorities=lexicons.PRIORITIES)
 
 CONTACT = Contact("help@example.com", "+1 555 0100")
 
+_graphs: dict[tuple[str, str], TicketGraph] = {}
 _stored: dict[tuple[str, str, str], DataFrame] = {}
 
 
@@ -125,6 +128,13 @@ def tickets(spark: SparkSession, sf: str) -> DataFrame:
     return stored(spark, sf, "tickets", build_tickets)
 
 
+def ticket_graph(spark: SparkSession, sf: str) -> TicketGraph:
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _graphs:
+        _graphs[key] = build_ticket_graph(tickets(spark, sf), k=5)
+    return _graphs[key]
+
+
 def sentiment() -> Callable[[Column], Column]:
     return sentiment_scorer(lexicons.NEGATIVE, lexicons.POSITIVE)
 
