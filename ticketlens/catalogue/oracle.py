@@ -96,6 +96,37 @@ def spread(name: str, label: str, rounds: int = 3) -> dict[str, str]:
     return ctes
 
 
+def sparse(name: str, source: str, key: str, text: str, dim: int = 16384) -> dict[str, str]:
+    """CTE ``name``(id, b, x): hashed words by bucket, scaled to length 1 by text."""
+    return {
+        f"{name}_t": f"SELECT {key} AS id, unnest({tokens(text)}) AS w FROM {source}",
+        f"{name}_n": f"SELECT id, CAST('0x'||substr(md5(w), 1, 7) AS BIGINT) % {dim} AS b, count(*) AS c FROM {name}_t GROUP BY ALL",
+        name: f"SELECT id, b, c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS x FROM {name}_n",
+    }
+
+
+def logistic(name: str, label: str, steps: int = 8, rate: float = 2.0, l2: float = 1e-4) -> dict[str, str]:
+    """CTEs of accelerated gradient steps over ``doc_features``; last is ``name``(b, w), the constant at b = -1."""
+    ctes = {
+        f"{name}_y": f"""SELECT doc_id AS id, {label} AS y, 0.5::DOUBLE / count(*) OVER (PARTITION BY {label}) AS v
+            FROM labels JOIN documents USING (doc_id) WHERE doc_id % 5 <> 0 AND {label} IN (0, 1) AND text IS NOT NULL""",
+        f"{name}_f": f"SELECT id, b, x, y, v FROM doc_features JOIN {name}_y USING (id) UNION ALL SELECT id, -1, 1, y, v FROM {name}_y",
+        f"{name}_0": f"SELECT DISTINCT b, 0::DOUBLE AS w, 0::DOUBLE AS former FROM {name}_f",
+    }
+    for i in range(steps):
+        ctes[f"{name}_a{i}"] = f"SELECT b, w, w + {i}::DOUBLE / {i + 3} * (w - former) AS ahead FROM {name}_{i}"
+        ctes[f"{name}_e{i}"] = f"""SELECT id, (1 / (1 + exp(-sum(ahead * x))) - any_value(y)) * any_value(v) AS e
+            FROM {name}_f JOIN {name}_a{i} USING (b) GROUP BY id"""
+        ctes[f"{name}_{i + 1}"] = f"""SELECT b, any_value(ahead) - {rate} * (sum(x * e) + CASE WHEN b >= 0 THEN {l2} ELSE 0 END * any_value(ahead)) AS w,
+            any_value(w) AS former FROM {name}_f JOIN {name}_e{i} USING (id) JOIN {name}_a{i} USING (b) GROUP BY b"""
+    ctes[name] = f"SELECT b, w FROM {name}_{steps}"
+    return ctes
+
+
+def probability(name: str, features: str) -> str:
+    return f"""(SELECT id, sum(x * w) AS logit FROM {features} JOIN {name} USING (b) GROUP BY id)"""
+
+
 def vector_code(vec: str) -> str:
     return f"array_to_string(list_transform({vec}, lambda x: CAST(CAST(floor(x * 1000000) AS BIGINT) AS VARCHAR)), ',')"
 
@@ -177,6 +208,10 @@ CTES: dict[str, str] = {
     "node_members": "SELECT v.id AS ticket_id, n.id AS node FROM ticket_vecs v JOIN vec_nodes n USING (vec)",
     **spread("types", "nullif(type, '')"),
     **spread("priorities", "CASE WHEN lower(trim(priority)) IN ('high', 'urgent', 'p1', 'critical') THEN 'high' WHEN lower(trim(priority)) IN ('medium', 'low') THEN lower(trim(priority)) END"),
+    **sparse("doc_features", "documents", "doc_id", "text"),
+    **sparse("comment_features", "commented", "product_id", "comments_text"),
+    **logistic("toxic_model", "toxic"),
+    **logistic("quality_model", "quality"),
     "bucket_weights": """SELECT b, ln((SELECT count(DISTINCT id) + 1 FROM product_vecs_c)::DOUBLE / (count(*) + 1)) AS w
         FROM product_vecs_c GROUP BY b""",
     "weighted": "SELECT id, b, c * w AS x FROM product_vecs_c JOIN bucket_weights USING (b)",
@@ -277,6 +312,10 @@ SELECTS: dict[str, str] = {
     "score_abuse": "SELECT product_id, abusive FROM scored_products",
     "score_satisfaction": "SELECT product_id, satisfied FROM scored_products",
     "score_store": "SELECT ticket_id, sentiment, churn FROM scored",
+    "score_abuse_logistic": f"""SELECT doc_id, round(1 / (1 + exp(-coalesce(logit, 0) - (SELECT w FROM toxic_model WHERE b = -1))), 6) AS score,
+        doc_id % 5 = 0 AS held_out FROM documents LEFT JOIN {probability('toxic_model', 'doc_features')} ON id = doc_id""",
+    "score_satisfaction_logistic": f"""SELECT product_id, round(1 / (1 + exp(-coalesce(logit, 0) - (SELECT w FROM quality_model WHERE b = -1))), 6) AS score
+        FROM commented LEFT JOIN {probability('quality_model', 'comment_features')} ON id = product_id""",
     "propagate_types": """SELECT ticket_id, CASE WHEN score >= 100000 THEN label ELSE 'Other' END AS type, coalesce(score, 0) AS score
         FROM tickets LEFT JOIN node_members USING (ticket_id) LEFT JOIN types USING (node)""",
     "propagate_priorities": """SELECT ticket_id, CASE WHEN score >= 200000 THEN label ELSE 'low' END AS priority, coalesce(score, 0) AS score

@@ -15,6 +15,7 @@ from ..functions import classify, numbers, privacy, prompts, text
 from ..operators import columns, normalize, scoring, update
 from ..operators.embedding import embed, embed_tfidf, fit_tfidf, hashed_words, model_embedder
 from ..operators.knn import Side, knn, nearest_to_vector
+from ..operators.logistic import fit_logistic
 from ..operators.models import Model, model_column
 from ..operators.transcripts import assemble_transcripts
 from ..plans import learned, product_reports, replies, search, ticket_reports
@@ -247,6 +248,26 @@ def train_abuse_model_query(spark, sf):
 QUERIES["train_abuse_model"] = QUERIES.pop("train_abuse_model_query")
 
 
+def _logistic(spark, sf, label):
+    """Fitted on four fifths of the labels."""
+    labels = tables.read(spark, sf, "labels").where("doc_id % 5 != 0").select("doc_id", label)
+    taught = tables.documents(spark, sf).select("doc_id", "text").join(labels, "doc_id")
+    return fit_logistic(taught, "text", label, dim=16384, steps=8)
+
+
+@query
+def score_abuse_logistic(spark, sf):
+    model = _logistic(spark, sf, "toxic")
+    scored = tables.documents(spark, sf).withColumn("score", F.round(model(F.col("text")), 6))
+    return scored.select("doc_id", "score", (F.col("doc_id") % 5 == 0).alias("held_out"))
+
+
+@query
+def score_satisfaction_logistic(spark, sf):
+    model = _logistic(spark, sf, "quality")
+    return _comments(spark, sf).select("product_id", F.round(model(F.col("comments_text")), 6).alias("score"))
+
+
 # --- learned types and priorities ---------------------------------------------
 
 
