@@ -223,6 +223,36 @@ CTES: dict[str, str] = {
     "word_weights": """SELECT w, ln((bad + 1) / (SELECT sum(bad) + count(*) FROM word_counts)::DOUBLE)
         - ln((good + 1) / (SELECT sum(good) + count(*) FROM word_counts)::DOUBLE) AS weight FROM word_counts""",
     "word_totals": "SELECT doc_id, sum(weight) AS total FROM doc_words JOIN word_weights USING (w) GROUP BY doc_id",
+    "rated": "SELECT doc_id, quality = 0 AS gone FROM labels JOIN documents USING (doc_id) WHERE doc_id % 5 <> 0 AND quality IS NOT NULL AND text IS NOT NULL",
+    "rated_words": "SELECT w, count_if(gone) AS n_cue, count_if(NOT gone) AS n_other FROM doc_words JOIN rated USING (doc_id) GROUP BY w",
+    "rated_sums": "SELECT sum(n_cue)::DOUBLE AS a, sum(n_other)::DOUBLE AS b FROM rated_words",
+    "cue_hits": """SELECT w, n_cue, n_other, a, b, n_cue + 1000.0::DOUBLE * (n_cue + n_other) / (a + b) AS x,
+        n_other + 1000.0::DOUBLE * (n_cue + n_other) / (a + b) AS y FROM rated_words, rated_sums""",
+    "cues": "SELECT *, ln(x / (a + 1000 - x)) - ln(y / (b + 1000 - y)) AS weight, sqrt(1 / x + 1 / y) AS spread FROM cue_hits",
+    "strong_cues": "SELECT w, weight FROM cues WHERE weight / spread >= 1.96::DOUBLE",
+    "rated_density": """SELECT r.doc_id, any_value(gone) AS gone, sum(coalesce(weight, 0)) / count(*) AS density
+        FROM rated r JOIN doc_words USING (doc_id) LEFT JOIN strong_cues USING (w) GROUP BY r.doc_id""",
+    "density_bins": "SELECT least(greatest(CAST(floor(density / 0.05::DOUBLE) AS BIGINT), 0), 63) AS bin, count(*) AS n, count_if(gone) AS hits FROM rated_density GROUP BY bin",
+    "all_bins": "SELECT i AS bin, coalesce(n, 0) AS n, coalesce(hits, 0) AS hits FROM range(64) r(i) LEFT JOIN density_bins ON bin = i",
+    "stretches": """SELECT a.bin AS lo, b.bin AS hi, (SELECT sum(hits) / nullif(sum(n), 0)::DOUBLE FROM all_bins m WHERE m.bin BETWEEN a.bin AND b.bin) AS mean
+        FROM all_bins a JOIN all_bins b ON a.bin <= b.bin""",
+    "least_means": "SELECT i.bin, lo, min(mean) AS mean FROM all_bins i JOIN stretches ON lo <= i.bin AND hi >= i.bin GROUP BY i.bin, lo",
+    "risk_bins": "SELECT bin, max(value) OVER (ORDER BY bin) AS risk FROM (SELECT bin, coalesce(max(mean), 0) AS value FROM least_means GROUP BY bin)",
+    "ticket_density": """SELECT ticket_id, sum(coalesce(weight, 0)) / count(*) AS density FROM (SELECT ticket_id, unnest(tok) AS w FROM tokened)
+        LEFT JOIN strong_cues USING (w) GROUP BY ticket_id""",
+    "placed": f"SELECT doc_id, tok, unnest(range(1, len(tok) + 1)) AS i FROM (SELECT doc_id, {tokens('text')} AS tok FROM documents)",
+    "positions": "SELECT doc_id, i, tok[i] AS w, least(i - 1, 4) + least(len(tok) - i, 4) AS pairs FROM placed WHERE len(tok) > 1",
+    "seed_hits": f"""SELECT p.w, count_if(s.w IN {words(lexicons.POSITIVE)}) AS p, count_if(s.w IN {words(lexicons.NEGATIVE)}) AS q FROM positions p
+        JOIN positions s ON p.doc_id = s.doc_id AND s.i BETWEEN p.i - 4 AND p.i + 4 AND s.i <> p.i AND s.w IN {words((*lexicons.POSITIVE, *lexicons.NEGATIVE))} GROUP BY p.w""",
+    "pair_counts": """SELECT w, CAST(n AS BIGINT) AS n, CAST(coalesce(p, 0) AS BIGINT) AS p, CAST(coalesce(q, 0) AS BIGINT) AS q FROM (SELECT w, sum(pairs) AS n FROM positions GROUP BY w)
+        LEFT JOIN seed_hits USING (w)""",
+    "pair_sums": "SELECT sum(n)::DOUBLE AS n_all, sum(p)::DOUBLE AS p_all, sum(q)::DOUBLE AS q_all FROM pair_counts",
+    "polarity": """SELECT w, n, p, q, CASE WHEN p > 0 THEN greatest(0, ln(p * n_all / (n * p_all))) ELSE 0 END
+        - CASE WHEN q > 0 THEN greatest(0, ln(q * n_all / (n * q_all))) ELSE 0 END AS weight FROM pair_counts, pair_sums""",
+    "seed_words": " UNION ALL ".join(f"SELECT {quoted(w)} AS w, {side} AS seed" for side, found in ((1, lexicons.POSITIVE), (-1, lexicons.NEGATIVE)) for w in found),
+    "known_polarity": """SELECT coalesce(f.w, s.w) AS w, CASE WHEN seed > 0 THEN greatest(coalesce(weight, 1), 1) WHEN seed < 0 THEN least(coalesce(weight, -1), -1)
+        ELSE weight END AS weight FROM (SELECT w, weight FROM polarity WHERE n >= 40 AND weight <> 0) f FULL JOIN seed_words s ON f.w = s.w""",
+    "ticket_moods": """SELECT ticket_id, round(sum(weight), 9) AS total FROM (SELECT ticket_id, unnest(tok) AS w FROM tokened) JOIN known_polarity USING (w) GROUP BY ticket_id""",
 }
 
 
@@ -316,6 +346,12 @@ SELECTS: dict[str, str] = {
         doc_id % 5 = 0 AS held_out FROM documents LEFT JOIN {probability('toxic_model', 'doc_features')} ON id = doc_id""",
     "score_satisfaction_logistic": f"""SELECT product_id, round(1 / (1 + exp(-coalesce(logit, 0) - (SELECT w FROM quality_model WHERE b = -1))), 6) AS score
         FROM commented LEFT JOIN {probability('quality_model', 'comment_features')} ON id = product_id""",
+    "churn_weights": "SELECT w AS word, CAST(n_cue AS BIGINT) AS n_cue, CAST(n_other AS BIGINT) AS n_other, round(weight, 6) AS weight, round(weight / spread, 6) AS z FROM cues",
+    "score_churn_weighted": """SELECT t.ticket_id, round(risk, 6) AS churn FROM tickets t LEFT JOIN ticket_density USING (ticket_id)
+        LEFT JOIN risk_bins ON bin = least(greatest(CAST(floor(density / 0.05::DOUBLE) AS BIGINT), 0), 63)""",
+    "induced_polarity": "SELECT w AS word, n, p AS near_positive, q AS near_negative, round(weight, 6) AS weight FROM polarity",
+    "score_sentiment_induced": """SELECT t.ticket_id, CASE WHEN total > 0 THEN 'Positive' WHEN total < 0 THEN 'Negative' ELSE 'Neutral' END AS sentiment
+        FROM tickets t LEFT JOIN ticket_moods USING (ticket_id)""",
     "propagate_types": """SELECT ticket_id, CASE WHEN score >= 100000 THEN label ELSE 'Other' END AS type, coalesce(score, 0) AS score
         FROM tickets LEFT JOIN node_members USING (ticket_id) LEFT JOIN types USING (node)""",
     "propagate_priorities": """SELECT ticket_id, CASE WHEN score >= 200000 THEN label ELSE 'low' END AS priority, coalesce(score, 0) AS score

@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import classify, numbers, privacy, prompts, text
-from ..operators import columns, normalize, scoring, update
+from ..operators import columns, normalize, scoring, update, weights
 from ..operators.embedding import embed, embed_tfidf, fit_tfidf, hashed_words, model_embedder
 from ..operators.knn import Side, knn, nearest_to_vector
 from ..operators.logistic import fit_logistic
 from ..operators.models import Model, model_column
+from ..operators.weights import cue_weights
 from ..operators.transcripts import assemble_transcripts
-from ..plans import learned, product_reports, replies, search, ticket_reports
+from ..plans import churn, learned, product_reports, replies, search, ticket_reports
 from ..plans.moderation import flag_abuse, train_abuse_model
 from ..plans.products import add_uris, build_products, product_cards
 from ..plans.tickets import Channels, add_ticket_vectors, build_tickets, calls_from_audio, number_tickets
@@ -242,7 +243,7 @@ def train_abuse_model_query(spark, sf):
     documents = tables.documents(spark, sf).select("doc_id", "text")
     labels = tables.read(spark, sf, "labels").where("doc_id % 5 != 0").select("doc_id", "toxic")
     fitted = train_abuse_model(documents.join(labels, "doc_id"), "text", "toxic")
-    return flag_abuse(documents, "doc_id", "text", fitted).select("doc_id", "abusive", (F.col("doc_id") % 5 == 0).alias("held_out"))
+    return flag_abuse(documents, "text", fitted).select("doc_id", "abusive", (F.col("doc_id") % 5 == 0).alias("held_out"))
 
 
 QUERIES["train_abuse_model"] = QUERIES.pop("train_abuse_model_query")
@@ -268,6 +269,37 @@ def score_satisfaction_logistic(spark, sf):
     return _comments(spark, sf).select("product_id", F.round(model(F.col("comments_text")), 6).alias("score"))
 
 
+def _rated(spark, sf):
+    """Labelled documents as texts of customers who stayed (quality 1) or left (quality 0)."""
+    labels = tables.read(spark, sf, "labels").where("doc_id % 5 != 0").select("doc_id", (F.col("quality") == 0).alias("left"))
+    return tables.documents(spark, sf).select("doc_id", "text").join(labels, "doc_id")
+
+
+@query
+def churn_weights(spark, sf):
+    found = cue_weights(_rated(spark, sf), F.col("text"), F.col("left"))
+    return found.select("word", "n_cue", "n_other", F.round("weight", 6).alias("weight"), F.round("z", 6).alias("z"))
+
+
+@query
+def score_churn_weighted(spark, sf):
+    model = churn.fit_churn(_rated(spark, sf), F.col("text"), F.col("left"))
+    scored = churn.score_churn_weighted(tables.tickets(spark, sf).select("ticket_id", "subject", "body"), model)
+    return scored.select("ticket_id", F.round("churn", 6).alias("churn"))
+
+
+@query
+def induced_polarity(spark, sf):
+    found = weights.induced_polarity(tables.documents(spark, sf), F.col("text"), lexicons.POSITIVE, lexicons.NEGATIVE)
+    return found.select("word", "n", "near_positive", "near_negative", F.round("weight", 6).alias("weight"))
+
+
+@query
+def score_sentiment_induced(spark, sf):
+    polarity = churn.learn_polarity(tables.documents(spark, sf), F.col("text"), lexicons.POSITIVE, lexicons.NEGATIVE)
+    return churn.score_sentiment_induced(tables.tickets(spark, sf).select("ticket_id", "subject", "body"), polarity).select("ticket_id", "sentiment")
+
+
 # --- learned types and priorities ---------------------------------------------
 
 

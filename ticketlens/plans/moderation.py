@@ -8,15 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..operators.weights import add_word_total, counted_words
 from ..session import settle
 
 
-def _counted(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
-    """(keep, word) of every word in ``df``."""
-    return df.select(*keep, F.explode(words(F.col(text_col))).alias("word")).where("word != ''")
-
-
 @dataclass(frozen=True)
 class AbuseModel:
     """Words with what each adds to the logarithm of the odds, and the odds of a text without any."""
@@ -34,9 +29,8 @@ def train_abuse_model(labelled: DataFrame, text_col: str, label_col: str) -> Abu
     label = F.col(label_col).cast("int")
     rows = known.agg(F.sum(label).alias("bad"), F.count("*").alias("n")).head()
     bad, good = rows["bad"] or 0, rows["n"] - (rows["bad"] or 0)
-    counts = _counted(known.withColumn("_label", label), text_col, "_label").groupBy("word").agg(
-        F.sum("_label").alias("bad"), F.sum(1 - F.col("_label")).alias("good")
-    )
+    each = known.select(label.alias("label"), F.explode(counted_words(F.col(text_col))).alias("word"))
+    counts = each.groupBy("word").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good"))
     counts = settle(counts, "abuse-words")
     total = counts.agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count("*").alias("words")).head()
     size = total["words"]
@@ -45,9 +39,7 @@ def train_abuse_model(labelled: DataFrame, text_col: str, label_col: str) -> Abu
     return AbuseModel(counts.select("word", (share[0] - share[1]).alias("weight")), prior)
 
 
-def flag_abuse(df: DataFrame, id_col: str, text_col: str, model: AbuseModel, out: str = "abusive") -> DataFrame:
-    """``df`` with whether its words make abuse likelier than not; unknown words say nothing."""
-    known = _counted(df, text_col, id_col).join(model.weights, "word")
-    totals = known.groupBy(id_col).agg(F.sum("weight").alias("_total"))
-    score = F.round(F.coalesce("_total", F.lit(0.0)) + F.lit(model.prior), 6)
-    return df.join(totals, id_col, "left").withColumn(out, score > 0).drop("_total")
+def flag_abuse(df: DataFrame, text_col: str, model: AbuseModel, out: str = "abusive") -> DataFrame:
+    """``df`` with whether its words make abuse likelier than not; unknown words say nothing. Rows are scored one by one, whatever their ids."""
+    scored = add_word_total(df, F.col(text_col), model.weights, "_total")
+    return scored.withColumn(out, F.round(F.col("_total") + F.lit(model.prior), 6) > 0).drop("_total")
