@@ -396,6 +396,7 @@ SELECTS: dict[str, str] = {
         for metric in ("cosine", "dot")
         for plan in ("", "_cells")
     },
+    "quantized_recall": "SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_neighbours, true AS reached FROM near_images",
     "embed_tfidf_products": """SELECT p.product_id, array_to_string(list_transform(vec, lambda x: CAST(CAST(round(x * 100000) AS BIGINT) AS VARCHAR)), ',')
         AS vector FROM products p LEFT JOIN tfidf ON id = p.product_id""",
     "train_abuse_model": """SELECT doc_id, round(coalesce(total, 0) + (SELECT ln((sum(toxic) + 1) / (sum(1 - toxic) + 1)::DOUBLE) FROM taught), 6) > 0 AS abusive,

@@ -18,6 +18,7 @@ from ..operators.knn import Side, knn, nearest_to_vector
 from ..operators.logistic import fit_logistic
 from ..operators.models import Model, model_column
 from ..operators.weights import cue_weights
+from ..operators.quantized import build_quantized_index, search_quantized
 from ..operators.transcripts import assemble_transcripts
 from ..plans import churn, learned, product_reports, replies, search, ticket_reports
 from ..plans.moderation import flag_abuse, train_abuse_model
@@ -490,6 +491,26 @@ def vector_topk_ivf(spark, sf):
     return found.join(recall, "query_id")
 
 
+def _quantized(spark, sf):
+    side = Side(tables.image_vectors(spark, sf), "vec_id", "embedding")
+    index = build_quantized_index(side, _folder(spark, "quantized"), k=10, recall=0.95)
+    return search_quantized(index, side, 10).withColumn("distance", F.round("distance", 6))
+
+
+@query
+def vector_topk_quantized(spark, sf):
+    """Approximate, by codes of the vectors in as many cells as the promised recall takes."""
+    return _quantized(spark, sf)
+
+
+@query
+def quantized_recall(spark, sf):
+    """Whether the codes found nine tenths of all true neighbours, over every vector of the table as a query."""
+    true = _images_knn(spark, sf).select("query_id", "base_id")
+    held = true.join(_quantized(spark, sf).select("query_id", "base_id", F.lit(1).alias("hit")), ["query_id", "base_id"], "left")
+    return held.agg(F.count_distinct("query_id").alias("n_queries"), F.count("*").alias("n_neighbours"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
+
+
 @query
 def vector_topk_cosine(spark, sf):
     return _images_knn(spark, sf, metric="cosine")
