@@ -223,6 +223,22 @@ CTES: dict[str, str] = {
     "word_weights": """SELECT w, ln((bad + 1) / (SELECT sum(bad) + count(*) FROM word_counts)::DOUBLE)
         - ln((good + 1) / (SELECT sum(good) + count(*) FROM word_counts)::DOUBLE) AS weight FROM word_counts""",
     "word_totals": "SELECT doc_id, sum(weight) AS total FROM doc_words JOIN word_weights USING (w) GROUP BY doc_id",
+    "mail_lines": """SELECT doc_id, source, lang, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS place
+        FROM documents""",
+    "marked_lines": r"""SELECT *, CASE WHEN length(regexp_replace(line, '[^\p{L}\p{N}]+', '', 'g')) >= 8
+        THEN trim(lower(regexp_replace(regexp_replace(line, '^[>\s]+', ''), '\s+', ' ', 'g'))) END AS mark FROM mail_lines""",
+    "often_lines": "SELECT lang, mark FROM marked_lines WHERE mark IS NOT NULL AND lang IS NOT NULL GROUP BY lang, mark HAVING count(DISTINCT doc_id) >= 3",
+    "first_lines": "SELECT source, mark, min(doc_id) AS first_id FROM marked_lines WHERE mark IS NOT NULL AND source IS NOT NULL GROUP BY source, mark",
+    "judged_lines": """SELECT m.*, o.mark IS NOT NULL AS often, coalesce(first_id < doc_id, false) AS quoted FROM marked_lines m
+        LEFT JOIN often_lines o ON o.lang = m.lang AND o.mark = m.mark LEFT JOIN first_lines f ON f.source = m.source AND f.mark = m.mark""",
+    "near_answers": f"""SELECT query_id, rank, answer, list_distinct({tokens('answer')}) AS w FROM near_tickets JOIN tickets ON base_id = ticket_id
+        WHERE {stripped('answer')} <> ''""",
+    "answer_gaps": """SELECT a.query_id, a.rank, any_value(a.answer) AS answer, count(*) AS n,
+        round(sum(coalesce(1 - len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(a.w || b.w)), 0)::DOUBLE, 0)), 9) AS total,
+        count_if(coalesce(1 - len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(a.w || b.w)), 0)::DOUBLE, 0) <= 0.9) - 1 AS near
+        FROM near_answers a JOIN near_answers b ON a.query_id = b.query_id GROUP BY a.query_id, a.rank""",
+    "middle_answers": """SELECT query_id, answer, coalesce(near / nullif(n - 1, 0)::DOUBLE, 1) AS agreement
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total, rank) AS place FROM answer_gaps) WHERE place = 1""",
     "rated": "SELECT doc_id, quality = 0 AS gone FROM labels JOIN documents USING (doc_id) WHERE doc_id % 5 <> 0 AND quality IS NOT NULL AND text IS NOT NULL",
     "rated_words": "SELECT w, count_if(gone) AS n_cue, count_if(NOT gone) AS n_other FROM doc_words JOIN rated USING (doc_id) GROUP BY w",
     "rated_sums": "SELECT sum(n_cue)::DOUBLE AS a, sum(n_other)::DOUBLE AS b FROM rated_words",
@@ -352,6 +368,14 @@ SELECTS: dict[str, str] = {
     "induced_polarity": "SELECT w AS word, n, p AS near_positive, q AS near_negative, round(weight, 6) AS weight FROM polarity",
     "score_sentiment_induced": """SELECT t.ticket_id, CASE WHEN total > 0 THEN 'Positive' WHEN total < 0 THEN 'Negative' ELSE 'Neutral' END AS sentiment
         FROM tickets t LEFT JOIN ticket_moods USING (ticket_id)""",
+    "keyed_update_buckets": """SELECT c_custkey, c_name, CASE WHEN o_custkey IS NOT NULL THEN price ELSE c_acctbal END AS c_acctbal
+        FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS price FROM orders WHERE o_custkey % 7 = 0 GROUP BY o_custkey) ON o_custkey = c_custkey""",
+    "append_ticket_ids": """SELECT row_number() OVER (ORDER BY CASE WHEN source IN ('form', 'chat') THEN 0 ELSE 1 END, source, source_key) AS ticket_id, source, source_key
+        FROM (SELECT DISTINCT source, source_key FROM unified)""",
+    "thread_repeats": f"""SELECT doc_id, {stripped("coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT often AND NOT quoted), '')")} AS text,
+        CAST(count_if(often) AS BIGINT) AS n_boilerplate, CAST(count_if(quoted) AS BIGINT) AS n_quoted FROM judged_lines GROUP BY doc_id""",
+    "agreed_answer": f"""SELECT item_id AS query_id, CASE WHEN coalesce(agreement, 0) >= 0.25 THEN answer ELSE {quoted(CONTACT.message())} END AS reply,
+        round(coalesce(agreement, 0), 6) AS agreement, coalesce(agreement, 0) < 0.25 AS asked FROM benchmark LEFT JOIN middle_answers ON query_id = item_id""",
     "propagate_types": """SELECT ticket_id, CASE WHEN score >= 100000 THEN label ELSE 'Other' END AS type, coalesce(score, 0) AS score
         FROM tickets LEFT JOIN node_members USING (ticket_id) LEFT JOIN types USING (node)""",
     "propagate_priorities": """SELECT ticket_id, CASE WHEN score >= 200000 THEN label ELSE 'low' END AS priority, coalesce(score, 0) AS score
@@ -428,6 +452,7 @@ SELECTS: dict[str, str] = {
         r.reply IS NULL AS routed FROM benchmark i LEFT JOIN (SELECT query_id, nullif({stripped('answer')}, '') AS reply
         FROM near_tickets JOIN tickets ON base_id = ticket_id WHERE rank = 1 AND distance <= 0.7) r ON NOT contains(lower(i.text), ' the ') AND r.query_id = i.item_id""",
 }
+SELECTS["churn_kpis_merged"] = SELECTS["churn_kpis"]
 SELECTS["kpis_display"] = SELECTS["kpis_tickets"]
 
 

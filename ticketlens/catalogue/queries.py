@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import classify, numbers, privacy, prompts, text
-from ..operators import columns, normalize, scoring, update, weights
+from ..operators import columns, normalize, scoring, threads, update, weights
+from ..operators.append import append_ids
 from ..operators.embedding import embed, embed_tfidf, fit_tfidf, hashed_words, model_embedder
 from ..operators.knn import Side, knn, nearest_to_vector
 from ..operators.logistic import fit_logistic
@@ -20,11 +21,12 @@ from ..operators.models import Model, model_column
 from ..operators.weights import cue_weights
 from ..operators.quantized import build_quantized_index, search_quantized
 from ..operators.transcripts import assemble_transcripts
-from ..plans import churn, learned, product_reports, replies, search, ticket_reports
+from ..plans import churn, learned, partials, product_reports, replies, search, ticket_reports
 from ..plans.moderation import flag_abuse, train_abuse_model
 from ..plans.products import add_uris, build_products, product_cards
 from ..plans.tickets import Channels, add_ticket_vectors, build_tickets, calls_from_audio, number_tickets
 from ..sources import files
+from ..sources.slots import keyed_update_slots, write_slots
 from ..sources.tables import replace_table, scan
 from ..session import scratch_dir, settle
 from . import lexicons, tables
@@ -115,6 +117,18 @@ def keyed_update(spark, sf):
     return update.keyed_update(customers, largest, "c_custkey", ["c_acctbal"])
 
 
+@query
+def keyed_update_buckets(spark, sf):
+    """The same update for every seventh customer, in a stored table of which only the slots of these are rewritten."""
+    name = f"ticketlens_{uuid.uuid4().hex}"
+    write_slots(tables.read(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), name, "c_custkey")
+    largest = tables.read(spark, sf, "orders").where("o_custkey % 7 = 0").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"))
+    keyed_update_slots(spark, name, largest, ["c_acctbal"])
+    found = settle(scan(spark, name).drop("slot"), "updated")
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
 # --- ticket unification ------------------------------------------------------
 
 
@@ -151,6 +165,20 @@ def dense_ticket_id(spark, sf):
     return number_tickets(tables.unified(spark, sf).select("source", "source_key"))
 
 
+@query
+def append_ticket_ids(spark, sf):
+    """Forms and chats numbered first; then all tickets arrive, and the others get the numbers after."""
+    keys = tables.unified(spark, sf).select("source", "source_key").distinct()
+    first = settle(number_tickets(keys.where(F.col("source").isin("form", "chat"))), "numbered")
+    return append_ids(first, keys, ["source", "source_key"])
+
+
+@query
+def thread_repeats(spark, sf):
+    """Documents as mails: a thread for each source, a sender for each language."""
+    return threads.without_repeats(tables.documents(spark, sf), "doc_id", "source", "lang", "doc_id", "text").withColumnRenamed("mail", "doc_id")
+
+
 # --- scoring -----------------------------------------------------------------
 
 
@@ -376,6 +404,14 @@ def churn_top(spark, sf):
     return ticket_reports.riskiest_tickets(tables.scored_tickets(spark, sf))
 
 
+@query
+def churn_kpis_merged(spark, sf):
+    """The same from partial aggregates per source, stored once."""
+    build = lambda spark, sf: partials.churn_partials(tables.scored_tickets(spark, sf), ["source"])
+    kpis = partials.churn_kpis_of(tables.stored(spark, sf, "churn_partials", build))
+    return kpis.withColumn("avg_risk", F.round("avg_risk", 6))
+
+
 # --- product reports ---------------------------------------------------------
 
 
@@ -686,3 +722,10 @@ def help_prompts(spark, sf):
 def answer_or_route(spark, sf):
     issues = tables.read(spark, sf, "benchmark")
     return replies.answer_or_route(issues, _similar_tickets(spark, sf), "item_id", "text", tables.CONTACT, max_distance=0.7, personal=(" the ",))
+
+
+@query
+def agreed_answer(spark, sf):
+    issues = tables.read(spark, sf, "benchmark")
+    found = replies.agreed_or_asked(issues, _similar_tickets(spark, sf), "item_id", tables.CONTACT, least_agreement=0.25, apart=0.9)
+    return found.withColumn("agreement", F.round("agreement", 6))
