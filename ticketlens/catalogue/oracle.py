@@ -425,7 +425,12 @@ SELECTS: dict[str, str] = {
         AS vector FROM products p LEFT JOIN tfidf ON id = p.product_id""",
     "train_abuse_model": """SELECT doc_id, round(coalesce(total, 0) + (SELECT ln((sum(toxic) + 1) / (sum(1 - toxic) + 1)::DOUBLE) FROM taught), 6) > 0 AS abusive,
         doc_id % 5 = 0 AS held_out FROM documents LEFT JOIN word_totals USING (doc_id)""",
-    "list_objects": "SELECT 1::BIGINT AS n_files, CAST(sum(strlen(html) + 1) AS BIGINT) AS n_bytes FROM pages",
+    "list_objects": "SELECT CAST(page_id % 10 AS INTEGER) AS digit, true AS listed, CAST(sum(strlen(html) + 1) AS BIGINT) AS n_bytes FROM pages GROUP BY page_id % 10",
+    "redact_names_learned": """SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN CASE c_custkey % 3 WHEN 0 THEN 'Dr. ' WHEN 1 THEN 'Mrs ' ELSE 'Mr. ' END
+        || '[NAME] asked about an order from ' || nation || '.' || chr(10) ELSE '' END ||
+        CASE WHEN c_custkey % 2 = 0 THEN 'please call [NAME] back today.' ELSE '[NAME] wants the invoice for ' || nation || '.' END AS text
+        FROM customer JOIN (SELECT n_nationkey, list_aggregate(list_transform(string_split(lower(n_name), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS nation
+        FROM nation) ON n_nationkey = c_nationkey""",
     "create_or_replace": "SELECT n_nationkey, lower(n_name) AS n_name FROM nation",
     "load_forms": """SELECT nullif(subject, '') AS subject, nullif(body, '') AS body, nullif(answer, '') AS answer, type, priority
         FROM raw_forms""",

@@ -202,6 +202,25 @@ def image_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "embeddings").withColumn("embedding", F.col("embedding").cast("array<double>"))
 
 
+def customer_notes(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes on customers: (c_custkey, text, clean). The first line addresses them by a title, except for every fifth; the second does not.
+
+    Their names are letters made from their numbers; ``clean`` has [NAME] in place of them.
+    """
+    letters = F.translate(F.substring(F.md5("c_name"), 1, 7), "0123456789", "ghijklmnop")
+    customers = read(spark, sf, "customer").select("c_custkey", "c_nationkey", F.initcap(letters).alias("name"))
+    nations = read(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.initcap("n_name").alias("nation"))
+    k = F.col("c_custkey")
+    title = F.when(k % 3 == 0, "Dr. ").when(k % 3 == 1, "Mrs ").otherwise("Mr. ")
+
+    def note(name: Column) -> Column:
+        first = F.concat(title, name, F.lit(" asked about an order from "), F.col("nation"), F.lit(".\n"))
+        second = F.when(k % 2 == 0, F.concat(F.lit("please call "), name, F.lit(" back today."))).otherwise(F.concat(name, F.lit(" wants the invoice for "), F.col("nation"), F.lit(".")))
+        return F.concat(F.when(k % 5 != 0, first).otherwise(""), second)
+
+    return customers.join(nations, "c_nationkey").select("c_custkey", note(F.col("name")).alias("text"), note(F.lit("[NAME]")).alias("clean"))
+
+
 def vector_code(vector: Column) -> Column:
     """A vector as text, in millionths, so that both engines print it alike."""
     return F.array_join(F.transform(vector, lambda x: F.floor(x * 1_000_000).cast("string")), ",")
