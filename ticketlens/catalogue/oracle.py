@@ -350,7 +350,7 @@ SELECTS: dict[str, str] = {
     "comment_prompts": f"""SELECT product_id, {quoted(prompts.ABUSE)} || comments_text AS abuse_prompt,
         {quoted(prompts.SATISFACTION)} || comments_text AS satisfaction_prompt FROM commented""",
     "extraction_prompts": " UNION ALL ".join(
-        f"SELECT '{kind}' AS source, md5({raw}) AS source_key, {quoted(prompts.EXTRACTION.format(kind=kind))} || {raw} AS prompt FROM raw_{kind}s"
+        f"SELECT '{kind}' AS source, md5({raw}) AS source_key, {quoted(prompts.RecordRules().instruction(kind))} || {raw} AS prompt FROM raw_{kind}s"
         for kind, raw in (("chat", "chat"), ("email", "email"), ("call", "transcripts"))
     ),
     "score_sentiment": "SELECT ticket_id, sentiment FROM scored",
