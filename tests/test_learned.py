@@ -188,7 +188,7 @@ def test_rows_that_repeat_an_id_are_judged_alone(spark):
     labelled = spark.createDataFrame([("vile rude", 1), ("kind day", 0), ("kind nice", 0), ("nice day", 0)], "text string, label int")
     model = moderation.train_abuse_model(labelled, "text", "label")
     rows = spark.createDataFrame([(1, "vile kind day nice")] * 3, "id long, text string")
-    assert [r["abusive"] for r in moderation.flag_abuse(rows, "text", model).collect()] == [False] * 3
+    assert [r["abusive"] for r in moderation.flag_abuse(rows, "id", "text", model).collect()] == [False] * 3
 
 
 def test_cue_weights_by_hand(spark):

@@ -39,7 +39,10 @@ def train_abuse_model(labelled: DataFrame, text_col: str, label_col: str) -> Abu
     return AbuseModel(counts.select("word", (share[0] - share[1]).alias("weight")), prior)
 
 
-def flag_abuse(df: DataFrame, text_col: str, model: AbuseModel, out: str = "abusive") -> DataFrame:
-    """``df`` with whether its words make abuse likelier than not; unknown words say nothing. Rows are scored one by one, whatever their ids."""
+def flag_abuse(df: DataFrame, id_col: str, text_col: str, model: AbuseModel, out: str = "abusive") -> DataFrame:
+    """``df`` with whether its words make abuse likelier than not; unknown words say nothing.
+
+    Rows are judged one by one, also those that repeat a value of ``id_col``.
+    """
     scored = add_word_total(df, F.col(text_col), model.weights, "_total")
     return scored.withColumn(out, F.round(F.col("_total") + F.lit(model.prior), 6) > 0).drop("_total")
