@@ -285,35 +285,62 @@ def test_toxicity_by_neighbours(spark, docs_of):
     assert toxicity.score_toxicity(docs_of([]), model).count() == 0
 
 
-def test_block_max_search_is_exact(spark, docs_of):
-    rows, truth = _toxic_rows(300)
-    index = toxicity.fit_toxicity(docs_of(rows), _labelled(spark, list(truth.items())), block=8, k=5, least_chi2=0.5).examples
-    rng = np.random.default_rng(1)
-    assert index.block_max.shape[1] > 10
-    for _ in range(200):
-        at = np.sort(rng.choice(len(index.idf), min(len(index.idf), int(rng.integers(1, 6))), replace=False))
-        query = index.vector(at)
-        found, cosine = index.nearest(at, query)
-        every = query @ index.dense[at, : len(index.ids)]
-        best = np.lexsort((np.arange(len(every)), -np.round(every, 12)))[:5]
-        assert found.tolist() == [i for i in best.tolist() if every[i] > 0] and np.allclose(cosine, every[found])
-
-
-def test_every_term_counts_in_the_nearest_examples(spark, docs_of):
-    """At default settings, against all products of the indexed vectors."""
+def _tfidf(texts, prefixes=(4,)):
+    """Counts of a text's words and of beginnings of longer words."""
+    counts = []
+    for t in texts:
+        ws = re.sub(r"[\W\d_]+", " ", (t or "").lower()).split()
+        counts.append(Counter([*ws, *((n, w[:n]) for w in ws for n in prefixes if len(w) > n)]))
+    return counts
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 8, "k": 5, "common_share": 0.1}, {"block": 16, "common_share": 0.0}, {"common_share": 2.0}])
+def test_neighbours_are_those_of_the_tfidf_cosine_of_the_texts(spark, docs_of, options):
+    """From the texts by plain counting, at default settings too: all terms, real counts, no label."""
     rng = random.Random(12)
-    topics = [[f"t{t}w{j}x" for j in range(12)] for t in range(40)]
-    rows = [(i, " ".join(rng.sample(topics[i % 40], 8))) for i in range(400)]
-    truth = {i: int(i % 40 < 20) for i in range(400)}  # no topic word is common enough to tell the label by itself
-    index = toxicity.fit_toxicity(docs_of(rows), _labelled(spark, list(truth.items()))).examples
-    assert sorted(index.ids.tolist()) == list(range(400))
-    found = {r["doc_id"]: r["evidence"] for r in toxicity.score_toxicity(docs_of(rows), toxicity.Toxicity(index, 0.5)).collect()}
-    every = index.dense[np.arange(len(index.idf)), : len(index.ids)].astype(float)
-    assert np.allclose((every**2).sum(0), 1, atol=1e-5)
-    for column, i in enumerate(index.ids.tolist()):
-        cosine = dict(zip(index.ids.tolist(), every[:, column] @ every, strict=True))
-        kth = sorted(cosine.values())[-index.k]
-        assert len(found[i]) == index.k and all(cosine[x] >= kth - 1e-5 for x in found[i])
+    topics = [[f"{chr(97 + t)}{chr(97 + j)}topic" for j in range(12)] for t in range(20)]  # at most 38 words: one passage
+    every = "the of and to in is it was for on".split()
+    rows = [(i, " ".join(rng.choices(topics[i % 20], k=8) + rng.choices(every, k=rng.randrange(1, 30)))) for i in range(260)]
+    truth = {i: int(i % 20 < 7) for i in range(240)}
+    model = toxicity.fit_toxicity(docs_of(rows), _labelled(spark, list(truth.items())), **options)
+    counts = _tfidf([t for _, t in rows])
+    df = Counter(w for c in counts[:240] for w in c)
+    idf = {w: math.log(241 / (1 + n)) + 1 for w, n in df.items()}
+    vectors = [{w: (1 + math.log(n)) * idf[w] for w, n in c.items() if w in idf} for c in counts]
+    vectors = [{w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()} for v in vectors]
+    found = {r["doc_id"]: r["neighbours"] for r in toxicity.score_toxicity(docs_of(rows), model).collect()}
+    assert sorted(model.examples.ids.tolist()) == list(range(240)) and model.examples.k == options.get("k", 15)
+    for i, v in enumerate(vectors):
+        cosine = [sum(x * vectors[e].get(w, 0.0) for w, x in v.items()) for e in range(240)]
+        kth = sorted(cosine)[-model.examples.k]
+        assert len(found[i]) == model.examples.k == len(set(found[i])) and all(cosine[e] >= kth - 1e-9 for e in found[i])
+        near = [cosine[e] for e in found[i]]
+        assert all(x >= y - 1e-9 for x, y in zip(near, near[1:]))
+
+
+def test_all_words_are_in_passages():
+    from ticketlens.llm.words import split
+
+    words_ = split([b"a b c d e", None, b"", b"f", b"g h i j"], 0, 5)
+    passage, text = toxicity.passages(words_, 2)
+    assert passage.tolist() == [0, 0, 1, 1, 2, 3, 4, 4, 5, 5] and text.tolist() == [0, 0, 0, 3, 4, 4]
+
+
+def test_few_words_of_a_very_long_text_are_found(spark, docs_of):
+    rows, truth = _toxic_rows()
+    model = toxicity.fit_toxicity(docs_of(rows), _labelled(spark, [(i, truth[i]) for i in range(300)]))
+    calm = " ".join(t for i, t in rows if not truth[i])
+    long = [(1, calm), (2, calm[:60_000] + " you idiot moron stupid trash idiot moron trash stupid " + calm[60_000:])]
+    found = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs_of(long), model).collect()}
+    assert found[1] < found[2]
+
+
+def test_repeated_labelled_rows_teach_once(spark, docs_of):
+    rows, truth = _toxic_rows(100)
+    labelled = _labelled(spark, list(truth.items()))
+    once = toxicity.fit_toxicity(docs_of(rows), labelled).examples
+    often = toxicity.fit_toxicity(docs_of(rows + [rows[0]] * 300 + [(1, "another text of an id")] * 50), labelled).examples
+    assert sorted(once.ids.tolist()) == sorted(often.ids.tolist()) == list(range(100))
 
 
 def _plain_base(rows, train):

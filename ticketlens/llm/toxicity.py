@@ -1,20 +1,20 @@
 """Toxicity by nearest labelled examples.
 
-Examples and documents are TF-IDF vectors over all terms of a few examples: words, and the
-beginnings of words, which tell the stem of a word never seen. Terms that go with the label weigh
-more; none is left out for it. A term counts once for each of some
-levels that its occurrences reach, so that often and once differ under the cosine. The nearest examples by cosine are found exactly in an inverted index in blocks: each
-term has, per block of examples, its greatest weight there. They give every block an upper
-bound; blocks are searched from the greatest bound down, some at once, until no bound exceeds the k-th
-best similarity. The neighbours vote with weights that fall with their distance, and the votes are
-calibrated on the examples themselves, each without its own vote.
+Examples and passages of documents are TF-IDF vectors: (1 + ln tf) times idf, scaled to length 1, over all terms of the examples. Terms are
+words and beginnings of words, which tell the stem of a word never seen; labels have no part in the vectors. A document is searched for
+by its passages, all of them, and is as toxic as the most toxic one: few words of a long text say so. The nearest examples by
+cosine are found exactly, for many documents at once, in an inverted index in blocks of examples. Terms of few examples are essential: their
+postings are added up first. The others are common, and bounded before they are added: per block of examples a term has its
+greatest weight there. A block whose best sum so far and bound together do not reach the k-th best similarity is never looked at; the
+blocks of the greatest bounds go first and raise that similarity. The neighbours vote with weights that fall with their
+distance, and the votes are calibrated on the examples themselves, each without its own vote.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,142 +23,143 @@ from pyspark.sql import functions as F
 
 from ..session import discard, settle
 from .tables import HashTable, broadcast_value, sampled_by_class
-from .words import Words, char_prefixes, mix, pieces, signed, split, texts_of
+from .words import Words, char_prefixes, mix, pieces, split, texts_of
+
+_ROUGH = 1e-5  # more than single precision is off by
 
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
+#: Documents that are searched at once: their similarities to all examples are one array.
+TOGETHER = 128
+
 
 def _clean(text: bytes | None) -> bytes | None:
     return _NOT_LETTERS.sub(" ", text.decode().lower()).encode() if text else None
 
 
-#: Occurrences of a term in a text, each of which counts once more.
-LEVELS = (1, 2, 4)
-
+def passages(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(passage of each word, text of each passage): texts are cut after every ``length`` words, and all words are in one."""
+    text = words.text_of()
+    place = np.arange(len(text)) - words.first[:-1][text]
+    new = np.concatenate([[True], (text[1:] != text[:-1]) | (place[1:] % length == 0)])[: len(text)]
+    return np.cumsum(new) - 1, text[new]
 
-@dataclass
-class Terms:
-    """The terms: hashes, and per hash and level the term's row in the index, or -1."""
 
-    prefixes: tuple[int, ...]
-    table: HashTable
-    rows: np.ndarray
-
-    @staticmethod
-    def of(prefixes: tuple[int, ...], keys: np.ndarray, levels: np.ndarray) -> Terms:
-        """Terms (hash, level), whose rows are their places."""
-        own, at = np.unique(keys, return_inverse=True)
-        rows = np.full((len(own), len(LEVELS)), -1)
-        rows[at, levels] = np.arange(len(keys))
-        return Terms(prefixes, HashTable.of(own, np.arange(len(own))), rows)
-
-    def in_texts(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(where each text's terms begin, and the end; rows of its terms)."""
-        text, h = _occurrences(words, self.prefixes)
-        at, known = self.table.find(h)
-        size = max(len(self.rows), 1)
-        pairs, tf = np.unique(text[known] * size + self.table.values[at[known]], return_counts=True)
-        reached = (tf[:, None] >= np.array(LEVELS)) & (self.rows[pairs % size] >= 0) if len(pairs) else np.zeros((0, len(LEVELS)), bool)
-        which, level = np.nonzero(reached)
-        edge = np.searchsorted(pairs[which] // size, np.arange(words.hi - words.lo + 1))
-        return edge, self.rows[pairs[which] % size, level]
-
-
-def _occurrences(words: Words, prefixes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of every word and beginning of a word."""
-    text = words.text_of()
+def term_counts(words: Words, prefixes: tuple[int, ...], text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, occurrences) of every word and every beginning, of ``prefixes`` characters, of a longer word. ``text`` is each word's own."""
     texts, hashes = [text], [mix(words.hash)]
     for n in prefixes:
         owner, h = char_prefixes(words, n)
         texts.append(text[owner])
         hashes.append(mix(h + np.uint64(n)))
-    return np.concatenate(texts), np.concatenate(hashes)
-
-
-@dataclass
-class Postings:
-    """A sparse matrix of terms x examples, of which some rows and a range of columns are read."""
-
-    first: np.ndarray  # per block and term: where its postings begin
-    column: np.ndarray
-    value: np.ndarray
-    block: int
-    width: int
-
-    @staticmethod
-    def of(term: np.ndarray, column: np.ndarray, value: np.ndarray, terms: int, width: int, block: int) -> Postings:
-        cell = column // block * terms + term
-        order = np.lexsort((column, cell))
-        first = np.searchsorted(cell[order], np.arange(width // block * terms + 1)).astype(np.int32)
-        return Postings(first, column[order].astype(np.int32), value[order].astype(np.float32), block, width)
-
-    def _read(self, rows: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(which of the rows, column, value) of the rows' postings in the blocks."""
-        terms = (len(self.first) - 1) // max(self.width // self.block, 1)
-        cell = (blocks[:, None] * terms + rows).ravel()
-        begin, n = self.first[cell], self.first[cell + 1] - self.first[cell]
-        some = np.flatnonzero(n)
-        begin, n = begin[some].astype(np.int64), n[some]
-        at = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
-        return np.repeat(some % max(len(rows), 1), n), self.column[at], self.value[at]
-
-    def products(self, rows: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Per example the sum of weight times value; 0 outside the blocks."""
-        which, column, value = self._read(rows, blocks)
-        return np.bincount(column, weights[which] * value, minlength=self.width)
-
-    def __getitem__(self, at: tuple[np.ndarray, slice]) -> np.ndarray:
-        which, column, value = self._read(at[0], np.arange(self.width // self.block))
-        out = np.zeros((len(at[0]), self.width), np.float32)
-        out[which, column] = value
-        return out[:, at[1]]
+    text, hashed = np.concatenate(texts), np.concatenate(hashes)
+    order = np.lexsort((hashed, text))
+    text, hashed = text[order], hashed[order]
+    new = np.flatnonzero(np.concatenate([[True], (hashed[1:] != hashed[:-1]) | (text[1:] != text[:-1])])[: len(text)])
+    return text[new], hashed[new], np.diff(np.append(new, len(text)))
 
 
 @dataclass
 class Examples:
-    """The index, and what is needed to vote."""
+    """The index, and what is needed to vote. Examples are numbered in index order."""
 
-    terms: Terms
+    prefixes: tuple[int, ...]
+    terms: HashTable  # hash to term
     idf: np.ndarray
-    ids: np.ndarray  # per example, in index order
+    ids: np.ndarray
     label: np.ndarray
     weight: np.ndarray  # rows of its class that an example stands for
-    dense: Postings  # terms x examples
-    block_max: np.ndarray  # terms x blocks
-    block: int
+    first: np.ndarray  # where a term's postings begin, and the end
+    column: np.ndarray
+    value: np.ndarray
     k: int
+    passage: int  # words of a text that are searched for together
+    block: int
+    common_from: int  # examples of a term from which on it is common
     empty_score: float  # of texts without any term
     steps: tuple[np.ndarray, np.ndarray]  # calibration: votes and scores
 
-    def vector(self, rows: np.ndarray) -> np.ndarray:
-        return self.idf[rows] / np.linalg.norm(self.idf[rows])
-
-    def nearest(self, rows: np.ndarray, weights: np.ndarray, leave_out: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of greatest cosine above 0, and the cosines; equal ones in index order."""
-        bound = weights @ self.block_max[rows]
-        found = np.zeros(0, np.int64)
-        cosine = np.zeros(0)
-        order = np.argsort(-bound, kind="stable")
-        at, some = 0, 4
-        while at < len(order):
-            blocks = order[at : at + some]
-            blocks = blocks[bound[blocks] > 0]
-            if len(found) >= self.k:
-                blocks = blocks[bound[blocks] >= cosine[self.k - 1] - 1e-6]  # bounds are added up in single precision
-            if not len(blocks):
-                break
-            at, some = at + some, 2 * some
-            near = self.dense.products(rows, weights, blocks)
-            hit = np.flatnonzero(near > 0)
-            hit = hit[hit != leave_out]
-            found, cosine = np.concatenate([found, hit]), np.concatenate([cosine, near[hit]])
-            best = np.lexsort((found, -np.round(cosine, 12)))[: self.k]
-            found, cosine = found[best], cosine[best]
-        return found, cosine
-
-    def vote(self, found: np.ndarray, cosine: np.ndarray) -> float:
-        near = self.weight[found] / (1.05 - np.minimum(cosine, 1))
-        return float((near * self.label[found]).sum() / near.sum())
+    def __post_init__(self):
+        self._ready = False
+
+    def __getstate__(self):
+        return {**self.__dict__, "_ready": False, "exact": None, "dense": None, "block_max": None, "place": None}
+
+    def prepare(self) -> None:
+        """The common terms' weights as a matrix, and their greatest by block; made where they are used."""
+        counts = np.diff(self.first)
+        common = np.flatnonzero(counts >= self.common_from)
+        self.width = -(-max(len(self.ids), 1) // self.block) * self.block
+        self.place = np.full(len(counts), -1)
+        self.place[common] = np.arange(len(common))
+        row = np.repeat(self.place, counts)
+        self.exact = np.zeros((len(common), self.width))
+        self.exact[row[row >= 0], self.column[row >= 0]] = self.value[row >= 0]
+        self.dense = self.exact.astype(np.float32)
+        self.block_max = self.dense.reshape(len(common), self.width // self.block, self.block).max(2)
+        self._ready = True
+
+    def vectors(self, words: Words, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(owner, term, weight) of the owners' terms, by owner; terms that no example has are left out, as in any fitted vocabulary."""
+        text, hashed, n = term_counts(words, self.prefixes, owner)
+        at, known = self.terms.find(hashed)
+        text, term = text[known], self.terms.values[at[known]]
+        weight = (1 + np.log(n[known])) * self.idf[term]
+        length = np.sqrt(np.bincount(text, weight**2, minlength=size))
+        return text, term, weight / length[text]
+
+    def nearest(self, text: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int, leave_out: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Per text the k examples of greatest cosine above 0, and the cosines; equal ones in index order.
+
+        ``leave_out`` names an example per text, or -1, that is not its own neighbour.
+        """
+        if not self._ready:
+            self.prepare()
+        place = self.place[term]
+        some = np.flatnonzero(place < 0)
+        begin, n = self.first[term[some]], self.first[term[some] + 1] - self.first[term[some]]
+        at = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+        cell = np.repeat(text[some], n) * self.width + self.column[at]
+        near = np.bincount(cell, np.repeat(weight[some], n) * self.value[at], minlength=size * self.width).reshape(size, self.width)
+        # In single precision first; whatever may be among the k best is then added up again in double precision.
+        common = place >= 0
+        asked = np.zeros((size, len(self.dense)), np.float32)
+        asked[text[common], place[common]] = weight[common]
+        rough = near.astype(np.float32)
+        bound = rough.reshape(size, -1, self.block).max(2) + asked @ self.block_max
+        shut = np.full(rough.shape, -1.0, np.float32)  # similarities in the blocks that were looked at
+        seen = np.zeros(bound.shape, bool)
+        least = np.zeros((size, 1), np.float32)
+        k = min(self.k, self.width)
+        first = min(2, bound.shape[1])
+        for wanted in (bound >= -np.partition(-bound, first - 1, axis=1)[:, first - 1 : first], None):
+            if wanted is None:
+                wanted = ~seen & (bound >= least - _ROUGH)
+            wanted &= bound > 0
+            for b in np.flatnonzero(wanted.any(0)).tolist():
+                rows, columns = np.flatnonzero(wanted[:, b]), slice(b * self.block, (b + 1) * self.block)
+                shut[rows, columns] = rough[rows, columns] + asked[rows] @ self.dense[:, columns]
+            seen |= wanted
+            if leave_out is not None:
+                left = np.flatnonzero(leave_out >= 0)
+                shut[left, leave_out[left]] = -1.0
+            least = np.maximum(np.partition(shut, shut.shape[1] - k, axis=1)[:, shut.shape[1] - k, None], 0)
+        which, hit = np.nonzero(shut >= np.maximum(least - _ROUGH, _ROUGH))
+        edge = np.searchsorted(which, np.arange(size + 1))
+        terms = np.searchsorted(text[common], np.arange(size + 1))
+        for i in range(size):
+            at, of = hit[edge[i] : edge[i + 1]], slice(terms[i], terms[i + 1])
+            cosine = np.round(near[i, at] + weight[common][of] @ self.exact[np.ix_(place[common][of], at)], 12)
+            best = np.lexsort((at, -cosine))[: self.k]
+            yield at[best], cosine[best]
+
+    def votes(self, found: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
+        """For each set of neighbours the share of label 1, each weighing more the nearer it is; 0 for none."""
+        which = np.repeat(np.arange(len(found)), [len(at) for at, _ in found])
+        at, cosine = (np.concatenate([*(x[i] for x in found), np.zeros(0, kind)]) for i, kind in ((0, np.int64), (1, float)))
+        near = self.weight[at] / (1.05 - np.minimum(cosine, 1))
+        total = np.bincount(which, near, minlength=len(found))
+        return (np.bincount(which, near * self.label[at], minlength=len(found)) / np.where(total > 0, total, 1)).tolist()
 
     def calibrated(self, vote: float) -> float:
         return float(np.interp(vote, *self.steps))
@@ -180,33 +181,37 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
 
 
 def build(
-    examples: list[tuple[int, int, np.ndarray]], terms: Terms, idf: np.ndarray, stands_for: dict[int, float], k: int = 15, block: int = 64
+    examples: list[tuple[int, int, np.ndarray, np.ndarray]], prefixes: tuple[int, ...], stands_for: dict[int, float], k: int, passage: int, block: int, common_share: float
 ) -> Examples:
-    """An index of (id, label, rows of terms), each standing for so many rows of its label."""
+    """An index of (id, label, hashes, occurrences), each standing for so many rows of its label; not calibrated yet.
+
+    A term's idf is ln((1 + rows) / (1 + rows with it)) + 1 over the rows that the examples stand for.
+    """
     labels = np.array([e[1] for e in examples])
-    index = Examples(terms, idf, *(np.zeros(0) for _ in range(3)), None, np.zeros((len(idf), 0)), block, k, 0.0, (np.zeros(1), np.zeros(1)))
-    rows = [(row, index.vector(row) if len(row) else np.zeros(0)) for _, _, row in examples]
-    strong = [int(row[v.argmax()]) if len(v) else -1 for row, v in rows]
-    # Alike examples share a block: by label and strongest term.
-    order = [i for i in sorted(range(len(rows)), key=lambda i: (labels[i], strong[i], examples[i][0])) if len(rows[i][1])]
     weight = np.array([stands_for[x] for x in labels.tolist()])
-    empty = np.array([not len(v) for _, v in rows])
+    owner = np.repeat(np.arange(len(examples)), [len(e[2]) for e in examples])
+    hashed, n = (np.concatenate([*(e[i] for e in examples), np.zeros(0, kind)]) for i, kind in ((2, np.uint64), (3, np.int64)))
+    keys, term = np.unique(hashed, return_inverse=True)
+    idf = np.log((1 + weight.sum()) / (1 + np.bincount(term, weight[owner], minlength=len(keys)))) + 1
+    value = (1 + np.log(n)) * idf[term]
+    value = value / np.sqrt(np.bincount(owner, value**2, minlength=len(examples)))[owner]
+    # Alike examples share a block: by label and strongest term.
+    strong = np.full(len(examples), -1)
+    order = np.argsort(value, kind="stable")
+    strong[owner[order]] = term[order]  # the last one written is the greatest
+    empty = strong < 0
     prior = (weight * labels).sum() / weight.sum()
-    index.empty_score = float(((weight * labels)[empty].sum() + prior) / (weight[empty].sum() + 1))
-    width = -(-max(len(order), 1) // block) * block
-    sizes = [len(rows[i][0]) for i in order]
-    term, value = (np.concatenate([*(rows[i][k] for i in order), np.zeros(0, kind)]) for k, kind in ((0, np.int64), (1, float)))
-    index.dense = Postings.of(term, np.repeat(np.arange(len(order)), sizes), value, len(idf), width, block)
-    index.block_max = np.zeros((len(idf), width // block), np.float32)
-    np.maximum.at(index.block_max, (term, np.repeat(np.arange(len(order)), sizes) // block), value.astype(np.float32))
-    index.ids, index.label, index.weight = (np.array(x)[order] for x in ([e[0] for e in examples], labels, weight))
-    votes = []
-    for column, i in enumerate(order):
-        found, cosine = index.nearest(*rows[i], leave_out=column)
-        votes.append(index.vote(found, cosine) if len(found) else prior)
-    if votes:
-        index.steps = _isotonic(np.array(votes), index.label.astype(float), index.weight)
-    return index
+    listed = [i for i in sorted(range(len(examples)), key=lambda i: (labels[i], strong[i], examples[i][0])) if not empty[i]]
+    number = np.full(len(examples), -1)
+    number[listed] = np.arange(len(listed))
+    order = np.lexsort((number[owner], term))
+    first = np.searchsorted(term[order], np.arange(len(keys) + 1))
+    ids = np.array([e[0] for e in examples], np.int64)
+    return Examples(
+        prefixes, HashTable.of(keys, np.arange(len(keys))), idf, ids[listed], labels[listed], weight[listed],
+        first, number[owner][order], value[order], k, passage, block, max(2, int(common_share * len(listed))),
+        float(((weight * labels)[empty].sum() + prior) / (weight[empty].sum() + 1)), (np.array([0.0, 1.0]), np.array([prior, prior])),
+    )
 
 
 @dataclass
@@ -218,21 +223,13 @@ class Toxicity:
 
 
 def fit_toxicity(
-    docs: DataFrame,
-    labels: DataFrame,
-    per_class: int = 2000,
-    prefixes: tuple[int, ...] = (3, 4, 5, 6, 7),
-    least_examples: int = 3,
-    least_chi2: float = 25.0,
-    least_weight: float = 0.02,
-    **index,
+    docs: DataFrame, labels: DataFrame, per_class: int = 2000, prefixes: tuple[int, ...] = (4,), k: int = 15, passage: int = 48, block: int = 64, common_share: float = 0.1
 ) -> Toxicity:
     """Index documents (doc_id, text) with labels (doc_id, label of 0 or 1).
 
-    About ``per_class`` labelled rows of each class are drawn by a hash of their doc_id: the
-    bound on the index and on what reaches the driver. Their votes count as the
-    rows they stand for. Terms are all of at least ``least_examples`` examples, so the samples bound them. One whose
-    chi-squared with the label is below ``least_chi2`` weighs less, in proportion, down to ``least_weight``. A document labelled both ways counts as 1. Eager.
+    About ``per_class`` labelled ids of each class are drawn by a hash: the bound on the index and on what reaches the
+    driver, where the terms of their whole texts come. Their votes count as the rows they stand for. A document labelled both ways counts as 1; an
+    id with several texts teaches one of them, the least by hash. Calibration searches the examples in tasks. Eager.
     """
     known = labels.select(F.col("doc_id").cast("long"), F.col("label").cast("int")).where("doc_id is not null and label in (0, 1)")
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
@@ -242,80 +239,90 @@ def fit_toxicity(
         return Toxicity(None, constant)
     sample, _ = sampled_by_class(known, "label", per_class, "doc_id")
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    # The sample has a bound, so it may be sent to all tasks; the documents are not shuffled.
-    drawn = settle(texts.join(F.broadcast(sample), "doc_id"), "examples")
+    # The sample has a bound, so it may be sent to all tasks; the documents are not shuffled, and of copies of an id one text is.
+    same = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    drawn = settle(same, "examples")
     of = {r[0]: r[1] for r in drawn.groupBy("label").count().collect()}
     if len(of) < 2:
         return Toxicity(None, constant)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            label = batch.column("label").to_numpy()
-            cleaned = [_clean(t) for t in texts_of(batch, "text")]
-            for lo, hi in pieces(cleaned):
-                text, h = _occurrences(split(cleaned, lo, hi), prefixes)
-                order = np.lexsort((h, text))
-                text, h = text[order], h[order]
-                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])[: len(h)])
-                tf = np.diff(np.append(new, len(h)))
-                for level, least in enumerate(LEVELS):
-                    of = new[tf >= least]
-                    keys, at, df = np.unique(h[of], return_inverse=True, return_counts=True)
-                    bad = np.bincount(at, label[lo + text[of]], minlength=len(keys)).astype(np.int64)
-                    columns = [signed(keys), np.full(len(keys), level, np.int64), df, bad]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["term", "level", "df", "bad"])
-
-    total, bad = float(sum(of.values())), float(of[1])
-    expected = F.col("df") * (bad / total)
-    chi2 = (F.col("bad") - expected) ** 2 * total / (expected * (total - bad) * F.greatest(1 - F.col("df") / total, F.lit(1e-9)))
-    counts = drawn.mapInArrow(count, "term long, level long, df long, bad long").groupBy("term", "level").agg(F.sum("df").alias("df"), F.sum("bad").alias("bad"))
-    chosen = counts.where(F.col("df") >= least_examples).withColumn("chi2", chi2).toArrow()
-    term, level, df, chi2 = (chosen.column(c).to_numpy() for c in ("term", "level", "df", "chi2"))
-    order = np.lexsort((level, term))  # the order of tasks must not matter
-    terms = Terms.of(prefixes, term[order].view(np.uint64), level[order])
-    weight = np.maximum(np.minimum(chi2[order] / least_chi2, 1), least_weight)
-    idf = (np.log((1 + total) / (1 + df[order])) + 1) * weight
-    sent = broadcast_value(docs.sparkSession, terms)
-
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cleaned = [_clean(t) for t in texts_of(batch, "text")]
             for lo, hi in pieces(cleaned):
-                edge, row = sent.value.in_texts(split(cleaned, lo, hi))
+                words = split(cleaned, lo, hi)
+                text, hashed, count = term_counts(words, prefixes, words.text_of())
+                edge = np.searchsorted(text, np.arange(hi - lo + 1))
+                parts = [[x[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)] for x in (hashed, count.astype(np.int64))]
                 ids = [batch.column(x).slice(lo, hi - lo) for x in ("doc_id", "label")]
-                rows = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(row, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*ids, rows], ["doc_id", "label", "row"])
+                yield pa.RecordBatch.from_arrays([*ids, *(pa.array(p, pa.binary()) for p in parts)], ["doc_id", "label", "hashes", "counts"])
 
-    rows = drawn.select("doc_id", F.col("label").cast("long"), "text").mapInArrow(extract, "doc_id long, label long, row array<long>")
-    rows = sorted(map(tuple, rows.collect()))  # the order of tasks must not matter
+    found = drawn.select("doc_id", F.col("label").cast("long"), "text").mapInArrow(extract, "doc_id long, label long, hashes binary, counts binary")
+    rows = [(i, y, np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64)) for i, y, h, c in sorted(map(tuple, found.collect()))]
+    index = build(rows, prefixes, {x: n[x] / of[x] for x in (0, 1)}, k, passage, block, common_share)
+    del rows
+    votes = _votes(drawn, index)
     discard(drawn)
-    examples = [(i, label, np.array(row, np.int64)) for i, label, row in rows]
-    return Toxicity(build(examples, terms, idf, {x: n[x] / of[x] for x in (0, 1)}, **index), constant)
+    if votes:
+        place = {i: p for p, i in enumerate(index.ids.tolist())}
+        at = np.array([place[i] for i, _ in votes])
+        index = replace(index, steps=_isotonic(np.array([v for _, v in votes]), index.label[at].astype(float), index.weight[at]))
+    return Toxicity(index, constant)
+
+
+def _votes(drawn: DataFrame, index: Examples) -> list[tuple[int, float]]:
+    """(id, vote of the other examples) of every example that has neighbours: one number per example of the bounded sample."""
+    sent = broadcast_value(drawn.sparkSession, index)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = {i: p for p, i in enumerate(sent.value.ids.tolist())}
+        for batch in batches:
+            own = [place.get(i, -1) for i in batch.column("doc_id").to_pylist()]
+            found = [(i, vote) for i, vote, _ in _searched(sent.value, batch, own)]
+            ids = batch.column("doc_id").take(pa.array([i for i, _ in found], pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([v for _, v in found], pa.float64())], ["doc_id", "vote"])
+
+    return sorted(map(tuple, drawn.select("doc_id", "text").mapInArrow(vote, "doc_id long, vote double").collect()))
+
+
+def _searched(index: Examples, batch: pa.RecordBatch, own: list[int] | None = None) -> Iterator[tuple[int, float, np.ndarray]]:
+    """(row of the batch, vote, neighbours) of every text with a passage that has neighbours: of the one with the highest vote, the first of equal ones."""
+    texts = [_clean(t) for t in texts_of(batch, "text")]
+    for lo, hi in pieces(texts):
+        words = split(texts, lo, hi)
+        passage, text = passages(words, index.passage)
+        best: dict[int, tuple[float, np.ndarray]] = {}
+        owner, term, weight = index.vectors(words, passage, len(text))
+        for a in range(0, len(text), TOGETHER):
+            b = min(a + TOGETHER, len(text))
+            of = slice(*np.searchsorted(owner, [a, b]))
+            leave_out = None if own is None else np.array([own[lo + t] for t in text[a:b].tolist()])
+            found = list(index.nearest(owner[of] - a, term[of], weight[of], b - a, leave_out))
+            for t, (at, _), vote in zip(text[a:b].tolist(), found, index.votes(found), strict=True):
+                if len(at) and (t not in best or vote > best[t][0]):
+                    best[t] = vote, at
+        yield from ((lo + t, vote, at) for t, (vote, at) in best.items())
 
 
 def score_toxicity(docs: DataFrame, model: Toxicity) -> DataFrame:
-    """doc_id, score (probability of label 1), evidence (doc_ids of the nearest examples, nearest first).
+    """doc_id, score (probability of label 1), neighbours and evidence, one row per row of ``docs``.
 
-    A text without any term of the index, such as a null or empty one, has the score of the examples without any.
+    ``neighbours`` are the doc_ids of the examples nearest to the passage with the highest vote, nearest first; ``evidence`` those of them with the label that the
+    score speaks for. A text without any term of the index, such as a null or empty one, has the score of the examples without any. Rows that repeat are
+    scored one by one, other columns are not read; no label, language or source has a part. Texts are read whole.
     """
     sent = broadcast_value(docs.sparkSession, model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value.examples
         for batch in batches:
-            texts = [_clean(t) for t in texts_of(batch, "text")]
-            scores = np.full(len(texts), index.empty_score if index else sent.value.constant)
-            evidence: list[list[int]] = [[] for _ in texts]
-            for lo, hi in pieces(texts) if index else ():
-                words = split(texts, lo, hi)
-                edge, row = index.terms.in_texts(words)
-                for i in np.flatnonzero(np.diff(edge)).tolist():
-                    of = slice(edge[i], edge[i + 1])
-                    found, cosine = index.nearest(row[of], index.vector(row[of]))
-                    if len(found):
-                        scores[lo + i] = index.calibrated(index.vote(found, cosine))
-                        evidence[lo + i] = index.ids[found].tolist()
-            columns = [batch.column("doc_id"), pa.array(scores), pa.array(evidence, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "evidence"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, "doc_id long, score double, evidence array<long>")
+            scores = np.full(batch.num_rows, index.empty_score if index else sent.value.constant)
+            evidence, neighbours = ([[] for _ in range(batch.num_rows)] for _ in range(2))
+            for i, vote, found in _searched(index, batch) if index else ():
+                scores[i] = index.calibrated(vote)
+                neighbours[i] = index.ids[found].tolist()
+                evidence[i] = index.ids[found[index.label[found] == int(scores[i] >= 0.5)]].tolist()
+            columns = [batch.column("doc_id"), pa.array(scores), *(pa.array(x, pa.list_(pa.int64())) for x in (evidence, neighbours))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "evidence", "neighbours"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, "doc_id long, score double, evidence array<long>, neighbours array<long>")
