@@ -87,6 +87,40 @@ def test_pipeline_equals_plain_python(spark, corpus):
     assert sum(p["length"] for p in pieces) == sum(whole.values())
 
 
+def test_different_texts_of_one_id_all_stay(spark, docs_of):
+    rng = random.Random(3)
+    a, b, c, d = (_prose(rng, "en", 80) for _ in range(4))
+    rows = [(5, a), (5, b), (5, b), (7, a), (8, c), (4, c), (9, f"{b} more"), (None, d), (None, d), (6, d)]
+    got = corpus_pipeline.drop_near_duplicates(spark, docs_of(rows, extra="1"), "")
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted([(5, a), (5, b), (4, c), (None, d), (None, d), (6, d)], key=str)
+    assert got.columns[-1] == "extra"
+    once = corpus_pipeline.drop_near_duplicates(spark, docs_of([r for r in rows if r[0] != 5]), "")
+    assert sorted(r["doc_id"] or 0 for r in once.collect()) == [0, 0, 4, 6, 7, 9]
+
+
+def test_every_document_with_a_letter_has_a_language(spark):
+    rng = random.Random(4)
+    known = [(i, _prose(rng, "en" if i % 2 else "de", 40), lang) for i, lang in enumerate(["en", "de", "fr", "es", "it", "pt", "nl", "sv"] * 8)]
+    rows = known + [(100, "Это предложение написано по-русски.", None), (101, "这是一个用中文写的句子。", None), (102, "ok", None), (103, "1 2 !", None), (104, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert got == set(range(64)) | {100, 101, 102}
+
+
+def test_a_very_long_text_goes_through_all_stages(spark, corpus, tmp_path):
+    folder, _, _ = corpus
+    rng = random.Random(5)
+    words = [_word(rng, "en") for _ in range(40_000)]
+    long = " ".join(rng.choice(words) for _ in range(400_000))
+    assert len(long) > 3_000_000
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(20)
+    more = spark.createDataFrame([(9999, long, "en", "s", len(long))], SCHEMA).selectExpr("*", "1 AS node", "2 AS kept_text")
+    docs.union(more).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).where("doc_id = 9999").collect()
+    assert len({p["doc_tokens"] for p in pieces}) == 1 and sum(p["length"] for p in pieces) == pieces[0]["doc_tokens"] > 400_000
+
+
 def test_pipeline_of_nothing(spark, corpus, tmp_path):
     folder, _, _ = corpus
     spark.read.parquet(f"{folder}/documents.parquet").where("false").write.parquet(f"{tmp_path}/documents.parquet")
@@ -98,7 +132,7 @@ LLM = sorted(name for name in entry.queries() if name.startswith("op") or name =
 
 
 def test_one_query_per_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in LLM if n != "pipeline") == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in LLM if n != "pipeline") == list(range(1, 14))
 
 
 def _truth(spark, column):
