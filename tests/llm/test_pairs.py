@@ -119,6 +119,40 @@ def test_repeated_passages_equal_rows_and_empty(docs_of):
     assert substring.remove_repeats(docs_of([])).count() == 0
 
 
+def test_regular_words_are_told_apart(docs_of):
+    turns = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = ("".join("ab"[t ^ flip] for t in turns) for flip in (0, 1))
+    rows = [(1, " ".join([one] * 35)), (2, " ".join([other] * 35))]
+    assert [r["n_removed"] for r in substring.remove_repeats(docs_of(rows)).collect()] == [0, 0]
+
+
+def test_factors_have_their_sources(docs_of):
+    """Every factor stands where it says, is as long as that source goes on, and together they are the spans."""
+    rng = random.Random(6)
+    shared = [_sentence(rng, n).split() for n in (80, 120, 200)]
+    rows = []
+    for i in range(60):
+        words = _sentence(rng, rng.randrange(50)).split()
+        for passage in rng.sample(shared, rng.randrange(3)):
+            words += passage[rng.randrange(20) : len(passage) - rng.randrange(20)] + _sentence(rng, rng.randrange(3)).split()
+        rows.append((i, " ".join(words)))
+    rows += [(70, "la " * 300), (71, rows[0][1]), (None, " ".join(shared[0])), (72, " ".join(shared[2][:60] + shared[1][:60]))]
+    text_of = {i: t.split() for i, t in rows}
+    found = substring.remove_repeats(docs_of(rows)).select("doc_id", "n_removed", "factors", "spans").collect()
+    assert sum(len(r["factors"]) for r in found) > 60
+    for r in found:
+        own, reach = text_of[r["doc_id"]], set()
+        for f in r["factors"]:
+            source = text_of[f["source_id"]]
+            n = f["end"] - f["start"]
+            assert n >= 35 and (f["source_id"], f["source_start"]) != (r["doc_id"], f["start"])
+            assert own[f["start"] : f["end"]] == source[f["source_start"] : f["source_start"] + n]
+            reach.update(range(f["start"], f["end"]))
+        assert len(reach) == r["n_removed"] == sum(s["end"] - s["start"] for s in r["spans"])
+    (seam,) = [r for r in found if r["doc_id"] == 72]
+    assert seam["n_removed"] == 120 and len(seam["factors"]) >= 2 and len(seam["spans"]) == 1
+
+
 def _linked(rows, threshold):
     good = {}
     for i, v, label in rows:

@@ -33,6 +33,17 @@ def test_sequences_hash_alike_wherever_they_stand():
     assert ends[0] == ends[1] != ends[2]
 
 
+def test_regular_words_and_sequences_do_not_meet():
+    """Thue-Morse sequences, on which sums of powers modulo 2**64 agree."""
+    turns = [bin(i).count("1") % 2 for i in range(1024)]
+    one, other = (bytes(97 + (t ^ flip) for t in turns) for flip in (0, 1))
+    assert words.word_hash(one) != words.word_hash(other)
+    many = np.array([(5, 7)[t] for t in turns] + [(7, 5)[t] for t in turns], np.uint64)
+    ends = words.sequence_hashes(many, 1024)
+    assert len(set(ends.tolist())) == 1025
+    assert words.stretch_hashes(many, np.array([0, 3]), np.array([1024, 1024])).tolist() == ends[[0, 3]].tolist()
+
+
 def test_lower_case_is_ascii_only():
     batch = pa.RecordBatch.from_arrays([pa.array(["AÉ aÉ"])], ["text"])
     (part,) = words.chunks(batch, "text", lower=True)

@@ -2,12 +2,13 @@
 
 A word is a run of bytes other than space and \\t \\n \\v \\f \\r. It is named by a
 64-bit hash of its bytes, equal in every task and session, so that shuffles
-carry eight bytes whatever the word's length. Two different words share a hash
-with a probability of about 2**-64 for each pair compared.
+carry eight bytes whatever the word's length: the sum of a random-looking number for each
+byte at its place in the word. Sequences of words are hashed as a tree of pairs, each
+pair mixed. Neither is linear in the bytes or words, so that regular texts, such as Thue-Morse
+sequences, meet no more often than others: two different ones with a probability of about 2**-64.
 
-A polynomial hash is used: with prefix sums of byte * BASE**position, the hash of
-any stretch of bytes or words costs one subtraction and one product, without a
-loop over the words.
+N-grams of characters, which are short, have a polynomial hash: with prefix sums of byte * BASE**position,
+that of any stretch of bytes costs one subtraction and one product.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ CHUNK = 1 << 20
 
 # Odd multipliers (any odd numbers do; all tasks must use the same).
 _BYTE_BASE = 0x9E3779B97F4A7C15
-_WORD_BASE = 0xD1342543DE82EF95
+_PLACE = np.uint64(0xD1342543DE82EF95)
+_LEFT = np.uint64(0xA0761D6478BD642F)
 _MIX_1 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX_2 = np.uint64(0x94D049BB133111EB)
 
@@ -73,7 +75,7 @@ class _Powers:
         return self.up, self.down
 
 
-_byte_powers, _word_powers = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+_byte_powers = _Powers(_BYTE_BASE)
 
 
 def byte_prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,11 +91,23 @@ def span_hash(prefix: np.ndarray, down: np.ndarray, start: np.ndarray, end: np.n
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def word_hashes(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of words of these sizes, whose bytes follow each other in ``data``."""
+    if not len(sizes):
+        return np.zeros(0, np.uint64)
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(len(data)) - np.repeat(begin, sizes)
+    each = mix(_BYTE_VALUE[data] + place.astype(np.uint64) * _PLACE)
+    return mix(np.add.reduceat(each, begin) + sizes.astype(np.uint64))
+
+
 def word_hash(word: bytes) -> int:
     """The hash of one word, as ``Words`` has it."""
-    data = np.frombuffer(word, np.uint8)
-    prefix, down = byte_prefix(data)
-    return int(span_hash(prefix, down, np.array([0]), np.array([len(data)]))[0])
+    return int(word_hashes(np.frombuffer(word, np.uint8), np.array([len(word)]))[0])
+
+
+def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return mix(left * _LEFT + right)
 
 
 def sequence_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -102,22 +116,31 @@ def sequence_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     Sequences that run over the end of a text are included: the caller leaves
     them out by the words' ranges.
     """
-    n = len(hashes)
-    if n < k:
+    m = len(hashes) - k + 1
+    if m < 1:
         return np.zeros(0, np.uint64)
-    up, down = _word_powers.to(n + 1)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * up[:n], out=prefix[1:])
-    return mix((prefix[k:] - prefix[: n - k + 1]) * down[: n - k + 1])
+    out, have, power, size = np.full(m, k, np.uint64), 0, hashes, 1
+    while have < k:
+        if k & size:
+            out = _pair(out, power[have : have + m])
+            have += size
+        if have < k:
+            power = _pair(power[:-size], power[size:])
+            size *= 2
+    return out
 
 
 def stretch_hashes(hashes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Hash of ``length`` words from ``begin`` on, each stretch of its own length."""
-    n = len(hashes)
-    up, down = _word_powers.to(n + 1)
-    prefix = np.zeros(n + 1, np.uint64)
-    np.cumsum(hashes * up[:n], out=prefix[1:])
-    return mix((prefix[begin + length] - prefix[begin]) * down[begin] + length.astype(np.uint64))
+    """Hash of ``length`` words from ``begin`` on, each stretch of its own length; as ``sequence_hashes`` has it."""
+    out, at, power, size = length.astype(np.uint64), begin.copy(), hashes, 1
+    longest = int(length.max(initial=0))
+    while size <= longest:
+        odd = np.flatnonzero(length & size)
+        out[odd] = _pair(out[odd], power[at[odd]])
+        at[odd] += size
+        power = _pair(power[:-size], power[size:])
+        size *= 2
+    return out
 
 
 @dataclass
@@ -168,10 +191,10 @@ def split(texts: list[bytes | None], lo: int, hi: int, lower: bool = False) -> W
     data, begin = joined(texts[lo:hi])
     if lower:
         data = _LOWER[data]
-    edge = np.flatnonzero(np.diff(_SPACE[data]))  # a word lies between each two edges
+    space = _SPACE[data]
+    edge = np.flatnonzero(np.diff(space))  # a word lies between each two edges
     start, end = edge[0::2] + 1, edge[1::2] + 1
-    prefix, down = byte_prefix(data)
-    return Words(lo, hi, data, start, end, span_hash(prefix, down, start, end), np.searchsorted(start, begin))
+    return Words(lo, hi, data, start, end, word_hashes(data[~space], end - start), np.searchsorted(start, begin))
 
 
 def chunks(batch: pa.RecordBatch, column: str, lower: bool = False, size: int = CHUNK) -> Iterator[Words]:
