@@ -27,14 +27,22 @@ from .words import Words, char_prefixes, mix, pieces, split, texts_of
 
 _ROUGH = 1e-5  # more than single precision is off by
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = re.compile(r"[\W\d_]")
 
 #: Documents that are searched at once: their similarities to all examples are one array.
-TOGETHER = 128
+TOGETHER = 64
+
+#: ASCII in lower case with spaces for all but letters; other bytes as they are.
+_ASCII = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
 
 
 def _clean(text: bytes | None) -> bytes | None:
-    return _NOT_LETTERS.sub(" ", text.decode().lower()).encode() if text else None
+    """Lower case, and a space for each character that is no letter."""
+    if not text or text.isascii():
+        return text.translate(_ASCII) if text else None
+    lower = text.decode().lower()
+    odd = {ord(c): " " for c in set(lower) if c > "\x7f" and _NOT_LETTERS.match(c)}
+    return (lower.translate(odd) if odd else lower).encode().translate(_ASCII)
 
 
 def passages(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,10 +101,11 @@ class Examples:
         self.place = np.full(len(counts), -1)
         self.place[common] = np.arange(len(common))
         row = np.repeat(self.place, counts)
-        self.exact = np.zeros((len(common), self.width))
-        self.exact[row[row >= 0], self.column[row >= 0]] = self.value[row >= 0]
-        self.dense = self.exact.astype(np.float32)
-        self.block_max = self.dense.reshape(len(common), self.width // self.block, self.block).max(2)
+        self.exact = np.zeros((self.width, len(common)))
+        self.exact[self.column[row >= 0], row[row >= 0]] = self.value[row >= 0]
+        # Per block its examples' weights, one after the other.
+        self.dense = np.ascontiguousarray(self.exact.reshape(-1, self.block, len(common)).transpose(0, 2, 1), np.float32)
+        self.block_max = np.ascontiguousarray(self.dense.max(2, initial=0).T)
         self._ready = True
 
     def vectors(self, words: Words, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,39 +128,62 @@ class Examples:
         some = np.flatnonzero(place < 0)
         begin, n = self.first[term[some]], self.first[term[some] + 1] - self.first[term[some]]
         at = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
-        cell = np.repeat(text[some], n) * self.width + self.column[at]
+        cell = np.repeat(text[some] * self.width, n) + self.column[at]
         near = np.bincount(cell, np.repeat(weight[some], n) * self.value[at], minlength=size * self.width).reshape(size, self.width)
         # In single precision first; whatever may be among the k best is then added up again in double precision.
         common = place >= 0
-        asked = np.zeros((size, len(self.dense)), np.float32)
+        asked = np.zeros((size, self.exact.shape[1]))
         asked[text[common], place[common]] = weight[common]
-        rough = near.astype(np.float32)
-        bound = rough.reshape(size, -1, self.block).max(2) + asked @ self.block_max
+        single = asked.astype(np.float32)
+        blocks = self.width // self.block
+        rough = near.astype(np.float32).reshape(size, blocks, self.block)
+        bound = rough.max(2) + single @ self.block_max
         shut = np.full(rough.shape, -1.0, np.float32)  # similarities in the blocks that were looked at
+        best = np.full(bound.shape, -1.0, np.float32)  # the greatest of each
         seen = np.zeros(bound.shape, bool)
-        least = np.zeros((size, 1), np.float32)
-        k = min(self.k, self.width)
-        first = min(2, bound.shape[1])
-        for wanted in (bound >= -np.partition(-bound, first - 1, axis=1)[:, first - 1 : first], None):
-            if wanted is None:
-                wanted = ~seen & (bound >= least - _ROUGH)
+        k, first = min(self.k, self.width), min(2, blocks)
+        most = np.argpartition(-bound, first - 1, axis=1)[:, :first]
+        wanted = np.zeros(bound.shape, bool)
+        np.put_along_axis(wanted, most, True, axis=1)
+        while True:
             wanted &= bound > 0
             for b in np.flatnonzero(wanted.any(0)).tolist():
-                rows, columns = np.flatnonzero(wanted[:, b]), slice(b * self.block, (b + 1) * self.block)
-                shut[rows, columns] = rough[rows, columns] + asked[rows] @ self.dense[:, columns]
+                rows = np.flatnonzero(wanted[:, b])
+                if 2 * len(rows) > size:  # cheaper for all than for a copy of most
+                    rows, seen[:, b] = slice(None), True
+                shut[rows, b] = rough[rows, b] + single[rows] @ self.dense[b]
             seen |= wanted
             if leave_out is not None:
                 left = np.flatnonzero(leave_out >= 0)
-                shut[left, leave_out[left]] = -1.0
-            least = np.maximum(np.partition(shut, shut.shape[1] - k, axis=1)[:, shut.shape[1] - k, None], 0)
-        which, hit = np.nonzero(shut >= np.maximum(least - _ROUGH, _ROUGH))
+                shut[left, leave_out[left] // self.block, leave_out[left] % self.block] = -1.0
+            if wanted.all() or first == 0:
+                break
+            looked = np.take_along_axis(shut, most[:, :, None], axis=1).reshape(size, -1)
+            least = np.partition(looked, looked.shape[1] - k, axis=1)[:, looked.shape[1] - k, None] if looked.shape[1] >= k else np.zeros((size, 1), np.float32)
+            wanted, first = ~seen & (bound >= np.maximum(least, 0) - _ROUGH), 0
+        # The k-th best is at least the k-th best of the blocks' own best; what reaches that is few.
+        flat = shut.reshape(size, -1)
+        np.max(shut, axis=2, out=best)
+        least = np.partition(best, blocks - k, axis=1)[:, blocks - k, None] if blocks >= k else np.zeros((size, 1), np.float32)
+        which, hit = np.nonzero(flat >= np.maximum(least - _ROUGH, _ROUGH))
+        found = flat[which, hit]
+        order = np.lexsort((-found, which))
+        which, hit, found = which[order], hit[order], found[order]
+        edge = np.searchsorted(which, np.arange(size + 1))
+        kth = np.minimum(edge[:-1] + k, edge[1:]) - 1
+        enough = found >= np.where(np.diff(edge) > 0, found[np.maximum(kth, 0)] if len(found) else 0, 0)[which] - _ROUGH
+        which, hit = which[enough], hit[enough]
         edge = np.searchsorted(which, np.arange(size + 1))
-        terms = np.searchsorted(text[common], np.arange(size + 1))
+        cosine = near[which, hit]
+        for i in range(size):
+            of = slice(edge[i], edge[i + 1])
+            cosine[of] += self.exact[hit[of]] @ asked[i]
+        cosine = np.round(cosine, 12)
+        order = np.lexsort((hit, -cosine, which))
+        hit, cosine = hit[order], cosine[order]
         for i in range(size):
-            at, of = hit[edge[i] : edge[i + 1]], slice(terms[i], terms[i + 1])
-            cosine = np.round(near[i, at] + weight[common][of] @ self.exact[np.ix_(place[common][of], at)], 12)
-            best = np.lexsort((at, -cosine))[: self.k]
-            yield at[best], cosine[best]
+            of = slice(edge[i], min(edge[i] + self.k, edge[i + 1]))
+            yield hit[of], cosine[of]
 
     def votes(self, found: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
         """For each set of neighbours the share of label 1, each weighing more the nearer it is; 0 for none."""
@@ -223,7 +255,7 @@ class Toxicity:
 
 
 def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, per_class: int = 2000, prefixes: tuple[int, ...] = (4,), k: int = 15, passage: int = 48, block: int = 64, common_share: float = 0.1
+    docs: DataFrame, labels: DataFrame, per_class: int = 2000, prefixes: tuple[int, ...] = (4,), k: int = 15, passage: int = 48, block: int = 64, common_share: float = 0.2
 ) -> Toxicity:
     """Index documents (doc_id, text) with labels (doc_id, label of 0 or 1).
 
