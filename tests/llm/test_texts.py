@@ -450,3 +450,14 @@ def test_language_model_of_nothing(docs_of):
 def test_toxicity_without_any_telling_term(spark, docs_of):
     model = toxicity.fit_toxicity(docs_of([(1, "a b"), (2, "c d")]), _labelled(spark, [(1, 1), (2, 0)]))
     assert {r["score"] for r in toxicity.score_toxicity(docs_of([(1, "a b"), (3, "q")]), model).collect()} == {model.examples.empty_score}
+
+
+def test_toxicity_of_texts_with_common_terms_only(spark, docs_of):
+    """No passage of a batch has a term of few examples, or the examples have no common term at all."""
+    labelled = _labelled(spark, [(i, i % 2) for i in range(8)])
+    same = toxicity.fit_toxicity(docs_of([(i, "aa bb" if i % 2 else "aa cc") for i in range(8)]), labelled, common_share=0.1)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs_of([(1, "aa bb"), (2, "aa cc")]), same).collect()}
+    assert scores[1] > 0.5 > scores[2]
+    apart = toxicity.fit_toxicity(docs_of([(i, chr(97 + i) * 3) for i in range(8)]), labelled)
+    (row,) = toxicity.score_toxicity(docs_of([(1, "bbb")]), apart).collect()
+    assert row["neighbours"] == [1]

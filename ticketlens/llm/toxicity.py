@@ -104,7 +104,7 @@ class Examples:
         self.exact = np.zeros((self.width, len(common)))
         self.exact[self.column[row >= 0], row[row >= 0]] = self.value[row >= 0]
         # Per block its examples' weights, one after the other.
-        self.dense = np.ascontiguousarray(self.exact.reshape(-1, self.block, len(common)).transpose(0, 2, 1), np.float32)
+        self.dense = np.ascontiguousarray(self.exact.reshape(self.width // self.block, self.block, len(common)).transpose(0, 2, 1), np.float32)
         self.block_max = np.ascontiguousarray(self.dense.max(2, initial=0).T)
         self._ready = True
 
@@ -130,6 +130,7 @@ class Examples:
         at = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
         cell = np.repeat(text[some] * self.width, n) + self.column[at]
         near = np.bincount(cell, np.repeat(weight[some], n) * self.value[at], minlength=size * self.width).reshape(size, self.width)
+        near = near.astype(np.float64, copy=False)  # whole numbers where no text has an essential term
         # In single precision first; whatever may be among the k best is then added up again in double precision.
         common = place >= 0
         asked = np.zeros((size, self.exact.shape[1]))
