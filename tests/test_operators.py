@@ -297,3 +297,19 @@ def test_tfidf_shares_one_space(spark):
     query = embedding.embed_tfidf(spark.createDataFrame([("blue bag",)], "t string"), "t", again, "v").head().v
     assert int(np.argmax([np.dot(query, v) for v in got[:3]])) == 1
     assert np.linalg.norm(got[0]) == pytest.approx(1.0) and len(got[0]) == 64
+
+
+def test_texts_of_a_batch_are_split_in_slices_of_bounded_bytes(monkeypatch):
+    """A batch of many long texts was split into all its words at once."""
+    import pyarrow as pa
+
+    from ticketlens.operators import embedding
+
+    texts = pa.array(["aa bb cc"[: 2 + i % 6] * i if i % 7 else None for i in range(200)])
+    whole = embedding._unit_rows(embedding._bucket_counts(texts, 8, {})).to_pylist()
+    monkeypatch.setattr(embedding, "SLICE_BYTES", 500)
+    parts = list(embedding.text_slices(texts))
+    assert len(parts) > 20 and pa.concat_arrays(parts).equals(texts)
+    assert all(sum(len(t or "") for t in part.to_pylist()[1:]) <= 500 for part in parts)
+    assert [row for part in parts for row in embedding._unit_rows(embedding._bucket_counts(part, 8, {})).to_pylist()] == whole
+    assert [len(part) for part in embedding.text_slices(texts[:0])] == [0]

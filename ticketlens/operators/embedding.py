@@ -23,6 +23,11 @@ from .columns import add_column_if_missing
 from .models import ColumnFunction, Model, model_column
 
 
+#: Bytes of text whose words a task has in hand at once, but for a longer text; and words whose bucket it keeps.
+SLICE_BYTES = 4 << 20
+MOST_WORDS = 500_000
+
+
 def embed(
     df: DataFrame,
     content: Column,
@@ -60,15 +65,24 @@ def hashed_words(dim: int = 64) -> ColumnFunction:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         buckets: dict[str, int] = {}
         for batch in batches:
-            yield _unit_rows(_bucket_counts(batch, dim, buckets))
+            yield pa.concat_arrays([_unit_rows(_bucket_counts(part, dim, buckets)) for part in text_slices(batch)])
 
     bucket_udf = F.arrow_udf(run, schemas.VECTOR)
     # Lower-cased by Spark, so that case folding is the same as everywhere else.
     return lambda text: bucket_udf(F.lower(text))
 
 
+def text_slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """A batch in slices of about ``SLICE_BYTES`` of text: what a task makes of its words is bounded by them, not by rows. An empty batch is one slice."""
+    before = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(before[1:] != before[:-1]) + 1).tolist(), len(texts)]
+    return (texts.slice(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+
+
 def _bucket_counts(texts: pa.Array, dim: int, buckets: dict[str, int]) -> np.ndarray:
     """Word counts per row and bucket; only words new to ``buckets`` are hashed."""
+    if len(buckets) > MOST_WORDS:
+        buckets.clear()
     words = pc.split_pattern_regex(texts, NOT_LETTERS)
     rows = pc.list_parent_indices(words).to_numpy()
     coded = pc.list_flatten(words).dictionary_encode()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import NOT_LETTERS
 from ..session import discard, settle
+from .embedding import text_slices
 
 FEATURES = "struct<buckets:array<int>,values:array<double>>"
 
@@ -44,10 +45,13 @@ def hashed_features(text: Column, dim: int) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, int] = {}
         for batch in batches:
-            rows, buckets, values = _sparse(batch, dim, known)
-            ends = pa.array(np.searchsorted(rows, np.arange(len(batch) + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (buckets.astype(np.int32), values)]
-            yield pa.StructArray.from_arrays(lists, ["buckets", "values"])
+            done = []
+            for part in text_slices(batch):
+                rows, buckets, values = _sparse(part, dim, known)
+                ends = pa.array(np.searchsorted(rows, np.arange(len(part) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (buckets.astype(np.int32), values)]
+                done.append(pa.StructArray.from_arrays(lists, ["buckets", "values"]))
+            yield pa.concat_arrays(done)
 
     return F.arrow_udf(run, FEATURES)(F.lower(text))
 
@@ -69,9 +73,12 @@ class LogisticModel:
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             known: dict[str, int] = {}
             for batch in batches:
-                rows, buckets, values = _sparse(batch, len(weights) - 1, known)
-                logit = np.bincount(rows, weights[buckets] * values, minlength=len(batch)) + weights[-1]
-                yield pa.array(1 / (1 + np.exp(-logit)))
+                done = []
+                for part in text_slices(batch):
+                    rows, buckets, values = _sparse(part, len(weights) - 1, known)
+                    logit = np.bincount(rows, weights[buckets] * values, minlength=len(part)) + weights[-1]
+                    done.append(pa.array(1 / (1 + np.exp(-logit))))
+                yield pa.concat_arrays(done)
 
         return F.arrow_udf(run, "double")(F.lower(text))
 
