@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketlens import schemas
+from ticketlens.operators import normalize
 from ticketlens.operators.embedding import hashed_words, model_embedder
 from ticketlens.operators.models import Model, model_column
 from ticketlens.plans import moderation, products, replies, search, ticket_reports, tickets
@@ -235,3 +236,12 @@ def test_generated_methods_are_short_enough_to_be_compiled(spark, channels):
     for df in (tickets.unify(spark, tickets.records(channels)), ticket_reports.score_tickets(tickets.unify(spark, tickets.records(channels)))):
         code = getattr(debug, "MODULE$").codegenString(df._jdf.queryExecution().executedPlan())
         assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 8000
+
+
+def test_a_mail_is_rid_of_its_tails_once(spark):
+    """Once for the body and once for the answer, not again for whether anything is left."""
+    mails = spark.createDataFrame([("Subject: a\nCustomer: b\nSupport: c\nCustomer: >q",), ("Subject: a\nCustomer:  \nSupport: c",)], "email string")
+    parts = normalize.email_parts(mails)
+    assert [tuple(r) for r in parts.select("_body", "_answer").collect()] == [("b", "c"), (None, "c")]
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("confidentiality notice") <= 2

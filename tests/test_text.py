@@ -86,6 +86,17 @@ def test_redaction(spark):
     ]
 
 
+def test_redaction_by_signs_is_that_of_all_patterns(spark):
+    parts = ["10.1.22.3", "1.2.3", "INV-5512-R1", "INV-12", "W-70493", "W-12", "K553311", "AB12 3456 7890", "AB12", "+1 (743) 555-3824", "555 38", "x@y.org", "12", "é"]
+    rows = [(f"{a}{gap}{b}",) for a in parts for b in parts for gap in ("", " ", ".", ", ")]
+    t = F.col("t")
+    plain = privacy._replaced(privacy._replaced(t, privacy.ADDRESS_PATTERNS), privacy.NUMBER_PATTERNS)
+    assert values(spark, rows, "t string", privacy.redact(t)) == values(spark, rows, "t string", plain)
+    # Labels that could make a match of their own are not judged by signs.
+    odd = privacy.redact(t, addresses=((r"@+", ""),))
+    assert values(spark, [("W-70@@493",)], "t string", odd) == ["[CASE]"]
+
+
 def test_first_matching_rule_wins(spark):
     rows = [("The invoice shows an error",), ("an error on install",), ("hello",), (None,)]
     got = values(spark, rows, "t string", classify.ticket_type(text.words(F.col("t"))))

@@ -103,8 +103,8 @@ def _first_sentence(text: Column) -> Column:
 
 def _joined(texts: Column) -> Column:
     """The texts joined by a space, without the empty ones; NULL when there are none."""
-    filled = F.filter(texts, lambda t: t != "")
-    return F.when(F.size(filled) > 0, F.array_join(filled, " "))
+    # Joined once: a condition on the filtered texts would make them a second time.
+    return F.nullif(F.array_join(F.filter(texts, lambda t: t != ""), " "), F.lit(""))
 
 
 def _parsed(df: DataFrame, text_col: str, source: str) -> DataFrame:
