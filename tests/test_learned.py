@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -184,6 +185,37 @@ def test_word_totals_are_the_same_by_both_ways_and_row_by_row(spark):
     assert "Exchange" not in plan_of(small) and "Join" not in plan_of(small)
 
 
+def test_common_words_of_many_weights_are_not_joined(spark, monkeypatch):
+    rows = [(i, "the the a rare%s" % "abcdefgh"[i % 8] + (" unknown" if i % 3 else "")) for i in range(40)] + [(1, None), (1, "")]
+    table = spark.createDataFrame(rows, "id long, text string")
+    known = spark.createDataFrame([("the", 0.5), ("a", 2.0)] + [(f"rare{c}", 4.0 + i) for i, c in enumerate("abcdefgh")], "word string, weight double")
+    joined, explode = [], weights.settle
+    monkeypatch.setattr(weights, "settle", lambda df, name: joined.append(explode(df, name)) or joined[-1])
+    found = weights.add_word_total(table, F.col("text"), known, "total", broadcast_words=2)
+    expected = [(i, 7.0 + i % 8) for i in range(40)] + [(1, 0.0), (1, 0.0)]
+    assert sorted((r["id"], r["total"]) for r in found.collect()) == sorted(expected)
+    left = joined[0].select(F.explode("counted.rest.word").alias("w")).distinct()
+    assert {r["w"] for r in left.collect()} == {f"rare{c}" for c in "abcdefgh"} | {"unknown"}
+
+
+def test_polarity_counts_are_those_of_all_pairs(spark):
+    pool = ["good", "bad", "fine", "so", "à", "nice"]
+    texts = [" ".join(pool[(i * j + j // 3) % 6] for j in range(i % 13)) for i in range(60)] + [None, "", "good", "good, GOOD-good"]
+    expected = {}
+    for text in texts:
+        ws = re.findall(r"[^\W\d_]+", (text or "").lower())
+        for i, w in enumerate(ws):
+            if len(ws) < 2:
+                continue
+            others = [ws[j] for j in range(len(ws)) if j != i and abs(j - i) <= 3]
+            one = expected.setdefault(w, [0, 0, 0])
+            for k, x in enumerate((len(others), sum(o in ("good", "nice") for o in others), others.count("bad"))):
+                one[k] += x
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r["word"]: list(r)[1:4] for r in weights.induced_polarity(table, F.col("text"), ["good", "nice"], ["bad"], window=3).collect()}
+    assert got == expected
+
+
 def test_rows_that_repeat_an_id_are_judged_alone(spark):
     labelled = spark.createDataFrame([("vile rude", 1), ("kind day", 0), ("kind nice", 0), ("nice day", 0)], "text string, label int")
     model = moderation.train_abuse_model(labelled, "text", "label")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import NOT_LETTERS, words
 from ..session import settle
+from .embedding import text_slices
 
 #: Most weighted words that are sent to every task; a larger table is joined.
 BROADCAST_WORDS = 200_000
@@ -26,29 +27,75 @@ def add_word_total(df: DataFrame, text: Column, weights: DataFrame, out: str, br
     """``df`` with the sum of its words' weights in ``out``, repeats counted; 0.0 where no word is known.
 
     ``weights`` has distinct ``word`` values and ``weight``. Up to ``broadcast_words`` of them go to every task, which adds up inside the
-    row: nothing is shuffled. A larger table is joined by word, after each row has counted its own words; a word of very many rows
-    is then a key that adaptive execution splits. Rows are told apart whatever ids they have. Eager: it counts the
-    weights, and writes ``df`` if they are joined.
+    row: nothing is shuffled. Of a larger table the words that a sample of the rows has most often do so; what is left of a row is counted
+    inside it and joined by word. Which words are sent does not change a sum, and a text's common words are never shuffled. Rows are told apart
+    whatever ids they have. Eager: it counts the weights, and writes ``df`` if they are joined.
     """
     known = weights.select("word", F.col("weight").cast("double").alias("weight"))
     if weights.count() <= broadcast_words:
         return df.withColumn(out, _total_of({row["word"]: row["weight"] for row in known.collect()})(F.lower(text)))
-    rows = settle(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), counted_words(text).alias("words")).withColumn("number", F.monotonically_increasing_id()), "weighted-rows")
-    counts = rows.select("number", F.explode("words").alias("word")).groupBy("number", "word").agg(F.count("*").alias("n"))
+    sent = _frequent(df, text, known, broadcast_words)
+    counted = _counted_by(sent)(F.lower(text))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), counted.alias("counted")).withColumn("number", F.monotonically_increasing_id())
+    rows = settle(rows, "weighted-rows")
+    counts = rows.select("number", F.explode("counted.rest").alias("rest")).select("number", "rest.*")
     totals = counts.join(known, "word").groupBy("number").agg(F.sum(F.col("n") * F.col("weight")).alias("total"))
     found = rows.join(totals, "number", "left")
-    return found.select("row.*", F.coalesce("total", F.lit(0.0)).alias(out))
+    return found.select("row.*", (F.col("counted.total") + F.coalesce("total", F.lit(0.0))).alias(out))
+
+
+def _frequent(df: DataFrame, text: Column, known: DataFrame, most: int, rows: int = 20_000) -> dict[str, float]:
+    """The weights of up to ``most`` words that some ``rows`` rows have most often. Eager."""
+    n = df.count()
+    some = df if n <= rows else df.sample(rows / n, seed=7)
+    counts = some.select(F.explode(_counted_by({})(F.lower(text))["rest"]).alias("rest")).groupBy("rest.word").agg(F.sum("rest.n").alias("n"))
+    found = counts.join(known, "word").orderBy(F.desc("n"), "word").limit(most)
+    return {row["word"]: row["weight"] for row in found.select("word", "weight").collect()}
+
+
+def _coded_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(row and code of each word, the words by code), without empty words."""
+    split = pc.split_pattern_regex(texts.fill_null(""), NOT_LETTERS)
+    rows = pc.list_parent_indices(split).to_numpy().astype(np.int64)
+    coded = pc.list_flatten(split).dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    codes = coded.indices.to_numpy().astype(np.int64) if len(coded) else np.empty(0, np.int64)
+    real = codes != words.index("") if "" in words else np.ones(len(codes), bool)
+    return rows[real], codes[real], words
+
+
+def _counted_by(weights: dict[str, float]):
+    """A struct of ``total``, the sum of the weights of words that are in ``weights``, and ``rest``, the others with their numbers."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            done = []
+            for part in text_slices(batch):
+                rows, codes, words = _coded_words(part)
+                values = np.array([weights.get(w, np.nan) for w in words], np.float64)
+                sent = ~np.isnan(values[codes])
+                total = np.bincount(rows[sent], values[codes[sent]], minlength=len(part))
+                cells, counts = np.unique(rows[~sent] * max(len(words), 1) + codes[~sent], return_counts=True)
+                owner, code = np.divmod(cells, max(len(words), 1))
+                ends = pa.array(np.searchsorted(owner, np.arange(len(part) + 1)).astype(np.int32))
+                named = pa.array(words, pa.string()).take(pa.array(code))
+                rest = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([named, pa.array(counts.astype(np.int32))], ["word", "n"]))
+                done.append(pa.StructArray.from_arrays([pa.array(total), rest], ["total", "rest"]))
+            yield pa.concat_arrays(done)
+
+    # Non-deterministic only in name: its two parts are then not computed twice.
+    return F.arrow_udf(run, "total double, rest array<struct<word:string,n:int>>").asNondeterministic()
 
 
 def _total_of(weights: dict[str, float]):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            split = pc.split_pattern_regex(batch.fill_null(""), NOT_LETTERS)
-            rows = pc.list_parent_indices(split).to_numpy()
-            coded = pc.list_flatten(split).dictionary_encode()
-            values = np.array([weights.get(w, 0.0) for w in coded.dictionary.to_pylist()], np.float64)
-            each = values[coded.indices.to_numpy()] if len(coded) else np.empty(0)
-            yield pa.array(np.bincount(rows, each, minlength=len(batch)))
+            done = []
+            for part in text_slices(batch):
+                rows, codes, words = _coded_words(part)
+                values = np.array([weights.get(w, 0.0) for w in words], np.float64)
+                done.append(pa.array(np.bincount(rows, values[codes], minlength=len(part)).astype(np.float64)))
+            yield pa.concat_arrays(done)
 
     return F.arrow_udf(run, "double")
 
@@ -84,19 +131,29 @@ def induced_polarity(df: DataFrame, text: Column, positive: Sequence[str], negat
     their numbers of pairs make likely, as a logarithm. ``n`` counts the word's pairs. A text's words find their seeds inside the row, and the counts
     are combined before the shuffle. Eager: the counts are written, their sums collected.
     """
-    listed = df.select(counted_words(text).alias("ws")).where(F.size("ws") > 1)
+    good, bad = set(positive), set(negative)
 
-    def places(seeds: Sequence[str]) -> Column:
-        at = F.transform("ws", lambda w, i: F.when(w.isin(*seeds), i)) if seeds else F.array().cast("array<int>")
-        return F.filter(at, lambda i: i.isNotNull())
+    def near(places: tuple[np.ndarray, np.ndarray], seed: np.ndarray) -> np.ndarray:
+        """How many seeds each word has around it in its own text; ``places`` has the first and the end of them."""
+        before = np.concatenate([[0], np.cumsum(seed)])
+        return before[places[1]] - before[places[0]] - seed
 
-    def near(seeds: str, i: Column) -> Column:
-        return F.size(F.filter(seeds, lambda j: (j != i) & (F.abs(j - i) <= window)))
-
-    marked = listed.select("ws", places(positive).alias("p"), places(negative).alias("q"))
-    around = lambda i: F.least(i, F.lit(window)) + F.least(F.size("ws") - 1 - i, F.lit(window))
-    each = F.transform("ws", lambda w, i: F.struct(w.alias("word"), around(i).alias("n"), near("p", i).alias("p"), near("q", i).alias("q")))
-    rows = marked.select(F.explode(each).alias("e")).select("e.*")
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch.column("text")):
+                rows, codes, words = _coded_words(part)
+                at = np.arange(len(rows))
+                first, end = np.searchsorted(rows, rows), np.searchsorted(rows, rows, "right")
+                places = np.maximum(at - window, first), np.minimum(at + window + 1, end)
+                lists = [np.array([w in seeds for w in words], np.int64) for seeds in (good, bad)]
+                sums = [places[1] - places[0] - 1, *(near(places, seeds[codes]) for seeds in lists)]
+                met = np.unique(codes[end - first > 1])
+                columns = [np.bincount(codes, x, minlength=len(words)).astype(np.int64)[met] for x in sums]
+                named = pa.array(words, pa.string()).take(pa.array(met))
+                yield pa.RecordBatch.from_arrays([named, *map(pa.array, columns)], ["word", "n", "p", "q"])
+
+    # A batch's words are counted in it, and its counts combined before the shuffle.
+    rows = df.select(F.lower(text).alias("text")).mapInArrow(count, "word string, n long, p long, q long")
     counts = rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("p").alias("near_positive"), F.sum("q").alias("near_negative"))
     table = settle(counts, "polarity-words")
     total = table.agg(F.sum("n").alias("n"), F.sum("near_positive").alias("p"), F.sum("near_negative").alias("q")).first()
