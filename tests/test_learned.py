@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ticketlens.functions import classify, text
-from ticketlens.operators import logistic, propagation, weights
+from ticketlens.operators import logistic, propagation, threads, weights
 from ticketlens.operators.embedding import embed, hashed_words
 from ticketlens.plans import churn, learned, moderation
 
@@ -216,6 +216,14 @@ def test_polarity_counts_are_those_of_all_pairs(spark):
     assert got == expected
 
 
+def test_mails_are_cut_into_lines_once(spark):
+    rows = [(1, "t", "s", "one first line\nkind regards"), (2, "t", "s", "> One  first line\nanother answer"), (3, None, None, None)]
+    mails = spark.createDataFrame(rows, "id long, thread string, sender string, text string")
+    found = threads.without_repeats(mails, "id", "thread", "sender", "id", "text")
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["mail"], r["text"], r["n_quoted"]) for r in found.collect()) == [(1, "one first line\nkind regards", 0), (2, "another answer", 1), (3, "", 0)]
+
+
 def test_rows_that_repeat_an_id_are_judged_alone(spark):
     labelled = spark.createDataFrame([("vile rude", 1), ("kind day", 0), ("kind nice", 0), ("nice day", 0)], "text string, label int")
     model = moderation.train_abuse_model(labelled, "text", "label")

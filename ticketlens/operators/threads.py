@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_blanks
+from ..session import settle
 
 #: What stands before a quoted line: any number of > and blanks.
 _QUOTE_MARKS = r"^[>\s]+"
@@ -35,14 +36,15 @@ def thread_lines(mails: DataFrame, id_col: str, thread_col: str, sender_col: str
     with none. Ids are unique.
 
     Only fingerprints are shuffled and counted, combined before the shuffle; a line that very many mails have is one row of the
-    counted side, and adaptive execution splits it on the other.
+    counted side, and adaptive execution splits it on the other. Eager: the lines are written with their fingerprints.
     """
     rows = mails.select(
         F.col(id_col).alias("mail"), F.col(thread_col).alias("thread"), F.col(sender_col).alias("sender"), F.struct(F.col(order_col).alias("o"), F.col(id_col).alias("i")).alias("sent"),
         F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("place", "line"),
     )
     letters = F.length(F.regexp_replace("line", r"[^\p{L}\p{N}]+", ""))
-    marked = rows.withColumn("mark", F.when(letters >= rule.least_letters, line_fingerprint(F.col("line"))))
+    # Written once: the splitting and the fingerprints are most of the work, and are read three times.
+    marked = settle(rows.withColumn("mark", F.when(letters >= rule.least_letters, F.unhex(line_fingerprint(F.col("line"))))), "thread-lines")
     judged = marked.where("mark is not null")
     once = judged.where("sender is not null").select("sender", "mark", "mail").distinct()
     often = once.groupBy("sender", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= rule.least_mails).select("sender", "mark", F.lit(True).alias("_often"))
