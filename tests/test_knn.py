@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from ticketlens.operators import knn as knn_module
 from ticketlens.operators.knn import METRICS, Bundles, Side, _probes, build_index, distance_to, fit_centroids, knn, nearest_to_vector
 
 
@@ -162,3 +163,48 @@ def test_a_query_is_sent_once_to_all_the_cells_of_a_block(spark):
 def test_a_cell_larger_than_a_block_is_a_bundle_in_chunks():
     bundles = Bundles.of(np.array([3, 0, 25, 4, 4, 4]), 10)
     assert bundles.first.tolist() == [0, 2, 3, 5, 6] and bundles.chunks.tolist() == [1, 3, 1, 1]
+
+
+@pytest.mark.parametrize("metric", knn_module.METRICS)
+def test_most_pairs_are_ruled_out_in_single_precision(metric, monkeypatch):
+    rng, doubled = np.random.default_rng(5), []
+    queries, base = rng.normal(size=(700, 16)), rng.normal(size=(6000, 16))
+    rough = knn_module._rough
+    monkeypatch.setattr(knn_module, "_rough", lambda a, b, m: (doubled.append(len(a) * len(b)), rough(a, b, m))[1])
+    best = knn_module._Best(queries, 5, metric)
+    for i in range(0, 6000, 1000):
+        best.add(np.arange(i, i + 1000), base[i : i + 1000])
+    assert len(best.rows) == 5 * 700
+    assert sum(doubled) < 0.2 * 700 * 6000
+
+
+@pytest.mark.parametrize("metric", knn_module.METRICS)
+@pytest.mark.parametrize("kind", ["plain", "tiny", "huge", "beyond", "mixed", "far", "copies", "zeros"])
+def test_neighbours_of_vectors_of_any_length(metric, kind):
+    rng = np.random.default_rng(6)
+    queries, base = rng.normal(size=(90, 9)), rng.normal(size=(1300, 9))
+    if kind in ("tiny", "huge", "beyond"):
+        scale = {"tiny": 1e-30, "huge": 1e7, "beyond": 1e40}[kind]
+        queries, base = queries * scale, base * scale
+    elif kind == "mixed":
+        queries, base = (x * 10.0 ** rng.integers(-9, 9, size=(len(x), 1)) for x in (queries, base))
+    elif kind == "far":
+        queries, base = 1e5 + queries, 1e5 + base
+    elif kind == "copies":
+        base[200:1200], queries[:40] = base[0], base[0]
+    elif kind == "zeros" and metric != "cosine":
+        base[:600] = 0.0
+    (_, queries), (ids, base) = (knn_module._prepared(np.arange(len(x)), x, metric) for x in (queries, base))
+    asked = [None if i % 2 else np.flatnonzero(rng.random(len(queries)) < share) for i, share in enumerate((0.3, 0, 0.8, 0))]
+    best = knn_module._Best(queries, 4, metric)
+    seen = np.zeros((len(queries), len(base)), bool)
+    for part, some in zip(np.array_split(ids, 4), asked, strict=True):
+        best.add(part, base[part], some)
+        seen[np.ix_(np.arange(len(queries)) if some is None else some, part)] = True
+    got = [(r.q, r.id, r.d) for r in best.rows.sort_values(["q", "d", "id"]).itertuples()]
+    want = []
+    for q in range(len(queries)):
+        at = np.flatnonzero(seen[q])
+        d = knn_module._exact(np.broadcast_to(queries[q], (len(at), 9)), base[at], metric)
+        want += [(q, int(at[i]), d[i]) for i in np.lexsort((at, d))[:4]]
+    assert got == want

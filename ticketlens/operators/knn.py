@@ -41,6 +41,10 @@ _PAIRS = 100_000
 _BOUND_ROWS = 2048
 # Most query-base pairs of one approximate distance block.
 _BLOCK = 2_000_000
+# Queries and base rows that meet at once: their products stay in a core's cache.
+_TILE = (1024, 512)
+# Vectors whose lengths add up to more are not looked at in single precision.
+_LONG = 1e15
 
 
 def distance_to(vector: Column, target: Sequence[float], metric: str = "euclidean") -> Column:
@@ -118,15 +122,29 @@ def _rough(a: np.ndarray, b: np.ndarray, metric: str) -> tuple[np.ndarray, float
     return (-dots if metric == "dot" else 1.0 - dots), error
 
 
+def _single(vectors: np.ndarray, metric: str, base: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors in single precision, whose products of queries and base rows fall as the distance grows, and their lengths."""
+    squares = np.einsum("ij,ij->i", vectors, vectors)
+    if metric == "euclidean":
+        vectors = np.column_stack([vectors, -0.5 * squares if base else np.ones(len(vectors))])
+    with np.errstate(over="ignore"):
+        return vectors.astype(np.float32), np.sqrt(squares)
+
+
 class _Best:
-    """The best ``k`` base rows so far of each query in a task."""
+    """The best ``k`` base rows so far of each query in a task.
+
+    Most pairs are ruled out in single precision, by more than it is off by. Where that leaves many, such as before a query
+    has a bound, the block is looked at in double precision. What is left is measured exactly.
+    """
 
     def __init__(self, queries: np.ndarray, k: int, metric: str, limit: np.ndarray | None = None):
         """``limit``: for each query a distance that its k-th neighbour does not exceed."""
         self.queries, self.k, self.metric = queries, k, metric
         self.limit = np.full(len(queries), np.inf) if limit is None else limit.copy()
+        self.single, self.lengths = _single(queries, metric, base=False)
         self.kept = pd.DataFrame({"q": pd.Series(dtype="int64"), "id": pd.Series(dtype="object"), "d": pd.Series(dtype="float64")})
-        self.new: list[pd.DataFrame] = []
+        self.new: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.n_new = 0
 
     @property
@@ -136,26 +154,65 @@ class _Best:
 
     def add(self, ids: np.ndarray, vectors: np.ndarray, some: np.ndarray | None = None) -> None:
         """Base rows that are looked at for all queries, or for ``some`` of them by their places."""
-        at = np.arange(len(self.queries)) if some is None else some
-        if not len(ids) or not len(at):
+        asked = np.full(len(self.queries), some is None)
+        if some is not None:
+            asked[some] = True
+        if not len(ids) or not asked.any():
             return
-        step = max(1, _BLOCK // len(ids))
-        for start in range(0, len(at), step):
-            self._add_block(at[start : start + step], ids, vectors)
-
-    def _add_block(self, at: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
-        queries = self.queries[at]
-        rough, error = _rough(queries, vectors, self.metric)
-        limit = self.limit[at]
-        limit = np.square(limit + 10.0**-DECIMALS) if self.metric == "euclidean" else limit + 10.0**-DECIMALS
+        single, lengths = _single(vectors, self.metric, base=True)
+        longest = lengths.max()
+        for a in range(0, len(asked), _TILE[0]):
+            mine = asked[a : a + _TILE[0]]
+            n = np.count_nonzero(mine)
+            if not n:
+                continue
+            # Cheaper for all queries than for a copy of most.
+            at = slice(a, a + len(mine)) if 2 * n > len(mine) else a + np.flatnonzero(mine)
+            for b in range(0, len(ids), _TILE[1]):
+                base = slice(b, b + _TILE[1])
+                q, found = self._likely(at, asked[at], single[base], longest)
+                if q is None:
+                    q, found = self._near(a + np.flatnonzero(mine), vectors[base])
+                self._keep(q, ids[base][found], vectors[base][found])
+
+    def _likely(self, at: slice | np.ndarray, asked: np.ndarray, single: np.ndarray, longest: float) -> tuple[np.ndarray | None, np.ndarray]:
+        """Pairs (query, base row) that may be within the queries' limits, in single precision; None if these are many."""
+        lengths, limit = self.lengths[at], self.limit[at] + 10.0**-DECIMALS
+        if not lengths.max() + longest < _LONG:
+            return None, np.empty(0, np.int64)
+        if self.metric == "euclidean":
+            least = (np.square(lengths) - np.square(limit)) / 2
+        else:
+            least = -limit if self.metric == "dot" else 1.0 - limit
+        # The terms of a product add up to no more than this, and each is off by a few units in the last place.
+        least -= (self.queries.shape[1] + 8) * 2.0**-23 * np.square(lengths + longest) + 1e-36
+        with np.errstate(over="ignore"):
+            least = np.nextafter(np.where(asked, least, np.inf).astype(np.float32), np.float32(-np.inf), where=asked, out=np.full(len(asked), np.inf, np.float32))
+        found = np.flatnonzero(self.single[at] @ single.T >= least[:, None])
+        if len(found) > 2 * self.k * np.count_nonzero(asked):
+            return None, found
+        q, b = np.divmod(found, len(single))
+        return (at.start + q if isinstance(at, slice) else at[q]), b
+
+    def _near(self, at: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same in double precision; the k-th best of many bounds what is looked for from here on."""
+        rough, error = _rough(self.queries[at], vectors, self.metric)
+        euclidean = self.metric == "euclidean"
+        limit = self.limit[at] + 10.0**-DECIMALS
+        limit = np.square(limit) if euclidean else limit
         near = rough <= limit[:, None] + 2 * error
-        if len(ids) > self.k and np.count_nonzero(near) > 2 * self.k * len(at):
+        if len(vectors) > self.k and np.count_nonzero(near) > 2 * self.k * len(at):
             limit = np.minimum(limit, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1])
             near = rough <= limit[:, None] + 2 * error
+            bound = limit + 2 * error
+            self.limit[at] = np.minimum(self.limit[at], np.sqrt(np.maximum(bound, 0.0)) if euclidean else bound)
         q, b = np.nonzero(near)
+        return at[q], b
+
+    def _keep(self, q: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
         for i in range(0, len(q), _PAIRS):
             s = slice(i, i + _PAIRS)
-            self.new.append(pd.DataFrame({"q": at[q[s]], "id": ids[b[s]], "d": _exact(queries[q[s]], vectors[b[s]], self.metric)}))
+            self.new.append((q[s], ids[s], _exact(self.queries[q[s]], vectors[s], self.metric)))
         self.n_new += len(q)
         if self.n_new > max(_PAIRS, 2 * self.k * len(self.queries)):
             self._settle()
@@ -164,11 +221,10 @@ class _Best:
         """Only the best stay of what was found since, and bound what is looked for from here on."""
         if not self.new:
             return
-        parts = [part for part in (self.kept, *self.new) if len(part)]
+        new = pd.DataFrame(dict(zip(("q", "id", "d"), map(np.concatenate, zip(*self.new, strict=True)), strict=True)))
         self.new, self.n_new = [], 0
-        if not parts:
-            return
-        self.kept = pd.concat(parts).sort_values(["q", "d", "id"]).groupby("q", sort=False).head(self.k)
+        found = pd.concat([self.kept, new]) if len(self.kept) else new
+        self.kept = found.sort_values(["q", "d", "id"]).groupby("q", sort=False).head(self.k)
         full = self.kept.groupby("q")["d"].agg(["size", "max"])
         full = full[full["size"] == self.k]
         at = full.index.to_numpy()
