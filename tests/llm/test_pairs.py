@@ -209,3 +209,23 @@ def test_bands_lengthen_with_the_vectors_and_miss_no_more():
         bits, bands = rule.banding(n)
         agree = (1 - np.arccos(0.98) / np.pi) ** bits
         assert (1 - agree) ** bands <= rule.miss and 2.0**bits >= min(n, 2**12)
+
+
+def test_texts_are_shuffled_once(spark, docs_of, tmp_path):
+    """The windows and the result read the documents as dealt out by one exchange."""
+    rng = random.Random(15)
+    passage = _sentence(rng, 60)
+    docs_of([(i, f"{_sentence(rng, 50)} a{i} {passage} b{i} {_sentence(rng, 40)}") for i in range(40)], row_identity_wanted="1").write.parquet(str(tmp_path / "docs"))
+    plain = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name) for name in plain}
+    try:
+        for name, value in plain.items():
+            spark.conf.set(name, value)
+        found = substring.remove_repeats(spark.read.parquet(str(tmp_path / "docs")), window=35)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert {r["n_removed"] for r in found.collect()} == {60}
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len([line for line in plan.splitlines() if "Scan parquet" in line and "text#" in line]) == 1
+    assert found.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]

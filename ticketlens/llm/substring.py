@@ -92,6 +92,7 @@ def _identity() -> Column:
 
 #: Names a row in every intermediate table.
 ROW = "row_identity"
+_WANTED = f"{ROW}_wanted"
 
 
 def _block_rows(docs: DataFrame, window: int, seed: int) -> DataFrame:
@@ -109,13 +110,20 @@ def _block_rows(docs: DataFrame, window: int, seed: int) -> DataFrame:
 
 
 def _windows(texts: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(row, doc_id, at, key, window, copies) of the windows of the wanted blocks, their documents read once more."""
-    lists = wanted.groupBy(ROW).agg(F.collect_list(F.struct("begin", "windows", "copies", "key")).alias("wanted"))
-    rows = texts.select(ROW, "doc_id", "text").join(lists, ROW)
+    """(row, doc_id, at, key, window, copies) of the windows of the wanted blocks, their documents read once more.
+
+    The documents are joined whole, and kept if nothing is wanted of them: so they are dealt out by row as for the result of
+    :func:`remove_repeats`, and one shuffle serves both.
+    """
+    lists = wanted.groupBy(ROW).agg(F.collect_list(F.struct("begin", "windows", "copies", "key")).alias(_WANTED))
+    rows = texts.join(lists, ROW, "left")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("wanted")
+            batch = batch.filter(batch.column(_WANTED).is_valid())
+            if not batch.num_rows:
+                continue
+            lists = batch.column(_WANTED)
             fields = [np.asarray(lists.flatten().field(x)) for x in ("begin", "windows", "copies", "key")]
             edge = lists.offsets.to_numpy() - lists.offsets[0].as_py()
             for words in chunks(batch, "text"):
@@ -221,7 +229,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, seed: int = 8, keep_text:
     replaced. Eager: it writes the shared blocks.
     """
     added = ["n_words", "n_removed", "factors", "spans", "kept_sha256", "kept_text"]
-    base = docs.drop(*[c for c in docs.columns if c.lower() in {*added, ROW, "found"}])
+    base = docs.drop(*[c for c in docs.columns if c.lower() in {*added, ROW, _WANTED, "found"}])
     rows = base.withColumn(ROW, _identity())
     found = stretches(rows, window, seed)
     # The set combines before the shuffle: equal rows, however many, have one list.
