@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -318,6 +319,18 @@ def test_neighbours_are_those_of_the_tfidf_cosine_of_the_texts(spark, docs_of, o
         assert all(x >= y - 1e-9 for x, y in zip(near, near[1:]))
 
 
+def test_passages_are_added_up_one_by_one(spark, docs_of, monkeypatch):
+    """What is added up at once has the length of the index, however many passages are searched together."""
+    rng, lengths = random.Random(13), []
+    rows = [(i, " ".join(f"{'ab'[i % 2]}{chr(97 + rng.randrange(26))}term" for _ in range(120))) for i in range(80)]
+    index = toxicity.fit_toxicity(docs_of(rows), _labelled(spark, [(i, i % 2) for i in range(80)]), passage=20, common_share=0.9).examples
+    add = np.bincount
+    monkeypatch.setattr(toxicity.np, "bincount", lambda x, weights=None, minlength=0: (lengths.append(minlength), add(x, weights, minlength))[1])
+    batch = pa.RecordBatch.from_pydict({"text": [t for _, t in rows[:20]]})
+    assert len(list(toxicity._searched(index, batch))) == 20
+    assert max(lengths) <= max(index.width, 20 * 6)
+
+
 def test_all_words_are_in_passages():
     from ticketlens.llm.words import split
 

@@ -29,7 +29,7 @@ _ROUGH = 1e-5  # more than single precision is off by
 
 _NOT_LETTERS = re.compile(r"[\W\d_]")
 
-#: Documents that are searched at once: their similarities to all examples are one array.
+#: Passages that are searched at once: their similarities to all examples are one array.
 TOGETHER = 64
 
 #: ASCII in lower case with spaces for all but letters; other bytes as they are.
@@ -124,58 +124,60 @@ class Examples:
         """
         if not self._ready:
             self.prepare()
-        place = self.place[term]
+        place, blocks = self.place[term], self.width // self.block
+        near = np.zeros((size, self.width))
         some = np.flatnonzero(place < 0)
-        begin, n = self.first[term[some]], self.first[term[some] + 1] - self.first[term[some]]
-        at = np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
-        cell = np.repeat(text[some] * self.width, n) + self.column[at]
-        near = np.bincount(cell, np.repeat(weight[some], n) * self.value[at], minlength=size * self.width).reshape(size, self.width)
-        near = near.astype(np.float64, copy=False)  # whole numbers where no text has an essential term
+        weights, begin, end = weight[some], self.first[term[some]], self.first[term[some] + 1]
+        n = end - begin
+        start, jump = np.cumsum(n) - n, begin.copy()
+        jump[1:] -= end[:-1] - 1  # from the last posting of a term to the first of the next; no term is without postings
+        edge = np.searchsorted(text[some], np.arange(size + 1)).tolist()
+        for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+            if a < b:  # text by text: what that takes stays in a core's cache
+                at = np.ones(start[b - 1] + n[b - 1] - start[a], np.int64)
+                at[start[a:b] - start[a]] = jump[a:b]
+                at[0] = begin[a]
+                np.cumsum(at, out=at)
+                near[i] = np.bincount(self.column[at], np.repeat(weights[a:b], n[a:b]) * self.value[at], minlength=self.width)
         # In single precision first; whatever may be among the k best is then added up again in double precision.
         common = place >= 0
         asked = np.zeros((size, self.exact.shape[1]))
         asked[text[common], place[common]] = weight[common]
         single = asked.astype(np.float32)
-        blocks = self.width // self.block
-        rough = near.astype(np.float32).reshape(size, blocks, self.block)
-        bound = rough.max(2) + single @ self.block_max
+        rough = np.ascontiguousarray(near.reshape(size, blocks, self.block).transpose(1, 0, 2), np.float32)  # a block's passages are one array
+        bound = rough.max(2) + (single @ self.block_max).T
         shut = np.full(rough.shape, -1.0, np.float32)  # similarities in the blocks that were looked at
-        best = np.full(bound.shape, -1.0, np.float32)  # the greatest of each
-        seen = np.zeros(bound.shape, bool)
         k, first = min(self.k, self.width), min(2, blocks)
-        most = np.argpartition(-bound, first - 1, axis=1)[:, :first]
+        most = np.argpartition(-bound, first - 1, axis=0)[:first]
         wanted = np.zeros(bound.shape, bool)
-        np.put_along_axis(wanted, most, True, axis=1)
+        np.put_along_axis(wanted, most, True, axis=0)
+        seen = np.zeros(blocks, bool)
         while True:
-            wanted &= bound > 0
-            for b in np.flatnonzero(wanted.any(0)).tolist():
-                rows = np.flatnonzero(wanted[:, b])
-                if 2 * len(rows) > size:  # cheaper for all than for a copy of most
-                    rows, seen[:, b] = slice(None), True
-                shut[rows, b] = rough[rows, b] + single[rows] @ self.dense[b]
-            seen |= wanted
+            here = (wanted & (bound > 0)).any(1) & ~seen
+            for b in np.flatnonzero(here).tolist():  # for all passages: cheaper than for a copy of some
+                np.matmul(single, self.dense[b], out=shut[b])
+                shut[b] += rough[b]
+            seen |= here
             if leave_out is not None:
                 left = np.flatnonzero(leave_out >= 0)
-                shut[left, leave_out[left] // self.block, leave_out[left] % self.block] = -1.0
-            if wanted.all() or first == 0:
+                shut[leave_out[left] // self.block, left, leave_out[left] % self.block] = -1.0
+            if first == 0 or seen.all():
                 break
-            looked = np.take_along_axis(shut, most[:, :, None], axis=1).reshape(size, -1)
-            least = np.partition(looked, looked.shape[1] - k, axis=1)[:, looked.shape[1] - k, None] if looked.shape[1] >= k else np.zeros((size, 1), np.float32)
-            wanted, first = ~seen & (bound >= np.maximum(least, 0) - _ROUGH), 0
+            looked = shut[most, np.arange(size)].transpose(1, 0, 2).reshape(size, -1)
+            least = np.partition(looked, looked.shape[1] - k, axis=1)[:, looked.shape[1] - k] if looked.shape[1] >= k else np.zeros(size, np.float32)
+            wanted, first = bound >= np.maximum(least, 0) - _ROUGH, 0
         # The k-th best is at least the k-th best of the blocks' own best; what reaches that is few.
-        flat = shut.reshape(size, -1)
-        np.max(shut, axis=2, out=best)
-        least = np.partition(best, blocks - k, axis=1)[:, blocks - k, None] if blocks >= k else np.zeros((size, 1), np.float32)
-        which, hit = np.nonzero(flat >= np.maximum(least - _ROUGH, _ROUGH))
-        found = flat[which, hit]
+        least = np.partition(shut.max(2), blocks - k, axis=0)[blocks - k] if blocks >= k else np.zeros(size, np.float32)
+        spot = np.flatnonzero(shut >= np.maximum(least - _ROUGH, _ROUGH)[:, None])
+        which, hit = spot // self.block % size, spot // (self.block * size) * self.block + spot % self.block
+        found, cosine = shut.ravel()[spot], near[which, hit]
         order = np.lexsort((-found, which))
-        which, hit, found = which[order], hit[order], found[order]
+        which, hit, found, cosine = which[order], hit[order], found[order], cosine[order]
         edge = np.searchsorted(which, np.arange(size + 1))
         kth = np.minimum(edge[:-1] + k, edge[1:]) - 1
         enough = found >= np.where(np.diff(edge) > 0, found[np.maximum(kth, 0)] if len(found) else 0, 0)[which] - _ROUGH
-        which, hit = which[enough], hit[enough]
+        which, hit, cosine = which[enough], hit[enough], cosine[enough]
         edge = np.searchsorted(which, np.arange(size + 1))
-        cosine = near[which, hit]
         for i in range(size):
             of = slice(edge[i], edge[i + 1])
             cosine[of] += self.exact[hit[of]] @ asked[i]
