@@ -17,12 +17,12 @@ from ticketlens.session import settle
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that have no letter, which belong to no language.
+    """With the language of each text as its lang; without the documents that have no letter, which belong to no language.
 
-    Learns from the documents' own text and lang. However little a language leads, such as in a script that none of the learned ones has,
-    a document with letters stays.
+    Learns from the documents' own text and lang. The language that the text is told to be in replaces a null or another lang; where none is told, such as in a
+    script that none of the learned ones has, the document stays as it is.
     """
-    return langid.identified(docs, langid.fit_languages(docs), least_score=0.0)
+    return langid.labelled(docs, langid.fit_languages(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -107,6 +107,18 @@ def test_every_document_with_a_letter_has_a_language(spark):
     assert got == set(range(64)) | {100, 101, 102}
 
 
+def test_documents_get_the_language_of_their_text(spark):
+    rng = random.Random(14)
+    known = [(i, _prose(rng, lang, 40), lang) for i, lang in enumerate(["en", "de"] * 30)]
+    rows = known + [(100, _prose(rng, "de", 30), None), (101, _prose(rng, "en", 30), "de"), (102, "Это предложение по-русски.", None), (103, "这是一个句子。", "zh?"), (104, "7 !", "en")]
+    docs = spark.createDataFrame([(lang, i, text, "kept") for i, text, lang in rows], "lang string, doc_id long, text string, extra string")
+    found = corpus_pipeline.identify_language(spark, docs, "")
+    assert found.schema == docs.schema
+    got = {r["doc_id"]: (r["lang"], r["text"], r["extra"]) for r in found.collect()}
+    want = {i: lang for i, _, lang in known} | {100: "de", 101: "en", 102: None, 103: "zh?"}
+    assert got == {i: (want[i], text, "kept") for i, text, _ in rows if i in want}
+
+
 def test_a_very_long_text_goes_through_all_stages(spark, corpus, tmp_path):
     folder, _, _ = corpus
     rng = random.Random(5)

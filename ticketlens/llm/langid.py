@@ -167,3 +167,29 @@ def identified(docs: DataFrame, model: LanguageModel, least_score: float = 0.5)
             yield batch.filter(pa.array(letters & ((score >= least_score) | (not sent.value.languages))))
 
     return docs.mapInArrow(keep, T.StructType(docs.schema.fields))
+
+
+def labelled(docs: DataFrame, model: LanguageModel, column: str = "lang", least_score: float = 0.5) -> DataFrame:
+    """The documents with a letter, all columns as they are, but ``column`` names the language that their text is told to be in.
+
+    A language is told where its score is above ``least_score``, and there are others to tell it from. Elsewhere, such as in a script that no
+    learned language has, ``column`` stays as it is; no document goes for that.
+    """
+    sent = broadcast_value(docs.sparkSession, model)
+    place = docs.columns.index(column)
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        languages = sent.value.languages
+        for batch in batches:
+            texts = [_clean(t) for t in texts_of(batch, "text")]
+            share = _shares(texts, sent.value)
+            told = share.max(1, initial=0) > (least_score if len(languages) > 1 else 1)
+            best = share.argmax(1).tolist() if languages else []
+            stated = batch.column(place).cast(pa.string()).to_pylist()
+            found = [languages[best[i]] if told[i] else old for i, old in enumerate(stated)]
+            columns = batch.columns
+            columns[place] = pa.array(found, pa.string()).cast(columns[place].type)
+            letters = pa.array([t is not None for t in texts], pa.bool_())
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(letters)
+
+    return docs.mapInArrow(label, T.StructType(docs.schema.fields))
