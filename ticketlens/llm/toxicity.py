@@ -6,8 +6,9 @@ by its passages, all of them, and is as toxic as the most toxic one: few words o
 cosine are found exactly, for many documents at once, in an inverted index in blocks of examples. Terms of few examples are essential: their
 postings are added up first. The others are common, and bounded before they are added: per block of examples a term has its
 greatest weight there. A block whose best sum so far and bound together do not reach the k-th best similarity is never looked at; the
-blocks of the greatest bounds go first and raise that similarity. The neighbours vote with weights that fall with their
-distance, and the votes are calibrated on the examples themselves, each without its own vote.
+blocks of the greatest bounds go first and raise that similarity. Sums are in single precision first, which tells of most passages
+that they are not a document's most toxic one; of the others the neighbours are told in double precision. The neighbours vote with weights
+that fall with their distance, and the votes are calibrated on the examples themselves, each without its own vote.
 """
 
 from __future__ import annotations
@@ -26,11 +27,21 @@ from .tables import HashTable, broadcast_value, sampled_by_class
 from .words import Words, char_prefixes, mix, pieces, split, texts_of
 
 _ROUGH = 1e-5  # more than single precision is off by
+_CLOSE = 1e-3  # more than votes are off by, and their difference, if similarities are off by _ROUGH
 
 _NOT_LETTERS = re.compile(r"[\W\d_]")
 
 #: Passages that are searched at once: their similarities to all examples are one array.
-TOGETHER = 64
+TOGETHER = 128
+
+#: Passages whose postings are listed at once.
+LISTED = 8
+
+#: Essential terms of at least this share of a common term's examples have rows of weights in place of postings.
+ROW_SHARE = 0.3
+
+#: Bytes of these rows; the terms of the most examples come first, the others keep to their postings.
+ROW_BYTES = 32 << 20
 
 #: ASCII in lower case with spaces for all but letters; other bytes as they are.
 _ASCII = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
@@ -53,14 +64,19 @@ def passages(words: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(new) - 1, text[new]
 
 
-def term_counts(words: Words, prefixes: tuple[int, ...], text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, hash, occurrences) of every word and every beginning, of ``prefixes`` characters, of a longer word. ``text`` is each word's own."""
+def occurrences(words: Words, prefixes: tuple[int, ...], text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of every word and every beginning, of ``prefixes`` characters, of a longer word. ``text`` is each word's own."""
     texts, hashes = [text], [mix(words.hash)]
     for n in prefixes:
         owner, h = char_prefixes(words, n)
         texts.append(text[owner])
         hashes.append(mix(h + np.uint64(n)))
-    text, hashed = np.concatenate(texts), np.concatenate(hashes)
+    return np.concatenate(texts), np.concatenate(hashes)
+
+
+def term_counts(words: Words, prefixes: tuple[int, ...], text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, hash, occurrences) of the terms of every text."""
+    text, hashed = occurrences(words, prefixes, text)
     order = np.lexsort((hashed, text))
     text, hashed = text[order], hashed[order]
     new = np.flatnonzero(np.concatenate([[True], (hashed[1:] != hashed[:-1]) | (text[1:] != text[:-1])])[: len(text)])
@@ -78,8 +94,10 @@ class Examples:
     label: np.ndarray
     weight: np.ndarray  # rows of its class that an example stands for
     first: np.ndarray  # where a term's postings begin, and the end
-    column: np.ndarray
-    value: np.ndarray
+    column: np.ndarray  # example of each posting, and which of the levels it has: in few bytes, as reading them takes most of the time
+    level: np.ndarray
+    levels: np.ndarray  # 1 + ln of the occurrences that there are
+    length: np.ndarray  # of each example's vector before it is scaled to 1
     k: int
     passage: int  # words of a text that are searched for together
     block: int
@@ -91,60 +109,88 @@ class Examples:
         self._ready = False
 
     def __getstate__(self):
-        return {**self.__dict__, "_ready": False, "exact": None, "dense": None, "block_max": None, "place": None}
+        return {**self.__dict__, "_ready": False, **dict.fromkeys(("place", "exact", "rows", "scale", "dense", "block_max", "postings"))}
 
     def prepare(self) -> None:
-        """The common terms' weights as a matrix, and their greatest by block; made where they are used."""
+        """The common terms' weights as a matrix, their greatest by block, and the rows and postings of the others; made where they are used."""
         counts = np.diff(self.first)
         common = np.flatnonzero(counts >= self.common_from)
         self.width = -(-max(len(self.ids), 1) // self.block) * self.block
+        by_row = np.flatnonzero((counts < self.common_from) & (counts >= max(2, self.common_from * ROW_SHARE)))
+        by_row = by_row[np.argsort(-counts[by_row], kind="stable")[: ROW_BYTES // (4 * self.width)]]
+        self.n_common = len(common)
         self.place = np.full(len(counts), -1)
-        self.place[common] = np.arange(len(common))
+        self.place[np.concatenate([common, by_row])] = np.arange(len(common) + len(by_row))
         row = np.repeat(self.place, counts)
-        self.exact = np.zeros((self.width, len(common)))
-        self.exact[self.column[row >= 0], row[row >= 0]] = self.value[row >= 0]
+        self.exact = np.zeros((self.width, len(common) + len(by_row)))
+        held, idf = row >= 0, np.repeat(self.idf, counts)
+        self.exact[self.column[held], row[held]] = self.levels[self.level[held]] * idf[held] / self.length[self.column[held]]
+        self.rows = np.ascontiguousarray(self.exact[:, len(common) :].T, np.float32)
+        self.scale = np.zeros(self.width)
+        self.scale[: len(self.length)] = 1 / self.length
         # Per block its examples' weights, one after the other.
-        self.dense = np.ascontiguousarray(self.exact.reshape(self.width // self.block, self.block, len(common)).transpose(0, 2, 1), np.float32)
+        blocks = self.exact[:, : len(common)].reshape(self.width // self.block, self.block, len(common))
+        self.dense = np.ascontiguousarray(blocks.transpose(0, 2, 1), np.float32)
         self.block_max = np.ascontiguousarray(self.dense.max(2, initial=0).T)
+        # A posting is one number: looking it up costs more than taking it apart.
+        self.bits = len(self.levels).bit_length()
+        self.postings = (self.column.astype(np.int64) << self.bits | self.level).astype(np.uint32 if self.width << self.bits < 1 << 32 else np.int64)
         self._ready = True
 
     def vectors(self, words: Words, owner: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(owner, term, weight) of the owners' terms, by owner; terms that no example has are left out, as in any fitted vocabulary."""
-        text, hashed, n = term_counts(words, self.prefixes, owner)
+        text, hashed = occurrences(words, self.prefixes, owner)
         at, known = self.terms.find(hashed)
-        text, term = text[known], self.terms.values[at[known]]
-        weight = (1 + np.log(n[known])) * self.idf[term]
+        both = np.sort(text[known] * len(self.idf) + self.terms.values[at[known]])
+        new = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])[: len(both)])
+        text, term = np.divmod(both[new], max(len(self.idf), 1))
+        weight = (1 + np.log(np.diff(np.append(new, len(both))))) * self.idf[term]
         length = np.sqrt(np.bincount(text, weight**2, minlength=size))
         return text, term, weight / length[text]
 
-    def nearest(self, text: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int, leave_out: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Per text the k examples of greatest cosine above 0, and the cosines; equal ones in index order.
+    def candidates(
+        self, text: np.ndarray, term: np.ndarray, weight: np.ndarray, size: int, leave_out: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """(text, example, cosine in single precision) of all that may be among a text's k examples of greatest cosine above 0, by text, and what ``nearest`` needs.
 
         ``leave_out`` names an example per text, or -1, that is not its own neighbour.
         """
         if not self._ready:
             self.prepare()
         place, blocks = self.place[term], self.width // self.block
-        near = np.zeros((size, self.width))
-        some = np.flatnonzero(place < 0)
-        weights, begin, end = weight[some], self.first[term[some]], self.first[term[some] + 1]
-        n = end - begin
-        start, jump = np.cumsum(n) - n, begin.copy()
-        jump[1:] -= end[:-1] - 1  # from the last posting of a term to the first of the next; no term is without postings
-        edge = np.searchsorted(text[some], np.arange(size + 1)).tolist()
-        for i, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
-            if a < b:  # text by text: what that takes stays in a core's cache
-                at = np.ones(start[b - 1] + n[b - 1] - start[a], np.int64)
-                at[start[a:b] - start[a]] = jump[a:b]
-                at[0] = begin[a]
-                np.cumsum(at, out=at)
-                near[i] = np.bincount(self.column[at], np.repeat(weights[a:b], n[a:b]) * self.value[at], minlength=self.width)
-        # In single precision first; whatever may be among the k best is then added up again in double precision.
-        common = place >= 0
+        listed = np.flatnonzero(place < 0)
+        weights, begin = weight[listed] * self.idf[term[listed]], self.first[term[listed]]
+        n = self.first[term[listed] + 1] - begin
+        start = np.concatenate([[0], np.cumsum(n)])
+        edge = np.searchsorted(text[listed], np.arange(size + 1)).tolist()
+        posting = start[edge].tolist()
         asked = np.zeros((size, self.exact.shape[1]))
-        asked[text[common], place[common]] = weight[common]
-        single = asked.astype(np.float32)
-        rough = np.ascontiguousarray(near.reshape(size, blocks, self.block).transpose(1, 0, 2), np.float32)  # a block's passages are one array
+        held = place >= 0
+        asked[text[held], place[held]] = weight[held]
+        single = asked[:, : self.n_common].astype(np.float32)
+        by_row = np.flatnonzero(place >= self.n_common)
+        rows, factors = place[by_row] - self.n_common, weight[by_row].astype(np.float32)
+        row_edge = np.searchsorted(text[by_row], np.arange(size + 1)).tolist()
+        taken = np.empty((max(b - a for a, b in zip(row_edge[:-1], row_edge[1:], strict=True)), self.width), np.float32)
+        near, sums = np.zeros((size, self.width)), np.empty((size, self.width), np.float32)
+        for lo in range(0, size, LISTED):  # a few texts at a time: what that takes stays in a core's cache
+            hi = min(lo + LISTED, size)
+            of, offset = slice(edge[lo], edge[hi]), posting[lo]
+            at = np.repeat(begin[of] - start[of], n[of])
+            at += np.arange(offset, posting[hi])
+            found = self.postings.take(at, mode="clip")
+            value = self.levels.take(found & ((1 << self.bits) - 1), mode="clip")
+            value *= np.repeat(weights[of], n[of])
+            found >>= self.bits
+            for i in range(lo, hi):
+                a, b = posting[i] - offset, posting[i + 1] - offset
+                if a < b:
+                    np.multiply(np.bincount(found[a:b], value[a:b], minlength=self.width), self.scale, out=near[i])
+                sums[i] = near[i]
+                a, b = row_edge[i], row_edge[i + 1]
+                if a < b:
+                    sums[i] += factors[a:b] @ self.rows.take(rows[a:b], 0, out=taken[: b - a], mode="clip")
+        rough = np.ascontiguousarray(sums.reshape(size, blocks, self.block).transpose(1, 0, 2))  # a block's passages are one array
         bound = rough.max(2) + (single @ self.block_max).T
         shut = np.full(rough.shape, -1.0, np.float32)  # similarities in the blocks that were looked at
         k, first = min(self.k, self.width), min(2, blocks)
@@ -170,31 +216,63 @@ class Examples:
         least = np.partition(shut.max(2), blocks - k, axis=0)[blocks - k] if blocks >= k else np.zeros(size, np.float32)
         spot = np.flatnonzero(shut >= np.maximum(least - _ROUGH, _ROUGH)[:, None])
         which, hit = spot // self.block % size, spot // (self.block * size) * self.block + spot % self.block
-        found, cosine = shut.ravel()[spot], near[which, hit]
-        order = np.lexsort((-found, which))
-        which, hit, found, cosine = which[order], hit[order], found[order], cosine[order]
+        found = shut.ravel()[spot]
+        order = np.argsort(4.0 * which - found)
+        which, hit, found = which[order], hit[order], found[order]
         edge = np.searchsorted(which, np.arange(size + 1))
         kth = np.minimum(edge[:-1] + k, edge[1:]) - 1
         enough = found >= np.where(np.diff(edge) > 0, found[np.maximum(kth, 0)] if len(found) else 0, 0)[which] - _ROUGH
-        which, hit, cosine = which[enough], hit[enough], cosine[enough]
-        edge = np.searchsorted(which, np.arange(size + 1))
-        for i in range(size):
+        return which[enough], hit[enough], found[enough], (near, asked)
+
+    def nearest(self, which: np.ndarray, hit: np.ndarray, sums: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, example, cosine) of the k of these candidates of greatest cosine, for each text that has any; equal ones in index order."""
+        near, asked = sums
+        cosine, edge = near[which, hit], np.searchsorted(which, np.arange(len(near) + 1))
+        for i in np.flatnonzero(np.diff(edge)).tolist():
             of = slice(edge[i], edge[i + 1])
             cosine[of] += self.exact[hit[of]] @ asked[i]
         cosine = np.round(cosine, 12)
         order = np.lexsort((hit, -cosine, which))
-        hit, cosine = hit[order], cosine[order]
-        for i in range(size):
-            of = slice(edge[i], min(edge[i] + self.k, edge[i + 1]))
-            yield hit[of], cosine[of]
-
-    def votes(self, found: list[tuple[np.ndarray, np.ndarray]]) -> list[float]:
-        """For each set of neighbours the share of label 1, each weighing more the nearer it is; 0 for none."""
-        which = np.repeat(np.arange(len(found)), [len(at) for at, _ in found])
-        at, cosine = (np.concatenate([*(x[i] for x in found), np.zeros(0, kind)]) for i, kind in ((0, np.int64), (1, float)))
+        which, hit, cosine = which[order], hit[order], cosine[order]
+        first = np.arange(len(which)) - edge[which] < self.k
+        return which[first], hit[first], cosine[first]
+
+    def votes(self, which: np.ndarray, at: np.ndarray, cosine: np.ndarray, size: int) -> np.ndarray:
+        """For each of ``size`` sets of neighbours the share of label 1, each weighing more the nearer it is; 0 for none. ``which`` is each neighbour's set."""
         near = self.weight[at] / (1.05 - np.minimum(cosine, 1))
-        total = np.bincount(which, near, minlength=len(found))
-        return (np.bincount(which, near * self.label[at], minlength=len(found)) / np.where(total > 0, total, 1)).tolist()
+        total = np.bincount(which, near, minlength=size)
+        return np.bincount(which, near * self.label[at], minlength=size) / np.where(total > 0, total, 1)
+
+    def most_toxic(self, texts: list[int], best: dict[int, tuple[float, np.ndarray]], text: np.ndarray, term: np.ndarray, weight: np.ndarray, leave_out: np.ndarray | None = None) -> None:
+        """Put into ``best`` the vote and the neighbours of the passage with the highest vote of each text, the first of equal ones.
+
+        ``texts`` names the text of each passage; ``text``, ``term`` and ``weight`` are the passages' terms. A vote that is
+        clearly not its text's highest is not told exactly. Nor is one of neighbours with one label, 0 or 1 itself, that another passage had.
+        """
+        size = len(texts)
+        which, hit, cosine, sums = self.candidates(text, term, weight, size, leave_out)
+        rough = self.votes(which, hit, cosine, size).tolist()
+        count, ones = np.bincount(which, minlength=size).tolist(), np.bincount(which, self.label[hit], minlength=size).tolist()
+        top: dict[int, float] = {t: best[t][0] for t in texts if t in best}
+        for i, t in enumerate(texts):
+            if 0 < count[i] <= self.k:  # these are the neighbours, whatever their order
+                top[t] = max(top.get(t, 0.0), rough[i])
+        told, had = np.zeros(size, bool), {(t, best[t][0]) for t in texts if t in best}
+        for i, t in enumerate(texts):
+            if 0 < count[i] <= self.k:
+                one_label = ones[i] in (0, count[i])
+                told[i] = rough[i] >= top[t] - _CLOSE and not (one_label and (t, rough[i]) in had)
+                if one_label:
+                    had.add((t, rough[i]))
+            else:
+                told[i] = count[i] > 0
+        chosen = told[which]
+        which, hit, cosine = self.nearest(which[chosen], hit[chosen], sums)
+        votes, edge = self.votes(which, hit, cosine, size).tolist(), np.searchsorted(which, np.arange(size + 1)).tolist()
+        for i in np.flatnonzero(told).tolist():
+            t = texts[i]
+            if t not in best or votes[i] > best[t][0]:
+                best[t] = votes[i], hit[edge[i] : edge[i + 1]]
 
     def calibrated(self, vote: float) -> float:
         return float(np.interp(vote, *self.steps))
@@ -229,7 +307,8 @@ def build(
     keys, term = np.unique(hashed, return_inverse=True)
     idf = np.log((1 + weight.sum()) / (1 + np.bincount(term, weight[owner], minlength=len(keys)))) + 1
     value = (1 + np.log(n)) * idf[term]
-    value = value / np.sqrt(np.bincount(owner, value**2, minlength=len(examples)))[owner]
+    length = np.sqrt(np.bincount(owner, value**2, minlength=len(examples)))
+    value = value / length[owner]
     # Alike examples share a block: by label and strongest term.
     strong = np.full(len(examples), -1)
     order = np.argsort(value, kind="stable")
@@ -242,9 +321,11 @@ def build(
     order = np.lexsort((number[owner], term))
     first = np.searchsorted(term[order], np.arange(len(keys) + 1))
     ids = np.array([e[0] for e in examples], np.int64)
+    occurring, level = np.unique(n, return_inverse=True)
+    column, level = (x[order].astype(np.min_scalar_type(size)) for x, size in ((number[owner], len(listed)), (level, len(occurring))))
     return Examples(
         prefixes, HashTable.of(keys, np.arange(len(keys))), idf, ids[listed], labels[listed], weight[listed],
-        first, number[owner][order], value[order], k, passage, block, max(2, int(common_share * len(listed))),
+        first, column, level, 1 + np.log(occurring), length[listed], k, passage, block, max(2, int(common_share * len(listed))),
         float(((weight * labels)[empty].sum() + prior) / (weight[empty].sum() + 1)), (np.array([0.0, 1.0]), np.array([prior, prior])),
     )
 
@@ -332,10 +413,7 @@ def _searched(index: Examples, batch: pa.RecordBatch, own: list[int] | None = No
             b = min(a + TOGETHER, len(text))
             of = slice(*np.searchsorted(owner, [a, b]))
             leave_out = None if own is None else np.array([own[lo + t] for t in text[a:b].tolist()])
-            found = list(index.nearest(owner[of] - a, term[of], weight[of], b - a, leave_out))
-            for t, (at, _), vote in zip(text[a:b].tolist(), found, index.votes(found), strict=True):
-                if len(at) and (t not in best or vote > best[t][0]):
-                    best[t] = vote, at
+            index.most_toxic(text[a:b].tolist(), best, owner[of] - a, term[of], weight[of], leave_out)
         yield from ((lo + t, vote, at) for t, (vote, at) in best.items())
 
 
