@@ -331,6 +331,42 @@ def test_passages_are_added_up_one_by_one(spark, docs_of, monkeypatch):
     assert max(lengths) <= max(index.width, 20 * 6)
 
 
+def _told_one_by_one(index, texts):
+    """(vote, neighbours) of each text: every passage by itself, with all its neighbours in double precision."""
+    from ticketlens.llm.words import split
+
+    words_ = split(texts, 0, len(texts))
+    passage, text = toxicity.passages(words_, index.passage)
+    owner, term, weight = index.vectors(words_, passage, len(text))
+    best = {}
+    for p, t in enumerate(text.tolist()):
+        of = owner == p
+        which, hit, _, sums = index.candidates(owner[of] - p, term[of], weight[of], 1)
+        which, hit, cosine = index.nearest(which, hit, sums)
+        vote = float(index.votes(which, hit, cosine, 1)[0])
+        if len(hit) and (t not in best or vote > best[t][0]):
+            best[t] = vote, hit.tolist()
+    return best
+
+
+@pytest.mark.parametrize("share,room", [(0.5, 32 << 20), (0.1, 32 << 20), (0.1, 3 * 4 * 320), (2.0, 32 << 20)])
+def test_few_passages_are_told_exactly_and_no_result_changes(spark, docs_of, monkeypatch, share, room):
+    monkeypatch.setattr(toxicity, "ROW_SHARE", share)
+    monkeypatch.setattr(toxicity, "ROW_BYTES", room)
+    monkeypatch.setattr(toxicity, "TOGETHER", 7)  # texts go on in the next batch
+    rows, truth = _toxic_rows(300)
+    rows += [(300 + i, rows[i][1]) for i in range(40)]  # equal examples: which of them are the nearest is told by their order
+    labelled = _labelled(spark, [(i, truth[i % 300]) for i in range(340)])
+    index = toxicity.fit_toxicity(docs_of(rows), labelled, passage=12).examples
+    texts = [toxicity._clean(t.encode()) for _, t in rows[:120]] + [None, b"", b"zzz"]
+    expected, told, asked = _told_one_by_one(index, texts), [], type(index).nearest
+    monkeypatch.setattr(type(index), "nearest", lambda self, which, *rest: (told.append(len(set(which.tolist()))), asked(self, which, *rest))[1])
+    found = {t: (vote, at.tolist()) for t, vote, at in toxicity._searched(index, pa.RecordBatch.from_pydict({"text": texts}))}
+    assert found.keys() == expected.keys() and all(found[t][1] == at and abs(found[t][0] - vote) < 1e-9 for t, (vote, at) in expected.items())
+    assert sum(told) < 0.7 * sum(-(-len(t.split()) // 12) for t in texts if t)
+    assert index.rows.nbytes <= room and (share < 1 or not len(index.rows))
+
+
 def test_all_words_are_in_passages():
     from ticketlens.llm.words import split
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import discard, settle
-from .tables import HashTable, broadcast_value, sampled_by_class
+from .tables import HashTable, broadcast_for_workers, broadcast_value, sampled_by_class
 from .words import Words, char_prefixes, mix, pieces, split, texts_of
 
 _ROUGH = 1e-5  # more than single precision is off by
@@ -32,13 +32,13 @@ _CLOSE = 1e-3  # more than votes are off by, and their difference, if similariti
 _NOT_LETTERS = re.compile(r"[\W\d_]")
 
 #: Passages that are searched at once: their similarities to all examples are one array.
-TOGETHER = 128
+TOGETHER = 256
 
 #: Passages whose postings are listed at once.
 LISTED = 8
 
 #: Essential terms of at least this share of a common term's examples have rows of weights in place of postings.
-ROW_SHARE = 0.3
+ROW_SHARE = 0.5
 
 #: Bytes of these rows; the terms of the most examples come first, the others keep to their postings.
 ROW_BYTES = 32 << 20
@@ -424,7 +424,7 @@ def score_toxicity(docs: DataFrame, model: Toxicity) -> DataFrame:
     score speaks for. A text without any term of the index, such as a null or empty one, has the score of the examples without any. Rows that repeat are
     scored one by one, other columns are not read; no label, language or source has a part. Texts are read whole.
     """
-    sent = broadcast_value(docs.sparkSession, model)
+    sent = broadcast_for_workers(docs.sparkSession, model)  # the index is made ready once a worker
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = sent.value.examples
