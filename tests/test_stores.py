@@ -2,9 +2,11 @@
 
 import os
 import random
+import time
 import urllib.parse
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,3 +220,53 @@ def test_repeated_ids_count_for_each_of_their_rows(spark, tmp_path):
     index = quantized.build_quantized_index(side, str(tmp_path / "twice"), k=3, cells=2)
     got = {(r["query_id"], r["rank"]): r["base_id"] for r in quantized.search_quantized(index, side, 3).collect()}
     assert [got[0, r] for r in (1, 2, 3)] == [0, 0, 0] and [got[9, r] for r in (1, 2, 3)] == [9, 8, 10]
+
+
+def test_estimates_are_products_and_only_the_best_are_measured():
+    """Every pair was looked up part by part and all of a query's estimates were ordered: some 100 ns a pair, where a product takes a few."""
+    rng = np.random.default_rng(4)
+    centres, books = rng.normal(size=(8, 32)) * 3, [rng.normal(size=(256, 2)) for _ in range(16)]
+    cells, codes = rng.integers(0, 8, 40_000), rng.integers(0, 256, (40_000, 16)).astype(np.uint8)
+    stands_for = centres[cells] + np.concatenate([book[codes[:, j]] for j, book in enumerate(books)], axis=1)
+    base, queries = stands_for + rng.normal(size=stands_for.shape) * 0.1, rng.normal(size=(600, 32)) * 3
+    lists = lambda x: pa.array(x.tolist(), pa.list_(pa.float64()))
+    base_rows = pa.table({"id": np.arange(40_000), "vector": lists(base), "code": [c.tobytes() for c in codes], "cell": cells})
+    schema = pa.schema([("query_id", pa.int64()), ("base_id", pa.int64()), ("distance", pa.float64())])
+    marks = rng.random((600, 8)) < 0.6
+    marks[0] = False
+    met = quantized._Estimated(pa.table({"id": np.arange(600), "vector": lists(queries)}), (centres, books), 5, 20, "euclidean", 32, schema)
+    start = time.perf_counter()
+    met.look(base_rows, 0, marks)
+    took = time.perf_counter() - start
+    got = {}
+    for r in met.found().to_pylist():
+        got.setdefault(r["query_id"], []).append((r["base_id"], r["distance"]))
+    assert 0 not in got and all(len(got.get(q, [])) == 5 for q in range(600) if marks[q].any())
+    for q in (1, 250, 599):
+        probed = np.flatnonzero(marks[q][cells])
+        best = probed[np.argsort(((queries[q] - stands_for[probed]) ** 2).sum(axis=1))[:20]]
+        exact = np.round(np.sqrt(((queries[q] - base[best]) ** 2).sum(axis=1)), 12)
+        assert [i for i, _ in got[q]] == best[np.lexsort((best, exact))[:5]].tolist()
+    assert took / (600 * 40_000) < 60e-9
+
+
+def test_least_of_many_of_few_and_of_equal_numbers():
+    rng = np.random.default_rng(6)
+    for n, count in ((50, 7), (5_000, 40), (40_000, 40), (20_000, 2_500)):
+        numbers = rng.normal(size=(12, n)).astype(np.float32)
+        numbers[3], numbers[4, 5:], numbers[5], numbers[7, n // 2 :] = np.inf, np.inf, 1.0, np.inf
+        numbers[6, :: max(1, n // 2048)] = 9.0  # those that are looked at first are the greatest
+        for row, found in zip(numbers, quantized._least(numbers, count), strict=True):
+            found = found[found >= 0]
+            assert len(set(found)) == len(found) and np.array_equal(np.sort(row[found]), np.sort(row[np.isfinite(row)])[:count])
+
+
+def test_queries_and_codes_meet_in_stored_blocks(spark, tmp_path):
+    rng = np.random.default_rng(12)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1500, 16)))]
+    side = Side(spark.createDataFrame(rows + [(5000, None)], "id long, v array<double>").repartition(3), "id", "v")
+    index = quantized.build_quantized_index(side, str(tmp_path / "index"), cell_rows=120, k=5, recall=0.9)
+    found, true = quantized.search_quantized(index, side, 5), knn(side, side, 5)
+    plan = plan_of(found)
+    assert "CartesianProduct" in plan and "FlatMapCoGroupsInArrow" not in plan
+    assert found.count() == true.count() == 7500 and found.join(true, ["query_id", "base_id"], "left_semi").count() >= 0.85 * 7500
