@@ -91,7 +91,7 @@ def _segments(turns: DataFrame, order: list[str], length: int) -> DataFrame:
 
 
 class DoubleArray:
-    """A trie in two arrays. State 0 is the root; ``check`` of a free place is -1."""
+    """A trie in two arrays. State 0 is the root; ``check`` of a free place is -1, and the last place is always free."""
 
     def __init__(self, room: int = 1024):
         self.base = np.zeros(room, np.int64)
@@ -101,8 +101,8 @@ class DoubleArray:
         self.end = 1  # every place from this one on is free
 
     def _grow(self, size: int) -> None:
-        if size > len(self.check):
-            more = max(size, 2 * len(self.check)) - len(self.check)
+        if size >= len(self.check):
+            more = max(size + 1, 2 * len(self.check)) - len(self.check)
             self.base = np.concatenate([self.base, np.zeros(more, np.int64)])
             self.check = np.concatenate([self.check, np.full(more, -1, np.int64)])
 
